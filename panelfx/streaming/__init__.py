@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analyses this package re-expresses work on whole tables: inputs are
+complete yearly files and imputation sets, and there are no watermarks,
+event-time windows or continuous sinks to reproduce.  No streaming operator
+is provided on purpose; incremental runs use partitioned parquet appends
+(``sources.io.append_results``) instead.
+"""
