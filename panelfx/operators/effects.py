@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import normal_ci, normal_two_sided_p, percent_effect, clip_propensity
-from .learners import _cell_predictions, cell_moments, cell_nuisances
+from .learners import _cell_predictions, cell_moments, cell_nuisances, join_on_keys
 
 
 def aipw_score(t: str = "t", y: str = "y", ps: str = "ps", mu1: str = "mu1", mu0: str = "mu0") -> Column:
@@ -64,7 +64,7 @@ def aipw_influence(df: DataFrame, t: str = "t", y: str = "y", ps: str = "ps", mu
     """Row-level influence values psi - ate (the group mean joins back by key)."""
     scored = df.withColumn("psi", aipw_score(t, y, ps, mu1, mu0))
     means = scored.groupBy(*by).agg(F.avg("psi").alias("_ate"))
-    joined = scored.join(means, list(by), "left") if by else scored.crossJoin(means)
+    joined = join_on_keys(scored, means, by, "left")
     return joined.withColumn("influence", F.col("psi") - F.col("_ate")).drop("_ate")
 
 
@@ -97,12 +97,12 @@ def cell_aipw(df: DataFrame, t: str, y: str, cells: Sequence[str], by: Sequence[
          / (F.sum("n1") + F.sum("n0"))).alias("ate"))
     if min_rows:
         grp = grp.where(F.col("n") >= min_rows)
-    both = arms.join(grp, by, "inner") if by else arms.crossJoin(grp)
+    both = join_on_keys(arms, grp, by, "inner")
     dev = both.groupBy(*by).agg(
         (F.sum(F.col("w1") + F.col("w0")
                + F.coalesce(F.col("n1") * (F.col("p1") - F.col("ate")) ** 2, F.lit(0.0))
                + F.coalesce(F.col("n0") * (F.col("p0") - F.col("ate")) ** 2, F.lit(0.0)))).alias("_ss"))
-    res = (grp.join(dev, by, "inner") if by else grp.crossJoin(dev))
+    res = join_on_keys(grp, dev, by, "inner")
     res = (res.withColumn("se", F.sqrt(F.col("_ss") / F.col("n")) / F.sqrt(F.col("n"))).drop("_ss")
            .withColumn("treated_pct", F.lit(100.0) * F.col("n_treated") / F.col("n")))
     return finish_estimate(res, by)

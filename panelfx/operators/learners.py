@@ -28,6 +28,20 @@ from pyspark.sql import functions as F
 from ..functions.expr import clip_propensity
 
 
+def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Equi-join where NULL keys match each other (a missing covariate value
+    is a cell of its own).  ``<=>`` keys still plan as hash/sort-merge joins."""
+    keys = list(keys)
+    if not keys:
+        return left.crossJoin(right)
+    r = right.select(*[F.col(k).alias(f"_rk_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_rk_{k}"])
+        cond = c if cond is None else (cond & c)
+    return left.join(r, cond, how).drop(*[f"_rk_{k}" for k in keys])
+
+
 def _cond(train: Column | str | None) -> Column:
     if train is None:
         return F.lit(True)
@@ -45,10 +59,10 @@ def cell_fit_predict(df: DataFrame, target: str, cells: Sequence[str], by: Seque
             .agg(F.sum(F.when(cond, F.col(target))).alias("_s"),
                  F.count(F.when(cond, F.lit(1))).alias("_n")))
     grp = cell.groupBy(*by).agg((F.sum("_s") / F.sum("_n")).alias("_g"))
-    pred_tab = (cell.join(grp, by, "left") if by else cell.crossJoin(grp))
+    pred_tab = join_on_keys(cell, grp, by, "left")
     pred_tab = pred_tab.select(*by, *cells, F.when(F.col("_n") > min_train, F.col("_s") / F.col("_n"))
                                .otherwise(F.coalesce(F.col("_g"), F.lit(0.0))).alias(out))
-    return df.join(pred_tab, by + cells, "left")
+    return join_on_keys(df, pred_tab, by + cells, "left")
 
 
 def cell_nuisances(df: DataFrame, treatment: str, outcome: str, cells: Sequence[str],
@@ -60,7 +74,7 @@ def cell_nuisances(df: DataFrame, treatment: str, outcome: str, cells: Sequence[
     """
     cell = cell_moments(df, treatment, outcome, cells, by)
     tab = _cell_predictions(cell, by, cells, clip, min_train)
-    return df.join(tab.select(*by, *cells, "ps", "mu1", "mu0"), list(by) + list(cells), "left")
+    return join_on_keys(df, tab.select(*by, *cells, "ps", "mu1", "mu0"), list(by) + list(cells), "left")
 
 
 def cell_moments(df: DataFrame, treatment: str, outcome: str, cells: Sequence[str],
@@ -84,7 +98,7 @@ def _cell_predictions(cell: DataFrame, by: Sequence[str], cells: Sequence[str],
     grp = cell.groupBy(*by).agg(
         *[(F.sum(F.col(f"n{a}") * F.coalesce(F.col(f"ybar{a}"), F.lit(0.0))) / F.sum(f"n{a}")).alias(f"g{a}")
           for a in (1, 0)])
-    tab = cell.join(grp, by, "left") if by else cell.crossJoin(grp)
+    tab = join_on_keys(cell, grp, by, "left")
     ps_raw = F.col("n1") / (F.col("n1") + F.col("n0"))
     ps = clip_propensity(ps_raw, *clip) if clip else ps_raw
     mus = [F.when(F.col(f"n{a}") > min_train, F.col(f"ybar{a}"))
