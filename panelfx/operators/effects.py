@@ -117,3 +117,60 @@ def cell_aipw_rows(df: DataFrame, t: str, y: str, cells: Sequence[str], by: Sequ
 
 ESTIMATE_COLUMNS = ["n", "n_treated", "treated_pct", "ate", "se", "ci_lower", "ci_upper", "z",
                     "p_value", "effect_pct"]
+
+
+def tmle_effect(df: DataFrame, t: str = "t", y: str = "y", ps: str = "ps", mu1: str = "mu1", mu0: str = "mu0",
+                by: Sequence[str] = (), clip: tuple[float, float] | None = (0.01, 0.99)) -> DataFrame:
+    """#90: one-step targeting.  g clipped; H = T/g - (1-T)/(1-g);
+    eps = sum H (Y - Q) / sum H^2 per group; mu1* = mu1 + eps/g,
+    mu0* = mu0 - eps/(1-g); ate = mean(mu1* - mu0*); se from the influence
+    curve with the population variance.  Two aggregation passes; the
+    per-group eps joins back on the group key (one row per group)."""
+    by = list(by)
+    g = clip_propensity(ps, *clip) if clip else F.col(ps)
+    T, Y = F.col(t).cast("double"), F.col(y)
+    d = df.withColumn("_g", g)
+    H = T / F.col("_g") - (F.lit(1.0) - T) / (F.lit(1.0) - F.col("_g"))
+    Q = T * F.col(mu1) + (F.lit(1.0) - T) * F.col(mu0)
+    eps = d.groupBy(*by).agg((F.sum(H * (Y - Q)) / F.sum(H * H)).alias("epsilon"))
+    d = join_on_keys(d, eps, by, "left")
+    m1s = F.col(mu1) + F.col("epsilon") / F.col("_g")
+    m0s = F.col(mu0) - F.col("epsilon") / (F.lit(1.0) - F.col("_g"))
+    d = d.withColumn("_m1s", m1s).withColumn("_m0s", m0s)
+    score = (T / F.col("_g") * (Y - F.col("_m1s")) - (F.lit(1.0) - T) / (F.lit(1.0) - F.col("_g")) * (Y - F.col("_m0s"))
+             + F.col("_m1s") - F.col("_m0s"))
+    res = d.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(T.cast("long")).alias("n_treated"),
+        F.avg(F.col("_m1s") - F.col("_m0s")).alias("ate"),
+        F.sqrt(F.var_pop(score) / F.count(F.lit(1))).alias("se"), F.first("epsilon").alias("epsilon"),
+        F.sum(H * (Y - (T * F.col("_m1s") + (F.lit(1.0) - T) * F.col("_m0s")))).alias("score_sum"))
+    res = res.withColumn("treated_pct", F.lit(100.0) * F.col("n_treated") / F.col("n"))
+    return finish_estimate(res, by)
+
+
+def pool_rubin(est: DataFrame, by: Sequence[str] = (), ate: str = "ate", se: str = "se",
+               reference: str = "t", single_b_zero: bool = True) -> DataFrame:
+    """#91: Rubin's rules over the imputations of each group.
+
+    qbar = mean ate; W = mean se^2; B = var_samp(ate) (0 when M = 1);
+    total = W + (1 + 1/M) B; df = (M-1)(1 + W/((1+1/M)B))^2 (NULL when B = 0).
+    ``reference="t"``: Student-t interval and p (normal when df is NULL or
+    above 1e6); ``"z"``: 1.96 and the normal p."""
+    by = list(by)
+    M = F.count(F.lit(1))
+    g = est.groupBy(*by).agg(M.alias("M"), F.avg(ate).alias("ate"), F.avg(F.col(se) * F.col(se)).alias("W"),
+                             F.var_samp(ate).alias("B"))
+    if single_b_zero:
+        g = g.withColumn("B", F.coalesce(F.col("B"), F.lit(0.0)))
+    infl = F.lit(1.0) + F.lit(1.0) / F.col("M")
+    g = g.withColumn("total_var", F.col("W") + infl * F.col("B")).withColumn("se", F.sqrt("total_var"))
+    g = g.withColumn("df", F.when(F.col("B") > 0, (F.col("M") - 1) * (
+        F.lit(1.0) + F.col("W") / (infl * F.col("B"))) ** 2))
+    if reference == "z":
+        lo, hi = normal_ci("ate", "se")
+        z = F.col("ate") / F.col("se")
+        return (g.withColumn("ci_lower", lo).withColumn("ci_upper", hi).withColumn("t_stat", z)
+                .withColumn("p_value", normal_two_sided_p(z)).withColumn("effect_pct", percent_effect("ate")))
+    from ..functions.stats import t_columns
+    return g.withColumns(t_columns(F.col("ate"), F.col("se"), F.col("df"))).withColumn(
+        "effect_pct", percent_effect("ate"))
