@@ -23,13 +23,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select(
-        "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
+        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     return (orders
             .join(customer, orders.o_custkey == customer.c_custkey)
             .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-            .select(F.year("o_orderdate").alias("year"),
+            .select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year"),
                     F.col("c_mktsegment").alias("segment"),
                     F.col("n_regionkey").alias("region"),
                     F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int").alias("t"),
@@ -37,7 +37,7 @@ def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORDER_PANEL_SQL = """
-  select year(o_orderdate) as year, c_mktsegment as segment, n_regionkey as region,
+  select o_orderkey as id, year(o_orderdate) as year, c_mktsegment as segment, n_regionkey as region,
          case when o_orderpriority in ('1-URGENT', '2-HIGH') then 1 else 0 end as t,
          ln(o_totalprice) as y
   from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
