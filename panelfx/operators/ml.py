@@ -55,7 +55,7 @@ def _fit_scorer(train: DataFrame, target: str, features: Sequence[str], learner:
                                 elasticNetParam=0.0, probabilityCol=f"{tag}_prob",
                                 rawPredictionCol=f"{tag}_raw", **outs)
         grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * n) for c in LOGISTIC_CS]).build()
-        cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, foldCol="_fold", seed=seed,
+        cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, foldCol="_fold", numFolds=5, seed=seed,
                             evaluator=BinaryClassificationEvaluator(labelCol=target, rawPredictionCol=f"{tag}_raw"))
         model = cv.fit(trz)
         return lambda d: model.transform(scaler.transform(d)).withColumn(
@@ -68,8 +68,8 @@ def _fit_scorer(train: DataFrame, target: str, features: Sequence[str], learner:
         kw = {**base, **params}
         if classify:
             cls = GBTClassifier if learner == "gbt" else RandomForestClassifier
-            model = cls(featuresCol="_features", labelCol=target, seed=seed, probabilityCol=f"{tag}_prob",
-                        rawPredictionCol=f"{tag}_raw", **outs, **kw).fit(train)
+            est = cls(featuresCol="_features", labelCol=target, seed=seed, **outs, **kw)
+            model = est.setProbabilityCol(f"{tag}_prob").setRawPredictionCol(f"{tag}_raw").fit(train)
             return lambda d: model.transform(d).withColumn(
                 tag, vector_to_array(F.col(f"{tag}_prob")).getItem(1)).drop(f"{tag}_prob", f"{tag}_raw",
                                                                              f"{tag}_pred")

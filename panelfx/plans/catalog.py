@@ -45,6 +45,7 @@ def _load_all() -> None:
     from . import queries_profile  # noqa: F401
     from . import queries_runs  # noqa: F401
     from . import queries_models  # noqa: F401
+    from . import queries_io  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:

@@ -650,7 +650,8 @@ def q_evaluate(spark, sf_dir):
 def q_logistic(spark, sf_dir):
     """#81 (rows-only): L2 logistic propensity with 5-fold choice of the
     penalty over 10 values; mean score per year."""
-    d = firm_analysis(spark, sf_dir).withColumn("t", F.col("t").cast("double"))
+    from ..session import cut_lineage
+    d = cut_lineage(firm_analysis(spark, sf_dir).withColumn("t", F.col("t").cast("double")))
     p = __import__("panelfx.operators.learners", fromlist=["fit_predict"]).fit_predict(
         d, "t", ["hs", "region", "industry_2digit"], "logistic", classify=True, out="ps")
     return rounded(p.groupBy("year").agg(F.avg("ps").alias("ps_mean"), F.count(F.lit(1)).alias("n")), {}, default=4)
@@ -663,7 +664,8 @@ def q_gbt(spark, sf_dir):
     propensity, AIPW per period."""
     from ..operators.learners import fit_predict
     d = firm_analysis(spark, sf_dir).withColumn("period", X.period_label("year", _PERIODS, _PERIOD_YEARS))
-    d = d.withColumn("t", F.col("t").cast("double")).withColumn("region", F.col("region").cast("double"))
+    from ..session import cut_lineage
+    d = cut_lineage(d.withColumn("t", F.col("t").cast("double")).withColumn("region", F.col("region").cast("double")))
     feats = ["hs", "region", "industry_2digit"]
     params = dict(maxIter=50, maxDepth=3, minInstancesPerNode=1)
     d = fit_predict(d, "t", feats, "gbt", by=["period"], out="ps", classify=True, **params)

@@ -13,7 +13,7 @@ import glob as _glob
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.frame import union_by_name
@@ -79,14 +79,22 @@ def read_imputations(spark: SparkSession, path: str, m: int | None = None, m_col
 def read_selected_variables(spark: SparkSession, path: str | None, col: str = "variable") -> list[str] | None:
     """#7: optional covariate list (a small one-column table); absent -> None
     (meaning "use all")."""
-    if not path or not os.path.exists(path):
+    if not path or not path_exists(spark, path):
         return None
-    reader = spark.read.option("header", True)
-    df = reader.csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+    fmt = "parquet" if path.rstrip("/").endswith(".parquet") else "csv"
+    df = spark.read.option("header", True).format(fmt).load(path)
     # A variable list is a handful of names, bounded by the table's width.
     return [r[0] for r in df.select(col).distinct().orderBy(col).collect()]
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence through the Hadoop file system of the session (works for
+    local, HDFS and object-store paths alike)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 def write_outcome_tables(df: DataFrame, path: str, m_col: str = "m", first_csv: str | None = None,
                          mode: str = "overwrite") -> None:
     """#8: imputations with outcome columns; optional CSV of the first one."""
@@ -120,12 +128,15 @@ def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
     report.select("report").coalesce(1).write.mode(mode).text(path)
 
 
+_SCHEME = __import__("re").compile(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+
+
 def expand_patterns(patterns: Sequence[str]) -> list[str]:
-    """Glob expansion for local paths; other URIs are passed through (Spark
-    expands globs itself)."""
+    """Glob expansion for plain local paths; paths with a scheme (file:,
+    hdfs://, s3a://, ...) are passed through, Spark expands their globs."""
     out: list[str] = []
     for p in patterns:
-        if "://" in p:
+        if _SCHEME.match(p):
             out.append(p)
             continue
         hits = sorted(_glob.glob(p))
@@ -135,21 +146,18 @@ def expand_patterns(patterns: Sequence[str]) -> list[str]:
 
 def read_result_files(spark: SparkSession, patterns: Sequence[str], infer: bool = True) -> DataFrame | None:
     """#11: every CSV matched by the patterns in one read, keeping the source
-    path (``source_file``) and a file number in path order; unreadable files
-    are skipped (``ignoreCorruptFiles``)."""
+    path (``source_file``) and a file number (``file_no``, by path order);
+    unreadable files are skipped (``ignoreCorruptFiles``)."""
     paths = expand_patterns(patterns)
     if not paths:
         return None
     df = (spark.read.option("header", True).option("inferSchema", infer)
           .option("ignoreCorruptFiles", True).option("mode", "PERMISSIVE").csv(paths))
     df = df.withColumn("source_file", F.col("_metadata.file_path"))
-    order = {os.path.abspath(p): i for i, p in enumerate(paths)}
-    mapping = F.create_map(*[x for p, i in order.items() for x in (F.lit("file://" + p), F.lit(i))]) \
-        if order else None
-    if mapping is not None:
-        df = df.withColumn("file_no", F.coalesce(mapping[F.col("source_file")],
-                                                  F.lit(None).cast("int")))
-    return df
+    # One row per file: the numbering window runs over the file list only.
+    files = df.select("source_file").distinct().withColumn(
+        "file_no", F.row_number().over(Window.orderBy("source_file")) - 1)
+    return df.join(F.broadcast(files), "source_file", "left")
 
 
 CHECKPOINT_PATTERN = r"_([0-9]+)of([0-9]+)\.csv$"
