@@ -124,5 +124,5 @@ def t_columns(est: Column, se: Column, df: Column) -> dict[str, Column]:
     """CI, t statistic and p with Student-t quantiles (normal when df is
     missing or huge)."""
     crit = t_crit_975(df)
-    t = est / se
+    t = F.try_divide(est, se)
     return {"ci_lower": est - crit * se, "ci_upper": est + crit * se, "t_stat": t, "p_value": t_two_sided_p(t, df)}

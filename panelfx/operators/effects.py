@@ -43,7 +43,7 @@ def summarize_scores(df: DataFrame, score: str = "psi", by: Sequence[str] = (),
     aggs = [F.count(score).alias("n")]
     if t:
         aggs.append(F.sum(F.col(t).cast("long")).alias("n_treated"))
-    aggs += [F.avg(score).alias("ate"), F.sqrt(var / F.count(score)).alias("se")]
+    aggs += [F.avg(score).alias("ate"), F.sqrt(F.try_divide(var, F.count(score))).alias("se")]
     res = df.groupBy(*by).agg(*aggs)
     if min_rows:
         res = res.where(F.col("n") >= min_rows)
@@ -83,8 +83,8 @@ def cell_aipw(df: DataFrame, t: str, y: str, cells: Sequence[str], by: Sequence[
     cell = cell_moments(df, t, y, cells, by)
     tab = _cell_predictions(cell, by, cells, clip, min_train)
     ps, mu1, mu0 = F.col("ps"), F.col("mu1"), F.col("mu0")
-    beta1, alpha1 = F.lit(1.0) / ps, mu1 - mu1 / ps - mu0
-    beta0, alpha0 = F.lit(-1.0) / (F.lit(1.0) - ps), mu1 + mu0 / (F.lit(1.0) - ps) - mu0
+    beta1, alpha1 = F.try_divide(F.lit(1.0), ps), mu1 - F.try_divide(mu1, ps) - mu0
+    beta0, alpha0 = F.try_divide(F.lit(-1.0), F.lit(1.0) - ps), mu1 + F.try_divide(mu0, F.lit(1.0) - ps) - mu0
     arms = tab.select(*by, F.col("n1"), F.col("n0"),
                       F.when(F.col("n1") > 0, alpha1 + beta1 * F.col("ybar1")).alias("p1"),
                       F.when(F.col("n0") > 0, alpha0 + beta0 * F.col("ybar0")).alias("p0"),
@@ -92,9 +92,9 @@ def cell_aipw(df: DataFrame, t: str, y: str, cells: Sequence[str], by: Sequence[
                       (beta0 * beta0 * F.coalesce(F.col("m2_0"), F.lit(0.0))).alias("w0"))
     grp = arms.groupBy(*by).agg(
         (F.sum("n1") + F.sum("n0")).alias("n"), F.sum("n1").alias("n_treated"),
-        ((F.sum(F.coalesce(F.col("n1") * F.col("p1"), F.lit(0.0)))
-          + F.sum(F.coalesce(F.col("n0") * F.col("p0"), F.lit(0.0))))
-         / (F.sum("n1") + F.sum("n0"))).alias("ate"))
+        F.try_divide(F.sum(F.coalesce(F.col("n1") * F.col("p1"), F.lit(0.0)))
+                     + F.sum(F.coalesce(F.col("n0") * F.col("p0"), F.lit(0.0))),
+                     F.sum("n1") + F.sum("n0")).alias("ate"))
     if min_rows:
         grp = grp.where(F.col("n") >= min_rows)
     both = join_on_keys(arms, grp, by, "inner")
@@ -103,8 +103,8 @@ def cell_aipw(df: DataFrame, t: str, y: str, cells: Sequence[str], by: Sequence[
                + F.coalesce(F.col("n1") * (F.col("p1") - F.col("ate")) ** 2, F.lit(0.0))
                + F.coalesce(F.col("n0") * (F.col("p0") - F.col("ate")) ** 2, F.lit(0.0)))).alias("_ss"))
     res = join_on_keys(grp, dev, by, "inner")
-    res = (res.withColumn("se", F.sqrt(F.col("_ss") / F.col("n")) / F.sqrt(F.col("n"))).drop("_ss")
-           .withColumn("treated_pct", F.lit(100.0) * F.col("n_treated") / F.col("n")))
+    res = (res.withColumn("se", F.try_divide(F.sqrt(F.try_divide(F.col("_ss"), F.col("n"))), F.sqrt(F.col("n"))))
+           .drop("_ss").withColumn("treated_pct", F.try_divide(F.lit(100.0) * F.col("n_treated"), F.col("n"))))
     return finish_estimate(res, by)
 
 
@@ -132,7 +132,7 @@ def tmle_effect(df: DataFrame, t: str = "t", y: str = "y", ps: str = "ps", mu1:
     d = df.withColumn("_g", g)
     H = T / F.col("_g") - (F.lit(1.0) - T) / (F.lit(1.0) - F.col("_g"))
     Q = T * F.col(mu1) + (F.lit(1.0) - T) * F.col(mu0)
-    eps = d.groupBy(*by).agg((F.sum(H * (Y - Q)) / F.sum(H * H)).alias("epsilon"))
+    eps = d.groupBy(*by).agg(F.try_divide(F.sum(H * (Y - Q)), F.sum(H * H)).alias("epsilon"))
     d = join_on_keys(d, eps, by, "left")
     m1s = F.col(mu1) + F.col("epsilon") / F.col("_g")
     m0s = F.col(mu0) - F.col("epsilon") / (F.lit(1.0) - F.col("_g"))
@@ -168,7 +168,7 @@ def pool_rubin(est: DataFrame, by: Sequence[str] = (), ate: str = "ate", se: str
         F.lit(1.0) + F.col("W") / (infl * F.col("B"))) ** 2))
     if reference == "z":
         lo, hi = normal_ci("ate", "se")
-        z = F.col("ate") / F.col("se")
+        z = F.try_divide(F.col("ate"), F.col("se"))
         return (g.withColumn("ci_lower", lo).withColumn("ci_upper", hi).withColumn("t_stat", z)
                 .withColumn("p_value", normal_two_sided_p(z)).withColumn("effect_pct", percent_effect("ate")))
     from ..functions.stats import t_columns

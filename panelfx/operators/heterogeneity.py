@@ -111,7 +111,7 @@ def effect_regression(df: DataFrame, t: str, y: str, xs: Sequence[str], by: Sequ
     coefs = solve(g, by)
     p = len(xs) + 1
     res = coefs.select(*by, F.col("n").cast("long").alias("n"), F.col("coef").getItem(1).alias("ate"),
-                       (F.col("rss") / (F.col("n") - F.lit(p) - 1)).alias("sigma2"),
+                       F.try_divide(F.col("rss"), F.col("n") - F.lit(p) - 1).alias("sigma2"),
                        F.col("inv_diag").getItem(1).alias("_inv"))
     if not intercept_in_cov:
         inv = _noint_inverse_diag(g, by)
@@ -168,7 +168,7 @@ def _strata_diff(d: DataFrame, t: str, y: str, by: list[str], strata: list[str],
         F.sum(F.when(T == 1, wt)).alias("n_t"), F.sum(F.when(T == 0, wt)).alias("n_c"),
         F.sum(F.when(T == 1, wt * F.col(y))).alias("s_t"), F.sum(F.when(T == 0, wt * F.col(y))).alias("s_c"))
     s = s.where((F.col("n_t") > 0) & (F.col("n_c") > 0))
-    diff = F.col("s_t") / F.col("n_t") - F.col("s_c") / F.col("n_c")
+    diff = F.try_divide(F.col("s_t"), F.col("n_t")) - F.try_divide(F.col("s_c"), F.col("n_c"))
     wcol = (F.col("n_t") + F.col("n_c")) if weight == "ate" else F.col("n_t")
     return s.groupBy(*by).agg((F.sum(wcol * diff) / F.sum(wcol)).alias("ate"),
                               F.sum(F.col("n_t") + F.col("n_c")).alias("n_matched"),

@@ -58,9 +58,9 @@ def cell_fit_predict(df: DataFrame, target: str, cells: Sequence[str], by: Seque
     cell = (df.groupBy(*by, *cells)
             .agg(F.sum(F.when(cond, F.col(target))).alias("_s"),
                  F.count(F.when(cond, F.lit(1))).alias("_n")))
-    grp = cell.groupBy(*by).agg((F.sum("_s") / F.sum("_n")).alias("_g"))
+    grp = cell.groupBy(*by).agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("_g"))
     pred_tab = join_on_keys(cell, grp, by, "left")
-    pred_tab = pred_tab.select(*by, *cells, F.when(F.col("_n") > min_train, F.col("_s") / F.col("_n"))
+    pred_tab = pred_tab.select(*by, *cells, F.when(F.col("_n") > min_train, F.try_divide(F.col("_s"), F.col("_n")))
                                .otherwise(F.coalesce(F.col("_g"), F.lit(0.0))).alias(out))
     return join_on_keys(df, pred_tab, by + cells, "left")
 
@@ -96,10 +96,10 @@ def _cell_predictions(cell: DataFrame, by: Sequence[str], cells: Sequence[str],
                       clip: tuple[float, float] | None, min_train: int) -> DataFrame:
     by = list(by)
     grp = cell.groupBy(*by).agg(
-        *[(F.sum(F.col(f"n{a}") * F.coalesce(F.col(f"ybar{a}"), F.lit(0.0))) / F.sum(f"n{a}")).alias(f"g{a}")
+        *[F.try_divide(F.sum(F.col(f"n{a}") * F.coalesce(F.col(f"ybar{a}"), F.lit(0.0))), F.sum(f"n{a}")).alias(f"g{a}")
           for a in (1, 0)])
     tab = join_on_keys(cell, grp, by, "left")
-    ps_raw = F.col("n1") / (F.col("n1") + F.col("n0"))
+    ps_raw = F.try_divide(F.col("n1"), F.col("n1") + F.col("n0"))
     ps = clip_propensity(ps_raw, *clip) if clip else ps_raw
     mus = [F.when(F.col(f"n{a}") > min_train, F.col(f"ybar{a}"))
            .otherwise(F.coalesce(F.col(f"g{a}"), F.lit(0.0))).alias(f"mu{a}") for a in (1, 0)]

@@ -79,7 +79,7 @@ def compare_to_baseline(df: DataFrame, method: str, ref_bias: float, ref_coverag
     """#60: one method's mean bias and coverage against reference values."""
     return (df.where(F.col(method_col) == method)
             .agg(F.avg("bias").alias("bias_mean"), F.avg("coverage").alias("coverage_mean"))
-            .withColumn("bias_multiple", F.abs(F.col("bias_mean")) / F.lit(ref_bias))
+            .withColumn("bias_multiple", F.try_divide(F.abs(F.col("bias_mean")), F.lit(ref_bias)))
             .withColumn("coverage_drop", F.lit(ref_coverage) - F.col("coverage_mean")))
 
 
