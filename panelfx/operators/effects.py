@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import normal_ci, normal_two_sided_p, percent_effect, clip_propensity
+from ..session import cut_lineage
 from .learners import _cell_predictions, cell_moments, cell_nuisances, join_on_keys
 
 
@@ -76,11 +77,14 @@ def cell_aipw(df: DataFrame, t: str, y: str, cells: Sequence[str], by: Sequence[
     With ps, mu1, mu0 constant in a cell, psi is affine in Y within each
     (cell, arm): psi = alpha + beta Y.  Sum and sum of squared deviations of
     psi per group follow from the per-arm count, mean and M2 of Y, so the
-    rows are read once and never joined back.  Equal to ``aipw_effect`` after
+    rows are read once (the per-cell table is checkpointed, all later steps
+    read that small table) and never joined back.  Equal to ``aipw_effect`` after
     ``cell_nuisances`` up to float rounding.
     """
     by, cells = list(by), list(cells)
-    cell = cell_moments(df, t, y, cells, by)
+    # The moments table (one row per cell) feeds several small aggregations
+    # and joins; materialising it once keeps the input to a single scan.
+    cell = cut_lineage(cell_moments(df, t, y, cells, by))
     tab = _cell_predictions(cell, by, cells, clip, min_train)
     ps, mu1, mu0 = F.col("ps"), F.col("mu1"), F.col("mu0")
     beta1, alpha1 = F.try_divide(F.lit(1.0), ps), mu1 - F.try_divide(mu1, ps) - mu0

@@ -36,6 +36,9 @@ from .gram import gram_sums
 from .learners import join_on_keys
 
 
+STEP_CHECKPOINT_TARGETS = 8
+
+
 def stack_imputations(df: DataFrame, M: int, m_col: str = "m") -> DataFrame:
     """#76: M copies keyed by ``m`` = 1..M (a generator, no join)."""
     return df.withColumn(m_col, F.explode(F.sequence(F.lit(1), F.lit(int(M)))))
@@ -208,6 +211,10 @@ def impute_chained(df: DataFrame, cols: Sequence[str], M: int = 5, max_iter: int
                 data = forest_fill(data, c, xs, f"_obs_{c}", m_col, seed, **(forest_params or {}))
             else:
                 raise ValueError(f"unknown imputation learner {learner!r}")
-        if checkpoint:
+            if checkpoint and len(targets) > STEP_CHECKPOINT_TARGETS:
+                # Wide tables: cut lineage after every column so a step's
+                # plan never replays all earlier steps of the sweep.
+                data = cut_lineage(data)
+        if checkpoint and len(targets) <= STEP_CHECKPOINT_TARGETS:
             data = cut_lineage(data)
     return data.drop(*[f"_obs_{c}" for c in targets])

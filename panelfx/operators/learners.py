@@ -12,7 +12,10 @@
             Spark ML estimators, one fit per ``by`` group; meant for few groups
             (a headline number, not a thousand-replicate resample).
 
-Aggregated tables are joined back on their keys.  They are at most one row
+Per-cell tables (one row per cell, bounded by the number of covariate
+cells, not by the rows) are checkpointed once, so the input is scanned once
+for the aggregation and once for the join back.  They are joined back on
+their keys.  They are at most one row
 per cell, and AQE turns those joins into broadcast joins from the measured
 size of the aggregate; beyond its threshold they stay sort-merge joins (AQE
 splits skewed partitions).
@@ -26,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import clip_propensity
+from ..session import cut_lineage
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -55,9 +59,9 @@ def cell_fit_predict(df: DataFrame, target: str, cells: Sequence[str], by: Seque
     rows use the group mean (small-arm fallback, #87)."""
     by, cells = list(by), list(cells)
     cond = _cond(train) & F.col(target).isNotNull()
-    cell = (df.groupBy(*by, *cells)
-            .agg(F.sum(F.when(cond, F.col(target))).alias("_s"),
-                 F.count(F.when(cond, F.lit(1))).alias("_n")))
+    cell = cut_lineage(df.groupBy(*by, *cells)
+                       .agg(F.sum(F.when(cond, F.col(target))).alias("_s"),
+                            F.count(F.when(cond, F.lit(1))).alias("_n")))
     grp = cell.groupBy(*by).agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("_g"))
     pred_tab = join_on_keys(cell, grp, by, "left")
     pred_tab = pred_tab.select(*by, *cells, F.when(F.col("_n") > min_train, F.try_divide(F.col("_s"), F.col("_n")))
@@ -72,7 +76,7 @@ def cell_nuisances(df: DataFrame, treatment: str, outcome: str, cells: Sequence[
 
     Returns ``df`` plus ``ps``, ``mu1``, ``mu0``.
     """
-    cell = cell_moments(df, treatment, outcome, cells, by)
+    cell = cut_lineage(cell_moments(df, treatment, outcome, cells, by))
     tab = _cell_predictions(cell, by, cells, clip, min_train)
     return join_on_keys(df, tab.select(*by, *cells, "ps", "mu1", "mu0"), list(by) + list(cells), "left")
 

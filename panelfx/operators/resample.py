@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import hash_int, hash_uniform
 from .effects import cell_aipw, finish_estimate
 from .learners import join_on_keys
+from ..session import cut_lineage
 
 
 # ------------------------------------------------------------------ folds
@@ -151,7 +152,9 @@ def crossfit_cell_aipw(df: DataFrame, t: str, y: str, cells: Sequence[str], key:
     zero = F.lit(0.0)
     sums = [F.count(F.lit(1)).alias("c"), F.sum(T).alias("n1"), F.coalesce(F.sum(F.when(T == 1, Y)), zero).alias("s1"),
             F.coalesce(F.sum(F.when(T == 0, Y)), zero).alias("s0")]
-    cf = d.groupBy(*by, "_fold", *cells).agg(*sums)
+    # One row per (group, fold, cell): checkpointed, it feeds four small
+    # aggregations without rescanning the input.
+    cf = cut_lineage(d.groupBy(*by, "_fold", *cells).agg(*sums))
     ct = cf.groupBy(*by, *cells).agg(*[F.sum(c).alias(f"{c}_all") for c in ("c", "n1", "s1", "s0")])
     gf = cf.groupBy(*by, "_fold").agg(*[F.sum(c).alias(f"g{c}") for c in ("c", "n1", "s1", "s0")])
     gt = cf.groupBy(*by).agg(*[F.sum(c).alias(f"g{c}_all") for c in ("c", "n1", "s1", "s0")])

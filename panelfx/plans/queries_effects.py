@@ -54,3 +54,19 @@ def q_aipw_effect(spark, sf_dir):
     """#88 row-level plan: nuisance table joined back, psi per row, grouped."""
     res = cell_aipw_rows(order_panel(spark, sf_dir), "t", "y", ["segment", "region"], by=["year"])
     return rounded(res.select("year", *ESTIMATE_COLUMNS), EFFECT_DIGITS)
+
+
+@register("aipw_influence", S.with_orders(_ORDER_CELL_CTES.format(min_rows=0).replace(
+    "psi as (select year, t,", "psi as (select year, id, t,"), """
+select year, count(*)::bigint n, round(max(abs(psi - ate)), 6) max_abs_influence,
+  round(avg((psi - ate) * (psi - ate)), 6) mean_sq_influence
+from psi join (select year, avg(psi) ate from psi group by year) a using (year) group by year"""))
+def q_aipw_influence(spark, sf_dir):
+    """#88 influence column: psi - ate per row (group mean joined back)."""
+    from ..operators.effects import aipw_influence
+    from ..operators.learners import cell_nuisances
+    scored = cell_nuisances(order_panel(spark, sf_dir), "t", "y", ["segment", "region"], by=["year"])
+    inf = aipw_influence(scored, by=["year"])
+    return inf.groupBy("year").agg(F.count(F.lit(1)).alias("n"),
+                                   F.round(F.max(F.abs("influence")), 6).alias("max_abs_influence"),
+                                   F.round(F.avg(F.col("influence") * F.col("influence")), 6).alias("mean_sq_influence"))

@@ -380,3 +380,29 @@ def q_coarsen(spark, sf_dir):
     df = clean_firm_panel(spark, sf_dir)
     out = coarsen(df, ["revenue"], n_bins=5)
     return out.groupBy(F.col("revenue_bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------ #69 / #70 keys
+@register("attach_by_key", P("""
+select year, count(*)::bigint n, sum(dti_binary)::bigint n_treated, round(sum(revenue), 2) revenue from clean
+group by year"""))
+def q_attach(spark, sf_dir):
+    """#69: two column blocks of the same rows put side by side by
+    (firm_id, year) instead of by position."""
+    df = clean_firm_panel(spark, sf_dir)
+    ids = df.select("firm_id", "year", "dti_binary")
+    vals = df.select("firm_id", "year", "revenue")
+    j = FR.attach_by_key(ids, vals, ["firm_id", "year"])
+    return j.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.sum("dti_binary").cast("long").alias("n_treated"),
+                                 F.round(F.sum("revenue"), 2).alias("revenue"))
+
+
+@register("align_with_fill", P("""
+select year, count(*)::bigint n, count(case when dti_binary = 1 and total_debt is not null then 1 end)::bigint n_member
+from clean group by year"""))
+def q_align(spark, sf_dir):
+    """#70: membership of a subset as a flag, false elsewhere."""
+    df = clean_firm_panel(spark, sf_dir)
+    subset = df.where("dti_binary = 1 and total_debt is not null")
+    out = FR.align_with_fill(df, subset, ["firm_id", "year"], "member")
+    return out.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("member").cast("long")).alias("n_member"))
