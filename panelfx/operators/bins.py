@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import bin_by_edges
+from .frame import with_one_row
 
 
 def _attach(df: DataFrame, edges: DataFrame, by: Sequence[str]) -> DataFrame:
-    return df.join(edges, list(by), "left") if by else df.crossJoin(edges)
+    return df.join(edges, list(by), "left") if by else with_one_row(df, edges)
 
 
 def quantile_bucket(df: DataFrame, col: str, q: int, labels: Sequence[str] | None = None,

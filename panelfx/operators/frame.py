@@ -13,6 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def with_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Attach the columns of a single-row aggregate (a global statistic) to
+    every row.  The right side is one row by construction (an ``agg``
+    without keys), so broadcasting it is size-safe; no pairs are formed."""
+    return df.crossJoin(F.broadcast(one))
+
+
 def filter_sector(df: DataFrame, col: str, value) -> DataFrame:
     """#13: keep rows whose sector column equals ``value``; an absent column
     returns the input unchanged.  ``sector_share`` gives the kept share."""
@@ -119,7 +126,7 @@ def group_size_gate(df: DataFrame, by: Sequence[str], min_rows: int, treatment:
     if not by:
         # One-row gate: a join with an aggregate of zero or one row.
         ok = df.agg(cond.alias("_ok")).where("_ok").drop("_ok")
-        return df.crossJoin(ok)
+        return with_one_row(df, ok)
     keep = df.groupBy(*by).agg(cond.alias("_ok")).where("_ok").select(*by)
     return df.join(keep, by, "left_semi")
 

@@ -9,7 +9,8 @@ from medians; each sweep visits the incomplete columns in ascending order of
 missingness and, per imputation m, regresses the column on its predictors
 over the rows where it was observed: one grouped cross-product aggregation
 (``gram``), a small Bayesian-ridge evidence fit per m (numpy on a p x p
-matrix), a posterior draw of the coefficients per (m, sweep, column), and
+matrix, solved on the driver: the sums are M (p+1)^2 numbers whatever the
+row count), a posterior draw of the coefficients per (m, sweep, column), and
 a per-row normal noise draw from a hash of (seed, m, sweep, column, row
 key).  Draws are deterministic, so a recomputed partition after an
 executor loss reproduces the same values.  Lineage is cut with a reliable
@@ -124,19 +125,26 @@ def bayes_ridge_from_gram(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float
     return intercept, coef, cov, alpha, xbar
 
 
-def _posterior_draw_table(gram: DataFrame, m_col: str, seed: int, sweep: int, col_idx: int) -> DataFrame:
-    """One row per m: drawn intercept + coefficients and noise sd."""
-    schema = StructType([gram.schema[m_col], StructField("beta", ArrayType(DoubleType())),
-                         StructField("noise_sd", DoubleType())])
+MAX_DRIVER_GRAM_CELLS = 5_000_000
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
+
+def _posterior_draw_table(gram: DataFrame, m_col: str, seed: int, sweep: int, col_idx: int) -> DataFrame:
+    """One row per m: drawn intercept + coefficients and noise sd.
+
+    The input holds one row of (p+1)^2 sums per imputation m, so it is
+    bounded by M (p+1)^2 numbers whatever the row count; it is solved with
+    numpy on the driver and the M-row result goes back as a broadcast."""
+    rows = gram.collect()
+    cells = sum(len(r["xtx"]) for r in rows)
+    if cells > MAX_DRIVER_GRAM_CELLS:
+        raise ValueError(f"cross-product table too large for a driver solve ({cells} cells)")
+    out = []
+    for r in rows:
         xty = np.asarray(r["xty"], dtype=float)
         q = len(xty)
         xtx = np.asarray(r["xtx"], dtype=float).reshape(q, q)
-        n = float(r["n"])
         m = int(r[m_col])
-        b0, coef, cov, alpha, xbar = bayes_ridge_from_gram(xtx, xty, float(r["yty"]), n)
+        b0, coef, cov, alpha, xbar = bayes_ridge_from_gram(xtx, xty, float(r["yty"]), float(r["n"]))
         rng = np.random.default_rng([seed, m, sweep, col_idx])
         if len(coef):
             L = np.linalg.cholesky(cov + 1e-12 * np.eye(len(coef)))
@@ -144,10 +152,10 @@ def _posterior_draw_table(gram: DataFrame, m_col: str, seed: int, sweep: int, co
             b0 = b0 + xbar @ (coef - draw)   # keep the fit centred at the means
         else:
             draw = coef
-        return pd.DataFrame({m_col: [m], "beta": [[float(b0), *map(float, draw)]],
-                             "noise_sd": [float(1.0 / math.sqrt(alpha))]})
-
-    return gram.groupBy(m_col).applyInPandas(fn, schema)
+        out.append((m, [float(b0), *map(float, draw)], float(1.0 / math.sqrt(alpha))))
+    schema = StructType([gram.schema[m_col], StructField("beta", ArrayType(DoubleType())),
+                         StructField("noise_sd", DoubleType())])
+    return F.broadcast(gram.sparkSession.createDataFrame(out, schema))
 
 
 def _nearest_predictors(df: DataFrame, targets: Sequence[str], pool: Sequence[str], k: int) -> dict[str, list[str]]:
@@ -172,27 +180,41 @@ def _nearest_predictors(df: DataFrame, targets: Sequence[str], pool: Sequence[st
 def impute_chained(df: DataFrame, cols: Sequence[str], M: int = 5, max_iter: int = 5, learner: str = "bayes",
                    extra_predictors: Sequence[str] = (), n_nearest: int | None = 10, row_key: Sequence[str] = (),
                    seed: int = 0, m_col: str = "m", already_stacked: bool = False, checkpoint: bool = True,
-                   forest_params: dict | None = None) -> DataFrame:
+                   forest_params: dict | None = None, schedule: str = "gauss-seidel") -> DataFrame:
     """#74 / #75: chained-equation multiple imputation of ``cols``.
 
     ``extra_predictors`` (e.g. the outcome) help predict but are never
     imputed; columns held out of the chain (ids, treatment codes) are simply
     not listed.  ``row_key`` identifies a row for the noise draws.
+    ``schedule="jacobi"`` (Bayes learner) updates every column from the
+    previous sweep's values: one aggregation and one checkpoint per sweep
+    instead of one aggregation per column, for wide tables.
     Returns the stacked table with ``m`` and completed ``cols``."""
     cols = list(cols)
     data = df if already_stacked else stack_imputations(df, M, m_col)
-    miss = missing_counts(df if not already_stacked else df.where(F.col(m_col) == 1), cols)
+    data = data.withColumns({f"_obs_{c}": F.col(c).isNotNull() for c in cols})
+    if checkpoint:
+        # Materialise the stacked input once; counts, medians, correlations
+        # and the first sweep all read it instead of rebuilding the sources.
+        data = cut_lineage(data)
+    first = data.where(F.col(m_col) == 1)
+    miss = missing_counts(first, cols)
     targets = sorted([c for c in cols if miss[c] > 0], key=lambda c: (miss[c], c))   # skip complete, ascending
+    data = data.drop(*[f"_obs_{c}" for c in cols if c not in targets])
     if not targets:
         return data
-    data = data.withColumns({f"_obs_{c}": F.col(c).isNotNull() for c in targets})
-    data = impute_median(data, targets)
+    meds = first.agg(*[F.median(c).alias(c) for c in targets]).first()
+    data = data.withColumns({c: F.coalesce(F.col(c), F.lit(meds[c])) for c in targets})
     pool = cols + [c for c in extra_predictors if c not in cols]
     preds = _nearest_predictors(data.where(F.col(m_col) == 1), targets, pool,
                                 n_nearest if learner == "bayes" else 0)
     key = list(row_key) if row_key else [c for c in df.columns if c not in cols][:2]
-    if checkpoint:
-        data = cut_lineage(data)
+    if schedule == "jacobi" and learner == "bayes":
+        for sweep in range(1, max_iter + 1):
+            data = _jacobi_sweep(data, targets, preds, m_col, seed, sweep, key)
+            if checkpoint:
+                data = cut_lineage(data)
+        return data.drop(*[f"_obs_{c}" for c in targets])
     for sweep in range(1, max_iter + 1):
         for j, c in enumerate(targets):
             xs = preds[c]
@@ -218,3 +240,57 @@ def impute_chained(df: DataFrame, cols: Sequence[str], M: int = 5, max_iter: int
         if checkpoint and len(targets) <= STEP_CHECKPOINT_TARGETS:
             data = cut_lineage(data)
     return data.drop(*[f"_obs_{c}" for c in targets])
+
+
+def _jacobi_sweep(data: DataFrame, targets: Sequence[str], preds: dict[str, list[str]], m_col: str, seed: int,
+                  sweep: int, key: Sequence[str]) -> DataFrame:
+    """All targets' cross-product sums in one grouped aggregation (each over
+    the rows where that target was observed), posterior draws per (m,
+    target) on the driver (bounded: M x targets x (p+1)^2 numbers), one
+    broadcast of the M-row coefficient table, all columns updated at once."""
+    aggs = []
+    for j, c in enumerate(targets):
+        obs = F.col(f"_obs_{c}")
+        z = [F.lit(1.0)] + [F.col(x).cast("double") for x in preds[c]]
+        yv = F.col(c).cast("double")
+        w = F.when(obs, F.lit(1.0)).otherwise(F.lit(0.0))
+        q = len(z)
+        aggs.append(F.sum(w).alias(f"g{j}_n"))
+        for a in range(q):
+            for b in range(a, q):
+                aggs.append(F.sum(w * z[a] * z[b]).alias(f"g{j}_a_{a}_{b}"))
+            aggs.append(F.sum(w * z[a] * yv).alias(f"g{j}_b_{a}"))
+        aggs.append(F.sum(w * yv * yv).alias(f"g{j}_yy"))
+    rows = data.groupBy(m_col).agg(*aggs).collect()
+    out = []
+    for r in rows:
+        m = int(r[m_col])
+        rec = [m]
+        for j, c in enumerate(targets):
+            q = len(preds[c]) + 1
+            xtx = np.array([[r[f"g{j}_a_{min(a, b)}_{max(a, b)}"] for b in range(q)] for a in range(q)], dtype=float)
+            xty = np.array([r[f"g{j}_b_{a}"] for a in range(q)], dtype=float)
+            b0, coef, cov, alpha, xbar = bayes_ridge_from_gram(xtx, xty, float(r[f"g{j}_yy"]), float(r[f"g{j}_n"]))
+            rng = np.random.default_rng([seed, m, sweep, j])
+            if len(coef):
+                L = np.linalg.cholesky(cov + 1e-12 * np.eye(len(coef)))
+                draw = coef + L @ rng.standard_normal(len(coef))
+                b0 = b0 + xbar @ (coef - draw)
+            else:
+                draw = coef
+            rec += [[float(b0), *map(float, draw)], float(1.0 / math.sqrt(alpha))]
+        out.append(tuple(rec))
+    fields = [data.schema[m_col]]
+    for j in range(len(targets)):
+        fields += [StructField(f"_beta{j}", ArrayType(DoubleType())), StructField(f"_sd{j}", DoubleType())]
+    coefs = F.broadcast(data.sparkSession.createDataFrame(out, StructType(fields)))
+    d = join_on_keys(data, coefs, [m_col], "left")
+    new = {}
+    for j, c in enumerate(targets):
+        lin = F.col(f"_beta{j}").getItem(0)
+        for i, x in enumerate(preds[c]):
+            lin = lin + F.col(f"_beta{j}").getItem(i + 1) * F.col(x)
+        noise = F.col(f"_sd{j}") * hash_normal(F.lit(seed), F.col(m_col), F.lit(sweep), F.lit(j), *key)
+        new[c] = F.when(F.col(f"_obs_{c}"), F.col(c)).otherwise(lin + noise)
+    return d.withColumns(new).drop(*[f"_beta{j}" for j in range(len(targets))],
+                                   *[f"_sd{j}" for j in range(len(targets))])

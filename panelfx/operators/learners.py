@@ -37,7 +37,8 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     is a cell of its own).  ``<=>`` keys still plan as hash/sort-merge joins."""
     keys = list(keys)
     if not keys:
-        return left.crossJoin(right)
+        # No keys: ``right`` is a single-row global aggregate.
+        return left.crossJoin(F.broadcast(right))
     r = right.select(*[F.col(k).alias(f"_rk_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     cond = None
     for k in keys:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frame import all_present
+from .frame import all_present, with_one_row
 
 
 def _unpivot_one_row(row_df: DataFrame, names: Sequence[str], prefix_map: dict[str, str],
@@ -139,7 +139,7 @@ def dummy_columns(df: DataFrame, cols: Sequence[str], max_distinct: int = 10, sh
     rows = rows.withColumn("is_dummy", (name_hint | (F.col("n_distinct") <= max_distinct)).cast("int"))
     # ``rows`` has one row per column name, so this second aggregate is tiny.
     tot = rows.agg((F.sum("is_dummy") / F.lit(float(len(cols)))).alias("dummy_share"))
-    return (rows.crossJoin(tot)
+    return (with_one_row(rows, tot)
             .withColumn("mostly_dummies", (F.col("dummy_share") > share).cast("int")))
 
 
@@ -158,10 +158,10 @@ def propensity_diagnostics(df: DataFrame, ps: str = "ps", t: str = "t", lo: floa
         F.least(F.max(F.when(tr == 1, p)), F.max(F.when(tr == 0, p))).alias("support_hi"),
         F.count_if(p < lo).alias("n_below"), F.count_if(p > hi).alias("n_above"))
     joined = df.join(first.select(*by, "support_lo", "support_hi"), by, "inner") if by else \
-        df.crossJoin(first.select("support_lo", "support_hi"))
+        with_one_row(df, first.select("support_lo", "support_hi"))
     inside = joined.groupBy(*by).agg(
         F.avg(((p >= F.col("support_lo")) & (p <= F.col("support_hi"))).cast("double")).alias("share_in_support"))
-    res = first.join(inside, by, "inner") if by else first.crossJoin(inside)
+    res = first.join(inside, by, "inner") if by else with_one_row(first, inside)
     return (res.withColumn("share_below", F.col("n_below") / F.col("n"))
             .withColumn("share_above", F.col("n_above") / F.col("n")))
 
@@ -200,4 +200,4 @@ def value_counts_top_k(df: DataFrame, key: str, k: int = 5, min_rows: int = 500)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
     n_groups = counts.agg(F.count(F.lit(1)).alias("n_groups"))
     top = counts.orderBy(F.desc("n"), F.asc(key)).limit(k)
-    return top.crossJoin(n_groups)
+    return with_one_row(top, n_groups)

@@ -23,6 +23,7 @@ from ..functions.expr import hash_int, hash_uniform
 from .effects import cell_aipw, finish_estimate
 from .learners import join_on_keys
 from ..session import cut_lineage
+from .frame import with_one_row
 
 
 # ------------------------------------------------------------------ folds
@@ -95,11 +96,14 @@ def permute_within_replicates(df: DataFrame, moved: Sequence[str], key: Sequence
     nb = n_buckets_for(df)
     base = df.withColumn("_hk", hash_int(F.lit("k"), *[F.col(c) for c in key]))
     base = hash_rank(base, [], "_hk", key, "_krank", nb).drop("_hk")
-    rows = replicate(base.select(*stay, "_krank"), R, r_col)
     src = replicate(df.select(*key, *moved), R, r_col)
     src = src.withColumn("_h", hash_int(F.lit(seed), F.col(r_col), *[F.col(c) for c in key]))
     src = hash_rank(src, [r_col], "_h", key, "_hrank", nb).select(r_col, F.col("_hrank").alias("_krank"), *moved)
-    return rows.join(src, [r_col, "_krank"], "inner").drop("_krank")
+    # Join on the base rank alone: the base rows (N, all columns) are
+    # shuffled once and meet their R replicate values; only the narrow
+    # (r, rank, moved) side has R x N rows.  Each base rank has exactly R
+    # partners, so no key is hot.
+    return src.join(base.select(*stay, "_krank"), "_krank", "inner").drop("_krank")
 
 
 # ----------------------------------------------------------- placebo runs
@@ -108,7 +112,9 @@ def placebo(df: DataFrame, t: str, y: str, cells: Sequence[str], key: Sequence[s
     """#94 / #95: per replicate, permute T (or Y) and re-estimate AIPW with
     cell-mean nuisances; one row per replicate."""
     moved = [t] if permute == "treatment" else [y]
-    d = df.select(*key, t, y, *cells)
+    # The analysis table is read by the rank, the count and the join; it is
+    # materialised once instead of being rebuilt from its sources each time.
+    d = cut_lineage(df.select(*key, t, y, *cells))
     perm = permute_within_replicates(d, moved, key, R, seed, r_col)
     return cell_aipw(perm, t, y, cells, by=[r_col], clip=clip)
 
@@ -128,7 +134,7 @@ def placebo_summary(real: DataFrame, treat_reps: DataFrame | None, outcome_reps:
     for p in parts[1:]:
         out = out.unionByName(p)
     real_ate = real.select(F.col("ate").alias("_real"))
-    out = out.crossJoin(real_ate)
+    out = with_one_row(out, real_ate)
     return (out.withColumn("near_zero", F.when(F.col("test") != "real",
                                                (F.abs("ate") < 2 * F.col("spread")).cast("int")))
             .withColumn("ratio", F.when(F.col("test") != "real",
@@ -242,7 +248,7 @@ def ampute(df: DataFrame, cols: Sequence[str], rate: float, mechanism: str = "MA
         return df.withColumns(out)
     st = df.agg(F.avg(y).alias("_ym"), F.stddev_samp(y).alias("_ys"), F.avg(x0).alias("_xm"),
                 F.stddev_samp(x0).alias("_xs"), F.count(F.lit(1)).alias("_n"))
-    d = df.crossJoin(st)
+    d = with_one_row(df, st)
     z = (F.lit(-1.0) + F.lit(0.3) * (F.col(y) - F.col("_ym")) / F.col("_ys")
          + F.lit(0.3) * (F.col(x0) - F.col("_xm")) / F.col("_xs"))
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from .frame import with_one_row
+
 CONDITION_KEYS = ("n", "p", "imbalance_ratio", "missing_rate", "scenario")
 RUN_KEYS = CONDITION_KEYS + ("seed", "method")
 SUMMARY_KEYS = ("imbalance_ratio", "missing_rate", "method")
@@ -136,7 +138,8 @@ def check_grid_consistency(df: DataFrame, file_col: str = "file_no",
     n_ref = ref.agg(F.count(F.lit(1)).alias("_n_ref"))
     common = grid.join(ref, keys, "left_semi").groupBy(file_col).agg(F.count(F.lit(1)).alias("_common"))
     counts = grid.groupBy(file_col).agg(F.count(F.lit(1)).alias("n_conditions"))
-    out = counts.join(common, file_col, "left").fillna(0, ["_common"]).crossJoin(n_ref)
+    out = counts.join(common, file_col, "left").fillna(0, ["_common"])
+    out = with_one_row(out, n_ref)
     out = (out.withColumn("n_missing", F.col("_n_ref") - F.col("_common"))
            .withColumn("n_extra", F.col("n_conditions") - F.col("_common")).drop("_common", "_n_ref"))
     return out.withColumn("consistent", ((F.col("n_missing") == 0) & (F.col("n_extra") == 0)).cast("int"))
@@ -152,7 +155,7 @@ def merged_statistics(df: DataFrame, keys: Sequence[str] = CONDITION_KEYS) -> Da
                   (F.count("error") / F.count(F.lit(1))).alias("error_rate"),
                   F.avg("ate_est").alias("ate_mean"), F.stddev_samp("ate_est").alias("ate_std"),
                   F.min("ate_est").alias("ate_min"), F.max("ate_est").alias("ate_max"))
-    return base.crossJoin(rep_stats)
+    return with_one_row(base, rep_stats)
 
 
 def method_counts(df: DataFrame, method: str = "method") -> DataFrame:
@@ -161,7 +164,9 @@ def method_counts(df: DataFrame, method: str = "method") -> DataFrame:
 
 def parameter_grid(*lists: DataFrame) -> DataFrame:
     """#66: product of parameter lists (each a small one-column DataFrame of
-    distinct values)."""
+    distinct values).  The product is the operator's definition; its size
+    is the grid size (product of the list lengths), independent of the
+    data volume."""
     return reduce(lambda a, b: a.crossJoin(b), lists)
 
 

@@ -59,7 +59,7 @@ def q_imputation_roundtrip(spark, sf_dir):
     back = spark.read.parquet(root)
     meta = IO.imputation_metadata(back).drop("variables")
     m2 = IO.read_imputations(spark, root, m=2).agg(F.count(F.lit(1)).alias("rows_m2"))
-    return meta.withColumn("n_variables", F.col("n_variables").cast("int")).crossJoin(m2)
+    return meta.withColumn("n_variables", F.col("n_variables").cast("int")).crossJoin(F.broadcast(m2))
 
 
 @register("result_report")

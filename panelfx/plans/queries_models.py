@@ -107,7 +107,7 @@ def q_poly(spark, sf_dir):
     d = PD.log_inputs(clean_firm_panel(spark, sf_dir)).where("y is not null and k is not null and l is not null")
     st = d.agg(F.avg("k").alias("km"), F.stddev_pop("k").alias("ks"), F.avg("m").alias("mm"),
                F.stddev_pop("m").alias("ms"))
-    d = d.crossJoin(st)
+    d = d.crossJoin(F.broadcast(st))
     src = {"k": (F.col("k") - F.col("km")) / F.col("ks"), "m": (F.col("m") - F.col("mm")) / F.col("ms")}
     terms = dict(PD.polynomial_terms(["k", "m"], 3, src))
     return d.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(terms[n]), 6).alias(n) for n, _ in _POLY])
@@ -140,7 +140,7 @@ def q_stage2(spark, sf_dir):
     d, est = PD.add_outcomes(clean_firm_panel(spark, sf_dir))
     means = d.agg(F.avg("tfp_lp").alias("tfp_lp_mean"), F.avg("tfp_simple").alias("tfp_simple_mean"),
                   F.corr("tfp_lp", "tfp_simple").alias("correlation"))
-    return rounded(est.select("beta_l", "beta_k", "at_bound").crossJoin(means), {}, default=6)
+    return rounded(est.select("beta_l", "beta_k", "at_bound").crossJoin(F.broadcast(means)), {}, default=6)
 
 
 # ------------------------------------------------------------- #85 folds

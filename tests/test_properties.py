@@ -127,3 +127,15 @@ def test_quantile_bucket_label_mismatch_raises(spark):
     df = spark.createDataFrame([(float(v),) for v in [1, 1, 1, 1, 2, 2, 3]], "x double")
     with pytest.raises(Exception):
         quantile_bucket(df, "x", 4, ["a", "b", "c", "d"]).collect()
+
+
+def test_jacobi_schedule_keeps_observed_cells(spark):
+    d = firm_analysis(spark, SMALL)
+    cols = ["total_debt", "rd_employees_total", "direct_export_amount"]
+    imp = IM.impute_chained(d, cols, M=2, max_iter=2, extra_predictors=["y"], row_key=["firm_id", "year"],
+                            schedule="jacobi")
+    j = imp.join(d.select("firm_id", "year", *[F.col(c).alias(f"o_{c}") for c in cols]), ["firm_id", "year"])
+    for c in cols:
+        assert j.where(F.col(f"o_{c}").isNotNull() & (F.col(c) != F.col(f"o_{c}"))).count() == 0
+        assert j.where(F.col(c).isNull()).count() == 0
+    assert imp.count() == 2 * d.count()
