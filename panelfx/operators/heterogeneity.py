@@ -57,7 +57,7 @@ def dose_response(df: DataFrame, t: str, dose: str, y: str, cells: Sequence[str]
         return None
     d = quantile_bucket_all(df, t, dose, q, labels)
     # Each row once per bin (a handful of bins): treatment = "in this bin".
-    d = d.withColumn("_tbin", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    d = d.withColumn("_tbin", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_nb") - 1).cast("long"))))
     d = d.withColumn("_t_bin", ((F.col(t) == 1) & (F.col("_bin") == F.col("_tbin"))).cast("int"))
     if controls == "untreated":
         d = d.where((F.col("_t_bin") == 1) | (F.col(t) == 0))

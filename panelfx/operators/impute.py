@@ -42,7 +42,7 @@ STEP_CHECKPOINT_TARGETS = 8
 
 def stack_imputations(df: DataFrame, M: int, m_col: str = "m") -> DataFrame:
     """#76: M copies keyed by ``m`` = 1..M (a generator, no join)."""
-    return df.withColumn(m_col, F.explode(F.sequence(F.lit(1), F.lit(int(M)))))
+    return df.withColumn(m_col, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(int(M)).cast("long"))))
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), approx: bool = False) -> DataFrame:

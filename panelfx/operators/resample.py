@@ -29,7 +29,7 @@ from .frame import with_one_row
 # ------------------------------------------------------------------ folds
 def fold_expr(k: int, seed: int, key: Sequence[str]) -> Column:
     """#85: fold = md5(seed:key) mod k (first 8 hex digits as an integer)."""
-    return F.pmod(hash_int(F.lit(seed), *[F.col(c) for c in key]), F.lit(k)).cast("int")
+    return F.pmod(hash_int(F.lit(seed), *[F.col(c) for c in key]), F.lit(k)).cast("long")
 
 
 def fold_assign(df: DataFrame, k: int, seed: int, key: Sequence[str], out: str = "fold") -> DataFrame:
@@ -81,7 +81,7 @@ def hash_rank(df: DataFrame, part: Sequence[str], h: str, key: Sequence[str], ou
 
 
 def replicate(df: DataFrame, R: int, r_col: str = "r") -> DataFrame:
-    return df.withColumn(r_col, F.explode(F.sequence(F.lit(1), F.lit(int(R)))))
+    return df.withColumn(r_col, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(int(R)).cast("long"))))
 
 
 def permute_within_replicates(df: DataFrame, moved: Sequence[str], key: Sequence[str], R: int, seed: int,

@@ -29,7 +29,7 @@ def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (orders
             .join(customer, orders.o_custkey == customer.c_custkey)
             .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-            .select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year"),
+            .select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").cast("long").alias("year"),
                     F.col("c_mktsegment").alias("segment"),
                     F.col("n_regionkey").alias("region"),
                     F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int").alias("t"),
@@ -67,7 +67,7 @@ def firm_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
                F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("dsc"),
                F.count(F.lit(1)).alias("n_lines")))
     o = (orders.join(li, orders.o_orderkey == li.l_orderkey, "left")
-         .select(F.col("o_custkey"), F.year("o_orderdate").alias("yr"), "o_totalprice",
+         .select(F.col("o_custkey"), F.year("o_orderdate").cast("long").alias("yr"), "o_totalprice",
                  F.col("o_orderpriority").alias("pri"), F.col("o_orderstatus").alias("st"),
                  *[F.coalesce(c, F.lit(0)).alias(c) for c in ("qty", "mat", "eng", "dsc", "n_lines")]))
     urgent = F.col("pri") == "1-URGENT"

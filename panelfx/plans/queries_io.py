@@ -87,7 +87,7 @@ def q_read_result_files(spark, sf_dir):
             f"{root}/results_{i}")
     paths = [f"{root}/results_{i}/*.csv" for i in range(4)]
     df = IO.read_result_files(spark, paths)
-    fno = F.regexp_extract(F.col("source_file"), r"results_([0-9]+)/", 1).cast("int")
+    fno = F.regexp_extract(F.col("source_file"), r"results_([0-9]+)/", 1).cast("long")
     return df.groupBy(fno.alias("file_no")).agg(F.count(F.lit(1)).alias("n"),
                                                F.count_distinct("seed").alias("n_seeds"))
 

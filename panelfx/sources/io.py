@@ -36,7 +36,7 @@ def read_yearly(spark: SparkSession, template: str, years: Sequence[int], encodi
         df = (spark.read.option("header", True).option("encoding", encoding)
               .option("inferSchema", False).csv(path))
         if "year" not in df.columns:
-            df = df.withColumn("year", F.lit(int(y)))
+            df = df.withColumn("year", F.lit(int(y)).cast("long"))
         frames.append(df)
     return union_by_name(frames) if frames else None
 
