@@ -673,3 +673,28 @@ def q_gbt(spark, sf_dir):
     d = fit_predict(d, "y", feats, "gbt", train="t = 0", by=["period"], out="mu0", **params)
     d = d.withColumn("ps", X.clip_propensity("ps"))
     return rounded(E.aipw_effect(d, "t", "y", by=["period"]).select("period", *EST), EFF)
+
+
+# ------------------------------------------------------- linear learner
+_LIN_SQL = """
+bl as (select *, cast(region as double) x from base),
+c1 as (select year, regr_intercept(t, x) a_t, regr_slope(t, x) b_t from bl group by year),
+c2 as (select year, regr_intercept(y, x) a_1, regr_slope(y, x) b_1 from bl where t = 1 group by year),
+c3 as (select year, regr_intercept(y, x) a_0, regr_slope(y, x) b_0 from bl where t = 0 group by year),
+sc as (select bl.*, least(greatest(a_t + b_t * x, 0.01), 0.99) ps, a_1 + b_1 * x mu1, a_0 + b_0 * x mu0
+       from bl join c1 using (year) join c2 using (year) join c3 using (year)),""" + _aipw_sql("sc", ["year"])
+
+
+@register("aipw_linear", O(_est_cols("year"), _LIN_SQL))
+def q_aipw_linear(spark, sf_dir):
+    """#83/#84 with the ``linear`` learner: linear-probability propensity and
+    per-arm least-squares outcome models (one regressor) per year, fitted
+    for all years in one grouped aggregation each; clipped ps; AIPW."""
+    from ..functions.expr import clip_propensity
+    from ..operators.learners import fit_predict
+    d = order_panel(spark, sf_dir).withColumn("x", F.col("region").cast("double"))
+    d = fit_predict(d, "t", ["x"], "linear", by=["year"], out="ps_raw")
+    d = fit_predict(d, "y", ["x"], "linear", train="t = 1", by=["year"], out="mu1")
+    d = fit_predict(d, "y", ["x"], "linear", train="t = 0", by=["year"], out="mu0")
+    d = d.withColumn("ps", clip_propensity("ps_raw"))
+    return rounded(E.aipw_effect(d, "t", "y", by=["year"]).select("year", *EST), EFF)

@@ -139,3 +139,27 @@ def test_jacobi_schedule_keeps_observed_cells(spark):
         assert j.where(F.col(f"o_{c}").isNotNull() & (F.col(c) != F.col(f"o_{c}"))).count() == 0
         assert j.where(F.col(c).isNull()).count() == 0
     assert imp.count() == 2 * d.count()
+
+
+def test_hot_cell_third_of_rows(spark):
+    """One cell holds a third of all rows: the one-scan moment plan (partial
+    aggregation, no per-cell task) still equals the row-level plan."""
+    d = order_panel(spark, MEDIUM)
+    hot = F.col("id") % 3 == 0
+    d = d.withColumn("segment", F.when(hot, F.lit("HOT")).otherwise(F.col("segment"))) \
+         .withColumn("region", F.when(hot, F.lit(0)).otherwise(F.col("region")))
+    a = E.cell_aipw(d, "t", "y", ["segment", "region"], by=["year"]).orderBy("year").collect()
+    b = E.cell_aipw_rows(d, "t", "y", ["segment", "region"], by=["year"]).orderBy("year").collect()
+    for x, y in zip(a, b):
+        assert x["n"] == y["n"] and x["ate"] == pytest.approx(y["ate"], abs=1e-12)
+        assert x["se"] == pytest.approx(y["se"], rel=1e-9)
+
+
+def test_linear_learner_matches_numpy(spark):
+    from panelfx.operators.learners import fit_predict
+    d = order_panel(spark, SMALL).withColumn("x", F.col("region").cast("double"))
+    p = fit_predict(d, "y", ["x"], "linear", train="t = 1", by=["year"], out="mu1").where("year = 1995")
+    pdf = p.select("x", "y", "t", "mu1").toPandas()
+    tr = pdf[pdf.t == 1]
+    b = np.polyfit(tr.x, tr.y, 1)
+    assert np.allclose(pdf.mu1, b[1] + b[0] * pdf.x, atol=1e-9)
