@@ -21,6 +21,7 @@ from .impute import impute_chained, impute_mean
 from .learners import cell_nuisances, join_on_keys
 from .profile import value_counts_top_k
 from .resample import bootstrap_replicates, crossfit_cell_aipw
+from ..session import cut_lineage
 
 
 def effect_by_period(df: DataFrame, t: str, y: str, cells: Sequence[str], year: str = "year",
@@ -147,7 +148,8 @@ def effect_matched_strata(df: DataFrame, t: str, y: str, xs: Sequence[str], by:
     (ATT); se from a Poisson bootstrap (#93b) over the same strata."""
     by = list(by)
     d = complete_cases(df, xs, min_rows, by, min_per_arm, t)
-    d = coarsen(d, xs, n_bins, by)
+    # The binned table feeds the point estimate and the bootstrap: build it once.
+    d = cut_lineage(coarsen(d, xs, n_bins, by))
     strata = [f"{x}_bin" for x in xs]
     est = _strata_diff(d, t, y, by, strata, weight, None)
     if B:
@@ -180,14 +182,14 @@ def effect_complete_case(df: DataFrame, t: str, y: str, xs: Sequence[str], key:
     """#92b: complete cases, then cross-fitted AIPW with cell nuisances over
     the coarsened covariates."""
     d = complete_cases(df, xs, 100, by)
-    d = coarsen(d, xs, n_bins, by)
+    d = cut_lineage(coarsen(d, xs, n_bins, by))
     return crossfit_cell_aipw(d, t, y, [f"{x}_bin" for x in xs], key, by, k, seed)
 
 
 def effect_single_imputation(df: DataFrame, t: str, y: str, xs: Sequence[str], key: Sequence[str],
                              by: Sequence[str] = (), n_bins: int = 5, k: int = 5, seed: int = 42) -> DataFrame:
     """#92c: mean imputation, then the same cross-fitted AIPW."""
-    d = coarsen(impute_mean(df, xs, by), xs, n_bins, by)
+    d = cut_lineage(coarsen(impute_mean(df, xs, by), xs, n_bins, by))
     return crossfit_cell_aipw(d, t, y, [f"{x}_bin" for x in xs], key, by, k, seed)
 
 
