@@ -125,3 +125,50 @@ def fit_predict(df: DataFrame, target: str, features: Sequence[str], learner: st
         return ml_fit_predict(df, target, features, learner, train=train, by=by, out=out,
                               classify=classify, seed=seed, **params)
     raise ValueError(f"unknown learner {learner!r}")
+
+
+def linear_nuisances(df: DataFrame, t: str, y: str, xs: Sequence[str], by: Sequence[str] = (),
+                     clip: tuple[float, float] | None = (0.01, 0.99)) -> DataFrame:
+    """``linear`` learner for all three nuisances at once: linear-probability
+    propensity (all rows) and least-squares outcome models on the treated
+    and the control rows.  The three designs' cross-product sums come from
+    one grouped aggregation (arm membership as a 0/1 weight), the small sums
+    table is checkpointed and solved per (group, model), and the
+    coefficients join back once.  Returns ``df`` + ps, mu1, mu0."""
+    from .frame import all_present
+    from .gram import solve
+    by, xs = list(by), list(xs)
+    T = F.col(t).cast("double")
+    z = [F.lit(1.0)] + [F.col(x).cast("double") for x in xs]
+    q = len(z)
+    models = {"ps": (T, F.lit(1.0)), "mu1": (F.col(y), F.when(T == 1, 1.0).otherwise(0.0)),
+              "mu0": (F.col(y), F.when(T == 0, 1.0).otherwise(0.0))}
+    aggs = []
+    for name, (target, w) in models.items():
+        aggs.append(F.sum(w).alias(f"{name}_n"))
+        for i in range(q):
+            for j in range(i, q):
+                aggs.append(F.sum(w * z[i] * z[j]).alias(f"{name}_a_{i}_{j}"))
+            aggs.append(F.sum(w * z[i] * target).alias(f"{name}_b_{i}"))
+        aggs.append(F.sum(w * target * target).alias(f"{name}_yy"))
+    g = cut_lineage(df.where(all_present([t, y, *xs])).groupBy(*by).agg(*aggs))
+    parts = []
+    for name in models:
+        full = [F.col(f"{name}_a_{min(i, j)}_{max(i, j)}") for i in range(q) for j in range(q)]
+        parts.append(g.select(*by, F.lit(name).alias("_model"), F.col(f"{name}_n").alias("n"),
+                              F.array(*full).alias("xtx"),
+                              F.array(*[F.col(f"{name}_b_{i}") for i in range(q)]).alias("xty"),
+                              F.col(f"{name}_yy").alias("yty")))
+    stacked = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    coefs = solve(stacked, by + ["_model"])
+    wide = coefs.groupBy(*by).pivot("_model", list(models)).agg(F.first("coef"))
+    out = join_on_keys(df, wide.select(*by, *[F.col(m).alias(f"_c_{m}") for m in models]), by, "left")
+    preds = {}
+    for m in models:
+        e = F.col(f"_c_{m}").getItem(0)
+        for i, x in enumerate(xs):
+            e = e + F.col(f"_c_{m}").getItem(i + 1) * F.col(x)
+        preds[m] = e
+    if clip:
+        preds["ps"] = clip_propensity(preds["ps"], *clip)
+    return out.withColumns(preds).drop(*[f"_c_{m}" for m in models])

@@ -520,18 +520,19 @@ def q_impute_mean(spark, sf_dir):
     return d.agg(*[x for c in _IMP_COLS for x in (F.round(F.avg(c), 4).alias(c), F.count(c).alias(f"n_{c}"))])
 
 
-_DROP_COLS = ["hs_raw", "total_debt", "direct_export_amount", "rd_employees_total"]
+_DROP_COLS = ["negative_revenue", "total_debt", "direct_export_amount", "rd_employees_total"]
 
 
 @register("drop_all_missing_columns", S.with_panel(CLEAN_SQL.strip() + """,
-sub as (select has_subsidiaries hs_raw, total_debt, direct_export_amount, rd_employees_total from clean
-        where firm_id % 11 = 0)""", " union all ".join(
+sub as (select case when revenue < 0 then revenue end negative_revenue, total_debt, direct_export_amount,
+          rd_employees_total from clean)""", " union all ".join(
     f"select '{c}' variable, (count({c}) = 0)::int dropped, count({c})::bigint n_present from sub" for c in _DROP_COLS)))
 def q_drop_all_missing(spark, sf_dir):
-    """#73: on the rows of firms whose Y/N answer is never given, that column
-    holds no value and leaves the table."""
-    sub = clean_firm_panel(spark, sf_dir).where(F.col("firm_id") % 11 == 0).select(
-        F.col("has_subsidiaries").alias("hs_raw"), "total_debt", "direct_export_amount", "rd_employees_total")
+    """#73 over the whole table: a derived column that never holds a value
+    (revenue below zero) leaves the table, partly missing columns stay."""
+    sub = clean_firm_panel(spark, sf_dir).select(
+        F.when(F.col("revenue") < 0, F.col("revenue")).alias("negative_revenue"), "total_debt",
+        "direct_export_amount", "rd_employees_total")
     kept, dropped = IM.drop_all_missing_columns(sub, _DROP_COLS)
     one = sub.agg(*[F.count(c).alias(c) for c in _DROP_COLS])
     structs = [F.struct(F.lit(c).alias("variable"), F.lit(int(c in dropped)).alias("dropped"),
@@ -688,13 +689,9 @@ sc as (select bl.*, least(greatest(a_t + b_t * x, 0.01), 0.99) ps, a_1 + b_1 * x
 @register("aipw_linear", O(_est_cols("year"), _LIN_SQL))
 def q_aipw_linear(spark, sf_dir):
     """#83/#84 with the ``linear`` learner: linear-probability propensity and
-    per-arm least-squares outcome models (one regressor) per year, fitted
-    for all years in one grouped aggregation each; clipped ps; AIPW."""
-    from ..functions.expr import clip_propensity
-    from ..operators.learners import fit_predict
+    per-arm least-squares outcome models (one regressor) per year: all
+    three designs and all years from one grouped aggregation; clipped ps."""
+    from ..operators.learners import linear_nuisances
     d = order_panel(spark, sf_dir).withColumn("x", F.col("region").cast("double"))
-    d = fit_predict(d, "t", ["x"], "linear", by=["year"], out="ps_raw")
-    d = fit_predict(d, "y", ["x"], "linear", train="t = 1", by=["year"], out="mu1")
-    d = fit_predict(d, "y", ["x"], "linear", train="t = 0", by=["year"], out="mu0")
-    d = d.withColumn("ps", clip_propensity("ps_raw"))
+    d = linear_nuisances(d, "t", "y", ["x"], by=["year"])
     return rounded(E.aipw_effect(d, "t", "y", by=["year"]).select("year", *EST), EFF)
