@@ -69,6 +69,37 @@ def aipw_influence(df: DataFrame, t: str = "t", y: str = "y", ps: str = "ps", mu
     return joined.withColumn("influence", F.col("psi") - F.col("_ate")).drop("_ate")
 
 
+def affine_score_stats(tab: DataFrame, by: Sequence[str], ddof: int = 0, min_rows: int = 0) -> DataFrame:
+    """Mean and standard error of a per-row score that is affine in Y within
+    each row of ``tab``: score = alpha_a + beta_a Y for arm a.  ``tab`` holds
+    per (group, cell[, fold]) the arm moments n{a}, ybar{a}, m2_{a} and the
+    coefficients alpha{a}, beta{a}.  Sum and squared deviations of the score
+    follow exactly (parallel variance formula), so rows are never revisited."""
+    by = list(by)
+    arms = tab.select(*by, F.col("n1"), F.col("n0"),
+                      F.when(F.col("n1") > 0, F.col("alpha1") + F.col("beta1") * F.col("ybar1")).alias("p1"),
+                      F.when(F.col("n0") > 0, F.col("alpha0") + F.col("beta0") * F.col("ybar0")).alias("p0"),
+                      (F.col("beta1") * F.col("beta1") * F.coalesce(F.col("m2_1"), F.lit(0.0))).alias("w1"),
+                      (F.col("beta0") * F.col("beta0") * F.coalesce(F.col("m2_0"), F.lit(0.0))).alias("w0"))
+    grp = arms.groupBy(*by).agg(
+        (F.sum("n1") + F.sum("n0")).alias("n"), F.sum("n1").alias("n_treated"),
+        F.try_divide(F.sum(F.coalesce(F.col("n1") * F.col("p1"), F.lit(0.0)))
+                     + F.sum(F.coalesce(F.col("n0") * F.col("p0"), F.lit(0.0))),
+                     F.sum("n1") + F.sum("n0")).alias("ate"))
+    if min_rows:
+        grp = grp.where(F.col("n") >= min_rows)
+    both = join_on_keys(arms, grp, by, "inner")
+    dev = both.groupBy(*by).agg(
+        (F.sum(F.col("w1") + F.col("w0")
+               + F.coalesce(F.col("n1") * (F.col("p1") - F.col("ate")) ** 2, F.lit(0.0))
+               + F.coalesce(F.col("n0") * (F.col("p0") - F.col("ate")) ** 2, F.lit(0.0)))).alias("_ss"))
+    res = join_on_keys(grp, dev, by, "inner")
+    var = F.try_divide(F.col("_ss"), F.col("n") - F.lit(ddof))
+    res = (res.withColumn("se", F.try_divide(F.sqrt(var), F.sqrt(F.col("n")))).drop("_ss")
+           .withColumn("treated_pct", F.try_divide(F.lit(100.0) * F.col("n_treated"), F.col("n"))))
+    return res
+
+
 def cell_aipw(df: DataFrame, t: str, y: str, cells: Sequence[str], by: Sequence[str] = (),
               clip: tuple[float, float] | None = (0.01, 0.99), min_rows: int = 0,
               min_train: int = 0) -> DataFrame:
@@ -78,8 +109,8 @@ def cell_aipw(df: DataFrame, t: str, y: str, cells: Sequence[str], by: Sequence[
     (cell, arm): psi = alpha + beta Y.  Sum and sum of squared deviations of
     psi per group follow from the per-arm count, mean and M2 of Y, so the
     rows are read once (the per-cell table is checkpointed, all later steps
-    read that small table) and never joined back.  Equal to ``aipw_effect`` after
-    ``cell_nuisances`` up to float rounding.
+    read that small table) and never joined back.  Equal to ``aipw_effect``
+    after ``cell_nuisances`` up to float rounding.
     """
     by, cells = list(by), list(cells)
     # The moments table (one row per cell) feeds several small aggregations
@@ -87,28 +118,45 @@ def cell_aipw(df: DataFrame, t: str, y: str, cells: Sequence[str], by: Sequence[
     cell = cut_lineage(cell_moments(df, t, y, cells, by))
     tab = _cell_predictions(cell, by, cells, clip, min_train)
     ps, mu1, mu0 = F.col("ps"), F.col("mu1"), F.col("mu0")
-    beta1, alpha1 = F.try_divide(F.lit(1.0), ps), mu1 - F.try_divide(mu1, ps) - mu0
-    beta0, alpha0 = F.try_divide(F.lit(-1.0), F.lit(1.0) - ps), mu1 + F.try_divide(mu0, F.lit(1.0) - ps) - mu0
-    arms = tab.select(*by, F.col("n1"), F.col("n0"),
-                      F.when(F.col("n1") > 0, alpha1 + beta1 * F.col("ybar1")).alias("p1"),
-                      F.when(F.col("n0") > 0, alpha0 + beta0 * F.col("ybar0")).alias("p0"),
-                      (beta1 * beta1 * F.coalesce(F.col("m2_1"), F.lit(0.0))).alias("w1"),
-                      (beta0 * beta0 * F.coalesce(F.col("m2_0"), F.lit(0.0))).alias("w0"))
-    grp = arms.groupBy(*by).agg(
-        (F.sum("n1") + F.sum("n0")).alias("n"), F.sum("n1").alias("n_treated"),
-        F.try_divide(F.sum(F.coalesce(F.col("n1") * F.col("p1"), F.lit(0.0)))
-                     + F.sum(F.coalesce(F.col("n0") * F.col("p0"), F.lit(0.0))),
-                     F.sum("n1") + F.sum("n0")).alias("ate"))
-    if min_rows:
-        grp = grp.where(F.col("n") >= min_rows)
-    both = join_on_keys(arms, grp, by, "inner")
-    dev = both.groupBy(*by).agg(
-        (F.sum(F.col("w1") + F.col("w0")
-               + F.coalesce(F.col("n1") * (F.col("p1") - F.col("ate")) ** 2, F.lit(0.0))
-               + F.coalesce(F.col("n0") * (F.col("p0") - F.col("ate")) ** 2, F.lit(0.0)))).alias("_ss"))
-    res = join_on_keys(grp, dev, by, "inner")
-    res = (res.withColumn("se", F.try_divide(F.sqrt(F.try_divide(F.col("_ss"), F.col("n"))), F.sqrt(F.col("n"))))
-           .drop("_ss").withColumn("treated_pct", F.try_divide(F.lit(100.0) * F.col("n_treated"), F.col("n"))))
+    tab = tab.withColumns({
+        "beta1": F.try_divide(F.lit(1.0), ps), "alpha1": mu1 - F.try_divide(mu1, ps) - mu0,
+        "beta0": F.try_divide(F.lit(-1.0), F.lit(1.0) - ps),
+        "alpha0": mu1 + F.try_divide(mu0, F.lit(1.0) - ps) - mu0})
+    return finish_estimate(affine_score_stats(tab, by, 0, min_rows), by)
+
+
+def cell_tmle(df: DataFrame, t: str, y: str, cells: Sequence[str], by: Sequence[str] = (),
+              clip: tuple[float, float] | None = (0.01, 0.99)) -> DataFrame:
+    """#90 with cell-mean nuisances in one scan.  Nuisances come unclipped
+    from the cell moments, g is clipped for targeting.  eps per group is a
+    ratio of cell sums (sum H (Y - Q) = n1 (ybar1 - mu1)/g - n0 (ybar0 - mu0)/(1-g),
+    sum H^2 = n1/g^2 + n0/(1-g)^2); the targeted score is again affine in Y
+    per (cell, arm).  Equal to ``tmle_effect`` on the row plan."""
+    by, cells = list(by), list(cells)
+    cell = cut_lineage(cell_moments(df, t, y, cells, by))
+    tab = _cell_predictions(cell, by, cells, None, 0)
+    g = clip_propensity("ps", *clip) if clip else F.col("ps")
+    tab = tab.withColumn("_g", g)
+    n1 = F.col("n1").cast("double")
+    n0 = F.col("n0").cast("double")
+    num = (F.coalesce(n1 * (F.col("ybar1") - F.col("mu1")), F.lit(0.0)) / F.col("_g")
+           - F.coalesce(n0 * (F.col("ybar0") - F.col("mu0")), F.lit(0.0)) / (F.lit(1.0) - F.col("_g")))
+    den = n1 / (F.col("_g") * F.col("_g")) + n0 / ((F.lit(1.0) - F.col("_g")) ** 2)
+    eps = tab.groupBy(*by).agg(F.try_divide(F.sum(num), F.sum(den)).alias("epsilon"))
+    tab = join_on_keys(tab, eps, by, "inner")
+    m1s = F.col("mu1") + F.col("epsilon") / F.col("_g")
+    m0s = F.col("mu0") - F.col("epsilon") / (F.lit(1.0) - F.col("_g"))
+    tab = tab.withColumn("_m1s", m1s).withColumn("_m0s", m0s)
+    tab = tab.withColumns({
+        "beta1": F.lit(1.0) / F.col("_g"), "alpha1": F.col("_m1s") - F.col("_m1s") / F.col("_g") - F.col("_m0s"),
+        "beta0": F.lit(-1.0) / (F.lit(1.0) - F.col("_g")),
+        "alpha0": F.col("_m1s") + F.col("_m0s") / (F.lit(1.0) - F.col("_g")) - F.col("_m0s")})
+    stats = affine_score_stats(tab, by)
+    # The estimate is the mean of mu1* - mu0* (cell-size weighted), which
+    # differs from the mean score by the targeted residual term.
+    est = tab.groupBy(*by).agg(F.try_divide(F.sum((n1 + n0) * (F.col("_m1s") - F.col("_m0s"))),
+                                            F.sum(n1 + n0)).alias("_ate"), F.first("epsilon").alias("epsilon"))
+    res = join_on_keys(stats, est, by, "inner").withColumn("ate", F.col("_ate")).drop("_ate")
     return finish_estimate(res, by)
 
 

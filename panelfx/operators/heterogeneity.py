@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import period_label
 from .bins import coarsen, quantile_bucket
-from .effects import cell_aipw, finish_estimate, pool_rubin, tmle_effect
+from .effects import cell_aipw, cell_tmle, finish_estimate, pool_rubin, tmle_effect
 from .frame import all_present, complete_cases, group_size_gate
 from .gram import gram_sums, solve
 from .impute import impute_chained, impute_mean
@@ -92,7 +92,13 @@ def quantile_bucket_all(df: DataFrame, t: str, dose: str, q: int, labels) -> Dat
 def tmle_cell(df: DataFrame, t: str, y: str, cells: Sequence[str], by: Sequence[str] = (),
               clip=(0.01, 0.99)) -> DataFrame:
     """#90 with cell-mean nuisances (unclipped propensity in the nuisance
-    step, clipped inside the targeting step)."""
+    step, clipped inside the targeting step), one scan (``effects.cell_tmle``)."""
+    return cell_tmle(df, t, y, cells, by, clip)
+
+
+def tmle_cell_rows(df: DataFrame, t: str, y: str, cells: Sequence[str], by: Sequence[str] = (),
+                   clip=(0.01, 0.99)) -> DataFrame:
+    """Row-level plan of the same estimate (nuisances joined back, two passes)."""
     scored = cell_nuisances(df, t, y, cells, by, clip=None)
     return tmle_effect(scored, t, y, "ps", "mu1", "mu0", by, clip)
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import hash_int, hash_uniform
-from .effects import cell_aipw, finish_estimate
+from .effects import affine_score_stats, cell_aipw, finish_estimate
 from .learners import join_on_keys
 from ..session import cut_lineage
 from .frame import with_one_row
@@ -151,13 +151,20 @@ def crossfit_cell_aipw(df: DataFrame, t: str, y: str, cells: Sequence[str], key:
     fold f the nuisances come from the other folds (cell sums of all folds
     minus those of fold f, so one aggregation serves every fold).  An arm
     with at most ``min_arm`` training rows falls back to its training mean
-    (0 when empty).  ate = mean score, se = sqrt(var_samp / n)."""
+    (0 when empty).  ate = mean score, se = sqrt(var_samp / n).  The score
+    is affine in Y within (fold, cell, arm), so its mean and sample variance
+    come from that same aggregation: the rows are read once, never joined
+    back."""
     by, cells = list(by), list(cells)
     T, Y = F.col(t).cast("double"), F.col(y)
     d = fold_assign(df, k, seed, key, "_fold")
     zero = F.lit(0.0)
-    sums = [F.count(F.lit(1)).alias("c"), F.sum(T).alias("n1"), F.coalesce(F.sum(F.when(T == 1, Y)), zero).alias("s1"),
-            F.coalesce(F.sum(F.when(T == 0, Y)), zero).alias("s0")]
+    y1, y0 = F.when(T == 1, Y), F.when(T == 0, Y)
+    sums = [F.count(F.lit(1)).alias("c"), F.sum(T).alias("n1"), F.coalesce(F.sum(y1), zero).alias("s1"),
+            F.coalesce(F.sum(y0), zero).alias("s0"),
+            # test-fold moments per arm (the score is affine in Y per arm)
+            F.avg(y1).alias("ybar1"), (F.var_pop(y1) * F.count(y1)).alias("m2_1"),
+            F.avg(y0).alias("ybar0"), (F.var_pop(y0) * F.count(y0)).alias("m2_0")]
     # One row per (group, fold, cell): checkpointed, it feeds four small
     # aggregations without rescanning the input.
     cf = cut_lineage(d.groupBy(*by, "_fold", *cells).agg(*sums))
@@ -181,17 +188,19 @@ def crossfit_cell_aipw(df: DataFrame, t: str, y: str, cells: Sequence[str], key:
     c_mu0 = F.when(n0c > 0, F.coalesce(tr("s0"), F.lit(0.0)) / n0c).otherwise(g_mu0)
     ps_raw = F.when(tr("c") > 0, tr("n1") / tr("c")).otherwise(F.when(gtr("c") > 0, gtr("n1") / gtr("c")))
     ps = F.least(F.greatest(ps_raw, F.lit(clip[0])), F.lit(clip[1])) if clip else ps_raw
-    nuis = tab.select(*by, "_fold", *cells, ps.alias("ps"),
-                      F.when(N1 > min_arm, c_mu1).otherwise(g_mu1).alias("mu1"),
-                      F.when(N0 > min_arm, c_mu0).otherwise(g_mu0).alias("mu0"))
-    scored = join_on_keys(d, nuis, by + ["_fold"] + cells, "left")
-    psi = (F.col("mu1") - F.col("mu0") + T / F.col("ps") * (Y - F.col("mu1"))
-           - (F.lit(1.0) - T) / (F.lit(1.0) - F.col("ps")) * (Y - F.col("mu0")))
-    res = scored.withColumn("_psi", psi).groupBy(*by).agg(
-        F.count("_psi").alias("n"), F.sum(T.cast("long")).alias("n_treated"), F.avg("_psi").alias("ate"),
-        F.sqrt(F.var_samp("_psi") / F.count("_psi")).alias("se"))
-    res = res.withColumn("treated_pct", F.lit(100.0) * F.col("n_treated") / F.col("n"))
-    return finish_estimate(res, by)
+    mu1 = F.when(N1 > min_arm, c_mu1).otherwise(g_mu1)
+    mu0 = F.when(N0 > min_arm, c_mu0).otherwise(g_mu0)
+    nuis = tab.select(*by, "_fold", *cells, F.col("n1").cast("long").alias("n1"),
+                      (F.col("c") - F.col("n1")).cast("long").alias("n0"), "ybar1", "m2_1", "ybar0", "m2_0",
+                      ps.alias("ps"), mu1.alias("mu1"), mu0.alias("mu0"))
+    # psi = mu1 - mu0 + T/ps (Y - mu1) - (1-T)/(1-ps) (Y - mu0): affine in Y
+    # per (fold, cell, arm); mean and sample variance from the moments.
+    p_, m1, m0 = F.col("ps"), F.col("mu1"), F.col("mu0")
+    nuis = nuis.withColumns({
+        "beta1": F.try_divide(F.lit(1.0), p_), "alpha1": m1 - m0 - F.try_divide(m1, p_),
+        "beta0": F.try_divide(F.lit(-1.0), F.lit(1.0) - p_),
+        "alpha0": m1 - m0 + F.try_divide(m0, F.lit(1.0) - p_)}).where(p_.isNotNull())
+    return finish_estimate(affine_score_stats(nuis, by, ddof=1), by)
 
 
 # -------------------------------------------------------------- bootstrap

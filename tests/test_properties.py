@@ -46,9 +46,19 @@ def test_planted_effect_shifts_estimate(spark):
     assert moved - base == pytest.approx(0.1, abs=1e-9)
 
 
+def test_tmle_moment_plan_equals_row_plan(spark):
+    d = order_panel(spark, MEDIUM)
+    a = HT.tmle_cell(d, "t", "y", ["segment", "region"], by=["year"]).orderBy("year").collect()
+    b = HT.tmle_cell_rows(d, "t", "y", ["segment", "region"], by=["year"]).orderBy("year").collect()
+    for x, y in zip(a, b):
+        assert x["n"] == y["n"] and x["ate"] == pytest.approx(y["ate"], abs=1e-12)
+        assert x["epsilon"] == pytest.approx(y["epsilon"], abs=1e-12)
+        assert x["se"] == pytest.approx(y["se"], rel=1e-9)
+
+
 def test_tmle_with_cell_nuisances_equals_aipw(spark):
     d = order_panel(spark, MEDIUM)
-    t = HT.tmle_cell(d, "t", "y", ["segment", "region"], clip=None).first()
+    t = HT.tmle_cell_rows(d, "t", "y", ["segment", "region"], clip=None).first()
     a = E.cell_aipw(d, "t", "y", ["segment", "region"], clip=None).first()
     assert abs(t["epsilon"]) < 1e-10
     assert abs(t["score_sum"]) < 1e-6
