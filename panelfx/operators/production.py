@@ -25,6 +25,7 @@ from ..functions import expr as X
 from .frame import all_present, column_or_fallback
 from .gram import ols, predict
 from .learners import join_on_keys
+from ..session import cut_lineage
 
 
 def log_inputs(df: DataFrame, output: str = "revenue", capital: Sequence[str] = ("capital", "assets"),
@@ -95,7 +96,7 @@ def productivity_stage2(df: DataFrame, by: Sequence[str] = (), lo: float = 0.01,
     r = F.col("y") - F.col("beta_l") * F.col("l") - F.col("phi_hat")
     est = df.where(ok).groupBy(*by).agg(F.sum(F.col("k") * r).alias("skr"), F.sum(F.col("k") * F.col("k")).alias("skk"),
                                         F.max("beta_l").alias("_bl"))
-    raw = F.col("skr") / F.col("skk")
+    raw = F.try_divide(F.col("skr"), F.col("skk"))
     est = est.select(*by, raw.alias("beta_k_unbounded"), F.least(F.greatest(raw, F.lit(lo)), F.lit(hi)).alias("beta_k"),
                      "_bl")
     est = est.withColumn("at_bound", (F.col("beta_k") <= lo) | (F.col("beta_k") >= hi))
@@ -105,9 +106,18 @@ def productivity_stage2(df: DataFrame, by: Sequence[str] = (), lo: float = 0.01,
 
 
 def add_outcomes(df: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Full chain: log inputs, stage 1, stage 2, fixed-share outcome."""
-    d = log_inputs(df)
+    """Full chain: log inputs, stage 1, stage 2, fixed-share outcome.
+
+    The chain creates columns y, k, l, m (intermediate inputs): key the
+    imputations by another name than ``m`` when grouping by them."""
+    if "m" in by:
+        raise ValueError("the production chain writes column 'm'; name the imputation key differently")
+    # The inputs feed the scaling statistics, the normal equations and the
+    # fitted values; the stage-1 rows feed the stage-2 sums and the final
+    # rows.  Both are materialised once instead of being rebuilt each time.
+    d = cut_lineage(log_inputs(df))
     d, beta = productivity_stage1(d, by)
+    d = cut_lineage(d)
     d, est = productivity_stage2(d, by)
     d = d.withColumn("tfp_simple", X.fixed_share_outcome("y", "k", "l"))
     return d, join_on_keys(beta, est, list(by), "inner")

@@ -104,3 +104,24 @@ def q_selected_variables(spark, sf_dir):
     listed = IO.read_selected_variables(spark, root) or fa.columns
     cols = [c for c in fa.columns if c in set(listed)]
     return fa.agg(*[F.count(c).alias(c) for c in cols])
+
+
+@register("outcome_tables_roundtrip")
+def q_outcome_tables(spark, sf_dir):
+    """#8 (rows-only): production outcomes estimated per imputation m (stage 1
+    and 2 grouped by m), written partitioned by m with a CSV of the first
+    imputation, read back."""
+    from ..operators import production as PD
+    from .firm import clean_firm_panel
+    root = scratch(spark, "outcomes")
+    stacked = IM.stack_imputations(IM.impute_mean(clean_firm_panel(spark, sf_dir), ["total_debt"]), 2, m_col="imp")
+    rows, est = PD.add_outcomes(stacked, by=["imp"])
+    IO.write_outcome_tables(rows.select("firm_id", "year", "imp", "y", "k", "l", "m_total", "phi_hat", "beta_l",
+                                        "tfp_lp", "tfp_simple"), f"{root}/parquet", m_col="imp",
+                            first_csv=f"{root}/first_csv")
+    back = spark.read.parquet(f"{root}/parquet")
+    n_csv = spark.read.option("header", True).csv(f"{root}/first_csv").count()
+    per_m = back.groupBy("imp").agg(F.count(F.lit(1)).alias("rows"),
+                                    F.round(F.avg("tfp_lp"), 4).alias("tfp_lp_mean"),
+                                    F.round(F.avg("tfp_simple"), 4).alias("tfp_simple_mean"))
+    return per_m.join(est.select("imp", "beta_k", "at_bound"), "imp").withColumn("first_csv_rows", F.lit(n_csv))
