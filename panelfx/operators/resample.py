@@ -53,15 +53,16 @@ def bucket_rank(df: DataFrame, part: Sequence[str], order: Sequence[Column | str
     is deterministic, so recomputation gives the same ranks and no part is
     ever gathered into one task."""
     part = list(part)
-    d = df.withColumn("_bk", bucket)
-    counts = d.groupBy(*part, "_bk").agg(F.count(F.lit(1)).alias("_c"))
+    # One shuffle by (part, bucket) serves both the in-bucket positions and
+    # the bucket sizes (the count aggregation reads the same exchange).
+    lw = Window.partitionBy(*part, "_bk").orderBy(*order)
+    d = df.withColumn("_bk", bucket).withColumn("_lr", F.row_number().over(lw))
+    counts = d.groupBy(*part, "_bk").agg(F.max("_lr").alias("_c"))
     w = Window.partitionBy(*part).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1) if part else \
         Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     # ``counts`` holds (parts x buckets) rows: the window runs over that
     # small table, not over the data.
     offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")
-    lw = Window.partitionBy(*part, "_bk").orderBy(*order)
-    d = d.withColumn("_lr", F.row_number().over(lw))
     ranked = join_on_keys(d, offs, [*part, "_bk"], "inner")
     return ranked.withColumn(out, F.col("_off") + F.col("_lr")).drop("_bk", "_off", "_lr")
 
