@@ -219,16 +219,19 @@ def qcut_label(x: ColumnOrName, edges: Column, n_edges: int,
     return out
 
 
-def hash_uniform(*parts: ColumnOrName) -> Column:
-    """Deterministic U(0,1) draw from md5 of the parts joined by ':'.
-
-    The first 8 hex digits give a 32-bit integer; the same text gives the same
-    value in every engine, so draws are stable on recompute (unlike rand()).
-    """
+def hash_int(*parts: ColumnOrName, method: str = "md5") -> Column:
+    """Deterministic 32-bit integer of the parts.
+
+    ``md5``: first 8 hex digits of md5 of the parts joined by ':' (the same
+    integer in every engine, which the SQL oracles rely on).  ``xxhash``:
+    xxhash64 of the parts modulo 2^32 (much cheaper, Spark-only)."""
+    if method == "xxhash":
+        return F.pmod(F.xxhash64(*[_c(p) for p in parts]), F.lit(2 ** 32).cast("long"))
     text = F.concat_ws(":", *[_c(p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def hash_int(*parts: ColumnOrName) -> Column:
-    text = F.concat_ws(":", *[_c(p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+def hash_uniform(*parts: ColumnOrName, method: str = "md5") -> Column:
+    """Deterministic U[0,1) draw from ``hash_int``; stable on recompute
+    (unlike rand())."""
+    return hash_int(*parts, method=method).cast("double") / F.lit(4294967296.0)

@@ -86,7 +86,7 @@ def replicate(df: DataFrame, R: int, r_col: str = "r") -> DataFrame:
 
 
 def permute_within_replicates(df: DataFrame, moved: Sequence[str], key: Sequence[str], R: int, seed: int,
-                              r_col: str = "r") -> DataFrame:
+                              r_col: str = "r", hash_method: str = "md5") -> DataFrame:
     """R copies of ``df``; in copy r the ``moved`` columns are permuted across
     rows: the row with base rank j (by md5("k":key)) takes the values of the
     row with replicate rank j (by md5(seed:r:key)).  Row count and the
@@ -95,10 +95,10 @@ def permute_within_replicates(df: DataFrame, moved: Sequence[str], key: Sequence
     moved = list(moved)
     stay = [c for c in df.columns if c not in moved]
     nb = n_buckets_for(df)
-    base = df.withColumn("_hk", hash_int(F.lit("k"), *[F.col(c) for c in key]))
+    base = df.withColumn("_hk", hash_int(F.lit("k"), *[F.col(c) for c in key], method=hash_method))
     base = hash_rank(base, [], "_hk", key, "_krank", nb).drop("_hk")
     src = replicate(df.select(*key, *moved), R, r_col)
-    src = src.withColumn("_h", hash_int(F.lit(seed), F.col(r_col), *[F.col(c) for c in key]))
+    src = src.withColumn("_h", hash_int(F.lit(seed), F.col(r_col), *[F.col(c) for c in key], method=hash_method))
     src = hash_rank(src, [r_col], "_h", key, "_hrank", nb).select(r_col, F.col("_hrank").alias("_krank"), *moved)
     # Join on the base rank alone: the base rows (N, all columns) are
     # shuffled once and meet their R replicate values; only the narrow
@@ -109,14 +109,15 @@ def permute_within_replicates(df: DataFrame, moved: Sequence[str], key: Sequence
 
 # ----------------------------------------------------------- placebo runs
 def placebo(df: DataFrame, t: str, y: str, cells: Sequence[str], key: Sequence[str], R: int = 1000,
-            permute: str = "treatment", seed: int = 42, clip=(0.01, 0.99), r_col: str = "r") -> DataFrame:
+            permute: str = "treatment", seed: int = 42, clip=(0.01, 0.99), r_col: str = "r",
+            hash_method: str = "md5") -> DataFrame:
     """#94 / #95: per replicate, permute T (or Y) and re-estimate AIPW with
     cell-mean nuisances; one row per replicate."""
     moved = [t] if permute == "treatment" else [y]
     # The analysis table is read by the rank, the count and the join; it is
     # materialised once instead of being rebuilt from its sources each time.
     d = cut_lineage(df.select(*key, t, y, *cells))
-    perm = permute_within_replicates(d, moved, key, R, seed, r_col)
+    perm = permute_within_replicates(d, moved, key, R, seed, r_col, hash_method)
     return cell_aipw(perm, t, y, cells, by=[r_col], clip=clip)
 
 
@@ -226,12 +227,12 @@ def poisson_weight(u: Column) -> Column:
 
 
 def bootstrap_replicates(df: DataFrame, B: int, seed: int, key: Sequence[str], b_col: str = "b",
-                         w_col: str = "w") -> DataFrame:
+                         w_col: str = "w", hash_method: str = "md5") -> DataFrame:
     """B Poisson-bootstrap copies with weights from md5(seed:b:key).  Rows
     with weight 0 are dropped early; the copies are meant to feed a grouped
     aggregation by ``b`` (partial aggregation keeps the shuffle small)."""
     rep = replicate(df, B, b_col)
-    u = hash_uniform(F.lit(seed), F.col(b_col), *[F.col(c) for c in key])
+    u = hash_uniform(F.lit(seed), F.col(b_col), *[F.col(c) for c in key], method=hash_method)
     return rep.withColumn(w_col, poisson_weight(u)).where(F.col(w_col) > 0)
 
 

@@ -191,3 +191,11 @@ def test_spark_ml_learners_run_per_group(spark):
         assert r["n"] == n and 0.0 <= r["lo"] <= r["hi"] <= 1.0, learner
     mu = fit_predict(d, "y", feats, "forest", train="t = 1", by=["region"], out="mu1", numTrees=5, maxDepth=3)
     assert mu.where(F.col("mu1").isNull()).count() == 0 and mu.count() == n
+
+
+def test_xxhash_permutation_keeps_counts(spark):
+    d = firm_analysis(spark, SMALL).select("firm_id", "year", "t", "y", "hs")
+    n1 = d.agg(F.sum("t")).first()[0]
+    perm = RS.permute_within_replicates(d, ["t"], ["firm_id", "year"], R=3, seed=5, hash_method="xxhash")
+    per = perm.groupBy("r").agg(F.sum("t").alias("n1"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(per) == 3 and all(r["n1"] == n1 and r["n"] == d.count() for r in per)
