@@ -19,14 +19,23 @@ def _attach(df: DataFrame, edges: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.join(edges, list(by), "left") if by else with_one_row(df, edges)
 
 
+def _quantiles(col: str, probs: list[float], approx: bool, accuracy: int):
+    """Exact interpolated percentiles (parity with other engines) or the
+    bounded-memory sketch (``approx=True``) for very large groups."""
+    if approx:
+        return F.percentile_approx(F.col(col), probs, accuracy)
+    return F.percentile(F.col(col), F.array(*[F.lit(float(p)) for p in probs]))
+
+
 def quantile_bucket(df: DataFrame, col: str, q: int, labels: Sequence[str] | None = None,
-                    by: Sequence[str] = (), out: str = "bucket") -> DataFrame:
+                    by: Sequence[str] = (), out: str = "bucket", approx: bool = False,
+                    accuracy: int = 10000) -> DataFrame:
     """#40 (``qcut`` semantics): edges at k/q quantiles, duplicate edges
     dropped, right-closed bins with the lowest edge included.  When labels
     are given and the number of bins after dropping differs, the query fails
     (``raise_error``) as a label/bin mismatch."""
-    probs = F.array(*[F.lit(i / q) for i in range(q + 1)])
-    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile(F.col(col), probs)).alias("_e"))
+    probs = [i / q for i in range(q + 1)]
+    edges = df.groupBy(*by).agg(F.array_distinct(_quantiles(col, probs, approx, accuracy)).alias("_e"))
     x, e = F.col(col), F.col("_e")
     n = F.size(e)
     idx = F.lit(None).cast("int")
@@ -46,11 +55,12 @@ def quantile_bucket(df: DataFrame, col: str, q: int, labels: Sequence[str] | Non
 
 
 def coarsen(df: DataFrame, cols: Sequence[str], n_bins: int = 5, by: Sequence[str] = (),
-            suffix: str = "_bin") -> DataFrame:
+            suffix: str = "_bin", approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """#41: per column, quantile edges at 0..100 %, unique, and the bin =
     number of inner edges <= x (``digitize`` on the inner edges)."""
-    probs = F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])
-    edges = df.groupBy(*by).agg(*[F.array_distinct(F.percentile(F.col(c), probs)).alias(f"_e_{c}") for c in cols])
+    probs = [i / n_bins for i in range(n_bins + 1)]
+    edges = df.groupBy(*by).agg(*[F.array_distinct(_quantiles(c, probs, approx, accuracy)).alias(f"_e_{c}")
+                                  for c in cols])
     res = _attach(df, edges, by)
     new = {}
     for c in cols:

@@ -5,7 +5,7 @@ Multiple imputation keeps all M completed copies in one DataFrame keyed by
 over all imputations instead of M separate runs.
 
 Chained equations (``impute_chained``), default ``learner="bayes"``: start
-from medians; each sweep visits the incomplete columns in ascending order of
+from (sketch) medians; each sweep visits the incomplete columns in ascending order of
 missingness and, per imputation m, regresses the column on its predictors
 over the rows where it was observed: one grouped cross-product aggregation
 (``gram``), a small Bayesian-ridge evidence fit per m (numpy on a p x p
@@ -203,7 +203,10 @@ def impute_chained(df: DataFrame, cols: Sequence[str], M: int = 5, max_iter: int
     data = data.drop(*[f"_obs_{c}" for c in cols if c not in targets])
     if not targets:
         return data
-    meds = first.agg(*[F.median(c).alias(c) for c in targets]).first()
+    # Start values: medians from the bounded-memory sketch (a start value
+    # needs no exact interpolation, and an exact global median would merge
+    # every distinct value in one task).
+    meds = first.agg(*[F.percentile_approx(F.col(c), 0.5, 10000).alias(c) for c in targets]).first()
     data = data.withColumns({c: F.coalesce(F.col(c), F.lit(meds[c])) for c in targets})
     pool = cols + [c for c in extra_predictors if c not in cols]
     preds = _nearest_predictors(data.where(F.col(m_col) == 1), targets, pool,
