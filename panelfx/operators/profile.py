@@ -83,13 +83,19 @@ def treatment_by_group(df: DataFrame, t: str, by: Sequence[str]) -> DataFrame:
             .withColumn("treated_pct", F.lit(100.0) * F.col("treated") / F.col("total")))
 
 
-def describe_numeric(df: DataFrame, cols: Sequence[str], ddof: int = 1, by: Sequence[str] = ()) -> DataFrame:
-    """#47: mean, median (exact), min, max, std (n-1 or n) and valid count per
-    column, one row per column (and group)."""
+def describe_numeric(df: DataFrame, cols: Sequence[str], ddof: int = 1, by: Sequence[str] = (),
+                     approx: bool = False, accuracy: int = 10000) -> DataFrame:
+    """#47: mean, median (exact, or sketch with ``approx=True``), min, max,
+    std (n-1 or n) and valid count per column, one row per column (and
+    group)."""
     std = F.stddev_samp if ddof == 1 else F.stddev_pop
+
+    def med(c):
+        return F.percentile_approx(F.col(c), 0.5, accuracy) if approx else F.median(c)
+
     aggs = []
     for c in cols:
-        aggs += [F.avg(c).alias(f"mean__{c}"), F.median(c).alias(f"median__{c}"), F.min(c).alias(f"min__{c}"),
+        aggs += [F.avg(c).alias(f"mean__{c}"), med(c).alias(f"median__{c}"), F.min(c).alias(f"min__{c}"),
                  F.max(c).alias(f"max__{c}"), std(c).alias(f"std__{c}"), F.count(c).alias(f"n__{c}")]
     one = df.groupBy(*by).agg(*aggs)
     structs = [F.struct(F.lit(c).alias("variable"), *[F.col(f"{s}__{c}").alias(s) for s in
