@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,21 +46,55 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of the session.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (local tests) a private scratch folder is
-    created and registered.
+    ``spark.checkpoint.dir`` names a folder that driver and executors share
+    and is used as is.  Only a session on a ``local`` master may go without
+    it (tests); a private folder is made for that one.  Any other master
+    without the setting is an error, because the folder of one machine is
+    not seen by the others.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return sc.getCheckpointDir() or conf_dir
-    path = tempfile.mkdtemp(prefix="panelfx-ckpt-")
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+    if not conf_dir:
+        if not is_local(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
+        conf_dir = tempfile.mkdtemp(prefix="panelfx-ckpt-")
+    sc.setCheckpointDir(conf_dir)
+    return sc.getCheckpointDir() or conf_dir
+
+
+def is_local(master: str) -> bool:
+    """True when driver and executor are one process (``local``, ``local[n]``)."""
+    return master == "local" or master.startswith("local[")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new, unused path below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back.
+
+    Cuts lineage like a checkpoint, but keeps column pruning and pushdown for
+    the plans that read the table again, and survives lost executors.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` that no later plan reads."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if root.rsplit("/", 1)[-1] in folder:
+            path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
