@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import fingerprints, license_scan, mixing, oracles, packing, quality_rules, sharding, warc
+from . import compact_windows, fingerprints, license_scan, mixing, ngram_join, oracles, packing, quality_rules, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, links and copies of every document among near duplicates."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive round trip of every page."""
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).drop("archive")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that stand in an earlier document too."""
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 ids."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -47,6 +56,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assignment(table(spark, sf_dir, "documents"), shards=24)
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op5_packing, op6_mixing, op7_quality_rules, op8_fingerprints, op9_license_scan,
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_warc, op3_substring_dedup, op5_packing, op6_mixing, op7_quality_rules, op8_fingerprints, op9_license_scan,
                                    op10_sharding)}
 ORACLES = {"op2_warc": oracles.OP2, "op6_mixing": oracles.OP6}
