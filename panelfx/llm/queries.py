@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compact_windows, fingerprints, license_scan, mixing, ngram_join, oracles, packing, quality_rules, sharding, warc
+from . import compact_windows, context_tree, fingerprints, license_scan, mixing, ngram_join, oracles, packing, quality_rules, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-tree and unigram scores of every document, trained on nine tenths of them."""
+    return context_tree.scores(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 ids."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -56,6 +61,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assignment(table(spark, sf_dir, "documents"), shards=24)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_warc, op3_substring_dedup, op5_packing, op6_mixing, op7_quality_rules, op8_fingerprints, op9_license_scan,
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_warc, op3_substring_dedup, op4_context_tree, op5_packing, op6_mixing, op7_quality_rules, op8_fingerprints, op9_license_scan,
                                    op10_sharding)}
 ORACLES = {"op2_warc": oracles.OP2, "op6_mixing": oracles.OP6}
