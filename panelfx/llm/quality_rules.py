@@ -246,3 +246,13 @@ def quality(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
     rules = learn_rules(counts, labels, max_labelled)
     return (counts.withColumn("base_failed", base_failed())
             .withColumn("kept", ~F.col("base_failed") & verdict(rules)))
+
+
+def kept_documents(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """``documents`` without those that the rules reject.
+
+    Verdicts are made per row; they come back by doc_id, and rows that share
+    one stay if any of them is kept.  Rows without doc_id are judged as one.
+    """
+    kept = quality(documents, labels, max_labelled).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
