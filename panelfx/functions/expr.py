@@ -200,38 +200,22 @@ def period_dummies(year: ColumnOrName, years: Sequence[int], covid_from: int | N
     return out
 
 
-def bin_by_edges(x: ColumnOrName, edges: Column, n_edges: int) -> Column:
-    """#41 helper: number of edges <= x (numpy ``digitize`` on inner edges)."""
-    c = _c(x)
-    return reduce(lambda a, b: a + b,
-                  [(c >= edges.getItem(i)).cast("int") for i in range(n_edges)])
-
-
-def qcut_label(x: ColumnOrName, edges: Column, n_edges: int,
-               labels: Sequence[str] | None = None) -> Column:
-    """#40 helper: right-closed bins over sorted unique ``edges``; the lowest
-    edge belongs to the first bin.  Returns the label, or the 0-based bin."""
-    c = _c(x)
-    out = F.when((c < edges.getItem(0)) | (c > edges.getItem(n_edges - 1)) | c.isNull(),
-                 F.lit(None).cast("string" if labels else "int"))
-    for i in range(1, n_edges):
-        out = out.when(c <= edges.getItem(i), F.lit(labels[i - 1]) if labels else F.lit(i - 1))
-    return out
+HASH_RANGE = 1 << 52
 
 
 def hash_int(*parts: ColumnOrName, method: str = "md5") -> Column:
-    """Deterministic 32-bit integer of the parts.
+    """Deterministic 52-bit integer of the parts.
 
-    ``md5``: first 8 hex digits of md5 of the parts joined by ':' (the same
+    ``md5``: first 13 hex digits of md5 of the parts joined by ':' (the same
     integer in every engine, which the SQL oracles rely on).  ``xxhash``:
-    xxhash64 of the parts modulo 2^32 (much cheaper, Spark-only)."""
+    xxhash64 of the parts modulo 2^52 (much cheaper, Spark-only)."""
     if method == "xxhash":
-        return F.pmod(F.xxhash64(*[_c(p) for p in parts]), F.lit(2 ** 32).cast("long"))
+        return F.pmod(F.xxhash64(*[_c(p) for p in parts]), F.lit(HASH_RANGE).cast("long"))
     text = F.concat_ws(":", *[_c(p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
 
 
 def hash_uniform(*parts: ColumnOrName, method: str = "md5") -> Column:
-    """Deterministic U[0,1) draw from ``hash_int``; stable on recompute
-    (unlike rand())."""
-    return hash_int(*parts, method=method).cast("double") / F.lit(4294967296.0)
+    """Deterministic draw from the open interval (0, 1) by ``hash_int``; never
+    0 or 1, stable on recompute (unlike rand())."""
+    return (hash_int(*parts, method=method).cast("double") + F.lit(0.5)) / F.lit(float(HASH_RANGE))

@@ -11,31 +11,30 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import bin_by_edges
 from .frame import with_one_row
+from .learners import join_on_keys
+from .quantiles import exact_percentiles
 
 
-def _attach(df: DataFrame, edges: DataFrame, by: Sequence[str]) -> DataFrame:
-    return df.join(edges, list(by), "left") if by else with_one_row(df, edges)
+def attach_edges(df: DataFrame, edges: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Edges of each row's group; a NULL group key is a group like others."""
+    return join_on_keys(df, edges, by, "left") if by else with_one_row(df, edges)
 
 
-def _quantiles(col: str, probs: list[float], approx: bool, accuracy: int):
-    """Exact interpolated percentiles (parity with other engines) or the
-    bounded-memory sketch (``approx=True``) for very large groups."""
-    if approx:
-        return F.percentile_approx(F.col(col), probs, accuracy)
-    return F.percentile(F.col(col), F.array(*[F.lit(float(p)) for p in probs]))
+def edge_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """One row per group: per column ``_e_<column>``, the distinct edges in rising order."""
+    found = exact_percentiles(df, cols, probs, by)
+    return found.select(*by, *[F.array_distinct(c).alias(f"_e_{c}") for c in cols])
 
 
 def quantile_bucket(df: DataFrame, col: str, q: int, labels: Sequence[str] | None = None,
-                    by: Sequence[str] = (), out: str = "bucket", approx: bool = False,
-                    accuracy: int = 10000) -> DataFrame:
+                    by: Sequence[str] = (), out: str = "bucket") -> DataFrame:
     """#40 (``qcut`` semantics): edges at k/q quantiles, duplicate edges
     dropped, right-closed bins with the lowest edge included.  When labels
     are given and the number of bins after dropping differs, the query fails
     (``raise_error``) as a label/bin mismatch."""
     probs = [i / q for i in range(q + 1)]
-    edges = df.groupBy(*by).agg(F.array_distinct(_quantiles(col, probs, approx, accuracy)).alias("_e"))
+    edges = edge_table(df, [col], probs, by).withColumnRenamed(f"_e_{col}", "_e")
     x, e = F.col(col), F.col("_e")
     n = F.size(e)
     idx = F.lit(None).cast("int")
@@ -43,7 +42,7 @@ def quantile_bucket(df: DataFrame, col: str, q: int, labels: Sequence[str] | Non
     below = sum(F.coalesce((x > F.try_element_at(e, F.lit(i + 1))).cast("int"), F.lit(0)) for i in range(q + 1))
     idx = F.when(x.isNull() | (x < F.element_at(e, 1)) | (x > F.element_at(e, -1)), idx).otherwise(
         F.greatest(below, F.lit(1)) - 1)
-    res = _attach(df, edges, by)
+    res = attach_edges(df, edges, by)
     if labels is not None:
         lab = F.array(*[F.lit(s) for s in labels])
         check = F.when(n - 1 != len(labels), F.raise_error(F.lit(
@@ -55,13 +54,11 @@ def quantile_bucket(df: DataFrame, col: str, q: int, labels: Sequence[str] | Non
 
 
 def coarsen(df: DataFrame, cols: Sequence[str], n_bins: int = 5, by: Sequence[str] = (),
-            suffix: str = "_bin", approx: bool = False, accuracy: int = 10000) -> DataFrame:
+            suffix: str = "_bin") -> DataFrame:
     """#41: per column, quantile edges at 0..100 %, unique, and the bin =
     number of inner edges <= x (``digitize`` on the inner edges)."""
     probs = [i / n_bins for i in range(n_bins + 1)]
-    edges = df.groupBy(*by).agg(*[F.array_distinct(_quantiles(c, probs, approx, accuracy)).alias(f"_e_{c}")
-                                  for c in cols])
-    res = _attach(df, edges, by)
+    res = attach_edges(df, edge_table(df, cols, probs, by), by)
     new = {}
     for c in cols:
         e = F.col(f"_e_{c}")

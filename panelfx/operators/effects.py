@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import normal_ci, normal_two_sided_p, percent_effect, clip_propensity
 from ..session import cut_lineage
+from .frame import all_present
 from .learners import _cell_predictions, cell_moments, cell_nuisances, join_on_keys
 
 
@@ -38,12 +39,15 @@ def finish_estimate(df: DataFrame, by: Sequence[str] = (), z_crit: float = 1.96)
 
 
 def summarize_scores(df: DataFrame, score: str = "psi", by: Sequence[str] = (), t: str | None = "t",
-                     ddof: int = 0, min_rows: int = 0) -> DataFrame:
-    """ate = mean(score), se = sqrt(var/n) with var_pop (ddof=0) or var_samp."""
+                     ddof: int = 0, min_rows: int = 0, y: str | None = None) -> DataFrame:
+    """ate = mean(score), se = sqrt(var/n) with var_pop (ddof=0) or var_samp.
+
+    ``n_dropped``: rows with treatment and outcome that have no score."""
     var = F.var_pop(score) if ddof == 0 else F.var_samp(score)
-    aggs = [F.count(score).alias("n")]
+    present = all_present([c for c in (t, y) if c])
+    aggs = [F.count(score).alias("n"), F.count_if(F.col(score).isNull() & present).alias("n_dropped")]
     if t:
-        aggs.append(F.sum(F.col(t).cast("long")).alias("n_treated"))
+        aggs.append(F.sum(F.when(F.col(score).isNotNull(), F.col(t).cast("long"))).alias("n_treated"))
     aggs += [F.avg(score).alias("ate"), F.sqrt(F.try_divide(var, F.count(score))).alias("se")]
     res = df.groupBy(*by).agg(*aggs)
     if min_rows:
@@ -57,7 +61,7 @@ def aipw_effect(df: DataFrame, t: str = "t", y: str = "y", ps: str = "ps", mu1:
                 mu0: str = "mu0", by: Sequence[str] = (), min_rows: int = 0) -> DataFrame:
     """#88 on a scored table (any learner)."""
     scored = df.withColumn("psi", aipw_score(t, y, ps, mu1, mu0))
-    return summarize_scores(scored, "psi", by, t, 0, min_rows)
+    return summarize_scores(scored, "psi", by, t, 0, min_rows, y)
 
 
 def aipw_influence(df: DataFrame, t: str = "t", y: str = "y", ps: str = "ps", mu1: str = "mu1",
@@ -76,13 +80,18 @@ def affine_score_stats(tab: DataFrame, by: Sequence[str], ddof: int = 0, min_row
     coefficients alpha{a}, beta{a}.  Sum and squared deviations of the score
     follow exactly (parallel variance formula), so rows are never revisited."""
     by = list(by)
-    arms = tab.select(*by, F.col("n1"), F.col("n0"),
+    # One rule, as in ``aipw_score``: where the propensity is 0 or 1 no row of the cell has a score.
+    scored = F.col("alpha1").isNotNull() & F.col("beta1").isNotNull() & F.col("alpha0").isNotNull() & F.col("beta0").isNotNull()
+    tab = tab.withColumns({"_all": F.col("n1") + F.col("n0"), "n1": F.when(scored, F.col("n1")).otherwise(F.lit(0)),
+                           "n0": F.when(scored, F.col("n0")).otherwise(F.lit(0))})
+    arms = tab.select(*by, F.col("n1"), F.col("n0"), "_all",
                       F.when(F.col("n1") > 0, F.col("alpha1") + F.col("beta1") * F.col("ybar1")).alias("p1"),
                       F.when(F.col("n0") > 0, F.col("alpha0") + F.col("beta0") * F.col("ybar0")).alias("p0"),
-                      (F.col("beta1") * F.col("beta1") * F.coalesce(F.col("m2_1"), F.lit(0.0))).alias("w1"),
-                      (F.col("beta0") * F.col("beta0") * F.coalesce(F.col("m2_0"), F.lit(0.0))).alias("w0"))
+                      F.when(scored, F.col("beta1") * F.col("beta1") * F.coalesce(F.col("m2_1"), F.lit(0.0))).alias("w1"),
+                      F.when(scored, F.col("beta0") * F.col("beta0") * F.coalesce(F.col("m2_0"), F.lit(0.0))).alias("w0"))
     grp = arms.groupBy(*by).agg(
         (F.sum("n1") + F.sum("n0")).alias("n"), F.sum("n1").alias("n_treated"),
+        (F.sum("_all") - F.sum("n1") - F.sum("n0")).alias("n_dropped"),
         F.try_divide(F.sum(F.coalesce(F.col("n1") * F.col("p1"), F.lit(0.0)))
                      + F.sum(F.coalesce(F.col("n0") * F.col("p0"), F.lit(0.0))),
                      F.sum("n1") + F.sum("n0")).alias("ate"))
@@ -90,7 +99,7 @@ def affine_score_stats(tab: DataFrame, by: Sequence[str], ddof: int = 0, min_row
         grp = grp.where(F.col("n") >= min_rows)
     both = join_on_keys(arms, grp, by, "inner")
     dev = both.groupBy(*by).agg(
-        (F.sum(F.col("w1") + F.col("w0")
+        (F.sum(F.coalesce(F.col("w1") + F.col("w0"), F.lit(0.0))
                + F.coalesce(F.col("n1") * (F.col("p1") - F.col("ate")) ** 2, F.lit(0.0))
                + F.coalesce(F.col("n0") * (F.col("p0") - F.col("ate")) ** 2, F.lit(0.0)))).alias("_ss"))
     res = join_on_keys(grp, dev, by, "inner")

@@ -8,95 +8,116 @@ sums table, so any number of groups (imputations, folds, replicates) is one
 job.  Rank-deficient designs get the minimum-norm solution and
 ``identified = false``.
 
-Wide designs (many regressors) pack the sums per partition with
-``mapInPandas`` and reduce them by (group, cell index), which keeps the
-plan free of thousands of aggregate expressions.
+The sums are packed per task with ``mapInPandas`` and reduced by (group, cell
+index), at every width, which keeps the plan free of thousands of aggregate
+expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField,
-                               StructType)
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from .frame import all_present
 
-WIDE_THRESHOLD = 24
-
-
-def _design(xs: Sequence[str], intercept: bool) -> list[Column]:
-    z = [F.lit(1.0)] if intercept else []
-    return z + [F.col(c).cast("double") for c in xs]
-
+PACKED_CELLS = 4_000_000  # sums that a task holds before it sends them on
 
 def gram_sums(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), intercept: bool = True,
               weight: str | None = None, train: Column | None = None) -> DataFrame:
     """One row per group: n, xtx (flattened (q x q), q = len(xs)+intercept),
-    xty (q), yty.  Rows with any missing y/x are left out."""
-    by = list(by)
+    xty (q), yty.  Rows with any missing y/x are left out.
+
+    One path for every width: a task multiplies its rows batch by batch and
+    sends (q+1)^2 sums per group, which are added by (group, cell)."""
+    by, xs = list(by), list(xs)
     ok = all_present([y, *xs])
     if train is not None:
         ok = ok & train
-    rows = df.where(ok)
-    if len(xs) + int(intercept) > WIDE_THRESHOLD:
-        return _gram_wide(rows, y, xs, by, intercept, weight)
-    z = _design(xs, intercept)
+    key = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    yv = F.col(y).cast("double")
-    q = len(z)
-    aggs = [F.sum(w).alias("n")]
-    for i in range(q):
-        for j in range(i, q):
-            aggs.append(F.sum(w * z[i] * z[j]).alias(f"a_{i}_{j}"))
-        aggs.append(F.sum(w * z[i] * yv).alias(f"b_{i}"))
-    aggs.append(F.sum(w * yv * yv).alias("yty"))
-    g = rows.groupBy(*by).agg(*aggs)
-    full = [F.col(f"a_{min(i, j)}_{max(i, j)}") for i in range(q) for j in range(q)]
-    return g.select(*by, "n", F.array(*full).alias("xtx"), F.array(*[F.col(f"b_{i}") for i in range(q)]).alias("xty"),
-                    "yty")
-
-
-def _gram_wide(rows: DataFrame, y: str, xs: Sequence[str], by: list[str], intercept: bool,
-               weight: str | None) -> DataFrame:
-    cols = [*by, y, *xs] + ([weight] if weight else [])
+    rows = df.where(ok).select(*key, w.alias("_w"), F.col(y).cast("double").alias("_y"),
+                               *[F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)])
+    names = [f"_x{i}" for i in range(len(xs))]
     q = len(xs) + int(intercept)
-    key_schema = [f for f in rows.select(*by).schema.fields]
-    part_schema = StructType(key_schema + [StructField("k", IntegerType()), StructField("v", DoubleType())])
 
-    def partial(it):
-        for pdf in it:
+    def sums(g: pd.DataFrame) -> np.ndarray:
+        X = g[names].to_numpy(dtype=float)
+        X = np.column_stack([np.ones(len(g)), X]) if intercept else X
+        yy, ww = g["_y"].to_numpy(dtype=float), g["_w"].to_numpy(dtype=float)
+        Xw = X * ww[:, None]
+        return np.concatenate([[ww.sum()], (Xw.T @ X).ravel(), Xw.T @ yy, [(ww * yy * yy).sum()]])
+
+    packed = _packed_sums(rows, [c.name for c in rows.schema.fields[:len(by)]], sums)
+    v = F.col("v")
+    return packed.select(*[F.col(f"_by{i}").alias(c) for i, c in enumerate(by)], v.getItem(0).alias("n"),
+                         F.slice(v, 2, q * q).alias("xtx"), F.slice(v, 2 + q * q, q).alias("xty"),
+                         v.getItem(1 + q * q + q).alias("yty"))
+
+
+def _packed_sums(rows: DataFrame, by: list[str], sums: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    """``by`` and an array ``v``: the vectors of ``sums`` over all batches of a group, added up."""
+    schema = StructType([*rows.select(*by).schema.fields, StructField("k", IntegerType()), StructField("v", DoubleType())])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
             if pdf.empty:
                 continue
-            groups = pdf.groupby(by, dropna=False, sort=False) if by else [((), pdf)]
-            out = []
-            for key, g in groups:
-                X = g[list(xs)].to_numpy(dtype=float)
-                if intercept:
-                    X = np.column_stack([np.ones(len(g)), X])
-                yy = g[y].to_numpy(dtype=float)
-                w = g[weight].to_numpy(dtype=float) if weight else np.ones(len(g))
-                Xw = X * w[:, None]
-                vals = np.concatenate([[w.sum()], (Xw.T @ X).ravel(), Xw.T @ yy, [(w * yy * yy).sum()]])
-                key = key if isinstance(key, tuple) else (key,)
-                frame = pd.DataFrame({"k": np.arange(len(vals), dtype=np.int32), "v": vals})
-                for name, kv in zip(by, key):
-                    frame[name] = kv
-                out.append(frame)
-            if out:
-                yield pd.concat(out, ignore_index=True)[[*by, "k", "v"]]
-
-    parts = rows.select(*cols).mapInPandas(partial, part_schema)
-    summed = parts.groupBy(*by, "k").agg(F.sum("v").alias("v"))
+            for key, g in pdf.groupby(by, dropna=False, sort=False) if by else [((), pdf)]:
+                # A missing key is None here, whatever pandas makes of it.
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+                part = sums(g)
+                total[key] = total[key] + part if key in total else part
+            if len(total) * len(part) > PACKED_CELLS:
+                yield table(total)
+                total = {}
+        if total:
+            yield table(total)
+
+    def table(total: dict[tuple, np.ndarray]) -> pd.DataFrame:
+        size = len(next(iter(total.values())))
+        out = {name: pd.Series([key[i] for key in total for _ in range(size)], dtype=object) for i, name in enumerate(by)}
+        out["k"] = np.tile(np.arange(size, dtype=np.int32), len(total))
+        out["v"] = np.concatenate(list(total.values()))
+        return pd.DataFrame(out)
+
+    summed = rows.mapInPandas(partial, schema).groupBy(*by, "k").agg(F.sum("v").alias("v"))
     packed = summed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("kv"))
-    vals = F.transform(F.col("kv"), lambda s: s["v"])
-    qq = q * q
-    return packed.select(*by, vals.getItem(0).alias("n"), F.slice(vals, 2, qq).alias("xtx"),
-                         F.slice(vals, 2 + qq, q).alias("xty"), vals.getItem(1 + qq + q).alias("yty"))
+    return packed.select(*by, F.transform("kv", lambda s: s["v"]).alias("v"))
+
+
+def gram_sums_many(df: DataFrame, models: dict[str, tuple[Sequence[str], Column]], by: str) -> DataFrame:
+    """(by, _target, sums) of several regressions in one pass over the rows.
+
+    ``models``: per target its regressors and the rows to train on.  ``sums``
+    holds n, xtx, xty and yty of the intercept-first design, one after another;
+    rows with a missing regressor of a model are left out of that model."""
+    cols = sorted({c for t, (xs, _) in models.items() for c in [t, *xs]})
+    rows = df.select(F.col(by).alias("_by"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)],
+                     *[train.alias(f"_on{j}") for j, (_, train) in enumerate(models.values())])
+    at = {c: f"_x{i}" for i, c in enumerate(cols)}
+    regressors = {t: list(xs) for t, (xs, _) in models.items()}
+    sizes = [(len(xs) + 1) ** 2 + len(xs) + 3 for xs in regressors.values()]
+
+    def sums(g: pd.DataFrame) -> np.ndarray:
+        out = []
+        for j, (target, xs) in enumerate(regressors.items()):
+            part = g.loc[g[f"_on{j}"].to_numpy(dtype=bool), [at[target], *(at[x] for x in xs)]].to_numpy(dtype=float)
+            part = part[~np.isnan(part).any(axis=1)]
+            X, yy = np.column_stack([np.ones(len(part)), part[:, 1:]]), part[:, 0]
+            out += [[float(len(part))], (X.T @ X).ravel(), X.T @ yy, [float((yy * yy).sum())]]
+        return np.concatenate(out)
+
+    packed = _packed_sums(rows, ["_by"], sums)
+    starts = np.cumsum([1, *sizes[:-1]]).tolist()
+    each = [F.struct(F.lit(t).alias("_target"), F.slice("v", s, n).alias("sums")) for t, s, n in zip(models, starts, sizes)]
+    return (packed.select(F.col("_by").alias(by), F.explode(F.array(*each)).alias("_m")).select(by, "_m.*")
+            .where(F.col("sums").getItem(0) > 0))
 
 
 def _solve_schema(by_fields) -> StructType:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import period_label
 from .bins import coarsen, quantile_bucket
 from .effects import cell_aipw, cell_tmle, finish_estimate, pool_rubin, tmle_effect
-from .frame import all_present, complete_cases, group_size_gate
+from .frame import all_present, complete_cases, group_size_gate, with_one_row
 from .gram import gram_sums, solve
 from .impute import impute_chained, impute_mean
 from .learners import cell_nuisances, join_on_keys
@@ -47,16 +47,14 @@ def effect_by_industry(df: DataFrame, t: str, y: str, cells: Sequence[str], indu
 
 def dose_response(df: DataFrame, t: str, dose: str, y: str, cells: Sequence[str], q: int = 4,
                   labels: Sequence[str] | None = None, min_treated: int = 100, controls: str = "all",
-                  std_min: float = 0.5, clip=(0.01, 0.99)) -> DataFrame | None:
+                  std_min: float = 0.5, clip=(0.01, 0.99)) -> DataFrame:
     """#97: quantile bins of the dose among treated rows; per bin, treatment =
     "in this bin" and AIPW over all rows (controls = every other row, as the
     reference does; ``controls="untreated"`` keeps only untreated controls).
-    Bins with fewer than ``min_treated`` treated rows are skipped.  Returns
-    None when the dose varies too little (std <= ``std_min``)."""
-    sd = df.agg(F.stddev_samp(dose)).first()[0]
-    if sd is None or sd <= std_min:
-        return None
-    d = quantile_bucket_all(df, t, dose, q, labels)
+    Bins with fewer than ``min_treated`` treated rows are skipped.  No row
+    comes back when the dose varies too little (std <= ``std_min``)."""
+    varies = df.agg((F.stddev_samp(dose) > std_min).alias("_varies")).where("_varies").drop("_varies")
+    d = quantile_bucket_all(with_one_row(df, varies), t, dose, q, labels)
     # Each row once per bin (a handful of bins): treatment = "in this bin".
     d = d.withColumn("_tbin", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_nb") - 1).cast("long"))))
     d = d.withColumn("_t_bin", ((F.col(t) == 1) & (F.col("_bin") == F.col("_tbin"))).cast("int"))
@@ -73,15 +71,14 @@ def quantile_bucket_all(df: DataFrame, t: str, dose: str, q: int, labels) -> Dat
     """0-based bin (``_bin``) of every treated row by edges computed among
     treated rows (other rows: NULL) and the number of bins (``_nb``) after
     duplicate edges are dropped; a label-count mismatch fails the query."""
-    from .bins import _attach
-    probs = F.array(*[F.lit(i / q) for i in range(q + 1)])
-    edges = df.where(F.col(t) == 1).agg(F.array_distinct(F.percentile(F.col(dose), probs)).alias("_e"))
+    from .bins import attach_edges, edge_table
+    edges = edge_table(df.where(F.col(t) == 1), [dose], [i / q for i in range(q + 1)], ()).withColumnRenamed(f"_e_{dose}", "_e")
     x, e = F.col(dose), F.col("_e")
     n = F.size(e)
     below = sum(F.coalesce((x > F.try_element_at(e, F.lit(i + 1))).cast("int"), F.lit(0)) for i in range(q + 1))
     idx = F.when((F.col(t) == 1) & x.isNotNull() & (x >= F.element_at(e, 1)) & (x <= F.element_at(e, -1)),
                  F.greatest(below, F.lit(1)) - 1)
-    out = _attach(df, edges, ())
+    out = attach_edges(df, edges, ())
     nb = n - 1
     if labels is not None:
         nb = F.when(n - 1 != len(labels), F.raise_error(F.lit(

@@ -5,16 +5,15 @@ Multiple imputation keeps all M completed copies in one DataFrame keyed by
 over all imputations instead of M separate runs.
 
 Chained equations (``impute_chained``), default ``learner="bayes"``: start
-from (sketch) medians; each sweep visits the incomplete columns in ascending order of
+from medians; each sweep visits the incomplete columns in ascending order of
 missingness and, per imputation m, regresses the column on its predictors
 over the rows where it was observed: one grouped cross-product aggregation
 (``gram``), a small Bayesian-ridge evidence fit per m (numpy on a p x p
-matrix, solved on the driver: the sums are M (p+1)^2 numbers whatever the
-row count), a posterior draw of the coefficients per (m, sweep, column), and
+matrix, one task per m), a posterior draw of the coefficients per (m, sweep, column), and
 a per-row normal noise draw from a hash of (seed, m, sweep, column, row
 key).  Draws are deterministic, so a recomputed partition after an
-executor loss reproduces the same values.  Lineage is cut with a reliable
-checkpoint after every sweep.
+executor loss reproduces the same values.  Every step's table is stored in
+the shared folder, and its predecessor is deleted.
 
 ``learner="forest"``: Spark ML random forest per (m, column) step, no
 posterior draw (reproduces the forest variant, which understates
@@ -30,14 +29,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from ..session import cut_lineage
-from .gram import gram_sums
+from ..session import drop_stored, stored
+from .gram import gram_sums, gram_sums_many
 from .learners import join_on_keys
-
-
-STEP_CHECKPOINT_TARGETS = 8
+from .quantiles import exact_percentiles
 
 
 def stack_imputations(df: DataFrame, M: int, m_col: str = "m") -> DataFrame:
@@ -45,10 +42,9 @@ def stack_imputations(df: DataFrame, M: int, m_col: str = "m") -> DataFrame:
     return df.withColumn(m_col, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(int(M)).cast("long"))))
 
 
-def impute_median(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), approx: bool = False) -> DataFrame:
+def impute_median(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """#71: per-column median (exact, interpolated) filled into missing cells."""
-    agg = F.percentile_approx if approx else (lambda c: F.median(c))
-    stats = df.groupBy(*by).agg(*[agg(F.col(c)).alias(f"_med_{c}") for c in cols])
+    stats = exact_percentiles(df, cols, [0.5], by).select(*by, *[F.element_at(c, 1).alias(f"_med_{c}") for c in cols])
     out = join_on_keys(df, stats, list(by), "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_med_{c}")) for c in cols}).drop(
         *[f"_med_{c}" for c in cols])
@@ -125,56 +121,55 @@ def bayes_ridge_from_gram(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float
     return intercept, coef, cov, alpha, xbar
 
 
-MAX_DRIVER_GRAM_CELLS = 5_000_000
+def draw_from_sums(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float, rng: np.random.Generator) -> tuple[list[float], float]:
+    """Posterior draw of (intercept, coefficients) and the noise sd from the sums of one regression."""
+    b0, coef, cov, alpha, xbar = bayes_ridge_from_gram(xtx, xty, yty, n)
+    if len(coef):
+        L = np.linalg.cholesky(cov + 1e-12 * np.eye(len(coef)))
+        draw = coef + L @ rng.standard_normal(len(coef))
+        b0 = b0 + xbar @ (coef - draw)   # keep the fit centred at the means
+    else:
+        draw = coef
+    return [float(b0), *map(float, draw)], float(1.0 / math.sqrt(alpha))
 
 
 def _posterior_draw_table(gram: DataFrame, m_col: str, seed: int, sweep: int, col_idx: int) -> DataFrame:
     """One row per m: drawn intercept + coefficients and noise sd.
 
-    The input holds one row of (p+1)^2 sums per imputation m, so it is
-    bounded by M (p+1)^2 numbers whatever the row count; it is solved with
-    numpy on the driver and the M-row result goes back as a broadcast."""
-    rows = gram.collect()
-    cells = sum(len(r["xtx"]) for r in rows)
-    if cells > MAX_DRIVER_GRAM_CELLS:
-        raise ValueError(f"cross-product table too large for a driver solve ({cells} cells)")
-    out = []
-    for r in rows:
-        xty = np.asarray(r["xty"], dtype=float)
-        q = len(xty)
-        xtx = np.asarray(r["xtx"], dtype=float).reshape(q, q)
-        m = int(r[m_col])
-        b0, coef, cov, alpha, xbar = bayes_ridge_from_gram(xtx, xty, float(r["yty"]), float(r["n"]))
-        rng = np.random.default_rng([seed, m, sweep, col_idx])
-        if len(coef):
-            L = np.linalg.cholesky(cov + 1e-12 * np.eye(len(coef)))
-            draw = coef + L @ rng.standard_normal(len(coef))
-            b0 = b0 + xbar @ (coef - draw)   # keep the fit centred at the means
-        else:
-            draw = coef
-        out.append((m, [float(b0), *map(float, draw)], float(1.0 / math.sqrt(alpha))))
+    ``gram`` has one row of sums per imputation; each is solved by a task."""
     schema = StructType([gram.schema[m_col], StructField("beta", ArrayType(DoubleType())),
                          StructField("noise_sd", DoubleType())])
-    return F.broadcast(gram.sparkSession.createDataFrame(out, schema))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        xty = np.asarray(r["xty"], dtype=float)
+        xtx = np.asarray(r["xtx"], dtype=float).reshape(len(xty), len(xty))
+        beta, sd = draw_from_sums(xtx, xty, float(r["yty"]), float(r["n"]),
+                                  np.random.default_rng([seed, int(r[m_col]), sweep, col_idx]))
+        return pd.DataFrame({m_col: [r[m_col]], "beta": [beta], "noise_sd": [sd]})
+
+    return gram.groupBy(m_col).applyInPandas(solve, schema)
 
 
 def _nearest_predictors(df: DataFrame, targets: Sequence[str], pool: Sequence[str], k: int) -> dict[str, list[str]]:
-    """Top-k predictors by absolute correlation with each target, from one
-    correlation aggregation (p^2/2 numbers reach the driver)."""
-    cols = sorted(set(targets) | set(pool))
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]).first() if pairs else {}
-    corr = {}
-    for a, b in pairs:
-        v = row[f"{a}|{b}"]
-        corr[(a, b)] = corr[(b, a)] = 0.0 if v is None or math.isnan(v) else abs(v)
-    out = {}
-    for t in targets:
-        cands = [c for c in pool if c != t]
-        if k and len(cands) > k:
-            cands = sorted(cands, key=lambda c: (-corr.get((t, c), 0.0), c))[:k]
-        out[t] = list(cands)
-    return out
+    """Top-k predictors by absolute correlation with each target; all others
+    when ``k`` is 0 or large enough.  The correlations come from one
+    cross-product aggregation: (p+1)^2 numbers, p columns of the table."""
+    cands = {t: [c for c in pool if c != t] for t in targets}
+    if not k or all(len(c) <= k for c in cands.values()):
+        return cands
+    cols = list(dict.fromkeys([*targets, *pool]))
+    sums = gram_sums(df, cols[0], cols).first()
+    if sums is None:
+        return {t: c[:k] for t, c in cands.items()}
+    q = len(cols) + 1
+    xtx = np.asarray(sums["xtx"], dtype=float).reshape(q, q)
+    cov = xtx[1:, 1:] / xtx[0, 0] - np.outer(xtx[0, 1:], xtx[0, 1:]) / xtx[0, 0] ** 2
+    sd = np.sqrt(np.clip(np.diag(cov), 0.0, None))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        corr = np.nan_to_num(np.abs(cov / np.outer(sd, sd)))
+    at = {c: i for i, c in enumerate(cols)}
+    return {t: sorted(c, key=lambda x: (-corr[at[t], at[x]], x))[:k] for t, c in cands.items()}
 
 
 def impute_chained(df: DataFrame, cols: Sequence[str], M: int = 5, max_iter: int = 5, learner: str = "bayes",
@@ -187,36 +182,38 @@ def impute_chained(df: DataFrame, cols: Sequence[str], M: int = 5, max_iter: int
     imputed; columns held out of the chain (ids, treatment codes) are simply
     not listed.  ``row_key`` identifies a row for the noise draws.
     ``schedule="jacobi"`` (Bayes learner) updates every column from the
-    previous sweep's values: one aggregation and one checkpoint per sweep
-    instead of one aggregation per column, for wide tables.
+    previous sweep's values: one aggregation and one stored table per sweep
+    instead of one per column, for wide tables.
+    Columns of ``cols`` without any value leave the table first.  A model is
+    fitted on the rows where its column was observed and its predictors are
+    present; a missing cell without a prediction (a predictor that is not
+    imputed is missing there, or there is no row to fit) keeps its start
+    value, so that no cell of the chain stays missing.
     Returns the stacked table with ``m`` and completed ``cols``."""
-    cols = list(cols)
+    df, empty = drop_all_missing_columns(df, list(cols))
+    cols = [c for c in cols if c not in empty]
+    extra_predictors = [c for c in extra_predictors if c not in empty]
     data = df if already_stacked else stack_imputations(df, M, m_col)
     data = data.withColumns({f"_obs_{c}": F.col(c).isNotNull() for c in cols})
     if checkpoint:
         # Materialise the stacked input once; counts, medians, correlations
         # and the first sweep all read it instead of rebuilding the sources.
-        data = cut_lineage(data)
+        data = stored(data, "impute")
     first = data.where(F.col(m_col) == 1)
     miss = missing_counts(first, cols)
     targets = sorted([c for c in cols if miss[c] > 0], key=lambda c: (miss[c], c))   # skip complete, ascending
     data = data.drop(*[f"_obs_{c}" for c in cols if c not in targets])
     if not targets:
         return data
-    # Start values: medians from the bounded-memory sketch (a start value
-    # needs no exact interpolation, and an exact global median would merge
-    # every distinct value in one task).
-    meds = first.agg(*[F.percentile_approx(F.col(c), 0.5, 10000).alias(c) for c in targets]).first()
-    data = data.withColumns({c: F.coalesce(F.col(c), F.lit(meds[c])) for c in targets})
+    meds = exact_percentiles(first, targets, [0.5]).first()
+    data = data.withColumns({c: F.coalesce(F.col(c), F.lit(meds[c][0])) for c in targets})
     pool = cols + [c for c in extra_predictors if c not in cols]
     preds = _nearest_predictors(data.where(F.col(m_col) == 1), targets, pool,
                                 n_nearest if learner == "bayes" else 0)
     key = list(row_key) if row_key else [c for c in df.columns if c not in cols][:2]
     if schedule == "jacobi" and learner == "bayes":
         for sweep in range(1, max_iter + 1):
-            data = _jacobi_sweep(data, targets, preds, m_col, seed, sweep, key)
-            if checkpoint:
-                data = cut_lineage(data)
+            data = _advance(data, _jacobi_sweep(data, targets, preds, m_col, seed, sweep, key), checkpoint)
         return data.drop(*[f"_obs_{c}" for c in targets])
     for sweep in range(1, max_iter + 1):
         for j, c in enumerate(targets):
@@ -229,71 +226,54 @@ def impute_chained(df: DataFrame, cols: Sequence[str], M: int = 5, max_iter: int
                 for i, x in enumerate(xs):
                     lin = lin + F.col("beta").getItem(i + 1) * F.col(x)
                 noise = F.col("noise_sd") * hash_normal(F.lit(seed), F.col(m_col), F.lit(sweep), F.lit(j), *key)
-                data = d.withColumn(c, F.when(F.col(f"_obs_{c}"), F.col(c)).otherwise(lin + noise)).drop(
-                    "beta", "noise_sd")
+                filled = d.withColumn(c, F.when(F.col(f"_obs_{c}"), F.col(c)).otherwise(
+                    F.coalesce(lin + noise, F.col(c)))).drop("beta", "noise_sd")
             elif learner == "forest":
                 from .ml import forest_fill
-                data = forest_fill(data, c, xs, f"_obs_{c}", m_col, seed, **(forest_params or {}))
+                filled = forest_fill(data, c, xs, f"_obs_{c}", m_col, seed, **(forest_params or {}))
             else:
                 raise ValueError(f"unknown imputation learner {learner!r}")
-            if checkpoint and len(targets) > STEP_CHECKPOINT_TARGETS:
-                # Wide tables: cut lineage after every column so a step's
-                # plan never replays all earlier steps of the sweep.
-                data = cut_lineage(data)
-        if checkpoint and len(targets) <= STEP_CHECKPOINT_TARGETS:
-            data = cut_lineage(data)
+            # Stored after every column, so that a step never replays the steps before it.
+            data = _advance(data, filled, checkpoint)
     return data.drop(*[f"_obs_{c}" for c in targets])
 
 
+def _advance(before: DataFrame, after: DataFrame, checkpoint: bool) -> DataFrame:
+    """The next state of the chain; its predecessor's files go."""
+    if not checkpoint:
+        return after
+    state = stored(after, "impute")
+    drop_stored(state.sparkSession, before)
+    return state
+
+
 def _jacobi_sweep(data: DataFrame, targets: Sequence[str], preds: dict[str, list[str]], m_col: str, seed: int,
                   sweep: int, key: Sequence[str]) -> DataFrame:
-    """All targets' cross-product sums in one grouped aggregation (each over
-    the rows where that target was observed), posterior draws per (m,
-    target) on the driver (bounded: M x targets x (p+1)^2 numbers), one
-    broadcast of the M-row coefficient table, all columns updated at once."""
-    aggs = []
-    for j, c in enumerate(targets):
-        obs = F.col(f"_obs_{c}")
-        z = [F.lit(1.0)] + [F.col(x).cast("double") for x in preds[c]]
-        yv = F.col(c).cast("double")
-        w = F.when(obs, F.lit(1.0)).otherwise(F.lit(0.0))
-        q = len(z)
-        aggs.append(F.sum(w).alias(f"g{j}_n"))
-        for a in range(q):
-            for b in range(a, q):
-                aggs.append(F.sum(w * z[a] * z[b]).alias(f"g{j}_a_{a}_{b}"))
-            aggs.append(F.sum(w * z[a] * yv).alias(f"g{j}_b_{a}"))
-        aggs.append(F.sum(w * yv * yv).alias(f"g{j}_yy"))
-    rows = data.groupBy(m_col).agg(*aggs).collect()
-    out = []
-    for r in rows:
-        m = int(r[m_col])
-        rec = [m]
-        for j, c in enumerate(targets):
-            q = len(preds[c]) + 1
-            xtx = np.array([[r[f"g{j}_a_{min(a, b)}_{max(a, b)}"] for b in range(q)] for a in range(q)], dtype=float)
-            xty = np.array([r[f"g{j}_b_{a}"] for a in range(q)], dtype=float)
-            b0, coef, cov, alpha, xbar = bayes_ridge_from_gram(xtx, xty, float(r[f"g{j}_yy"]), float(r[f"g{j}_n"]))
-            rng = np.random.default_rng([seed, m, sweep, j])
-            if len(coef):
-                L = np.linalg.cholesky(cov + 1e-12 * np.eye(len(coef)))
-                draw = coef + L @ rng.standard_normal(len(coef))
-                b0 = b0 + xbar @ (coef - draw)
-            else:
-                draw = coef
-            rec += [[float(b0), *map(float, draw)], float(1.0 / math.sqrt(alpha))]
-        out.append(tuple(rec))
-    fields = [data.schema[m_col]]
-    for j in range(len(targets)):
-        fields += [StructField(f"_beta{j}", ArrayType(DoubleType())), StructField(f"_sd{j}", DoubleType())]
-    coefs = F.broadcast(data.sparkSession.createDataFrame(out, StructType(fields)))
-    d = join_on_keys(data, coefs, [m_col], "left")
+    """All targets' cross-product sums in one pass (each over the rows where
+    that target was observed and its predictors are present), posterior draws
+    per (m, target) in tasks, all columns updated at once."""
+    sums = gram_sums_many(data, {c: (preds[c], F.col(f"_obs_{c}")) for c in targets}, m_col)
+    kind = data.schema[m_col]
+    place = {c: j for j, c in enumerate(targets)}
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        q = len(preds[r["_target"]]) + 1
+        v = np.asarray(r["sums"], dtype=float)
+        beta, sd = draw_from_sums(v[1:1 + q * q].reshape(q, q), v[1 + q * q:1 + q * q + q], float(v[-1]), float(v[0]),
+                                  np.random.default_rng([seed, int(r[m_col]), sweep, place[r["_target"]]]))
+        return pd.DataFrame({m_col: [r[m_col]], "_target": [r["_target"]], "_beta": [[*beta, sd]]})
+
+    schema = StructType([kind, StructField("_target", StringType()), StructField("_beta", ArrayType(DoubleType()))])
+    draws = sums.groupBy(m_col, "_target").applyInPandas(solve, schema)
+    wide = draws.groupBy(m_col).agg(F.map_from_entries(F.collect_list(F.struct("_target", "_beta"))).alias("_draws"))
+    d = join_on_keys(data, wide, [m_col], "left")
     new = {}
     for j, c in enumerate(targets):
-        lin = F.col(f"_beta{j}").getItem(0)
+        beta = F.try_element_at("_draws", F.lit(c))
+        lin = F.get(beta, F.lit(0))
         for i, x in enumerate(preds[c]):
-            lin = lin + F.col(f"_beta{j}").getItem(i + 1) * F.col(x)
-        noise = F.col(f"_sd{j}") * hash_normal(F.lit(seed), F.col(m_col), F.lit(sweep), F.lit(j), *key)
-        new[c] = F.when(F.col(f"_obs_{c}"), F.col(c)).otherwise(lin + noise)
-    return d.withColumns(new).drop(*[f"_beta{j}" for j in range(len(targets))],
-                                   *[f"_sd{j}" for j in range(len(targets))])
+            lin = lin + F.get(beta, F.lit(i + 1)) * F.col(x)
+        noise = F.get(beta, F.lit(len(preds[c]) + 1)) * hash_normal(F.lit(seed), F.col(m_col), F.lit(sweep), F.lit(j), *key)
+        new[c] = F.when(F.col(f"_obs_{c}"), F.col(c)).otherwise(F.coalesce(lin + noise, F.col(c)))
+    return d.withColumns(new).drop("_draws")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frame import all_present, with_one_row
+from .learners import join_on_keys
+from .quantiles import exact_percentiles
 
 
 def _unpivot_one_row(row_df: DataFrame, names: Sequence[str], prefix_map: dict[str, str],
@@ -83,21 +85,17 @@ def treatment_by_group(df: DataFrame, t: str, by: Sequence[str]) -> DataFrame:
             .withColumn("treated_pct", F.lit(100.0) * F.col("treated") / F.col("total")))
 
 
-def describe_numeric(df: DataFrame, cols: Sequence[str], ddof: int = 1, by: Sequence[str] = (),
-                     approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """#47: mean, median (exact, or sketch with ``approx=True``), min, max,
-    std (n-1 or n) and valid count per column, one row per column (and
-    group)."""
+def describe_numeric(df: DataFrame, cols: Sequence[str], ddof: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """#47: mean, exact median, min, max, std (n-1 or n) and valid count per
+    column, one row per column (and group)."""
     std = F.stddev_samp if ddof == 1 else F.stddev_pop
-
-    def med(c):
-        return F.percentile_approx(F.col(c), 0.5, accuracy) if approx else F.median(c)
-
     aggs = []
     for c in cols:
-        aggs += [F.avg(c).alias(f"mean__{c}"), med(c).alias(f"median__{c}"), F.min(c).alias(f"min__{c}"),
+        aggs += [F.avg(c).alias(f"mean__{c}"), F.min(c).alias(f"min__{c}"),
                  F.max(c).alias(f"max__{c}"), std(c).alias(f"std__{c}"), F.count(c).alias(f"n__{c}")]
-    one = df.groupBy(*by).agg(*aggs)
+    medians = exact_percentiles(df, cols, [0.5], by)
+    medians = medians.select(*by, *[F.element_at(c, 1).alias(f"median__{c}") for c in cols])
+    one = join_on_keys(df.groupBy(*by).agg(*aggs), medians, by, "left")
     structs = [F.struct(F.lit(c).alias("variable"), *[F.col(f"{s}__{c}").alias(s) for s in
                                                        ("mean", "median", "min", "max", "std")],
                         F.col(f"n__{c}").alias("n_valid")) for c in cols]
@@ -108,12 +106,9 @@ DEFAULT_PERCENTILES = (0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 1.0)
 
 
 def percentile_profile(df: DataFrame, col: str, ps: Sequence[float] = DEFAULT_PERCENTILES,
-                       by: Sequence[str] = (), approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """#48: percentiles with linear interpolation (exact); ``approx=True``
-    uses the bounded-memory sketch for very large groups."""
-    arr = (F.percentile_approx(col, list(ps), accuracy) if approx
-           else F.percentile(F.col(col), F.array(*[F.lit(float(p)) for p in ps])))
-    one = df.groupBy(*by).agg(arr.alias("_p"))
+                       by: Sequence[str] = ()) -> DataFrame:
+    """#48: exact percentiles with linear interpolation."""
+    one = exact_percentiles(df, [col], ps, by).withColumnRenamed(col, "_p")
     return one.select(*by, *[F.col("_p").getItem(i).alias(f"p{int(round(p * 100))}") for i, p in enumerate(ps)])
 
 

@@ -14,12 +14,13 @@ task and every value is reproducible.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import hash_int, hash_uniform
+from ..functions.expr import HASH_RANGE, hash_int, hash_uniform
 from .effects import affine_score_stats, cell_aipw, finish_estimate
 from .learners import join_on_keys
 from ..session import cut_lineage
@@ -28,7 +29,7 @@ from .frame import with_one_row
 
 # ------------------------------------------------------------------ folds
 def fold_expr(k: int, seed: int, key: Sequence[str]) -> Column:
-    """#85: fold = md5(seed:key) mod k (first 8 hex digits as an integer)."""
+    """#85: fold = md5(seed:key) mod k (first 13 hex digits as an integer)."""
     return F.pmod(hash_int(F.lit(seed), *[F.col(c) for c in key]), F.lit(k)).cast("long")
 
 
@@ -38,7 +39,6 @@ def fold_assign(df: DataFrame, k: int, seed: int, key: Sequence[str], out: str =
 
 # ------------------------------------------------------------------- rank
 ROWS_PER_BUCKET = 50_000
-TWO32 = 4294967296.0
 
 
 def bucket_rank(df: DataFrame, part: Sequence[str], order: Sequence[Column | str], bucket: Column,
@@ -71,13 +71,13 @@ def n_buckets_for(df: DataFrame, parts: int = 1) -> int:
     """Buckets so that a (part, bucket) group holds about ROWS_PER_BUCKET
     rows (one count job)."""
     n = df.count()
-    return int(min(1 << 20, max(1, -(-n // (max(parts, 1) * ROWS_PER_BUCKET)))))
+    return max(1, -(-n // (max(parts, 1) * ROWS_PER_BUCKET)))
 
 
 def hash_rank(df: DataFrame, part: Sequence[str], h: str, key: Sequence[str], out: str,
               n_buckets: int) -> DataFrame:
-    """Rank by (h, key) within ``part`` where ``h`` is a 32-bit hash integer."""
-    bucket = F.floor(F.col(h).cast("double") / F.lit(TWO32) * F.lit(float(n_buckets))).cast("long")
+    """Rank by (h, key) within ``part`` where ``h`` is an integer of ``hash_int``."""
+    bucket = F.floor(F.col(h).cast("double") / F.lit(float(HASH_RANGE)) * F.lit(float(n_buckets))).cast("long")
     return bucket_rank(df, part, [F.col(h), *[F.col(k) for k in key]], bucket, out)
 
 
@@ -157,12 +157,16 @@ def crossfit_cell_aipw(df: DataFrame, t: str, y: str, cells: Sequence[str], key:
     is affine in Y within (fold, cell, arm), so its mean and sample variance
     come from that same aggregation: the rows are read once, never joined
     back."""
-    by, cells = list(by), list(cells)
-    T, Y = F.col(t).cast("double"), F.col(y)
-    d = fold_assign(df, k, seed, key, "_fold")
+    by = list(by)
+    T, Y = F.col(t).cast("double"), F.col(y).cast("double")
+    # Only rows with treatment and outcome count, in the sums and in the counts alike.
+    d = fold_assign(df.where(F.col(t).isNotNull() & F.col(y).isNotNull()), k, seed, key, "_fold")
+    # Covariates may have any name: they become keys of their own.
+    d = d.select(*by, "_fold", T.alias("_t"), Y.alias("_y"), *[F.col(x).alias(f"_cell{i}") for i, x in enumerate(cells)])
+    cells = [f"_cell{i}" for i in range(len(list(cells)))]
     zero = F.lit(0.0)
-    y1, y0 = F.when(T == 1, Y), F.when(T == 0, Y)
-    sums = [F.count(F.lit(1)).alias("c"), F.sum(T).alias("n1"), F.coalesce(F.sum(y1), zero).alias("s1"),
+    y1, y0 = F.when(F.col("_t") == 1, F.col("_y")), F.when(F.col("_t") == 0, F.col("_y"))
+    sums = [F.count(F.lit(1)).alias("c"), F.sum("_t").alias("n1"), F.coalesce(F.sum(y1), zero).alias("s1"),
             F.coalesce(F.sum(y0), zero).alias("s0"),
             # test-fold moments per arm (the score is affine in Y per arm)
             F.avg(y1).alias("ybar1"), (F.var_pop(y1) * F.count(y1)).alias("m2_1"),
@@ -192,7 +196,7 @@ def crossfit_cell_aipw(df: DataFrame, t: str, y: str, cells: Sequence[str], key:
     ps = F.least(F.greatest(ps_raw, F.lit(clip[0])), F.lit(clip[1])) if clip else ps_raw
     mu1 = F.when(N1 > min_arm, c_mu1).otherwise(g_mu1)
     mu0 = F.when(N0 > min_arm, c_mu0).otherwise(g_mu0)
-    nuis = tab.select(*by, "_fold", *cells, F.col("n1").cast("long").alias("n1"),
+    nuis = tab.select(*by, F.col("n1").cast("long").alias("n1"),
                       (F.col("c") - F.col("n1")).cast("long").alias("n0"), "ybar1", "m2_1", "ybar0", "m2_0",
                       ps.alias("ps"), mu1.alias("mu1"), mu0.alias("mu0"))
     # psi = mu1 - mu0 + T/ps (Y - mu1) - (1-T)/(1-ps) (Y - mu0): affine in Y
@@ -201,25 +205,24 @@ def crossfit_cell_aipw(df: DataFrame, t: str, y: str, cells: Sequence[str], key:
     nuis = nuis.withColumns({
         "beta1": F.try_divide(F.lit(1.0), p_), "alpha1": m1 - m0 - F.try_divide(m1, p_),
         "beta0": F.try_divide(F.lit(-1.0), F.lit(1.0) - p_),
-        "alpha0": m1 - m0 + F.try_divide(m0, F.lit(1.0) - p_)}).where(p_.isNotNull())
+        "alpha0": m1 - m0 + F.try_divide(m0, F.lit(1.0) - p_)})
     return finish_estimate(affine_score_stats(nuis, by, ddof=1), by)
 
 
 # -------------------------------------------------------------- bootstrap
-# Cumulative Poisson(1) probabilities P(K <= k), k = 0..9,
-# from exp(-1) * sum_{j<=k} 1/j!.
-def _poisson1_cdf(kmax: int = 9) -> list[float]:
-    import math
-    acc, out = 0.0, []
-    for k in range(kmax + 1):
-        acc += math.exp(-1.0) / math.factorial(k)
-        out.append(acc)
+def poisson1_cdf() -> list[float]:
+    """P(K <= k) of Poisson(1) from k = 0 until the sum no longer grows in double precision."""
+    out, total, k = [], 0.0, 0
+    while not out or total + math.exp(-1.0) / math.factorial(k) > total:
+        total += math.exp(-1.0) / math.factorial(k)
+        out.append(total)
+        k += 1
     return out
 
 
 def poisson_weight(u: Column) -> Column:
-    """Poisson(1) draw by inverse CDF of a uniform (capped at 10, P < 1e-7)."""
-    cdf = _poisson1_cdf()
+    """Poisson(1) draw by inverse CDF of a uniform, over all values a double can tell apart."""
+    cdf = poisson1_cdf()
     expr = F.lit(len(cdf))
     for k in reversed(range(len(cdf))):
         expr = F.when(u < F.lit(cdf[k]), F.lit(k)).otherwise(expr)
@@ -237,6 +240,9 @@ def bootstrap_replicates(df: DataFrame, B: int, seed: int, key: Sequence[str], b
 
 
 # ----------------------------------------------------------- amputation
+SCORE_BRACKETS = 1000
+
+
 def ampute(df: DataFrame, cols: Sequence[str], rate: float, mechanism: str = "MAR", key: Sequence[str] = (),
            seed: int = 0, y: str | None = None, x0: str | None = None, frac_lo: float = 0.3,
            frac_hi: float = 0.7) -> DataFrame:
@@ -246,13 +252,16 @@ def ampute(df: DataFrame, cols: Sequence[str], rate: float, mechanism: str = "MA
     are chosen (ranking rows by u/p, a weighted draw without replacement),
     and in a chosen row each column of ``cols`` is blanked with probability
     drawn uniformly in [frac_lo, frac_hi]; ``x0`` is never blanked.
-    MNAR: each cell blanked with chance logit(a0 + .5 x), a0 = -ln((1-r)/r)."""
+    MNAR: each cell but those of ``x0`` blanked with chance
+    logit(a0 + .5 x), a0 = -ln((1-r)/r)."""
     cols = list(cols)
     key = list(key)
     if mechanism.upper() == "MNAR":
-        a0 = -float(__import__("math").log((1 - rate) / rate))
+        a0 = -math.log((1 - rate) / rate)
         out = {}
         for j, c in enumerate(cols):
+            if c == x0:
+                continue
             p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a0) + F.lit(0.5) * F.col(c))))
             u = hash_uniform(F.lit(seed), F.lit(f"cell{j}"), *[F.col(k) for k in key])
             out[c] = F.when(u < p, F.lit(None).cast("double")).otherwise(F.col(c))
@@ -265,12 +274,23 @@ def ampute(df: DataFrame, cols: Sequence[str], rate: float, mechanism: str = "MA
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
     u = hash_uniform(F.lit(seed), F.lit("row"), *[F.col(k) for k in key])
     d = d.withColumn("_score", F.ln(u) / p)            # larger is likelier (exponential race)
-    nb = n_buckets_for(df)
-    # exp(score) lies in (0, 1] and never decreases with the score, so
-    # buckets of 1 - exp(score) follow the ranking order (-score, key).
-    bucket = F.floor((F.lit(1.0) - F.exp(F.col("_score"))) * F.lit(float(nb))).cast("long")
-    ranked = bucket_rank(d, [], [-F.col("_score"), *[F.col(k) for k in key]], bucket, "_rk")
-    chosen = F.col("_rk") <= F.round(F.lit(float(rate)) * F.col("_n"))
+    # The cut is the round(rate n)-th largest score: brackets of equal counts
+    # (sketched edges) are counted, and only the bracket that holds the cut
+    # is ranked row by row.
+    edges = d.agg(F.percentile_approx(F.col("_score"), [i / SCORE_BRACKETS for i in range(1, SCORE_BRACKETS)], 10_000).alias("_edges"))
+    d = with_one_row(d, edges)
+    bracket = F.lit(SCORE_BRACKETS) - F.size(F.filter("_edges", lambda e: e < F.col("_score")))
+    d = cut_lineage(d.withColumn("_br", bracket.cast("long")).drop("_edges"))
+    sizes = d.groupBy("_br").agg(F.count(F.lit(1)).alias("_size"))
+    ahead = F.coalesce(F.sum("_size").over(Window.orderBy("_br").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("_ahead", ahead)
+    take = F.round(F.lit(float(rate)) * F.col("_n"))
+    d = join_on_keys(d, sizes, ["_br"], "inner")
+    split = (F.col("_ahead") < take) & (F.col("_ahead") + F.col("_size") > take)
+    order = [F.col("_score").desc(), *[F.col(k) for k in key]]
+    inside = d.where(split).withColumn("_rk", F.col("_ahead") + F.row_number().over(Window.partitionBy("_br").orderBy(*order)))
+    ranked = d.where(~split).withColumn("_rk", F.when(F.col("_ahead") < take, F.lit(0)).otherwise(F.col("_n") + 1)).unionByName(inside)
+    chosen = F.col("_rk") <= take
     frac = F.lit(frac_lo) + F.lit(frac_hi - frac_lo) * hash_uniform(F.lit(seed), F.lit("frac"), *[F.col(k) for k in key])
     out = {}
     for j, c in enumerate(cols):
@@ -278,4 +298,4 @@ def ampute(df: DataFrame, cols: Sequence[str], rate: float, mechanism: str = "MA
             continue
         uc = hash_uniform(F.lit(seed), F.lit(f"col{j}"), *[F.col(k) for k in key])
         out[c] = F.when(chosen & (uc < frac), F.lit(None).cast("double")).otherwise(F.col(c))
-    return ranked.withColumns(out).drop("_ym", "_ys", "_xm", "_xs", "_n", "_score", "_rk")
+    return ranked.withColumns(out).drop("_ym", "_ys", "_xm", "_xs", "_n", "_score", "_rk", "_br", "_size", "_ahead")

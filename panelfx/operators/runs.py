@@ -102,12 +102,14 @@ def merge_runs(df: DataFrame, strategy: str = "keep_first", keys: Sequence[str]
     ``keep_first`` / ``keep_last`` keep the row with the smallest / largest
     (file_no, line_no) per key; ``average`` groups by the keys (rows with a missing
     key dropped, as a grouped mean does) and averages numeric non-key
-    columns.  Unknown strategies mean ``keep_first``; missing key columns
+    columns; a table without duplicate keys comes back unchanged.  Unknown strategies mean ``keep_first``; missing key columns
     return the input unchanged."""
     keys = list(keys)
     if any(k not in df.columns for k in keys):
         return df
     if strategy == "average":
+        if df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").isEmpty():
+            return df
         num = [f.name for f in df.schema.fields
                if isinstance(f.dataType, NumericType) and f.name not in keys and f.name not in order]
         if not num:
@@ -158,10 +160,6 @@ def merged_statistics(df: DataFrame, keys: Sequence[str] = CONDITION_KEYS) -> Da
     return with_one_row(base, rep_stats)
 
 
-def method_counts(df: DataFrame, method: str = "method") -> DataFrame:
-    return df.groupBy(method).agg(F.count(F.lit(1)).alias("n"))
-
-
 def parameter_grid(*lists: DataFrame) -> DataFrame:
     """#66: product of parameter lists (each a small one-column DataFrame of
     distinct values).  The product is the operator's definition; its size

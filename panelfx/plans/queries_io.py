@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import effects as E
 from ..operators import impute as IM
+from ..operators import runs as R
 from ..session import ensure_checkpoint_dir
 from ..sources import io as IO
 from . import sqlfrag as S
@@ -35,14 +36,11 @@ def q_read_yearly(spark, sf_dir):
     stacked by name."""
     root = scratch(spark, "yearly")
     p = firm_panel(spark, sf_dir).select("year", "firm_id", "revenue", "energy")
-    years = [r[0] for r in p.select("year").distinct().collect()]
-    for y in years:
-        part = p.where(F.col("year") == y).drop("year")
-        if y <= 1997:
-            part = part.drop("energy")
-        part.write.mode("overwrite").option("header", True).csv(f"{root}/survey_{y}")
-    df = IO.read_yearly(spark, root + "/survey_{year}", range(min(years) - 1, max(years) + 1),
-                        exists=lambda path: IO.path_exists(spark, path))
+    span = p.agg(F.min("year").alias("first"), F.max("year").alias("last")).first()
+    # One pass per header: the writer deals the rows into one folder per year.
+    for part in (p.where("year <= 1997").drop("energy"), p.where("year > 1997")):
+        part.write.mode("append").partitionBy("year").option("header", True).csv(root)
+    df = IO.read_yearly(spark, root + "/year={year}", range(span["first"] - 1, span["last"] + 2))
     return df.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.count("energy").alias("n_energy"),
                                   F.round(F.sum(F.col("revenue").cast("double")), 2).alias("revenue"))
 
@@ -76,25 +74,47 @@ def q_result_report(spark, sf_dir):
 
 
 @register("read_result_files", with_runs("""
-select file_no, count(*)::bigint n, count(distinct seed)::bigint n_seeds from runs group by file_no"""))
+select file_no, count(*)::bigint n, count(distinct seed)::bigint n_seeds,
+  count(case when file_no <> 2 then ci_upper end)::bigint n_ci, count(distinct method)::bigint n_methods,
+  round(avg(ate_est), 6) ate_mean from runs group by file_no"""))
 def q_read_result_files(spark, sf_dir):
-    """#11: run tables written as one CSV folder per file, read back in one
-    pass through a glob; the file number comes from the source path order."""
+    """#11: run tables written as one CSV folder per file with columns in
+    another order (file 1) and an absent column (file 2), read back by name;
+    the file number is the order of the patterns, which is not that of the paths."""
     root = scratch(spark, "runs")
     rt = run_table(spark, sf_dir)
     for i in range(4):
-        rt.where(F.col("file_no") == i).drop("file_no").coalesce(1).write.option("header", True).csv(
-            f"{root}/results_{i}")
-    paths = [f"{root}/results_{i}/*.csv" for i in range(4)]
-    df = IO.read_result_files(spark, paths)
-    fno = F.regexp_extract(F.col("source_file"), r"results_([0-9]+)/", 1).cast("long")
-    return df.groupBy(fno.alias("file_no")).agg(F.count(F.lit(1)).alias("n"),
-                                               F.count_distinct("seed").alias("n_seeds"))
+        part = rt.where(F.col("file_no") == i).drop("file_no")
+        part = part.select(*reversed(part.columns)) if i == 1 else part.drop("ci_upper") if i == 2 else part
+        part.coalesce(1).write.option("header", True).csv(f"{root}/{'dbca'[i]}_results")
+    df = IO.read_result_files(spark, [f"{root}/{c}_res*" for c in "dbca"])
+    return df.groupBy("file_no").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("seed").alias("n_seeds"),
+                                     F.count("ci_upper").alias("n_ci"), F.count_distinct("method").alias("n_methods"),
+                                     F.round(F.avg("ate_est"), 6).alias("ate_mean"))
+
+
+@register("merge_result_files", with_runs("""
+select method, count(*)::bigint n, round(sum(ate_est), 6) ate_sum from (
+  select *, row_number() over (partition by n, p, imbalance_ratio, missing_rate, scenario, seed, method
+                               order by case file_no when 3 then 0 when 2 then 1 when 1 then 2 else 3 end) k from runs) x
+where k = 1 group by method"""))
+def q_merge_result_files(spark, sf_dir):
+    """#11 + #63: result files read in a given order and merged by it (the
+    file named first wins), lines of a file by their own order."""
+    root = scratch(spark, "merge")
+    rt = run_table(spark, sf_dir)
+    for i in range(4):
+        part = rt.where(F.col("file_no") == i).drop("file_no", "line_no")
+        part.coalesce(1).write.option("header", True).csv(f"{root}/results_{i}")
+    df = IO.read_result_files(spark, [f"{root}/results_{i}" for i in (3, 2, 1, 0)])
+    kept = R.merge_runs(df, "keep_first")
+    return kept.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("ate_est"), 6).alias("ate_sum"))
 
 
-@register("read_selected_variables")
+@register("read_selected_variables", FA("""select count(hs)::bigint hs, count(region)::bigint region,
+  count(total_debt)::bigint total_debt from fa"""))
 def q_selected_variables(spark, sf_dir):
-    """#7 (rows-only): a stored covariate list restricts the covariates; an
+    """#7: a stored covariate list restricts the covariates; an
     absent list means all."""
     root = scratch(spark, "selected")
     fa = firm_analysis(spark, sf_dir)

@@ -144,7 +144,7 @@ def q_stage2(spark, sf_dir):
 
 
 # ------------------------------------------------------------- #85 folds
-_FOLD = "(('0x' || substr(md5('42:' || cast(id as varchar)), 1, 8))::bigint % 5)"
+_FOLD = "(('0x' || substr(md5('42:' || cast(id as varchar)), 1, 13))::bigint % 5)"
 
 
 @register("fold_assign", O(f"select {_FOLD} fold, count(*)::bigint n, sum(t)::bigint n_treated from base group by 1"))
@@ -254,13 +254,20 @@ def q_regression(spark, sf_dir):
 
 
 # ---------------------------------------------------------- #93 / #93b
+# P(K <= k) of Poisson(1), k = 0, 1, 2, ... until 1 in double precision.
+_POISSON1_CDF = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238463, 0.9963401531726563,
+                0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402, 0.9999998885745216,
+                0.9999999899522336, 0.9999999991683892, 0.9999999999364022, 0.9999999999954802, 0.9999999999997,
+                0.9999999999999813, 0.9999999999999989, 0.9999999999999999, 1.0]
+
+
 def _poisson_case(u: str) -> str:
-    cdf = RS._poisson1_cdf()
-    parts = " ".join(f"when {u} < {repr(v)} then {k}" for k, v in enumerate(cdf))
-    return f"(case {parts} else {len(cdf)} end)"
+    parts = " ".join(f"when {u} < {v!r}::double then {k}" for k, v in enumerate(_POISSON1_CDF))
+    return f"(case {parts} else {len(_POISSON1_CDF)} end)"
 
 
-_U_BOOT = "(('0x' || substr(md5('42:' || cast(bb as varchar) || ':' || cast(firm_id as varchar) || ':' || cast(year as varchar)), 1, 8))::bigint / 4294967296.0)"
+_U_BOOT = ("((('0x' || substr(md5('42:' || cast(bb as varchar) || ':' || cast(firm_id as varchar) || ':' "
+           "|| cast(year as varchar)), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double)")
 
 _CEM_SQL = f"""
 cc0 as (select * from fa where total_debt is not null and rd_employees_total is not null),
@@ -322,10 +329,10 @@ R_PLACEBO = 200
 
 def _perm_sql(moved: str, suf: str = "") -> str:
     h = ("(('0x' || substr(md5('42:' || cast(r as varchar) || ':' || cast(firm_id as varchar) || ':' "
-         "|| cast(year as varchar)), 1, 8))::bigint)")
+         "|| cast(year as varchar)), 1, 13))::bigint)")
     return f"""
 kb{suf} as (select firm_id, year, t, y, hs, row_number() over (order by (('0x' || substr(md5('k:' || cast(firm_id as varchar)
-             || ':' || cast(year as varchar)), 1, 8))::bigint), firm_id, year) krank from fa),
+             || ':' || cast(year as varchar)), 1, 13))::bigint), firm_id, year) krank from fa),
 rep{suf} as (select kb{suf}.*, rr.r from kb{suf}, range(1, {R_PLACEBO + 1}) rr(r)),
 src{suf} as (select r, {moved} mv, row_number() over (partition by r order by {h}, firm_id, year) hrank from rep{suf}),
 perm{suf} as (select p.* exclude ({moved}), s.mv {moved} from rep{suf} p join src{suf} s
@@ -462,15 +469,15 @@ def q_methods(spark, sf_dir):
 
 # ---------------------------------------------------------------- #101
 def _u(tag: str) -> str:
-    return (f"(('0x' || substr(md5('7:{tag}:' || cast(firm_id as varchar) || ':' || cast(year as varchar)), 1, 8))"
-            f"::bigint / 4294967296.0)")
+    return (f"((('0x' || substr(md5('7:{tag}:' || cast(firm_id as varchar) || ':' || cast(year as varchar)), 1, 13))"
+            f"::bigint::double + 0.5) / 4503599627370496.0::double)")
 
 
 _AMP_COLS = ["dti_mean", "hs", "region"]
 _A0 = -__import__("math").log((1 - 0.3) / 0.3)
 _AMP_SQL = f"""
-mn as (select {', '.join(f"case when {_u(f'cell{j}')} < 1 / (1 + exp(-({repr(_A0)} + 0.5 * {c}))) then null else {c} end {c}"
-                           for j, c in enumerate(_AMP_COLS))} from fa),
+mn as (select {', '.join((f"case when {_u(f'cell{j}')} < 1 / (1 + exp(-({repr(_A0)} + 0.5 * {c}))) then null else {c} end {c}"
+                            if c != "region" else c) for j, c in enumerate(_AMP_COLS))} from fa),
 st as (select avg(y) ym, stddev_samp(y) ys, avg(region) xm, stddev_samp(region) xs, count(*) n from fa),
 sr as (select fa.*, n, ln({_u('row')}) / (1 / (1 + exp(-(-1 + 0.3 * (y - ym) / ys + 0.3 * (region - xm) / xs)))) score
        from fa, st),
@@ -489,7 +496,7 @@ def q_ampute(spark, sf_dir):
     outcome and first covariate, exactly floor(.3 n) rows, 30-70 % of the
     other columns blanked) on a real table; md5 draws."""
     d = firm_analysis(spark, sf_dir)
-    mn = RS.ampute(d, _AMP_COLS, 0.3, "MNAR", ["firm_id", "year"], seed=7)
+    mn = RS.ampute(d, _AMP_COLS, 0.3, "MNAR", ["firm_id", "year"], seed=7, x0="region")
     ma = RS.ampute(d, _AMP_COLS, 0.3, "MAR", ["firm_id", "year"], seed=7, y="y", x0="region")
     parts = []
     for name, t in (("MNAR", mn), ("MAR", ma)):
@@ -582,7 +589,7 @@ cc2 as (select * from cc where (select count(*) >= 100 from cc)),"""
 
 
 def _crossfit_bins_sql(src: str) -> str:
-    fold = ("(('0x' || substr(md5('42:' || cast(firm_id as varchar) || ':' || cast(year as varchar)), 1, 8))"
+    fold = ("(('0x' || substr(md5('42:' || cast(firm_id as varchar) || ':' || cast(year as varchar)), 1, 13))"
             "::bigint % 5)")
     return f"""
 ed as (select quantile_cont(total_debt, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) qd,

@@ -9,29 +9,25 @@ Scratch output belongs under the session's shared checkpoint folder (see
 
 from __future__ import annotations
 
-import glob as _glob
-import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.frame import union_by_name
 
-LEGACY_CHARSET_CONF = "spark.sql.legacy.javaCharsets"
 
-
-def read_yearly(spark: SparkSession, template: str, years: Sequence[int], encoding: str = "UTF-8",
-                exists=os.path.exists) -> DataFrame | None:
-    """#1 + #2: one CSV per year (``template.format(year=y)``), absent years
-    skipped, all columns read as strings by header name, then stacked by
+def read_yearly(spark: SparkSession, template: str, years: Sequence[int], encoding: str = "UTF-8") -> DataFrame | None:
+    """#1 + #2: one CSV per year (``template.format(year=y)``, any path that
+    the session's file systems know), absent years skipped, all columns read as strings by header name, then stacked by
     name (columns absent in a year become NULL).  A ``year`` column is added
     when the file has none.  Legacy charsets such as cp949 need
     ``spark.sql.legacy.javaCharsets=true`` on the session."""
     frames = []
     for y in years:
         path = template.format(year=y)
-        if not exists(path):
+        if not path_exists(spark, path):
             continue
         df = (spark.read.option("header", True).option("encoding", encoding)
               .option("inferSchema", False).csv(path))
@@ -128,36 +124,75 @@ def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
     report.select("report").coalesce(1).write.mode(mode).text(path)
 
 
-_SCHEME = __import__("re").compile(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+def matched_files(spark: SparkSession, patterns: Sequence[str]) -> list[tuple[int, str]]:
+    """(number of the match, data file) of all patterns, through the session's file systems.
+
+    Matches are numbered in the order of the patterns, then by path.  A
+    matched folder is one match; its data files are listed below it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out: list[tuple[int, str]] = []
+    seen: set[str] = set()
+    for pattern in patterns:
+        path = jvm.org.apache.hadoop.fs.Path(pattern)
+        system = path.getFileSystem(conf)
+        hits = {s.getPath().toUri().toString(): s for s in (system.globStatus(path) or [])}
+        for name in sorted(hits):
+            if name in seen:
+                continue
+            number = len(seen)
+            seen.add(name)
+            files = [hits[name]] if hits[name].isFile() else list(system.listStatus(hits[name].getPath()))
+            for f in sorted(x.getPath().toUri().toString() for x in files if x.isFile()):
+                if not f.rsplit("/", 1)[-1].startswith(("_", ".")):
+                    out.append((number, f))
+    return out
 
 
-def expand_patterns(patterns: Sequence[str]) -> list[str]:
-    """Glob expansion for plain local paths; paths with a scheme (file:,
-    hdfs://, s3a://, ...) are passed through, Spark expands their globs."""
-    out: list[str] = []
-    for p in patterns:
-        if _SCHEME.match(p):
-            out.append(p)
-            continue
-        hits = sorted(_glob.glob(p))
-        out.extend(hits if hits else ([p] if os.path.exists(p) else []))
-    return out
+def _file_name(path):
+    """One spelling of a file's URI (``file:/a`` and ``file:///a`` are the same)."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
 
+def read_result_files(spark: SparkSession, patterns: Sequence[str], schema: str | None = None) -> DataFrame | None:
+    """#11: every CSV matched by the patterns, columns aligned by header name.
 
-def read_result_files(spark: SparkSession, patterns: Sequence[str], infer: bool = True) -> DataFrame | None:
-    """#11: every CSV matched by the patterns in one read, keeping the source
-    path (``source_file``) and a file number (``file_no``, by path order);
-    unreadable files are skipped (``ignoreCorruptFiles``)."""
-    paths = expand_patterns(patterns)
-    if not paths:
+    Columns absent in a file are NULL.  ``schema`` (DDL) names and types the
+    columns; without it the types are inferred per set of equal headers.
+    Adds ``source_file``, ``file_no`` (order of the patterns, then of the
+    paths) and ``line_no`` (rises along a file; a row keeps its number
+    whatever the partitioning of other files), in place of columns of those
+    names.  Unreadable files are skipped;
+    no match gives None."""
+    files = matched_files(spark, patterns)
+    if not files:
         return None
-    df = (spark.read.option("header", True).option("inferSchema", infer)
-          .option("ignoreCorruptFiles", True).option("mode", "PERMISSIVE").csv(paths))
-    df = df.withColumn("source_file", F.col("_metadata.file_path"))
-    # One row per file: the numbering window runs over the file list only.
-    files = df.select("source_file").distinct().withColumn(
-        "file_no", F.row_number().over(Window.orderBy("source_file")) - 1)
-    return df.join(F.broadcast(files), "source_file", "left")
+    options = {"header": True, "ignoreCorruptFiles": True, "mode": "PERMISSIVE"}
+    paths = [f for _, f in files]
+    lines = (spark.read.option("ignoreCorruptFiles", True).text(paths)
+             .select("value", _file_name(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("start"))
+             .where("start = 0"))
+    # The first line of the first block; a row per file reaches the driver, which lists the files anyway.
+    first = (lines.withColumn("row", F.monotonically_increasing_id())
+             .groupBy("file").agg(F.min_by("value", "row").alias("header")))
+    headers: dict[str, list[str]] = {}
+    for r in first.orderBy("file").collect():
+        headers.setdefault(r["header"], []).append(r["file"])
+    frames = []
+    for group in headers.values():
+        df = spark.read.options(**options).option("inferSchema", schema is None).csv(group)
+        names = [c for c in df.columns if c not in ("source_file", "file_no", "line_no")]
+        # Blocks of a file start further apart than one task has rows, so start + row rises along the file.
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        df = df.select(*names, _file_name(F.col("_metadata.file_path")).alias("source_file"),
+                       (F.col("_metadata.file_block_start") + row).alias("line_no"))
+        if schema is not None:
+            wanted = StructType.fromDDL(schema)
+            df = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in names
+                             else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted], "source_file", "line_no")
+        frames.append(df)
+    numbers = spark.createDataFrame([(n, f) for n, f in files], "file_no long, listed string").select(
+        "file_no", _file_name(F.col("listed")).alias("source_file"))
+    return union_by_name(frames).join(numbers, "source_file", "left")
 
 
 CHECKPOINT_PATTERN = r"_([0-9]+)of([0-9]+)\.csv$"
@@ -175,9 +210,3 @@ def latest_checkpoint(names: DataFrame, name_col: str = "name", total: int | Non
         ok = ok & (tot == str(total))
     parsed = names.where(ok).withColumn("_i", i.cast("long"))
     return parsed.groupBy(*by).agg(F.max("_i").alias("latest"), F.max_by(name_col, "_i").alias("name"))
-
-
-def append_results(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
-    """Incremental, restart-safe result storage: append per condition
-    partition (a finished condition is a committed partition)."""
-    df.write.mode("append").partitionBy(*partition_by).parquet(path)
