@@ -124,7 +124,13 @@ def cell_aipw(df: DataFrame, t: str, y: str, cells: Sequence[str], by: Sequence[
     by, cells = list(by), list(cells)
     # The moments table (one row per cell) feeds several small aggregations
     # and joins; materialising it once keeps the input to a single scan.
-    cell = cut_lineage(cell_moments(df, t, y, cells, by))
+    return aipw_from_moments(cut_lineage(cell_moments(df, t, y, cells, by)), cells, by, clip, min_rows, min_train)
+
+
+def aipw_from_moments(cell: DataFrame, cells: Sequence[str], by: Sequence[str] = (),
+                      clip: tuple[float, float] | None = (0.01, 0.99), min_rows: int = 0, min_train: int = 0) -> DataFrame:
+    """AIPW from a stored table of cell moments (``learners.cell_moments``)."""
+    by = list(by)
     tab = _cell_predictions(cell, by, cells, clip, min_train)
     ps, mu1, mu0 = F.col("ps"), F.col("mu1"), F.col("mu0")
     tab = tab.withColumns({

@@ -15,13 +15,14 @@ task and every value is reproducible.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.expr import HASH_RANGE, hash_int, hash_uniform
-from .effects import affine_score_stats, cell_aipw, finish_estimate
+from .effects import affine_score_stats, aipw_from_moments, finish_estimate
 from .learners import join_on_keys
 from ..session import cut_lineage
 from .frame import with_one_row
@@ -108,17 +109,81 @@ def permute_within_replicates(df: DataFrame, moved: Sequence[str], key: Sequence
 
 
 # ----------------------------------------------------------- placebo runs
+HASH_BUCKETS = 4096
+
+
+def replicate_cuts(df: DataFrame, upto: Sequence[int], draw: Callable[[Column], Column], R: int) -> DataFrame:
+    """One row with ``_cuts``: per replicate r = 1..R, the draws at the ranks ``upto`` (1-based, rising).
+
+    Rows are counted per (replicate, range of draws) where they lie; only the
+    ranges that hold a wanted rank are then put in order.  Neither step
+    shuffles a replicated row: the counts are combined map-side, and of the
+    second step's rows only one in HASH_BUCKETS per rank leaves a task."""
+    ranks = F.array(*[F.lit(int(k)) for k in upto])
+    drawn = replicate(df, R, "_r").select("_r", draw(F.col("_r")).alias("_h"))
+    bucket = F.floor(F.col("_h") / F.lit(HASH_RANGE // HASH_BUCKETS)).cast("int")
+    drawn = drawn.withColumn("_b", bucket)
+    counts = drawn.groupBy("_r", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    running = F.sum("_n").over(Window.partitionBy("_r").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    held = (counts.withColumn("_to", running).withColumn("_from", F.col("_to") - F.col("_n"))
+            .withColumn("_k", F.explode(F.filter(ranks, lambda k: (k > F.col("_from")) & (k <= F.col("_to")))))
+            .select("_r", "_b", (F.col("_k") - F.col("_from")).alias("_at"), "_k"))
+    held = cut_lineage(held)  # R x len(upto) rows
+    ranges = held.groupBy("_r").agg(F.collect_set("_b").alias("_bs")).agg(
+        F.map_from_entries(F.collect_list(F.struct("_r", "_bs"))).alias("_open"))
+    near = with_one_row(drawn, ranges).where(F.array_contains(F.try_element_at("_open", F.col("_r")), F.col("_b"))).drop("_open")
+    place = near.withColumn("_at", F.row_number().over(Window.partitionBy("_r", "_b").orderBy("_h")))
+    found = place.join(held, ["_r", "_b", "_at"]).groupBy("_r").agg(F.array_sort(F.collect_list("_h")).alias("_limits"))
+    return found.agg(F.map_from_entries(F.collect_list(F.struct("_r", "_limits"))).alias("_cuts"))
+
+
 def placebo(df: DataFrame, t: str, y: str, cells: Sequence[str], key: Sequence[str], R: int = 1000,
             permute: str = "treatment", seed: int = 42, clip=(0.01, 0.99), r_col: str = "r",
             hash_method: str = "md5") -> DataFrame:
     """#94 / #95: per replicate, permute T (or Y) and re-estimate AIPW with
-    cell-mean nuisances; one row per replicate."""
-    moved = [t] if permute == "treatment" else [y]
-    # The analysis table is read by the rank, the count and the join; it is
-    # materialised once instead of being rebuilt from its sources each time.
-    d = cut_lineage(df.select(*key, t, y, *cells))
-    perm = permute_within_replicates(d, moved, key, R, seed, r_col, hash_method)
-    return cell_aipw(perm, t, y, cells, by=[r_col], clip=clip)
+    cell-mean nuisances; one row per replicate.
+
+    A replicate orders the rows by a draw from (seed, r, key).  Permuting a
+    treatment gives T = 1 to the first n1 rows, T = 0 to the next n0.
+    Permuting an outcome hands the rows' outcomes to the (T, cell) groups in
+    turn, each group as many as it has rows.  Either way a row's part in
+    replicate r follows from its own draw and the draws at a few ranks, so
+    the moments per (replicate, cell, arm) come from one map-side combined
+    aggregation.  Draws have 52 bits; should two rows tie at a rank, both
+    fall to the same side."""
+    key = list(key)
+    names = [f"_cell{i}" for i in range(len(list(cells)))]
+    d = cut_lineage(df.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(key)], F.col(t).cast("int").alias("_t"),
+                              F.col(y).cast("double").alias("_y"), *[F.col(c).alias(n) for c, n in zip(cells, names)]))
+
+    def draw(r: Column) -> Column:
+        return hash_int(F.lit(seed), r, *[F.col(f"_key{i}") for i in range(len(key))], method=hash_method)
+
+    groups = ["_t"] if permute == "treatment" else ["_t", *names]
+    order = [F.col("_t").desc_nulls_last(), *[F.col(n).asc_nulls_first() for n in groups[1:]]]
+    # One row per value of T, or per (T, cell): the size of the result's own cell table.
+    slots = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size")).orderBy(*order).collect()
+    upto, total = [], 0
+    for s in slots:
+        total += s["_size"]
+        upto.append(total)
+    cuts = replicate_cuts(d, upto[:-1], draw, R) if len(upto) > 1 else d.sparkSession.range(1).select(
+        F.expr("cast(null as map<bigint, array<bigint>>)").alias("_cuts"))
+    schema = StructType([StructField("_slot", IntegerType()), *d.select(*groups).schema.fields])
+    slot_table = d.sparkSession.createDataFrame([(i, *[s[g] for g in groups]) for i, s in enumerate(slots)], schema)
+    rows = with_one_row(replicate(d, R, r_col).withColumn("_h", draw(F.col(r_col))), cuts)
+    limits = F.coalesce(F.try_element_at("_cuts", F.col(r_col)), F.array().cast("array<bigint>"))
+    rows = rows.withColumn("_slot", F.size(F.filter(limits, lambda x: x < F.col("_h"))))
+    kept = names if permute == "treatment" else []
+    moments = rows.where("_y is not null").groupBy(r_col, *kept, "_slot").agg(
+        F.count("_y").alias("_n"), F.avg("_y").alias("_mean"), (F.var_pop("_y") * F.count("_y")).alias("_m2"))
+    # One row per (replicate, cell, arm) from here on.
+    moments = moments.join(slot_table, "_slot").where("_t is not null")
+    one = {a: F.col("_t") == a for a in (1, 0)}
+    cell = moments.groupBy(r_col, *names).agg(*[x for a in (1, 0) for x in (
+        F.coalesce(F.sum(F.when(one[a], F.col("_n"))), F.lit(0)).alias(f"n{a}"),
+        F.max(F.when(one[a], F.col("_mean"))).alias(f"ybar{a}"), F.max(F.when(one[a], F.col("_m2"))).alias(f"m2_{a}"))])
+    return aipw_from_moments(cut_lineage(cell), names, [r_col], clip)
 
 
 def placebo_summary(real: DataFrame, treat_reps: DataFrame | None, outcome_reps: DataFrame | None) -> DataFrame:

@@ -328,16 +328,19 @@ R_PLACEBO = 200
 
 
 def _perm_sql(moved: str, suf: str = "") -> str:
+    """Rows in the order of a replicate's draws; T (or Y) handed out in turn."""
     h = ("(('0x' || substr(md5('42:' || cast(r as varchar) || ':' || cast(firm_id as varchar) || ':' "
          "|| cast(year as varchar)), 1, 13))::bigint)")
-    return f"""
-kb{suf} as (select firm_id, year, t, y, hs, row_number() over (order by (('0x' || substr(md5('k:' || cast(firm_id as varchar)
-             || ':' || cast(year as varchar)), 1, 13))::bigint), firm_id, year) krank from fa),
-rep{suf} as (select kb{suf}.*, rr.r from kb{suf}, range(1, {R_PLACEBO + 1}) rr(r)),
-src{suf} as (select r, {moved} mv, row_number() over (partition by r order by {h}, firm_id, year) hrank from rep{suf}),
-perm{suf} as (select p.* exclude ({moved}), s.mv {moved} from rep{suf} p join src{suf} s
-              on p.r = s.r and p.krank = s.hrank)""" \
-        + "," + _cell_sql(f"perm{suf}", ["r"], ["hs"], name=f"sc{suf}") + "," + _aipw_sql(f"sc{suf}", ["r"], name=f"est{suf}")
+    ranked = f"""
+rep{suf} as (select fa.*, rr.r from fa, range(1, {R_PLACEBO + 1}) rr(r)),
+rk{suf} as (select *, row_number() over (partition by r order by {h}, firm_id, year) rank from rep{suf}),"""
+    if moved == "t":
+        perm = f"perm{suf} as (select * exclude (t), (rank <= (select sum(t) from fa))::int t from rk{suf})"
+    else:
+        perm = f"""slots{suf} as (select t, hs, count(*) c, sum(count(*)) over (order by t desc, hs nulls first) upto from fa group by t, hs),
+perm{suf} as (select k.r, k.y, s.t, s.hs from rk{suf} k join slots{suf} s on k.rank <= s.upto and k.rank > s.upto - s.c)"""
+    return ranked + perm + "," + _cell_sql(f"perm{suf}", ["r"], ["hs"], name=f"sc{suf}") + "," + _aipw_sql(
+        f"sc{suf}", ["r"], name=f"est{suf}")
 
 
 def _placebo_spark(spark, sf_dir, which):
