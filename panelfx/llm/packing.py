@@ -27,20 +27,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelfx.session import stored
 
-from .words import SLICE_BYTES, slices, word_strings
+from .words import LOWER, SLICE_BYTES, buffer_of, slices, word_strings
 
 CAPACITY = 4096
 PIECE = 512
 END_ID = 2
 GROUP_IDS = 1 << 20      # ids of a group on average: bounds a task's memory and its work
-MAX_KNOWN = 300_000      # words kept by a worker between batches; beyond, it starts anew
+MAX_KNOWN = 1_000_000    # words kept by a worker between batches (about 60 MB); beyond, it starts anew
+LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[0x61:0x7B] = True
+MARK[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True  # without ' < > |
 
 
 def default_vocabulary() -> str:
@@ -49,7 +51,7 @@ def default_vocabulary() -> str:
 
 
 class WordIds:
-    """Ids of words by a tokenizer file, remembered between batches."""
+    """Ids of words by a tokenizer file, remembered between batches in two flat arrays."""
 
     _by_path: dict[str, WordIds] = {}
 
@@ -57,7 +59,12 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Keep the end mark alone, as word 0."""
+        self.place: dict[str, int] = {}
+        self.begin, self.flat = np.array([0, 1]), np.array([END_ID], np.uint32)
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -65,39 +72,49 @@ class WordIds:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
-    def ids(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.known) > MAX_KNOWN:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
+    def places(self, words: list[str]) -> np.ndarray:
+        """Number of each word: its ids are flat[begin[number]:begin[number + 1]]."""
+        if len(self.place) > MAX_KNOWN:
+            self.forget()
+        new = [w for w in words if w not in self.place]
         for start in range(0, len(new), 20_000):
             part = new[start:start + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, np.uint32)
-        return [self.known[w] for w in words]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self.place.update(zip(part, range(len(self.begin) - 1, len(self.begin) - 1 + len(part))))
+            self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum([len(x) for x in ids])))
+            self.flat = np.concatenate((self.flat, np.fromiter((i for x in ids for i in x), np.uint32)))
+        return np.fromiter((self.place[w] for w in words), np.int64, len(words))
+
+
+def split_plain(texts: pa.Array) -> pa.Array:
+    """Texts with ASCII capitals lowered and a space between an ASCII letter and the ASCII mark behind it.
+
+    Neither changes the ids: the normaliser lowers anyway, and a letter and a
+    mark are always in different pre-tokens (marks of contractions and of
+    special tokens are left alone).  Both make for fewer distinct words.
+    """
+    data, offsets = buffer_of(texts)
+    if b"<|" in data.tobytes():  # a special token may stand here, and its case counts
+        return texts
+    data = LOWER[data]
+    at = np.flatnonzero(LETTER[data[:-1]] & MARK[data[1:]]) + 1
+    data, offsets = np.insert(data, at, 0x20), offsets + np.searchsorted(at, offsets)
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def text_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, each closed by END_ID, and where each text starts (one more at the end)."""
-    words, counts = word_strings(texts)
-    # ASCII capitals are lowered by the normaliser anyway; special tokens are the one thing that case decides.
-    plain = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
-    coded = plain.dictionary_encode()
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks()
-    ids = WordIds.of(path).ids(coded.dictionary.to_pylist())
-    size = np.array([len(x) for x in ids] or [0], np.int64)
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    length = size[code] if len(code) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(counts)), counts)
-    # Room for each word's ids, and one END_ID behind each text.
-    at = np.cumsum(length) - length + row
-    out = np.full(int(length.sum()) + len(counts), END_ID, np.uint32)
-    within = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    out[np.repeat(at, length) + within] = flat[np.repeat(begin[code], length) + within] if len(code) else flat[:0]
-    per_text = np.bincount(row, weights=length, minlength=len(counts)).astype(np.int64) + 1
-    return out, np.concatenate(([0], np.cumsum(per_text)))
+    words, counts = word_strings(split_plain(texts))
+    coded = words.dictionary_encode()
+    known = WordIds.of(path)
+    place = known.places(coded.dictionary.to_pylist())
+    number = place[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+    ends = np.cumsum(counts)
+    number = np.insert(number, ends, 0)  # the end mark behind each text
+    size = np.diff(known.begin)[number]
+    upto = np.cumsum(size)
+    source = np.arange(upto[-1] if len(upto) else 0) + np.repeat(known.begin[number] - (upto - size), size)
+    return known.flat[source], np.concatenate(([0], upto[ends + np.arange(len(ends))]))
 
 
 def cuts(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[int]:
@@ -116,7 +133,7 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, piece: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for part in slices(batch, limit=SLICE_BYTES // 2):
+            for part in slices(batch, limit=SLICE_BYTES):
                 ids, edges = text_ids(part.column("text"), path)
                 ids = ids.astype("<u4")
                 rows, row_of = [], []
