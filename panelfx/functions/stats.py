@@ -38,31 +38,23 @@ def norm_ppf(p: float) -> float:
     return 0.5 * (lo + hi)
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta (modified Lentz)."""
-    tiny, eps = 1e-300, 3e-16
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 10000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < eps:
-            break
-    return h
+def beta_fraction(a: float, b: float, x: float) -> float:
+    """Value of 1 / (1 + d1 / (1 + d2 / (1 + ...))) for the incomplete beta
+    function (DLMF 8.17.22), evaluated from the last term inwards:
+
+      d(2k)   =  k (b - k) x / ((a + 2k - 1)(a + 2k))
+      d(2k+1) = -(a + k)(a + b + k) x / ((a + 2k)(a + 2k + 1))
+
+    The terms needed grow with the root of the larger parameter."""
+    terms = 100 + 6 * math.isqrt(int(max(a, b)) + 1)
+    value = 1.0
+    for k in range(terms, -1, -1):
+        odd = -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))
+        value = 1.0 + odd / value
+        if k:
+            even = k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k))
+            value = 1.0 + even / value
+    return 1.0 / value
 
 
 def betainc(a: float, b: float, x: float) -> float:
@@ -73,8 +65,8 @@ def betainc(a: float, b: float, x: float) -> float:
         return 1.0
     lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
     if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
+        return math.exp(lbt) * beta_fraction(a, b, x) / a
+    return 1.0 - math.exp(lbt) * beta_fraction(b, a, 1.0 - x) / b
 
 
 def t_cdf(t: float, df: float | None) -> float:

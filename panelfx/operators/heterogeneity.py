@@ -21,7 +21,7 @@ from .impute import impute_chained, impute_mean
 from .learners import cell_nuisances, join_on_keys
 from .profile import value_counts_top_k
 from .resample import bootstrap_replicates, crossfit_cell_aipw
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 
 
 def effect_by_period(df: DataFrame, t: str, y: str, cells: Sequence[str], year: str = "year",
@@ -196,35 +196,47 @@ def effect_single_imputation(df: DataFrame, t: str, y: str, xs: Sequence[str], k
     return crossfit_cell_aipw(d, t, y, [f"{x}_bin" for x in xs], key, by, k, seed)
 
 
+def effect_over_imputations(imputed: DataFrame, estimate: Callable[[DataFrame, list[str]], DataFrame],
+                            m_col: str = "m", reference: str = "z") -> DataFrame:
+    """Any grouped estimator per imputation, pooled by Rubin's rules (#91):
+    ``estimate(rows, by)`` returns ate and se per group."""
+    return pool_rubin(estimate(imputed, [m_col]), [], reference=reference)
+
+
 def effect_imputed_dr(df: DataFrame, t: str, y: str, xs: Sequence[str], key: Sequence[str], M: int = 5,
                       max_iter: int = 3, n_bins: int = 5, k: int = 5, seed: int = 42) -> DataFrame:
     """#92: chained Bayesian imputation (outcome as predictor, treatment not),
     cross-fitted AIPW per imputation m, Rubin pooling (normal form)."""
     imp = impute_chained(df, xs, M=M, max_iter=max_iter, extra_predictors=[y], row_key=key, seed=seed)
-    d = coarsen(imp, xs, n_bins, ["m"])
-    per_m = crossfit_cell_aipw(d, t, y, [f"{x}_bin" for x in xs], key, ["m"], k, seed)
-    return pool_rubin(per_m, [], reference="z")
+    return effect_over_imputations(coarsen(imp, xs, n_bins, ["m"]), lambda d, by: crossfit_cell_aipw(
+        d, t, y, [f"{x}_bin" for x in xs], key, by, k, seed))
 
 
 def evaluate_methods(df: DataFrame, methods: dict[str, Callable[[DataFrame, list[str]], DataFrame]],
                      by: Sequence[str], truth: float = 0.0, min_rows: int = 0, t: str | None = None) -> DataFrame:
     """#102: run every method on every dataset (``by`` key) in grouped form;
     a dataset failing a gate (or an empty arm) yields a row with ``error``
-    instead of an estimate; metrics per #56."""
+    instead of an estimate, and so do all datasets of a method that fails as
+    a whole; metrics per #56."""
     from .runs import run_metrics
     by = list(by)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"),
                                 *( [F.sum(F.col(t).cast("long")).alias("_n1")] if t else []))
     parts = []
     for name, fn in methods.items():
-        est = fn(df, by).select(*by, "ate", "se")
+        failed = None
+        try:
+            est = stored(fn(df, by).select(*by, "ate", "se"), "method")
+        except Exception as e:  # noqa: BLE001  the method's own failure is its result
+            failed = f"{type(e).__name__}: {str(e)[:200]}"
+            est = sizes.select(*by, F.lit(None).cast("double").alias("ate"), F.lit(None).cast("double").alias("se"))
         full = join_on_keys(sizes, est, by, "left")
         bad = F.col("n_rows") < min_rows
         if t:
             bad = bad | (F.col("_n1") == 0) | (F.col("_n1") == F.col("n_rows"))
         full = full.select(*by, F.lit(name).alias("method"), F.lit(float(truth)).alias("true_ate"),
                            F.when(~bad, F.col("ate")).alias("ate_est"), F.when(~bad, F.col("se")).alias("se_est"),
-                           F.when(bad, F.lit("gate: too few rows or an empty arm")).alias("error"))
+                           F.when(bad, F.lit("gate: too few rows or an empty arm")).otherwise(F.lit(failed)).alias("error"))
         parts.append(full)
     out = parts[0]
     for p in parts[1:]:

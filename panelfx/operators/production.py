@@ -108,10 +108,13 @@ def productivity_stage2(df: DataFrame, by: Sequence[str] = (), lo: float = 0.01,
 def add_outcomes(df: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Full chain: log inputs, stage 1, stage 2, fixed-share outcome.
 
-    The chain creates columns y, k, l, m (intermediate inputs): key the
-    imputations by another name than ``m`` when grouping by them."""
+    The chain creates columns y, k, l, m (log of the intermediate inputs).
+    When the groups' key is itself called ``m`` (imputations), that name
+    stays with the key and the inputs come out as ``m_log``."""
     if "m" in by:
-        raise ValueError("the production chain writes column 'm'; name the imputation key differently")
+        rows, est = add_outcomes(df.withColumnRenamed("m", "_imputation"), ["_imputation" if c == "m" else c for c in by])
+        return (rows.withColumnsRenamed({"m": "m_log"}).withColumnRenamed("_imputation", "m"),
+                est.withColumnRenamed("_imputation", "m"))
     # The inputs feed the scaling statistics, the normal equations and the
     # fitted values; the stage-1 rows feed the stage-2 sums and the final
     # rows.  Both are materialised once instead of being rebuilt each time.

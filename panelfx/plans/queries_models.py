@@ -641,6 +641,43 @@ def q_single_imputation(spark, sf_dir):
     return rounded(res.select(*EST), EFF)
 
 
+@register("imputed_effect_pooled", FA(f"""select 3::bigint "M", {S.r('ate')} ate, {S.r('se')} se, {S.r('ci_lower')} ci_lower,
+  {S.r('ci_upper')} ci_upper, {S.r('p_value', 4)} p_value from (select *, {S.finish()} from est) e""", """
+mi as (select * replace (coalesce(total_debt, (select avg(total_debt) from fa)) as total_debt,
+         coalesce(rd_employees_total, (select avg(rd_employees_total) from fa)) as rd_employees_total) from fa),"""
+                                      + _crossfit_bins_sql("mi")))
+def q_imputed_pooled(spark, sf_dir):
+    """Impute, estimate per imputation, pool: three mean-imputed copies (equal
+    copies have no between-imputation variance), cross-fitted AIPW per m."""
+    xs = ["total_debt", "rd_employees_total"]
+    copies = IM.stack_imputations(IM.impute_mean(firm_analysis(spark, sf_dir), xs), 3)
+    binned = HT.coarsen(copies, xs, 5, ["m"])
+    res = HT.effect_over_imputations(binned, lambda d, by: RS.crossfit_cell_aipw(
+        d, "t", "y", [f"{x}_bin" for x in xs], ["firm_id", "year"], by))
+    return rounded(res.select("M", "ate", "se", "ci_lower", "ci_upper", "p_value"), EFF)
+
+
+@register("imputed_regression_pooled", FA(f"""select "M"::bigint "M", {S.r('ate')} ate, {S.r('se')} se, {S.r('B', 10)} b_var,
+  {S.r('p_value', 4)} p_value from (select *, {S.finish()} from pooled) e""", """
+imp as (select 1 m, t, y, coalesce(total_debt, (select avg(total_debt) from fa)) x from fa
+        union all select 2, t, y, coalesce(total_debt, (select median(total_debt) from fa)) from fa),
+rg as (select m, count(*) n, var_pop(t) * count(*) stt, var_pop(x) * count(*) sxx, covar_pop(t, x) * count(*) stx,
+         covar_pop(t, y) * count(*) sty, covar_pop(x, y) * count(*) sxy, var_pop(y) * count(*) syy from imp group by m),
+rc as (select *, stt * sxx - stx * stx det, (sty * sxx - sxy * stx) / (stt * sxx - stx * stx) bt,
+         (sxy * stt - sty * stx) / (stt * sxx - stx * stx) bx from rg),
+est as (select m, bt ate, sqrt((syy - bt * sty - bx * sxy) / (n - 3) * sxx / det) se from rc),
+pr as (select count(*) "M", avg(ate) ate, avg(se * se) w, var_samp(ate) "B" from est),
+pooled as (select *, sqrt(w + 1.5 * "B") se from pr)"""))
+def q_imputed_regression(spark, sf_dir):
+    """#92d after imputation: regression per imputation (mean and median
+    filled), pooled by Rubin's rules."""
+    fa = firm_analysis(spark, sf_dir).select("t", "y", "total_debt")
+    filled = [IM.impute_mean(fa, ["total_debt"]), IM.impute_median(fa, ["total_debt"])]
+    both = filled[0].withColumn("m", F.lit(1)).unionByName(filled[1].withColumn("m", F.lit(2)))
+    res = HT.effect_over_imputations(both, lambda d, by: HT.effect_regression(d, "t", "y", ["total_debt"], by=by))
+    return rounded(res.select("M", "ate", "se", F.col("B").alias("b_var"), "p_value"), {**EFF, "b_var": 10})
+
+
 @register("evaluate_methods")
 def q_evaluate(spark, sf_dir):
     """#102 (rows-only): two methods on every industry dataset of the firm

@@ -142,3 +142,26 @@ def test_folder_is_required_off_local():
     from panelfx.session import is_local
     assert is_local("local") and is_local("local[8]") and not is_local("local-cluster[2,1,1024]") and not is_local("yarn")
     assert frame.with_one_row
+
+
+def test_outcomes_may_be_keyed_by_m(spark):
+    from panelfx.operators import production
+    rng = random.Random(9)
+    rows = [(m, i, *(rng.uniform(1, 100) for _ in range(4))) for m in (1, 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "m long, firm_id long, revenue double, capital double, employees double, materials double")
+    got, est = production.add_outcomes(df, by=["m"])
+    other, _ = production.add_outcomes(df.withColumnRenamed("m", "imp"), by=["imp"])
+    assert {r.m for r in est.collect()} == {1, 2} and "m_log" in got.columns
+    a = {(r.m, r.firm_id): r.tfp_lp for r in got.collect()}
+    assert a == pytest.approx({(r.imp, r.firm_id): r.tfp_lp for r in other.collect()})
+
+
+def test_failing_method_gives_error_rows(spark):
+    from panelfx.operators import heterogeneity
+    df = panel(spark).withColumn("g", F.col("id") % 2)
+
+    def broken(d, by):
+        return d.groupBy(*by).agg(F.raise_error(F.lit("no")).cast("double").alias("ate"), F.lit(1.0).alias("se"))
+
+    got = heterogeneity.evaluate_methods(df, {"works": lambda d, by: effects.cell_aipw(d, "t", "y", ["cell"], by=by), "broken": broken}, ["g"]).collect()
+    assert {(r.method, r.error is None) for r in got} == {("works", True), ("broken", False)} and len(got) == 4
