@@ -121,6 +121,15 @@ def test_given_documents(spark):
         assert len(x & y) >= 0.8 * len(x | y)
 
 
+def test_segments_with_two_far_sources():
+    rng = np.random.default_rng(6)
+    a, b, filler = (rng.integers(1, 1 << 60, n).astype(np.uint64) for n in (60, 60, 5000))
+    own, source = np.concatenate((a, b)), np.concatenate((b, filler, a))
+    found = cw.segments(source, own, np.ones(len(own), bool), 46, 0.8)
+    assert [x[:4] for x in found] == [(0, 59, 5060, 5119), (60, 119, 0, 59)]
+    assert cw.segments(source, own[30:90], np.ones(60, bool), 46, 0.8) == []
+
+
 def test_odd_rows(spark):
     df = odd(spark)
     got = cw.repeated_passages(df).collect()
