@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from panelfx.session import stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -88,6 +90,7 @@ def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"),
                             digest.alias("place"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("crc"))
+    rows = stored(rows, "mix-sizes")  # the texts are read once; sizes, shards and the order all come from this narrow table
     sizes = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     targets = source_targets(sizes, weights, share, repeat)
     total = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
