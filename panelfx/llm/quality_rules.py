@@ -230,9 +230,11 @@ def verdict(rules: list[Rule]) -> Column:
 def learn_rules(counts: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
     """Rules from at most ``max_labelled`` labelled rows that pass the base rule."""
     label = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = (counts.where(~base_failed()).join(label, "doc_id")
-            .select(F.xxhash64("doc_id").alias("place"), "doc_id", "quality", *COUNTS)
-            .orderBy("place", "doc_id", *COUNTS).limit(max_labelled).toPandas())
+    usable = counts.where(~base_failed()).join(label, "doc_id").select(F.xxhash64("doc_id").alias("place"), "doc_id", "quality", *COUNTS)
+    # Hashes above this one can hardly be among the smallest, so that tasks send little more than the sample.
+    share = min(1.0, 1.5 * max_labelled / max(1, usable.count()))
+    cut = min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))
+    rows = usable.where(F.col("place") <= cut).orderBy("place", "doc_id", *COUNTS).limit(max_labelled).toPandas()
     if rows.empty:
         return []
     x = {name: np.where(rows[bottom] > 0, rows[top] / rows[bottom].clip(lower=1), 0.0).astype(float)
