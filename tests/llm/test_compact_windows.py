@@ -38,6 +38,13 @@ def test_windows_are_the_cartesian_tree():
         assert set(zip(*(x.tolist() for x in cw.tree_windows(h, edges, 6)))) == want
 
 
+def test_repeated_values_leave_their_outermost_windows():
+    h = np.array([5, 9, 5, 9, 5, 9, 1, 9, 5, 9, 5, 9], np.uint64)
+    c, left, right = cw.tree_windows(h, np.array([0, 12]), 2)
+    keep = cw.outermost(np.zeros(len(c), int), h[c].view(np.int64), c, right)
+    assert set(zip(c[keep], left[keep], right[keep])) == {(0, 0, 5), (6, 0, 11), (8, 7, 11)}
+
+
 def test_every_long_run_has_one_window():
     h = np.random.default_rng(2).integers(1, 1 << 60, 120).astype(np.uint64)
     c, left, right = cw.tree_windows(h, np.array([0, 120]), 10)
