@@ -42,13 +42,14 @@ from pyspark.sql import functions as F
 from panelfx.session import stored
 
 from .groups import chunk as column_of
-from .words import LOWER, buffer_of, slices, word_strings
+from .words import LOWER, buffer_of, give_back_memory, slices, word_strings
 
 DEPTH = 5
 TOP = 2                  # depth of the subtrees that one task weighs
 END = 0xFF
 CHUNK_BYTES = 32 << 20
-SLICE_BYTES = 4 << 20
+GRAM_BYTES = 1 << 20     # text that a task turns into 6-grams at once (some 100 bytes of arrays per byte)
+WORD_BYTES = 2 << 20     # text that a task splits into words at once
 END_WORD = ""            # no word is empty
 U64 = np.uint64
 
@@ -228,44 +229,57 @@ def chunked(documents: DataFrame, chunk_bytes: int) -> DataFrame:
                             F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
 
 
-def parts_of(group: pa.Table) -> Iterator[pa.RecordBatch]:
+def parts_of(group: pa.Table, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in group.to_batches():
-        yield from slices(batch, limit=SLICE_BYTES)
+        yield from slices(batch, limit=limit)
 
 
-def count_grams(group: pa.Table) -> pa.Table:
+def count_grams(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 6-grams of a chunk, and how often training texts have them."""
     keys, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-    for part in parts_of(group):
+    for part in parts_of(group, GRAM_BYTES):
         grams, edges = grams_of(part.column("text"))
         train = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), np.diff(edges))
         for flags in (train, ~train):
             key, count = distinct(grams[flags])
             keys.append(key)
             counts.append(count * int(flags is train))
-        if len(keys) > 9:
+        if sum(map(len, keys)) > 2 * len(keys[0]) + (1 << 20):
             key, count = summed(keys, counts)
             keys, counts = [key], [count]
-    key, count = summed(keys, counts)
-    return pa.table({"chunk": pa.repeat(group.column("chunk")[0], len(key)), "gram": key.astype(np.int64), "n": count.astype(np.int64)})
+    return summed(keys, counts)
 
 
 def count_words(group: pa.Table) -> pa.Table:
+    """Distinct words of a chunk, and how often training texts have them."""
     tables = []
-    for part in parts_of(group):
+    for part in parts_of(group, WORD_BYTES):
         words, per_text = word_strings(pc.ascii_lower(part.column("text")))
         train = ~part.column("held_out").to_numpy(zero_copy_only=False)
         coded = words.dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False)
         n = np.bincount(code[np.repeat(train, per_text)], minlength=len(coded.dictionary)).astype(np.int64)
         tables.append(pa.table({"word": pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.array([END_WORD])]), "n": np.append(n, train.sum())}))
-        if len(tables) > 8:
+        if len(tables) > 6:
             tables = [merged(tables)]
-    out = merged(tables)
-    return out.add_column(0, "chunk", pa.repeat(group.column("chunk")[0], len(out)))
+    return merged(tables)
+
+
+def count(group: pa.Table) -> pa.Table:
+    """Both counts of a chunk: rows with a gram or with a word."""
+    number = group.column("chunk")[0]
+    grams, n = count_grams(group)
+    give_back_memory()
+    words = count_words(group)
+    give_back_memory()
+    names = ["chunk", "gram", "word", "n"]
+    return pa.concat_tables([
+        pa.Table.from_arrays([pa.repeat(number, len(grams)), pa.array(grams.astype(np.int64)), pa.nulls(len(grams), pa.string()), pa.array(n.astype(np.int64))], names=names),
+        pa.Table.from_arrays([pa.repeat(number, len(words)), pa.nulls(len(words), pa.int64()), words.column("word"), words.column("n")], names=names)])
 
 
 def merged(tables: list[pa.Table]) -> pa.Table:
-    return pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+    return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
 
 def subtree_of(group: pa.Table) -> tuple[np.ndarray, Subtree]:
@@ -283,7 +297,9 @@ def summary(group: pa.Table) -> pa.Table:
 def scores(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Scores of all documents: the contract's columns and ``bits_per_byte``, the code length per byte of text and end."""
     docs = chunked(documents, chunk_bytes)
-    grams = stored(docs.groupBy("chunk").applyInArrow(count_grams, "chunk int, gram long, n long"), "grams")
+    counts = stored(docs.groupBy("chunk").applyInArrow(count, "chunk int, gram long, word string, n long"), "counts")
+    grams = counts.where("gram is not null").select("chunk", "gram", "n")
+    words = counts.where("word is not null").select("chunk", "word", "n")
     totals = stored(grams.groupBy("gram").agg(F.sum("n").alias("n")).withColumn(
         "subtree", F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1)).cast("int")), "gram-totals")
     nodes = (totals.groupBy("subtree").applyInArrow(summary, "context int, node int, zeros double, ones double, below double")
@@ -295,7 +311,6 @@ def scores(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         return pa.table({"gram": group.column("gram"), "value": tree.log10(above, found)})
 
     values = totals.groupBy("subtree").applyInArrow(probabilities, "gram long, value double")
-    words = stored(docs.groupBy("chunk").applyInArrow(count_words, "chunk int, word string, n long"), "words")
     word_totals = stored(words.groupBy("word").agg(F.sum("n").alias("n")), "word-totals")
     corpus = word_totals.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     tokens, kinds = corpus["n"] or 0, corpus["v"] or 0
@@ -307,29 +322,41 @@ def scores(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     fields = ("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
     names = ["doc_id", *(f.split()[0] for f in fields.split(", "))]
 
-    def score(texts: pa.Table, table: pa.Table) -> pa.Table:
-        by_gram = table.filter(pc.is_valid(table.column("gram"))).combine_chunks()
-        by_word = table.filter(pc.is_valid(table.column("word"))).combine_chunks()
-        lookup = Lookup(column_of(by_gram, "gram").to_numpy().astype(U64))
-        log10 = column_of(by_gram, "value").to_numpy()
-        known, count = column_of(by_word, "word"), column_of(by_word, "value").to_numpy()
+    def base_scores(texts: pa.Table, known: pa.Array, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """n_tokens, n_known and base_score of each text."""
+        end = n[known.index(pa.scalar(END_WORD)).as_py()]
+        log = lambda c: np.log10((c + 0.1) / (tokens + 0.1 * (kinds + 1)))
         out = []
-        for part in parts_of(texts):
-            gram, edges = grams_of(part.column("text"))
-            total = np.add.reduceat(log10[lookup(gram)], edges[:-1])
+        for part in parts_of(texts, WORD_BYTES):
             found, per_text = word_strings(pc.ascii_lower(part.column("text")))
             coded = found.dictionary_encode()
-            place = pc.index_in(coded.dictionary.cast(pa.string()), value_set=known).to_numpy(zero_copy_only=False)
-            end = pc.index_in(pa.array([END_WORD]), value_set=known)[0].as_py()
-            c = count[place.astype(np.int64)][coded.indices.to_numpy(zero_copy_only=False)] if len(found) else np.zeros(0)
+            place = pc.index_in(coded.dictionary.cast(pa.string()), value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
+            c = n[place][coded.indices.to_numpy(zero_copy_only=False)] if len(found) else np.zeros(0)
             row = np.repeat(np.arange(part.num_rows), per_text)
-            log = lambda n: np.log10((n + 0.1) / (tokens + 0.1 * (kinds + 1)))
-            base = np.bincount(row, weights=log(c), minlength=part.num_rows) + log(count[end])
-            n_known = np.bincount(row, weights=c > 0, minlength=part.num_rows).astype(np.int64) + int(count[end] > 0)
-            out.append(pa.Table.from_arrays([
-                part.column("doc_id"), part.column("held_out"), pa.array(per_text.astype(np.int64) + 1), pa.array(n_known),
-                pa.repeat(pa.scalar(tokens, pa.int64()), part.num_rows), pa.array(base), pa.array(total),
-                pa.array(-total / np.log10(2) / np.diff(edges))], names=names))
-        return pa.concat_tables(out)
+            out.append((per_text.astype(np.int64) + 1,
+                        np.bincount(row, weights=c > 0, minlength=part.num_rows).astype(np.int64) + int(end > 0),
+                        np.bincount(row, weights=log(c), minlength=part.num_rows) + log(end)))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def tree_scores(texts: pa.Table, lookup: Lookup, log10: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """score and coded bytes of each text."""
+        out = []
+        for part in parts_of(texts, GRAM_BYTES):
+            gram, edges = grams_of(part.column("text"))
+            out.append((np.add.reduceat(log10[lookup(gram)], edges[:-1]), np.diff(edges)))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def score(texts: pa.Table, table: pa.Table) -> pa.Table:
+        by_word = table.filter(pc.is_valid(table.column("word"))).combine_chunks()
+        n_tokens, n_known, base = base_scores(texts, column_of(by_word, "word"), column_of(by_word, "value").to_numpy())
+        del by_word
+        give_back_memory()
+        by_gram = table.filter(pc.is_valid(table.column("gram"))).combine_chunks()
+        del table
+        total, size = tree_scores(texts, Lookup(column_of(by_gram, "gram").to_numpy().astype(U64)), column_of(by_gram, "value").to_numpy())
+        give_back_memory()
+        return pa.Table.from_arrays([
+            texts.column("doc_id"), texts.column("held_out"), pa.array(n_tokens), pa.array(n_known),
+            pa.repeat(pa.scalar(tokens, pa.int64()), len(texts)), pa.array(base), pa.array(total), pa.array(-total / np.log10(2) / size)], names=names)
 
     return docs.groupBy("chunk").cogroup(needed.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, {fields}")
