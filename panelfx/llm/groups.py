@@ -28,8 +28,14 @@ def starts_of(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+ROWS = 2048
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups, with the groups' starts.  Groups must be bounded; the last of a batch waits for the next."""
+    """Tables of whole groups, with the groups' starts.
+
+    Groups must be bounded; the last of a batch waits for the next.  A table
+    has at most ROWS rows, or one group."""
     held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -38,8 +44,11 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         table = pa.concat_tables([held, table]) if held is not None else table
         table = table.combine_chunks()
         starts = starts_of(*(table.column(k).to_numpy() for k in keys))
-        if len(starts) > 1:
-            yield table.slice(0, int(starts[-1])).combine_chunks(), starts[:-1]
+        first = 0
+        while first < len(starts) - 1:
+            last = max(first + 1, int(np.searchsorted(starts[:-1], starts[first] + ROWS, side="right")) - 1)
+            yield table.slice(int(starts[first]), int(starts[last] - starts[first])).combine_chunks(), starts[first:last] - starts[first]
+            first = last
         held = table.slice(int(starts[-1]))
     if held is not None and held.num_rows:
         yield held.combine_chunks(), np.zeros(1, np.int64)

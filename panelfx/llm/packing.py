@@ -39,7 +39,7 @@ CAPACITY = 4096
 PIECE = 512
 END_ID = 2
 GROUP_IDS = 1 << 20      # ids of a group on average: bounds a task's memory and its work
-MAX_KNOWN = 1_000_000    # words kept by a worker between batches (about 60 MB); beyond, it starts anew
+MAX_KNOWN = 300_000      # words kept by a worker between batches (about 60 MB); beyond, it starts anew
 LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
 LETTER[0x61:0x7B] = True
 MARK[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True  # without ' < > |
@@ -133,7 +133,7 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, piece: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for part in slices(batch, limit=SLICE_BYTES):
+            for part in slices(batch, limit=2 * SLICE_BYTES):
                 ids, edges = text_ids(part.column("text"), path)
                 ids = ids.astype("<u4")
                 rows, row_of = [], []
