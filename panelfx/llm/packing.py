@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from panelfx.session import stored
 
-from .words import LOWER, SLICE_BYTES, buffer_of, slices, word_strings
+from .words import LOWER, SLICE_BYTES, SPACE, buffer_of, slices, word_strings
 
 CAPACITY = 4096
 PIECE = 512
@@ -91,13 +91,25 @@ def split_plain(texts: pa.Array) -> pa.Array:
 
     Neither changes the ids: the normaliser lowers anyway, and a letter and a
     mark are always in different pre-tokens (marks of contractions and of
-    special tokens are left alone).  Both make for fewer distinct words.
+    special tokens are left alone).  Both make for fewer distinct words.  The
+    normaliser composes before it lowers, so words with other than ASCII bytes
+    stay as they are; so do words with '<|', where the case of a special token
+    counts.
     """
     data, offsets = buffer_of(texts)
-    if b"<|" in data.tobytes():  # a special token may stand here, and its case counts
+    if not len(data):
         return texts
-    data = LOWER[data]
-    at = np.flatnonzero(LETTER[data[:-1]] & MARK[data[1:]]) + 1
+    space = SPACE[data]
+    begins = space.copy()
+    begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+    word = np.cumsum(begins)
+    odd = data >= 0x80
+    odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+    left_alone = np.zeros(int(word[-1]) + 1, bool)
+    left_alone[word[odd]] = True
+    plain = ~left_alone[word]
+    data = np.where(plain, LOWER[data], data)
+    at = np.flatnonzero(LETTER[data[:-1]] & MARK[data[1:]] & plain[:-1] & plain[1:]) + 1
     data, offsets = np.insert(data, at, 0x20), offsets + np.searchsorted(at, offsets)
     return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
 

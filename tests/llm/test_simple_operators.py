@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelfx.llm import fingerprints, license_scan, mixing, packing, quality_rules, queries, sharding, warc
@@ -314,6 +315,17 @@ def test_packing(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_ids_of_words_that_compose_only_in_lower_case():
+    from tokenizers import Tokenizer
+    path = packing.default_vocabulary()
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["J\u030c", "H\u0331 T\u0308", "W\u030a.Y\u030a", "Plain. Words, A<|B a.b<|endoftext|>C.d É.E", None, "", "x", ".Y", "<|ENDOFTEXT|> X.Y"]
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    for rows in (range(len(texts)), *([k] for k in range(len(texts)))):
+        ids, edges = packing.text_ids(pa.array([texts[k] for k in rows], pa.string()), path)
+        assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:])] == [want[k] for k in rows]
+
+
 def test_differencing_is_even():
     rng = np.random.default_rng(5)
     sizes = rng.integers(1, 512, 4000)
