@@ -137,6 +137,22 @@ def test_segments_with_two_far_sources():
     assert cw.segments(source, own[30:90], np.ones(60, bool), 46, 0.8) == []
 
 
+def values(seed, *sizes):
+    rng = np.random.default_rng(seed)
+    return [rng.integers(1, 1 << 60, n).astype(np.uint64) for n in sizes]
+
+
+def test_segments_with_a_changed_middle():
+    # 64 words and 6 put in, 98 and 14 put in, 103 with 7 replaced
+    for size, lost, new in ((28, 4, 10), (45, 4, 18), (44, 11, 11)):
+        left, right, lost, more, front, back = values(7, size, size, lost, new, 300, 300)
+        plain, changed = np.concatenate((left, lost, right)), np.concatenate((left, more, right))
+        for own, other in ((changed, plain), (plain, changed)):
+            own, other = np.concatenate((front, own, back)), np.concatenate((back[:7], other, front[:9]))
+            found = cw.segments(other, own, np.ones(len(own), bool), 46, 0.8)
+            assert [x[:4] for x in found] == [(300, len(own) - 301, 7, len(other) - 10)] and found[0][4] >= 0.8
+
+
 def test_odd_rows(spark):
     df = odd(spark)
     got = cw.repeated_passages(df).collect()
