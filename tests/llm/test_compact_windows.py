@@ -153,6 +153,16 @@ def test_segments_with_a_changed_middle():
             assert [x[:4] for x in found] == [(300, len(own) - 301, 7, len(other) - 10)] and found[0][4] >= 0.8
 
 
+def test_segments_whose_parts_stand_earlier():
+    passage, filler, front, back = values(9, 46, 50, 300, 300)
+    own = np.concatenate((front, passage, back))
+    for earlier in ([passage[:10]], [passage[-10:]], [passage[:25], filler[:9], passage[20:]]):
+        source = np.concatenate((*earlier, filler, passage, filler))
+        at = len(source) - 96
+        found = cw.segments(source, own, np.ones(len(own), bool), 46, 0.8)
+        assert [x for x in found] == [(300, 345, at, at + 45, 1.0)]
+
+
 def test_odd_rows(spark):
     df = odd(spark)
     got = cw.repeated_passages(df).collect()
