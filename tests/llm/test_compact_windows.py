@@ -163,6 +163,22 @@ def test_segments_whose_parts_stand_earlier():
         assert [x for x in found] == [(300, 345, at, at + 45, 1.0)]
 
 
+def test_fragment_in_the_first_document(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(120):
+        passage = prose(rng, rng.choice((50, 55, 60)))
+        size = rng.choice((30, 40, 45, 49))
+        at = rng.randint(0, len(passage) - size)
+        for part in (passage[at:at + size], passage, passage):
+            words, x = prose(rng, 150), rng.randint(0, 150)
+            rows.append((len(rows), " ".join(words[:x] + part + words[x:])))
+    exact = maximal_repeats(rows)
+    assert {d for d, _ in exact} == set(range(2, 360, 3))
+    got = cw.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert exact <= {(r.doc_id, k) for r in got for k in range(r.start_word, r.end_word)}
+
+
 def test_odd_rows(spark):
     df = odd(spark)
     got = cw.repeated_passages(df).collect()
