@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import compact_windows, context_tree, fingerprints, license_scan, mixing, ngram_join, oracles, packing, quality_rules, sharding, warc
+from . import (compact_windows, context_tree, fill_in_middle, fingerprints, license_scan, mixing, ngram_join, oracles, packing, quality_rules, sharding,
+               token_counts, warc, whitening)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +63,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assignment(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and which have more than 2048."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, cuts and digests of every document's fill-in-the-middle output and of the text restored from it."""
+    done = fill_in_middle.transformed(table(spark, sf_dir, "documents"))
+    restored = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every embedding on the first four components."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_warc, op3_substring_dedup, op4_context_tree, op5_packing, op6_mixing, op7_quality_rules, op8_fingerprints, op9_license_scan,
-                                   op10_sharding)}
-ORACLES = {"op2_warc": oracles.OP2, "op6_mixing": oracles.OP6}
+                                   op10_sharding, op11_token_counts, op12_fill_in_middle, op13_whitening)}
+ORACLES = {"op2_warc": oracles.OP2, "op6_mixing": oracles.OP6, "op12_fill_in_middle": oracles.OP12}
