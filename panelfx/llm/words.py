@@ -21,8 +21,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+PRIME = (1 << 61) - 1
+BASE = 0x9E3779B97F4A7C15 % PRIME
 SLICE_BYTES = 2 << 20  # texts that a task handles at once: some 40 bytes of arrays per byte
 
 
@@ -67,23 +67,69 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo PRIME (2**61 counts as 1)."""
+    x = (x & U64(PRIME)) + (x >> U64(61))
+    return np.where(x >= U64(PRIME), x - U64(PRIME), x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a * b`` modulo PRIME, of values below it, by halves of 32 bits."""
+    half, low, part = U64(32), U64((1 << 32) - 1), U64((1 << 29) - 1)
+    a_high, a_low, b_high, b_low = a >> half, a & low, b >> half, b & low
+    middle = a_high * b_low + a_low * b_high
+    return reduced((a_high * b_high << U64(3)) + (middle >> U64(29)) + ((middle & part) << half) + reduced(a_low * b_low))
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=U64)
+    """base ** 0 to base ** (n - 1) modulo PRIME, by doubling."""
+    out = np.ones(max(n, 1), U64)
+    done = 1
+    while done < n:
+        step = min(done, n - done)
+        out[done:done + step] = product(out[:step], np.full(1, pow(base, done, PRIME), U64))
+        done += step
+    return out[:n]
+
+
+STRIDE = 1 << 11
+BACK = pow(BASE, -1, PRIME)
 
 
 class SpanHash:
-    """64-bit hash of any byte span of a buffer in O(1) after one pass."""
+    """64-bit hash of any byte span of a buffer in O(1) after one pass.
+
+    A polynomial in BASE modulo a prime (spans of up to 16 MB).  A power of
+    two as the modulus would give equal values to some different texts
+    whatever the base.
+    """
+
+    # Powers by position in two halves of 30 and 31 bits, kept by the worker; inverse powers by two short tables.
+    _low, _high = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+    _small, _large = powers(BACK, STRIDE), powers(pow(BACK, STRIDE, PRIME), 1)
+
+    @classmethod
+    def grow(cls, n: int) -> None:
+        if len(cls._low) < n:
+            n = 1 << n.bit_length()
+            p = powers(BASE, n)
+            cls._low, cls._high = (p & U64((1 << 30) - 1)).astype(np.uint32), (p >> U64(30)).astype(np.uint32)
+            cls._large = powers(pow(BACK, STRIDE, PRIME), n // STRIDE + 1)
 
     def __init__(self, data: np.ndarray):
-        self.total = np.zeros(len(data) + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * powers(BASE, len(data)), out=self.total[1:])
-        self.back = powers(BASE_INVERSE, len(data) + 1)
+        self.grow(len(data))
+        value = data.astype(U64) + U64(1)
+        self.low, self.high = np.zeros(len(data) + 1, U64), np.zeros(len(data) + 1, U64)
+        np.cumsum(value * self._low[:len(data)], out=self.low[1:])
+        np.cumsum(value * self._high[:len(data)], out=self.high[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.total[ends] - self.total[starts]) * self.back[starts])
+        starts, ends = np.asarray(starts), np.asarray(ends)
+        high = reduced(self.high[ends] - self.high[starts])
+        high = ((high & U64((1 << 31) - 1)) << U64(30)) + (high >> U64(31))
+        value = reduced(high + reduced(self.low[ends] - self.low[starts]))
+        back = product(self._small[starts % STRIDE], self._large[starts // STRIDE])
+        return mix(product(value, back))
 
 
 @dataclass

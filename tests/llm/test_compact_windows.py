@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -179,6 +180,74 @@ def test_fragment_in_the_first_document(spark):
     assert exact <= {(r.doc_id, k) for r in got for k in range(r.start_word, r.end_word)}
 
 
+def templated(rng, lines, own):
+    """A page whose every ``own``-th five-gram opens the same line of 24."""
+    line = rng.integers(1, 1 << 60, 24).astype(np.uint64)
+    return line, lambda seed: np.concatenate([x for g in np.random.default_rng(seed).integers(1, 1 << 60, (lines, own)).astype(np.uint64) for x in (line, g)])
+
+
+def test_templated_pair_takes_under_a_second():
+    rng = np.random.default_rng(21)
+    passage = rng.integers(1, 1 << 60, 60).astype(np.uint64)
+    for own in (30, 26, 8, 4):  # the line alone is no passage; with 8 five-grams between, three in four agree
+        _, page = templated(rng, 20_000 // (24 + own), own)
+        a, b = page(1), page(2)
+        a[5003:5063] = passage
+        b[9001:9061] = passage
+        begun = time.process_time()
+        found = cw.segments(a, b, np.ones(len(b), bool), 46, 0.8)
+        assert time.process_time() - begun < 1
+        assert any(x[0] <= 9001 and x[1] >= 9060 for x in found) and len(found) < 3
+    same = np.full(20_000, 7, np.uint64)
+    begun = time.process_time()
+    assert cw.segments(same, same[:15_000], np.ones(15_000, bool), 46, 0.8)[0][4] == 1.0
+    assert time.process_time() - begun < 1
+
+
+def test_votes_by_convolution_are_the_pairs(monkeypatch):
+    rng = np.random.default_rng(13)
+    source, own = rng.integers(1, 5, 300).astype(np.uint64), rng.integers(1, 6, 200).astype(np.uint64)
+    places = cw.Places(source, own)
+    p = np.flatnonzero(places.hi > places.lo)
+    want = np.zeros(len(own) + len(source) + 1, int)
+    for i in p:
+        for j in np.flatnonzero(source == own[i]):
+            want[j - i + len(own)] += 1
+    for pairs in (1 << 20, 100, 1):
+        monkeypatch.setattr(cw, "PAIRS", pairs)
+        assert (places.votes(p, len(own)) == want).all()
+
+
+def changed(rng, passage):
+    """A passage of the same meaning with a few words replaced, put in or left out, still of similarity 0.8."""
+    words = list(passage)
+    while True:
+        other, spot = list(words), rng.randrange(len(words))
+        kind = rng.choice(("replace", "insert", "delete"))
+        other[spot:spot + (kind != "insert")] = prose(rng, rng.randint(1, 3)) if kind != "delete" else []
+        x, y = ({tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (passage, other))
+        if len(x & y) < 0.8 * len(x | y) or len(other) < 50:
+            return words
+        words = other
+
+
+def test_similar_passages_of_200_documents(spark):
+    rng = random.Random(17)
+    rows, want = [], {}
+    for k in range(100):
+        passage = prose(rng, rng.randint(55, 160))
+        for part in (passage, changed(rng, passage)):
+            words, x = prose(rng, 150), rng.randint(0, 150)
+            want[len(rows)] = (x, x + len(part))
+            rows.append((len(rows), " ".join(words[:x] + part + words[x:])))
+    got = cw.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {d: {k for r in got if r.doc_id == d for k in range(r.start_word, r.end_word)} for d in range(1, 200, 2)}
+    whole = [len(found[d] & set(range(*want[d]))) >= 0.8 * (want[d][1] - want[d][0]) for d in found]
+    assert sum(whole) >= 90, sum(whole)
+    assert all(len(found[d] - set(range(want[d][0] - 2, want[d][1] + 2))) == 0 for d in found)
+    assert {r.doc_id % 2 for r in got} == {1} and all(r.source_id == r.doc_id - 1 for r in got)
+
+
 def test_odd_rows(spark):
     df = odd(spark)
     got = cw.repeated_passages(df).collect()

@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from panelfx.llm import fingerprints, license_scan, mixing, packing, quality_rules, queries, sharding, warc
+from panelfx.llm import fingerprints, license_scan, mixing, packing, quality_rules, queries, sharding, warc, words
+from panelfx.llm.words import words_of
 from panelfx.session import scratch_path
 
 from .fixtures import empty, odd, odd_rows
@@ -334,3 +335,24 @@ def test_differencing_is_even():
     assert sums.max() <= 4096 and len(sums) * 4096 / sums.sum() < 1.01
     got, total = packing.difference(np.array([8, 7, 6, 5, 4]), 2)
     assert sorted(total) == [14, 16] and sorted(np.bincount(got, weights=[8, 7, 6, 5, 4])) == [14, 16]
+
+
+# words
+
+def test_span_hash_tells_thue_morse_words_apart():
+    t = [0]
+    for _ in range(13):
+        t += [1 - x for x in t]
+    a, b = "".join("ab"[x] for x in t), "".join("ba"[x] for x in t)
+    w = words_of(pa.array([a, b, a, a[:1024], b[:1024]]))
+    h = w.hashes().tolist()
+    assert h[0] == h[2] and len(set(h)) == 4
+
+
+def test_span_hash_is_a_polynomial_modulo_a_prime():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 256, 70_000).astype(np.uint8)
+    h = words.SpanHash(data)
+    for a, b in [(0, 0), (0, 1), (5, 900), (2047, 2049), (65_000, 70_000)]:
+        want = sum((int(c) + 1) * pow(words.BASE, i, words.PRIME) for i, c in enumerate(data[a:b])) % words.PRIME
+        assert h([a], [b])[0] == words.mix(np.array([want], np.uint64))[0]
