@@ -207,7 +207,7 @@ def test_templated_pair_takes_under_a_second():
 def test_votes_by_convolution_are_the_pairs(monkeypatch):
     rng = np.random.default_rng(13)
     source, own = rng.integers(1, 5, 300).astype(np.uint64), rng.integers(1, 6, 200).astype(np.uint64)
-    places = cw.Places(source, own)
+    places = cw.Places(cw.Index(source), own)
     p = np.flatnonzero(places.hi > places.lo)
     want = np.zeros(len(own) + len(source) + 1, int)
     for i in p:
