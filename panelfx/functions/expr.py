@@ -151,13 +151,6 @@ def normal_two_sided_p(z: ColumnOrName) -> Column:
     return poly * F.exp(-(x * x))
 
 
-def normal_cdf(z: ColumnOrName) -> Column:
-    """Phi(z) from the same erf approximation."""
-    zc = _c(z)
-    tail = normal_two_sided_p(zc) / F.lit(2.0)
-    return F.when(zc >= 0, F.lit(1.0) - tail).otherwise(tail)
-
-
 def p_value_reference_form(z: ColumnOrName) -> Column:
     """#37: 2(1 - .5(1 + sign(z)(1 - exp(-z^2/2)))), kept for comparison only.
 

@@ -32,6 +32,13 @@ RATIO_FEATURES = (
 )
 
 CODE_COLUMNS = ("dti_iot", "dti_cloud", "dti_ai", "dti_bigdata")
+KEY_COLUMNS = ("firm_id", "year")
+TREATMENT_MEAN, TREATMENT = "dti_mean", "dti_binary"
+
+
+def treatment_columns() -> set[str]:
+    """The columns that the treatment is made of and those it is put into."""
+    return {*CODE_COLUMNS, TREATMENT_MEAN, TREATMENT}
 
 
 def binary_recode(df: DataFrame, cols: Sequence[str] = BINARY_YN_COLUMNS) -> DataFrame:
@@ -40,7 +47,7 @@ def binary_recode(df: DataFrame, cols: Sequence[str] = BINARY_YN_COLUMNS) -> Dat
     return df.withColumns({c: X.yes_no_to_binary(c) for c in present}) if present else df
 
 
-def coerce_numeric(df: DataFrame, id_cols: Sequence[str] = ("firm_id", "year")) -> DataFrame:
+def coerce_numeric(df: DataFrame, id_cols: Sequence[str] = KEY_COLUMNS) -> DataFrame:
     """#24: every non-id column to double; text through the strict parser,
     NaN to NULL."""
     out = {}
@@ -70,14 +77,30 @@ def ratio_features(df: DataFrame, spec=RATIO_FEATURES) -> tuple[DataFrame, list[
     return (df.withColumns(made) if made else df), list(made)
 
 
+def recomputed_ratios(df: DataFrame, spec=RATIO_FEATURES) -> DataFrame:
+    """#28 with ``recompute_ratios``: ratios made before an imputation are made anew from the completed components.
+
+    Only ratios that the table has and whose inputs exist change."""
+    return ratio_features(df, [r for r in spec if r[0] in df.columns])[0]
+
+
+def feature_audit(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """#28b: one row per engineered column: whether the table has it, and its mean."""
+    have = [n for n in names if n in df.columns]
+    one = df.agg(*[F.avg(n).alias(n) for n in have]) if have else df.agg(F.count(F.lit(1)).alias("_n"))
+    rows = [F.struct(F.lit(n).alias("feature"), F.lit(int(n in have)).alias("present"),
+                     (F.col(n) if n in have else F.lit(None)).cast("double").alias("mean")) for n in names]
+    return one.select(F.explode(F.array(*rows)).alias("_s")).select("_s.*")
+
+
 def add_period_dummies(df: DataFrame, years: Sequence[int], covid_from: int | None,
                        year: str = "year") -> DataFrame:
     """#29."""
     return df.withColumns(X.period_dummies(year, years, covid_from))
 
 
-def add_treatment(df: DataFrame, cols: Sequence[str] = CODE_COLUMNS, mean_col: str = "dti_mean",
-                  out: str = "dti_binary", threshold: float = 0.0, offset: float = 0.0,
+def add_treatment(df: DataFrame, cols: Sequence[str] = CODE_COLUMNS, mean_col: str = TREATMENT_MEAN,
+                  out: str = TREATMENT, threshold: float = 0.0, offset: float = 0.0,
                   min_cols: int = 2) -> DataFrame:
     """#26 + #27: row mean of the code columns and its binary version."""
     present = [c for c in cols if c in df.columns]

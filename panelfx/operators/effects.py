@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import normal_ci, normal_two_sided_p, percent_effect, clip_propensity
 from ..session import cut_lineage
 from .frame import all_present
-from .learners import _cell_predictions, cell_moments, cell_nuisances, join_on_keys
+from .learners import _cell_predictions, cell_moments, cell_nuisances, join_on_keys, nuisances
 
 
 def aipw_score(t: str = "t", y: str = "y", ps: str = "ps", mu1: str = "mu1", mu0: str = "mu0") -> Column:
@@ -188,31 +188,48 @@ ESTIMATE_COLUMNS = ["n", "n_treated", "treated_pct", "ate", "se", "ci_lower", "c
 
 def tmle_effect(df: DataFrame, t: str = "t", y: str = "y", ps: str = "ps", mu1: str = "mu1", mu0: str = "mu0",
                 by: Sequence[str] = (), clip: tuple[float, float] | None = (0.01, 0.99)) -> DataFrame:
-    """#90: one-step targeting.  g clipped; H = T/g - (1-T)/(1-g);
-    eps = sum H (Y - Q) / sum H^2 per group; mu1* = mu1 + eps/g,
-    mu0* = mu0 - eps/(1-g); ate = mean(mu1* - mu0*); se from the influence
-    curve with the population variance.  Two aggregation passes; the
-    per-group eps joins back on the group key (one row per group)."""
-    by = list(by)
+    """#90 on a scored table (any learner): one-step targeting.
+
+    g clipped; H = T/g - (1-T)/(1-g); eps = sum H (Y - Q) / sum H^2 per group;
+    mu1* = mu1 + eps/g, mu0* = mu0 - eps/(1-g); ate = mean(mu1* - mu0*); se
+    from the influence curve with the population variance.  The curve is
+    A + eps B with A = H (Y - Q) + mu1 - mu0 and B = 1/g + 1/(1-g) - H^2, so
+    eps, ate and variance follow from moments of one aggregation.  Rows
+    without a score are left out.  ``score_sum`` is sum H (Y - Q*)."""
     g = clip_propensity(ps, *clip) if clip else F.col(ps)
     T, Y = F.col(t).cast("double"), F.col(y)
-    d = df.withColumn("_g", g)
-    H = T / F.col("_g") - (F.lit(1.0) - T) / (F.lit(1.0) - F.col("_g"))
-    Q = T * F.col(mu1) + (F.lit(1.0) - T) * F.col(mu0)
-    eps = d.groupBy(*by).agg(F.try_divide(F.sum(H * (Y - Q)), F.sum(H * H)).alias("epsilon"))
-    d = join_on_keys(d, eps, by, "left")
-    m1s = F.col(mu1) + F.col("epsilon") / F.col("_g")
-    m0s = F.col(mu0) - F.col("epsilon") / (F.lit(1.0) - F.col("_g"))
-    d = d.withColumn("_m1s", m1s).withColumn("_m0s", m0s)
-    score = (T / F.col("_g") * (Y - F.col("_m1s")) - (F.lit(1.0) - T) / (F.lit(1.0) - F.col("_g")) * (Y - F.col("_m0s"))
-             + F.col("_m1s") - F.col("_m0s"))
+    d = df.select(*by, T.alias("_T"), g.alias("_g"), (F.col(mu1) - F.col(mu0)).alias("_D"),
+                  (Y - (T * F.col(mu1) + (F.lit(1.0) - T) * F.col(mu0))).alias("_r"))
+    one = F.lit(1.0)
+    d = d.withColumns({"_H": F.try_divide(F.col("_T"), F.col("_g")) - F.try_divide(one - F.col("_T"), one - F.col("_g")),
+                       "_C": F.try_divide(one, F.col("_g")) + F.try_divide(one, one - F.col("_g"))}).where("_r is not null and _H is not null and _C is not null")
+    d = d.withColumns({"_A": F.col("_H") * F.col("_r") + F.col("_D"), "_B": F.col("_C") - F.col("_H") * F.col("_H")})
     res = d.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(T.cast("long")).alias("n_treated"),
-        F.avg(F.col("_m1s") - F.col("_m0s")).alias("ate"),
-        F.sqrt(F.var_pop(score) / F.count(F.lit(1))).alias("se"), F.first("epsilon").alias("epsilon"),
-        F.sum(H * (Y - (T * F.col("_m1s") + (F.lit(1.0) - T) * F.col("_m0s")))).alias("score_sum"))
-    res = res.withColumn("treated_pct", F.lit(100.0) * F.col("n_treated") / F.col("n"))
-    return finish_estimate(res, by)
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("_T").cast("long")).alias("n_treated"),
+        F.sum(F.col("_H") * F.col("_r")).alias("_hr"), F.sum(F.col("_H") * F.col("_H")).alias("_hh"), F.avg("_D").alias("_d"), F.avg("_C").alias("_c"),
+        F.var_pop("_A").alias("_va"), F.var_pop("_B").alias("_vb"), F.covar_pop("_A", "_B").alias("_vab"))
+    eps = F.col("epsilon")
+    res = res.withColumn("epsilon", F.try_divide(F.col("_hr"), F.col("_hh")))
+    var = F.greatest(F.col("_va") + 2 * eps * F.col("_vab") + eps * eps * F.col("_vb"), F.lit(0.0))
+    res = res.withColumns({"ate": F.col("_d") + eps * F.col("_c"), "se": F.sqrt(var / F.col("n")), "score_sum": F.col("_hr") - eps * F.col("_hh"),
+                           "treated_pct": F.lit(100.0) * F.col("n_treated") / F.col("n")})
+    return finish_estimate(res.drop("_hr", "_hh", "_d", "_c", "_va", "_vb", "_vab"), by)
+
+
+def tmle(df: DataFrame, t: str, y: str, xs: Sequence[str], learner: str = "cell", by: Sequence[str] = (),
+         clip: tuple[float, float] | None = (0.01, 0.99), **params) -> DataFrame:
+    """#90: nuisances by any learner (propensity unclipped), then targeting.  ``cell`` needs no second scan."""
+    if learner == "cell":
+        return cell_tmle(df, t, y, xs, by, clip)
+    return tmle_effect(nuisances(df, t, y, xs, learner, by, None, **params), t, y, "ps", "mu1", "mu0", by, clip)
+
+
+def aipw(df: DataFrame, t: str, y: str, xs: Sequence[str], learner: str = "cell", by: Sequence[str] = (),
+         clip: tuple[float, float] | None = (0.01, 0.99), min_rows: int = 0, **params) -> DataFrame:
+    """#88: nuisances by any learner, then the AIPW estimate."""
+    if learner == "cell":
+        return cell_aipw(df, t, y, xs, by, clip, min_rows)
+    return aipw_effect(nuisances(df, t, y, xs, learner, by, clip, **params), t, y, by=by, min_rows=min_rows)
 
 
 def pool_rubin(est: DataFrame, by: Sequence[str] = (), ate: str = "ate", se: str = "se",

@@ -1,21 +1,20 @@
 """Grouped least squares from cross-product sums.
 
 The rows never leave the executors: each group contributes its sums of
-products (Z'Z, Z'y, y'y, n) through ordinary partial aggregation, and only
-the (p+1)^2 sums per group reach the solver.  The solve is a small
-pseudo-inverse per group in ``applyInPandas`` over the one-row-per-group
-sums table, so any number of groups (imputations, folds, replicates) is one
-job.  Rank-deficient designs get the minimum-norm solution and
-``identified = false``.
-
-The sums are packed per task with ``mapInPandas`` and reduced by (group, cell
-index), at every width, which keeps the plan free of thousands of aggregate
-expressions.
+products (Z'Z, Z'y, y'y, n), and only the (p+1)^2 sums per group reach the
+solver.  The solve is a small pseudo-inverse per group in ``applyInPandas``
+over the one-row-per-group sums table, so any number of groups (imputations,
+folds, replicates) is one job.  Rank-deficient designs get the minimum-norm
+solution and ``identified = false``.
+
+A task multiplies its Arrow batches, one matrix product per group and batch,
+at every width, which keeps the plan free of thousands of aggregate
+expressions; the sums are added by (group, cell) (see ``grouped``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,73 +23,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from .frame import all_present
+from .grouped import summed
+
+
+def cross_products(X: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
+    """n, X'X, X'y and y'y in a row."""
+    Xw, yw = (X, y) if w is None else (X * w[:, None], y * w)
+    n = float(len(y)) if w is None else float(w.sum())
+    return np.concatenate([[n], (Xw.T @ X).ravel(), Xw.T @ y, [float(yw @ y)]])
 
-PACKED_CELLS = 4_000_000  # sums that a task holds before it sends them on
 
 def gram_sums(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), intercept: bool = True,
               weight: str | None = None, train: Column | None = None) -> DataFrame:
     """One row per group: n, xtx (flattened (q x q), q = len(xs)+intercept),
-    xty (q), yty.  Rows with any missing y/x are left out.
-
-    One path for every width: a task multiplies its rows batch by batch and
-    sends (q+1)^2 sums per group, which are added by (group, cell)."""
+    xty (q), yty.  Rows with any missing y/x are left out."""
     by, xs = list(by), list(xs)
     ok = all_present([y, *xs])
     if train is not None:
         ok = ok & train
     key = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    rows = df.where(ok).select(*key, w.alias("_w"), F.col(y).cast("double").alias("_y"),
-                               *[F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)])
-    names = [f"_x{i}" for i in range(len(xs))]
-    q = len(xs) + int(intercept)
-
-    def sums(g: pd.DataFrame) -> np.ndarray:
-        X = g[names].to_numpy(dtype=float)
-        X = np.column_stack([np.ones(len(g)), X]) if intercept else X
-        yy, ww = g["_y"].to_numpy(dtype=float), g["_w"].to_numpy(dtype=float)
-        Xw = X * ww[:, None]
-        return np.concatenate([[ww.sum()], (Xw.T @ X).ravel(), Xw.T @ yy, [(ww * yy * yy).sum()]])
-
-    packed = _packed_sums(rows, [c.name for c in rows.schema.fields[:len(by)]], sums)
+    w = [F.col(weight).cast("double").alias("_w")] if weight else []
+    rows = df.where(ok).select(*key, *w, F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)])
+    q, first = len(xs) + int(intercept), len(w)
+
+    def sums(_, data: np.ndarray) -> np.ndarray:
+        X = data[:, first + 1:]
+        X = np.column_stack([np.ones(len(X)), X]) if intercept else X
+        return cross_products(X, data[:, first], data[:, 0] if first else None)
+
+    packed = summed(rows, [f"_by{i}" for i in range(len(by))], sums)
     v = F.col("v")
     return packed.select(*[F.col(f"_by{i}").alias(c) for i, c in enumerate(by)], v.getItem(0).alias("n"),
                          F.slice(v, 2, q * q).alias("xtx"), F.slice(v, 2 + q * q, q).alias("xty"),
                          v.getItem(1 + q * q + q).alias("yty"))
 
 
-def _packed_sums(rows: DataFrame, by: list[str], sums: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
-    """``by`` and an array ``v``: the vectors of ``sums`` over all batches of a group, added up."""
-    schema = StructType([*rows.select(*by).schema.fields, StructField("k", IntegerType()), StructField("v", DoubleType())])
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[tuple, np.ndarray] = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            for key, g in pdf.groupby(by, dropna=False, sort=False) if by else [((), pdf)]:
-                # A missing key is None here, whatever pandas makes of it.
-                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
-                part = sums(g)
-                total[key] = total[key] + part if key in total else part
-            if len(total) * len(part) > PACKED_CELLS:
-                yield table(total)
-                total = {}
-        if total:
-            yield table(total)
-
-    def table(total: dict[tuple, np.ndarray]) -> pd.DataFrame:
-        size = len(next(iter(total.values())))
-        out = {name: pd.Series([key[i] for key in total for _ in range(size)], dtype=object) for i, name in enumerate(by)}
-        out["k"] = np.tile(np.arange(size, dtype=np.int32), len(total))
-        out["v"] = np.concatenate(list(total.values()))
-        return pd.DataFrame(out)
-
-    summed = rows.mapInPandas(partial, schema).groupBy(*by, "k").agg(F.sum("v").alias("v"))
-    packed = summed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("kv"))
-    return packed.select(*by, F.transform("kv", lambda s: s["v"]).alias("v"))
-
-
 def gram_sums_many(df: DataFrame, models: dict[str, tuple[Sequence[str], Column]], by: str) -> DataFrame:
     """(by, _target, sums) of several regressions in one pass over the rows.
 
@@ -99,21 +66,20 @@ def gram_sums_many(df: DataFrame, models: dict[str, tuple[Sequence[str], Column]
     rows with a missing regressor of a model are left out of that model."""
     cols = sorted({c for t, (xs, _) in models.items() for c in [t, *xs]})
     rows = df.select(F.col(by).alias("_by"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)],
-                     *[train.alias(f"_on{j}") for j, (_, train) in enumerate(models.values())])
-    at = {c: f"_x{i}" for i, c in enumerate(cols)}
-    regressors = {t: list(xs) for t, (xs, _) in models.items()}
-    sizes = [(len(xs) + 1) ** 2 + len(xs) + 3 for xs in regressors.values()]
+                     *[train.cast("double").alias(f"_on{j}") for j, (_, train) in enumerate(models.values())])
+    at = {c: i for i, c in enumerate(cols)}
+    places = [[at[t], *(at[x] for x in xs)] for t, (xs, _) in models.items()]
+    sizes = [len(p) ** 2 + len(p) + 2 for p in places]
 
-    def sums(g: pd.DataFrame) -> np.ndarray:
+    def sums(_, data: np.ndarray) -> np.ndarray:
         out = []
-        for j, (target, xs) in enumerate(regressors.items()):
-            part = g.loc[g[f"_on{j}"].to_numpy(dtype=bool), [at[target], *(at[x] for x in xs)]].to_numpy(dtype=float)
+        for j, place in enumerate(places):
+            part = data[data[:, len(cols) + j] == 1][:, place]
             part = part[~np.isnan(part).any(axis=1)]
-            X, yy = np.column_stack([np.ones(len(part)), part[:, 1:]]), part[:, 0]
-            out += [[float(len(part))], (X.T @ X).ravel(), X.T @ yy, [float((yy * yy).sum())]]
+            out.append(cross_products(np.column_stack([np.ones(len(part)), part[:, 1:]]), part[:, 0]))
         return np.concatenate(out)
 
-    packed = _packed_sums(rows, ["_by"], sums)
+    packed = summed(rows, ["_by"], sums)
     starts = np.cumsum([1, *sizes[:-1]]).tolist()
     each = [F.struct(F.lit(t).alias("_target"), F.slice("v", s, n).alias("sums")) for t, s, n in zip(models, starts, sizes)]
     return (packed.select(F.col("_by").alias(by), F.explode(F.array(*each)).alias("_m")).select(by, "_m.*")
@@ -128,6 +94,12 @@ def _solve_schema(by_fields) -> StructType:
         StructField("tss", DoubleType()), StructField("r2", DoubleType())])
 
 
+def unit_diagonal(A: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``A`` with its rows and columns scaled to a unit diagonal (far better conditioned for polynomial terms), and the scales."""
+    d = np.sqrt(np.clip(np.diag(A), 1e-300, None))
+    return A / np.outer(d, d), d
+
+
 def solve(gram: DataFrame, by: Sequence[str] = (), intercept: bool = True, rcond: float = 1e-10) -> DataFrame:
     """Coefficients per group from ``gram_sums`` (pseudo-inverse; rank check).
 
@@ -142,10 +114,7 @@ def solve(gram: DataFrame, by: Sequence[str] = (), intercept: bool = True, rcond
         q = len(xty)
         A = np.asarray(r["xtx"], dtype=float).reshape(q, q)
         n, yty = float(r["n"]), float(r["yty"])
-        # Scale to unit diagonal before the pseudo-inverse (same solution,
-        # far better conditioning for polynomial terms).
-        d = np.sqrt(np.clip(np.diag(A), 1e-300, None))
-        As = A / np.outer(d, d)
+        As, d = unit_diagonal(A)
         inv_s = np.linalg.pinv(As, rcond=rcond, hermitian=True)
         rank = int(np.linalg.matrix_rank(As, tol=rcond * max(1.0, np.abs(As).max())))
         inv = inv_s / np.outer(d, d)
@@ -172,13 +141,17 @@ def predict(df: DataFrame, coefs: DataFrame, xs: Sequence[str], by: Sequence[str
     from .learners import join_on_keys
     c = coefs.select(*by, F.col("coef").alias("_coef"))
     joined = join_on_keys(df, c, list(by), "left")
-    terms = [F.col("_coef").getItem(0)] if intercept else []
-    off = 1 if intercept else 0
-    terms += [F.col("_coef").getItem(i + off) * F.col(x) for i, x in enumerate(xs)]
+    return joined.withColumn(out, linear_predictor("_coef", xs, intercept)).drop("_coef")
+
+
+def linear_predictor(coef: str, xs: Sequence[str], intercept: bool = True) -> Column:
+    """The coefficients in the array column ``coef`` times the columns ``xs``."""
+    terms = [F.get(F.col(coef), F.lit(0))] if intercept else []
+    terms += [F.get(F.col(coef), F.lit(i + int(intercept))) * F.col(x) for i, x in enumerate(xs)]
     expr = terms[0]
     for t in terms[1:]:
         expr = expr + t
-    return joined.withColumn(out, expr).drop("_coef")
+    return expr
 
 
 def ols(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), intercept: bool = True,

@@ -20,7 +20,7 @@ from .gram import gram_sums, solve
 from .impute import impute_chained, impute_mean
 from .learners import cell_nuisances, join_on_keys
 from .profile import value_counts_top_k
-from .resample import bootstrap_replicates, crossfit_cell_aipw
+from .resample import bootstrap_sums, crossfit_aipw, crossfit_cell_aipw
 from ..session import cut_lineage, stored
 
 
@@ -154,24 +154,21 @@ def effect_matched_strata(df: DataFrame, t: str, y: str, xs: Sequence[str], by:
     # The binned table feeds the point estimate and the bootstrap: build it once.
     d = cut_lineage(coarsen(d, xs, n_bins, by))
     strata = [f"{x}_bin" for x in xs]
-    est = _strata_diff(d, t, y, by, strata, weight, None)
+    T, Y = F.col(t), F.col(y).cast("double")
+    parts = {"n_t": F.when(T == 1, 1.0), "n_c": F.when(T == 0, 1.0), "s_t": F.when(T == 1, Y), "s_c": F.when(T == 0, Y)}
+    sums = d.groupBy(*by, *strata).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(name) for name, c in parts.items()])
+    est = _strata_diff(sums, by, weight)
     if B:
-        boot = bootstrap_replicates(d, B, seed, key or xs, "_b", "_w")
-        reps = _strata_diff(boot, t, y, by + ["_b"], strata, weight, "_w")
-        se = reps.groupBy(*by).agg(F.stddev_samp("ate").alias("se"))
+        reps = bootstrap_sums(d, parts, B, seed, key or xs, by + strata, "_b")
+        se = _strata_diff(reps, by + ["_b"], weight).groupBy(*by).agg(F.stddev_samp("ate").alias("se"))
         est = join_on_keys(est, se, by, "left")
     else:
         est = est.withColumn("se", F.lit(None).cast("double"))
     return finish_estimate(est, by)
 
 
-def _strata_diff(d: DataFrame, t: str, y: str, by: list[str], strata: list[str], weight: str,
-                 w: str | None) -> DataFrame:
-    wt = F.col(w).cast("double") if w else F.lit(1.0)
-    T = F.col(t)
-    s = d.groupBy(*by, *strata).agg(
-        F.sum(F.when(T == 1, wt)).alias("n_t"), F.sum(F.when(T == 0, wt)).alias("n_c"),
-        F.sum(F.when(T == 1, wt * F.col(y))).alias("s_t"), F.sum(F.when(T == 0, wt * F.col(y))).alias("s_c"))
+def _strata_diff(s: DataFrame, by: list[str], weight: str) -> DataFrame:
+    """Weighted difference of arm means from per-stratum counts n_t, n_c and outcome sums s_t, s_c."""
     s = s.where((F.col("n_t") > 0) & (F.col("n_c") > 0))
     diff = F.try_divide(F.col("s_t"), F.col("n_t")) - F.try_divide(F.col("s_c"), F.col("n_c"))
     wcol = (F.col("n_t") + F.col("n_c")) if weight == "ate" else F.col("n_t")
@@ -180,20 +177,33 @@ def _strata_diff(d: DataFrame, t: str, y: str, by: list[str], strata: list[str],
                               F.count(F.lit(1)).alias("n_strata"))
 
 
-def effect_complete_case(df: DataFrame, t: str, y: str, xs: Sequence[str], key: Sequence[str],
-                         by: Sequence[str] = (), n_bins: int = 5, k: int = 5, seed: int = 42) -> DataFrame:
-    """#92b: complete cases, then cross-fitted AIPW with cell nuisances over
-    the coarsened covariates."""
-    d = complete_cases(df, xs, 100, by)
+def _crossfit(d: DataFrame, t: str, y: str, xs: Sequence[str], key: Sequence[str], by: Sequence[str], n_bins: int, k: int, seed: int,
+              learner: str, params: dict) -> DataFrame:
+    """Cross-fitted AIPW on the covariates themselves, or for the cell learner on their bins."""
+    if learner != "cell":
+        return crossfit_aipw(d, t, y, xs, key, by, k, seed, learner, **params)
     d = cut_lineage(coarsen(d, xs, n_bins, by))
     return crossfit_cell_aipw(d, t, y, [f"{x}_bin" for x in xs], key, by, k, seed)
 
 
+def effect_complete_case(df: DataFrame, t: str, y: str, xs: Sequence[str], key: Sequence[str],
+                         by: Sequence[str] = (), n_bins: int = 5, k: int = 5, seed: int = 42, learner: str = "cell", **params) -> DataFrame:
+    """#92b: complete cases, then cross-fitted AIPW with the nuisances of ``learner``."""
+    return _crossfit(complete_cases(df, xs, 100, by), t, y, xs, key, by, n_bins, k, seed, learner, params)
+
+
 def effect_single_imputation(df: DataFrame, t: str, y: str, xs: Sequence[str], key: Sequence[str],
-                             by: Sequence[str] = (), n_bins: int = 5, k: int = 5, seed: int = 42) -> DataFrame:
+                             by: Sequence[str] = (), n_bins: int = 5, k: int = 5, seed: int = 42, learner: str = "cell", **params) -> DataFrame:
     """#92c: mean imputation, then the same cross-fitted AIPW."""
-    d = cut_lineage(coarsen(impute_mean(df, xs, by), xs, n_bins, by))
-    return crossfit_cell_aipw(d, t, y, [f"{x}_bin" for x in xs], key, by, k, seed)
+    return _crossfit(impute_mean(df, xs, by), t, y, xs, key, by, n_bins, k, seed, learner, params)
+
+
+def method_comparison(df: DataFrame, t: str, y: str, cells: Sequence[str], xs: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """#100: AIPW and TMLE (cell nuisances over ``cells``) and regression on ``xs`` side by side, one row per group and method."""
+    cols = [*by, "n", "ate", "se", "ci_lower", "ci_upper", "z", "p_value", "effect_pct"]
+    found = {"aipw": cell_aipw(df, t, y, cells, by), "tmle": cell_tmle(df, t, y, cells, by), "regression": effect_regression(df, t, y, xs, by)}
+    parts = [est.select(F.lit(name).alias("method"), *[F.col(c).cast("long").alias(c) if c == "n" else F.col(c) for c in cols]) for name, est in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def effect_over_imputations(imputed: DataFrame, estimate: Callable[[DataFrame, list[str]], DataFrame],
@@ -204,39 +214,34 @@ def effect_over_imputations(imputed: DataFrame, estimate: Callable[[DataFrame, l
 
 
 def effect_imputed_dr(df: DataFrame, t: str, y: str, xs: Sequence[str], key: Sequence[str], M: int = 5,
-                      max_iter: int = 3, n_bins: int = 5, k: int = 5, seed: int = 42) -> DataFrame:
+                      max_iter: int = 3, n_bins: int = 5, k: int = 5, seed: int = 42, learner: str = "cell", **params) -> DataFrame:
     """#92: chained Bayesian imputation (outcome as predictor, treatment not),
     cross-fitted AIPW per imputation m, Rubin pooling (normal form)."""
     imp = impute_chained(df, xs, M=M, max_iter=max_iter, extra_predictors=[y], row_key=key, seed=seed)
-    return effect_over_imputations(coarsen(imp, xs, n_bins, ["m"]), lambda d, by: crossfit_cell_aipw(
-        d, t, y, [f"{x}_bin" for x in xs], key, by, k, seed))
+    return effect_over_imputations(imp, lambda d, by: _crossfit(d, t, y, xs, key, by, n_bins, k, seed, learner, params))
 
 
 def evaluate_methods(df: DataFrame, methods: dict[str, Callable[[DataFrame, list[str]], DataFrame]],
                      by: Sequence[str], truth: float = 0.0, min_rows: int = 0, t: str | None = None) -> DataFrame:
     """#102: run every method on every dataset (``by`` key) in grouped form;
     a dataset failing a gate (or an empty arm) yields a row with ``error``
-    instead of an estimate, and so do all datasets of a method that fails as
-    a whole; metrics per #56."""
+    instead of an estimate; metrics per #56.
+
+    A method that fails is run again on halves of the datasets (halves of the
+    range of a hash of their key) until the failing dataset stands alone and
+    carries the error; the others keep their estimates."""
     from .runs import run_metrics
     by = list(by)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"),
-                                *( [F.sum(F.col(t).cast("long")).alias("_n1")] if t else []))
+    sizes = stored(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *([F.sum(F.col(t).cast("long")).alias("_n1")] if t else [])), "datasets")
     parts = []
     for name, fn in methods.items():
-        failed = None
-        try:
-            est = stored(fn(df, by).select(*by, "ate", "se"), "method")
-        except Exception as e:  # noqa: BLE001  the method's own failure is its result
-            failed = f"{type(e).__name__}: {str(e)[:200]}"
-            est = sizes.select(*by, F.lit(None).cast("double").alias("ate"), F.lit(None).cast("double").alias("se"))
-        full = join_on_keys(sizes, est, by, "left")
+        full = join_on_keys(sizes, _isolated(df, fn, by, sizes), by, "left")
         bad = F.col("n_rows") < min_rows
         if t:
-            bad = bad | (F.col("_n1") == 0) | (F.col("_n1") == F.col("n_rows"))
+            bad = bad | F.col("_n1").isNull() | (F.col("_n1") == 0) | (F.col("_n1") == F.col("n_rows"))
         full = full.select(*by, F.lit(name).alias("method"), F.lit(float(truth)).alias("true_ate"),
                            F.when(~bad, F.col("ate")).alias("ate_est"), F.when(~bad, F.col("se")).alias("se_est"),
-                           F.when(bad, F.lit("gate: too few rows or an empty arm")).otherwise(F.lit(failed)).alias("error"))
+                           F.when(bad, F.lit("gate: too few rows or an empty arm")).otherwise(F.col("error")).alias("error"))
         parts.append(full)
     out = parts[0]
     for p in parts[1:]:
@@ -244,3 +249,29 @@ def evaluate_methods(df: DataFrame, methods: dict[str, Callable[[DataFrame, list
     out = out.withColumn("ci_lower", F.col("ate_est") - 1.96 * F.col("se_est")).withColumn(
         "ci_upper", F.col("ate_est") + 1.96 * F.col("se_est"))
     return run_metrics(out)
+
+
+def _isolated(df: DataFrame, fn: Callable[[DataFrame, list[str]], DataFrame], by: list[str], sizes: DataFrame) -> DataFrame:
+    """``by``, ate, se and error of every dataset that a method gives an estimate for or fails on."""
+    place = F.xxhash64(*by)
+    none = F.lit(None).cast("string")
+    done = []
+    todo = [(-(1 << 63), (1 << 63) - 1)]
+    while todo:
+        low, high = todo.pop()
+        inside = place.between(low, high)
+        part = df if (low, high) == (-(1 << 63), (1 << 63) - 1) else df.where(inside)
+        try:
+            done.append(stored(fn(part, by).select(*by, F.col("ate").cast("double"), F.col("se").cast("double"), none.alias("error")), "method"))
+        except Exception as e:  # noqa: BLE001  the method's own failure is its result
+            here = sizes.where(inside)
+            if here.limit(2).count() > 1 and low < high:
+                middle = (low + high) // 2
+                todo += [(low, middle), (middle + 1, high)]
+            else:
+                missing = F.lit(None).cast("double")
+                done.append(here.select(*by, missing.alias("ate"), missing.alias("se"), F.lit(f"{type(e).__name__}: {str(e)[:200]}").alias("error")))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out

@@ -7,16 +7,20 @@ over all imputations instead of M separate runs.
 Chained equations (``impute_chained``), default ``learner="bayes"``: start
 from medians; each sweep visits the incomplete columns in ascending order of
 missingness and, per imputation m, regresses the column on its predictors
-over the rows where it was observed: one grouped cross-product aggregation
-(``gram``), a small Bayesian-ridge evidence fit per m (numpy on a p x p
-matrix, one task per m), a posterior draw of the coefficients per (m, sweep, column), and
-a per-row normal noise draw from a hash of (seed, m, sweep, column, row
-key).  Draws are deterministic, so a recomputed partition after an
-executor loss reproduces the same values.  Every step's table is stored in
-the shared folder, and its predecessor is deleted.
-
-``learner="forest"``: Spark ML random forest per (m, column) step, no
-posterior draw (reproduces the forest variant, which understates
+over the rows where it was observed: grouped cross-product sums (``gram``) and
+a small Bayesian-ridge evidence fit per m.  A missing cell is drawn from its
+predictive distribution: mean x'b and variance 1/alpha + x' Cov x (x less the
+training means), with a normal draw from a hash of (seed, m, sweep, column,
+row key).  Draws are deterministic, so a recomputed partition after an
+executor loss reproduces the same values.
+
+Rows without a missing cell among the chain's columns are the same in every
+imputation.  Their cross products are summed once; only the incomplete rows
+are copied M times, as a narrow table (row number, m, chain columns), and are
+stored after every few columns.  The other columns are joined back at the end.
+
+``learner="forest"``: random forests of all imputations grown together, no
+predictive draw (reproduces the forest variant, which understates
 between-imputation variance).
 """
 
@@ -26,10 +30,8 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from ..session import drop_stored, stored
 from .gram import gram_sums, gram_sums_many
@@ -121,34 +123,41 @@ def bayes_ridge_from_gram(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float
     return intercept, coef, cov, alpha, xbar
 
 
-def draw_from_sums(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float, rng: np.random.Generator) -> tuple[list[float], float]:
-    """Posterior draw of (intercept, coefficients) and the noise sd from the sums of one regression."""
-    b0, coef, cov, alpha, xbar = bayes_ridge_from_gram(xtx, xty, yty, n)
-    if len(coef):
-        L = np.linalg.cholesky(cov + 1e-12 * np.eye(len(coef)))
-        draw = coef + L @ rng.standard_normal(len(coef))
-        b0 = b0 + xbar @ (coef - draw)   # keep the fit centred at the means
-    else:
-        draw = coef
-    return [float(b0), *map(float, draw)], float(1.0 / math.sqrt(alpha))
+def predictive(sums: np.ndarray) -> tuple[list[float], list[float]]:
+    """From n, xtx, xty, yty of one regression: intercept and coefficients; and means, noise variance and a factor L with Cov = L L'.
 
+    The second list is means, 1 / alpha and the lower triangle of L row by row."""
+    q = int(round((-1 + math.sqrt(1 + 4 * (len(sums) - 2))) / 2))
+    b0, coef, cov, alpha, xbar = bayes_ridge_from_gram(sums[1:1 + q * q].reshape(q, q), sums[1 + q * q:-1], float(sums[-1]), float(sums[0]))
+    factor = np.linalg.cholesky((cov + cov.T) / 2 + 1e-14 * np.eye(len(coef)) * max(1e-300, np.abs(cov).max())) if len(coef) else np.zeros((0, 0))
+    return [float(b0), *map(float, coef)], [*map(float, xbar), float(1.0 / alpha), *map(float, factor[np.tril_indices(len(coef))])]
 
-def _posterior_draw_table(gram: DataFrame, m_col: str, seed: int, sweep: int, col_idx: int) -> DataFrame:
-    """One row per m: drawn intercept + coefficients and noise sd.
 
-    ``gram`` has one row of sums per imputation; each is solved by a task."""
-    schema = StructType([gram.schema[m_col], StructField("beta", ArrayType(DoubleType())),
-                         StructField("noise_sd", DoubleType())])
+def predictive_draw(xs: Sequence[Column], beta: Column, spread: Column, normal: Column) -> Column:
+    """Mean plus a normal draw with the variance 1/alpha + |L'(x - means)|^2 of the row."""
+    p = len(xs)
+    mean = F.get(beta, F.lit(0))
+    for i, x in enumerate(xs):
+        mean = mean + F.get(beta, F.lit(i + 1)) * x
+    away = [x - F.get(spread, F.lit(i)) for i, x in enumerate(xs)]
+    variance = F.get(spread, F.lit(p))
+    for j in range(p):
+        side = F.lit(0.0)
+        for i in range(j, p):
+            side = side + F.get(spread, F.lit(p + 1 + i * (i + 1) // 2 + j)) * away[i]
+        variance = variance + side * side
+    return mean + F.sqrt(variance) * normal
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        xty = np.asarray(r["xty"], dtype=float)
-        xtx = np.asarray(r["xtx"], dtype=float).reshape(len(xty), len(xty))
-        beta, sd = draw_from_sums(xtx, xty, float(r["yty"]), float(r["n"]),
-                                  np.random.default_rng([seed, int(r[m_col]), sweep, col_idx]))
-        return pd.DataFrame({m_col: [r[m_col]], "beta": [beta], "noise_sd": [sd]})
 
-    return gram.groupBy(m_col).applyInPandas(solve, schema)
+# The reference's imputation forest (fixed values).
+IMPUTE_FOREST = dict(trees=10, depth=5, loss="mean")
+
+
+def forest_fill(data: DataFrame, col: str, xs: Sequence[str], obs_col: str, m_col: str, seed: int, **params) -> DataFrame:
+    """One chained step of the forest imputer: the forests of all imputations, fitted on the observed rows, predict the missing ones."""
+    from .trees import Shape, fit_trees
+    forest = fit_trees(data, xs, {"_fill": (F.col(col), F.col(obs_col))}, [m_col], Shape(**{**IMPUTE_FOREST, "seed": seed, **params}))
+    return forest.predict(data).withColumn(col, F.when(F.col(obs_col), F.col(col)).otherwise(F.coalesce(F.col("_fill"), F.col(col)))).drop("_fill")
 
 
 def _nearest_predictors(df: DataFrame, targets: Sequence[str], pool: Sequence[str], k: int) -> dict[str, list[str]]:
@@ -172,108 +181,116 @@ def _nearest_predictors(df: DataFrame, targets: Sequence[str], pool: Sequence[st
     return {t: sorted(c, key=lambda x: (-corr[at[t], at[x]], x))[:k] for t, c in cands.items()}
 
 
+WIDTH = 8  # columns of a sweep between two stored states
+
+
 def impute_chained(df: DataFrame, cols: Sequence[str], M: int = 5, max_iter: int = 5, learner: str = "bayes",
                    extra_predictors: Sequence[str] = (), n_nearest: int | None = 10, row_key: Sequence[str] = (),
-                   seed: int = 0, m_col: str = "m", already_stacked: bool = False, checkpoint: bool = True,
-                   forest_params: dict | None = None, schedule: str = "gauss-seidel") -> DataFrame:
+                   seed: int = 0, m_col: str = "m", forest_params: dict | None = None, schedule: str = "gauss-seidel") -> DataFrame:
     """#74 / #75: chained-equation multiple imputation of ``cols``.
 
     ``extra_predictors`` (e.g. the outcome) help predict but are never
     imputed; columns held out of the chain (ids, treatment codes) are simply
     not listed.  ``row_key`` identifies a row for the noise draws.
     ``schedule="jacobi"`` (Bayes learner) updates every column from the
-    previous sweep's values: one aggregation and one stored table per sweep
-    instead of one per column, for wide tables.
+    previous sweep's values: one aggregation per sweep instead of one per
+    column, for wide tables.
     Columns of ``cols`` without any value leave the table first.  A model is
     fitted on the rows where its column was observed and its predictors are
     present; a missing cell without a prediction (a predictor that is not
     imputed is missing there, or there is no row to fit) keeps its start
     value, so that no cell of the chain stays missing.
     Returns the stacked table with ``m`` and completed ``cols``."""
+    if learner not in ("bayes", "forest"):
+        raise ValueError(f"unknown imputation learner {learner!r}")
     df, empty = drop_all_missing_columns(df, list(cols))
     cols = [c for c in cols if c not in empty]
-    extra_predictors = [c for c in extra_predictors if c not in empty]
-    data = df if already_stacked else stack_imputations(df, M, m_col)
-    data = data.withColumns({f"_obs_{c}": F.col(c).isNotNull() for c in cols})
-    if checkpoint:
-        # Materialise the stacked input once; counts, medians, correlations
-        # and the first sweep all read it instead of rebuilding the sources.
-        data = stored(data, "impute")
-    first = data.where(F.col(m_col) == 1)
-    miss = missing_counts(first, cols)
+    extra = [c for c in dict.fromkeys(extra_predictors) if c not in empty and c not in cols]
+    key = list(row_key) if row_key else [c for c in df.columns if c not in cols][:2]
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(c).isNotNull()
+    base = stored(df.withColumns({"_row": F.monotonically_increasing_id(), "_whole": whole}), "impute")
+    miss = missing_counts(base, cols)
     targets = sorted([c for c in cols if miss[c] > 0], key=lambda c: (miss[c], c))   # skip complete, ascending
-    data = data.drop(*[f"_obs_{c}" for c in cols if c not in targets])
     if not targets:
-        return data
-    meds = exact_percentiles(first, targets, [0.5]).first()
-    data = data.withColumns({c: F.coalesce(F.col(c), F.lit(meds[c][0])) for c in targets})
-    pool = cols + [c for c in extra_predictors if c not in cols]
-    preds = _nearest_predictors(data.where(F.col(m_col) == 1), targets, pool,
-                                n_nearest if learner == "bayes" else 0)
-    key = list(row_key) if row_key else [c for c in df.columns if c not in cols][:2]
-    if schedule == "jacobi" and learner == "bayes":
-        for sweep in range(1, max_iter + 1):
-            data = _advance(data, _jacobi_sweep(data, targets, preds, m_col, seed, sweep, key), checkpoint)
-        return data.drop(*[f"_obs_{c}" for c in targets])
+        return stack_imputations(base.drop("_row", "_whole"), M, m_col)
+    meds = exact_percentiles(base, targets, [0.5]).first()
+    start = {c: F.coalesce(F.col(c).cast("double"), F.lit(meds[c][0])) for c in targets}
+    pool = cols + extra
+    preds = _nearest_predictors(base.withColumns(start), targets, pool, n_nearest if learner == "bayes" else 0)
+    if learner == "forest":
+        return _forest_chain(base, targets, preds, M, max_iter, m_col, seed, forest_params or {}, start)
+    chain = {c: f"_c{i}" for i, c in enumerate(pool)}
+    state = base.where("not _whole").select(
+        "_row", F.xxhash64(*key).alias("_hash"), *[(start.get(c, F.col(c).cast("double"))).alias(n) for c, n in chain.items()],
+        *[F.col(c).isNotNull().alias(f"_obs{j}") for j, c in enumerate(targets)])
+    state = stored(stack_imputations(state, M, m_col), "impute")
+    on = [F.col(f"_obs{j}") for j in range(len(targets))]
+    models = {chain[c]: [chain[x] for x in preds[c]] for c in targets}
+    fixed = {r["_target"]: np.array(r["sums"]) for r in gram_sums_many(
+        base.where("_whole").select(F.lit(0).alias("_one"), *[F.col(c).cast("double").alias(n) for c, n in chain.items()]),
+        {n: (xs, F.lit(True)) for n, xs in models.items()}, "_one").collect()}
+    for sweep in range(1, max_iter + 1):
+        steps = [list(enumerate(targets))] if schedule == "jacobi" else [[(j, c)] for j, c in enumerate(targets)]
+        after = state
+        for k, step in enumerate(steps):
+            fits = _predictive_table(after, {chain[c]: (models[chain[c]], on[j]) for j, c in step}, fixed, m_col)
+            after = _drawn(after, fits, [(j, chain[c], models[chain[c]]) for j, c in step], m_col, seed, sweep)
+            if k % WIDTH == WIDTH - 1 and k + 1 < len(steps):
+                state = after = _advance(state, after)
+        state = _advance(state, after)
+    done = state.select("_row", m_col, *[F.col(chain[c]).alias(f"_new{j}") for j, c in enumerate(targets)])
+    incomplete = base.where("not _whole").join(done, "_row")
+    incomplete = incomplete.withColumns({c: F.col(f"_new{j}") for j, c in enumerate(targets)})
+    complete = stack_imputations(base.where("_whole").withColumns({c: F.col(c).cast("double") for c in targets}), M, m_col)
+    names = [*df.columns, m_col]
+    return complete.select(*names).unionByName(incomplete.select(*names))
+
+
+def _predictive_table(state: DataFrame, models: dict[str, tuple[list[str], Column]], fixed: dict[str, np.ndarray], m_col: str) -> DataFrame:
+    """One row per m: per target the predictive fit, from the sums of the complete rows and of the incomplete ones.
+
+    What comes back is M x targets small vectors, whatever the rows."""
+    sums = {(r[m_col], r["_target"]): np.array(r["sums"]) for r in gram_sums_many(state, models, m_col).collect()}
+    every = sorted({m for m, _ in sums}) or [r[0] for r in state.select(m_col).distinct().collect()]
+    rows = []
+    for m in every:
+        fits = []
+        for target in models:
+            parts = [x for x in (fixed.get(target), sums.get((m, target))) if x is not None]
+            fits.append((target, *predictive(sum(parts))) if parts else (target, None, None))
+        rows.append((m, fits))
+    kind = state.schema[m_col].dataType.simpleString()
+    return state.sparkSession.createDataFrame(rows, f"{m_col} {kind}, _fits array<struct<target: string, beta: array<double>, spread: array<double>>>")
+
+
+def _drawn(state: DataFrame, fits: DataFrame, targets: list[tuple[int, str, list[str]]], m_col: str, seed: int, sweep: int) -> DataFrame:
+    """``state`` with the missing cells of the targets drawn anew."""
+    d = join_on_keys(state, F.broadcast(fits), [m_col], "left")  # M rows
+    new = {}
+    for place, (j, c, xs) in enumerate(targets):
+        fit = F.get("_fits", F.lit(place))
+        normal = hash_normal(F.lit(seed), F.col(m_col), F.lit(sweep), F.lit(j), "_hash")
+        draw = predictive_draw([F.col(x) for x in xs], fit["beta"], fit["spread"], normal)
+        new[c] = F.when(F.col(f"_obs{j}"), F.col(c)).otherwise(F.coalesce(draw, F.col(c)))
+    return d.withColumns(new).drop("_fits")
+
+
+def _forest_chain(base: DataFrame, targets: list[str], preds: dict[str, list[str]], M: int, max_iter: int, m_col: str, seed: int,
+                  params: dict, start: dict[str, Column]) -> DataFrame:
+    """The chain with forests, on the stacked table."""
+    data = base.withColumns({f"_obs_{c}": F.col(c).isNotNull() for c in targets}).withColumns(start).drop("_row", "_whole")
+    data = stored(stack_imputations(data, M, m_col), "impute")
     for sweep in range(1, max_iter + 1):
         for j, c in enumerate(targets):
-            xs = preds[c]
-            if learner == "bayes":
-                g = gram_sums(data, c, xs, by=[m_col], train=F.col(f"_obs_{c}"))
-                draws = _posterior_draw_table(g, m_col, seed, sweep, j)
-                d = join_on_keys(data, draws, [m_col], "left")
-                lin = F.col("beta").getItem(0)
-                for i, x in enumerate(xs):
-                    lin = lin + F.col("beta").getItem(i + 1) * F.col(x)
-                noise = F.col("noise_sd") * hash_normal(F.lit(seed), F.col(m_col), F.lit(sweep), F.lit(j), *key)
-                filled = d.withColumn(c, F.when(F.col(f"_obs_{c}"), F.col(c)).otherwise(
-                    F.coalesce(lin + noise, F.col(c)))).drop("beta", "noise_sd")
-            elif learner == "forest":
-                from .ml import forest_fill
-                filled = forest_fill(data, c, xs, f"_obs_{c}", m_col, seed, **(forest_params or {}))
-            else:
-                raise ValueError(f"unknown imputation learner {learner!r}")
-            # Stored after every column, so that a step never replays the steps before it.
-            data = _advance(data, filled, checkpoint)
+            data = _advance(data, forest_fill(data, c, preds[c], f"_obs_{c}", m_col, seed + 100 * sweep + j, **params))
+    drop_stored(base.sparkSession, base)
     return data.drop(*[f"_obs_{c}" for c in targets])
 
 
-def _advance(before: DataFrame, after: DataFrame, checkpoint: bool) -> DataFrame:
+def _advance(before: DataFrame, after: DataFrame) -> DataFrame:
     """The next state of the chain; its predecessor's files go."""
-    if not checkpoint:
-        return after
     state = stored(after, "impute")
     drop_stored(state.sparkSession, before)
     return state
-
-
-def _jacobi_sweep(data: DataFrame, targets: Sequence[str], preds: dict[str, list[str]], m_col: str, seed: int,
-                  sweep: int, key: Sequence[str]) -> DataFrame:
-    """All targets' cross-product sums in one pass (each over the rows where
-    that target was observed and its predictors are present), posterior draws
-    per (m, target) in tasks, all columns updated at once."""
-    sums = gram_sums_many(data, {c: (preds[c], F.col(f"_obs_{c}")) for c in targets}, m_col)
-    kind = data.schema[m_col]
-    place = {c: j for j, c in enumerate(targets)}
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        q = len(preds[r["_target"]]) + 1
-        v = np.asarray(r["sums"], dtype=float)
-        beta, sd = draw_from_sums(v[1:1 + q * q].reshape(q, q), v[1 + q * q:1 + q * q + q], float(v[-1]), float(v[0]),
-                                  np.random.default_rng([seed, int(r[m_col]), sweep, place[r["_target"]]]))
-        return pd.DataFrame({m_col: [r[m_col]], "_target": [r["_target"]], "_beta": [[*beta, sd]]})
-
-    schema = StructType([kind, StructField("_target", StringType()), StructField("_beta", ArrayType(DoubleType()))])
-    draws = sums.groupBy(m_col, "_target").applyInPandas(solve, schema)
-    wide = draws.groupBy(m_col).agg(F.map_from_entries(F.collect_list(F.struct("_target", "_beta"))).alias("_draws"))
-    d = join_on_keys(data, wide, [m_col], "left")
-    new = {}
-    for j, c in enumerate(targets):
-        beta = F.try_element_at("_draws", F.lit(c))
-        lin = F.get(beta, F.lit(0))
-        for i, x in enumerate(preds[c]):
-            lin = lin + F.get(beta, F.lit(i + 1)) * F.col(x)
-        noise = F.get(beta, F.lit(len(preds[c]) + 1)) * hash_normal(F.lit(seed), F.col(m_col), F.lit(sweep), F.lit(j), *key)
-        new[c] = F.when(F.col(f"_obs_{c}"), F.col(c)).otherwise(F.coalesce(lin + noise, F.col(c)))
-    return d.withColumns(new).drop("_draws")

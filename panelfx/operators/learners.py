@@ -8,9 +8,15 @@
             SQL-checkable, any number of groups in one job.
 ``linear``  least squares per ``by`` group from grouped cross-product sums
             (see ``gram``); any number of groups in one job.
-``logistic`` / ``gbt`` / ``forest`` / ``ensemble``
-            Spark ML estimators, one fit per ``by`` group; meant for few groups
-            (a headline number, not a thousand-replicate resample).
+``logistic``  penalised logistic regression by Newton steps of all groups
+            together (see ``logistic``).
+``gbt`` / ``forest``  histogram trees of all groups and models together (see
+            ``trees``).
+``ensemble``  mean of ``logistic`` (penalty by cross-validation) and ``gbt``.
+
+``propensity`` and ``outcome_models`` are the reference's two steps with its
+settings; ``nuisances`` gives all three columns of any estimator, and
+``crossfit_nuisances`` gives them from models that have not seen the row.
 
 Per-cell tables (one row per cell, bounded by the number of covariate
 cells, not by the rows) are checkpointed once, so the input is scanned once
@@ -111,22 +117,184 @@ def _cell_predictions(cell: DataFrame, by: Sequence[str], cells: Sequence[str],
     return tab.select(*by, *cells, "n1", "n0", "ybar1", "ybar0", "m2_1", "m2_0", ps.alias("ps"), *mus)
 
 
+# Settings of the reference's learners (fixed values).
+BOOSTED_PROPENSITY = dict(trees=200, depth=4, rate=0.1, min_leaf=50, loss="logistic")
+BOOSTED_OUTCOME = dict(trees=200, depth=4, rate=0.1, min_leaf=20, loss="squared")
+FOREST = dict(trees=100, depth=10, loss="mean")
+FOLDS = 5
+
+
 def fit_predict(df: DataFrame, target: str, features: Sequence[str], learner: str = "cell",
                 train: Column | str | None = None, by: Sequence[str] = (), out: str = "pred",
-                classify: bool = False, seed: int = 42, **params) -> DataFrame:
-    """Dispatch to a learner.  Returns ``df`` with an ``out`` column."""
+                classify: bool = False, seed: int = 42, key: Sequence[str] = (), **params) -> DataFrame:
+    """Dispatch to a learner.  Returns ``df`` with an ``out`` column.
+
+    ``key`` names the row for the folds of a cross-validated penalty (the
+    covariates where it is not given); ``params`` are those of
+    ``trees.Shape``, or ``penalty`` of ``logistic``."""
     if learner == "cell":
         return cell_fit_predict(df, target, features, by, train, out, params.get("min_train", 0))
     if learner == "linear":
         from .gram import ols_fit_predict
         return ols_fit_predict(df, target, features, by=by, train=train, out=out)
-    if learner in ("logistic", "gbt", "forest", "ensemble"):
-        from .ml import ml_fit_predict
-        return ml_fit_predict(df, target, features, learner, train=train, by=by, out=out,
-                              classify=classify, seed=seed, **params)
+    on = F.coalesce(_cond(train), F.lit(False))
+    if learner == "logistic":
+        from .logistic import logistic_cv, logistic_fit, logistic_predict
+        rows = df.where(on)
+        if "penalty" in params:
+            coefs = logistic_fit(rows, target, features, by, params["penalty"])
+        else:
+            from .resample import fold_assign
+            coefs = logistic_cv(fold_assign(rows, FOLDS, seed, list(key) or list(features), "_fold"), target, features, by, "_fold", FOLDS)
+        return logistic_predict(df, coefs, features, by, out)
+    if learner in ("gbt", "forest"):
+        from .trees import Shape, fit_trees
+        base = FOREST if learner == "forest" else BOOSTED_PROPENSITY if classify else BOOSTED_OUTCOME
+        trees = fit_trees(df, features, {out: (F.col(target), on)}, by, Shape(**{**base, "seed": seed, **params}))
+        return trees.predict(df, [out])
+    if learner == "ensemble":
+        d = fit_predict(df, target, features, "logistic", train, by, "_e1", True, seed, key)
+        d = fit_predict(d, target, features, "gbt", train, by, "_e2", True, seed, key, **params)
+        return d.withColumn(out, (F.col("_e1") + F.col("_e2")) / 2).drop("_e1", "_e2")
     raise ValueError(f"unknown learner {learner!r}")
 
 
+PROPENSITY_METHODS = ("logistic", "gbm", "ensemble")
+
+
+def propensity(df: DataFrame, t: str, xs: Sequence[str], method: str = "ensemble", by: Sequence[str] = (), out: str = "ps",
+               key: Sequence[str] = (), seed: int = 42, **params) -> DataFrame:
+    """#83: P(T = 1 | X) by 'logistic' (cross-validated penalty), 'gbm' or their mean 'ensemble'; any other method raises."""
+    if method not in PROPENSITY_METHODS:
+        raise ValueError(f"unknown method {method!r}")
+    return fit_predict(df, t, xs, "gbt" if method == "gbm" else method, by=by, out=out, classify=True, seed=seed, key=key, **params)
+
+
+def outcome_models(df: DataFrame, t: str, y: str, xs: Sequence[str], learner: str = "gbt", by: Sequence[str] = (), seed: int = 42,
+                   **params) -> DataFrame:
+    """#84: ``mu1`` and ``mu0``, the outcome models of the treated and the control rows, for every row."""
+    if learner in ("gbt", "forest"):
+        from .trees import Shape, fit_trees
+        arms = {f"mu{a}": (F.col(y), F.col(t) == a) for a in (1, 0)}
+        base = FOREST if learner == "forest" else BOOSTED_OUTCOME
+        return fit_trees(df, xs, arms, by, Shape(**{**base, "seed": seed, **params})).predict(df)
+    for a in (1, 0):
+        df = fit_predict(df, y, xs, learner, F.col(t) == a, by, f"mu{a}", seed=seed, **params)
+    return df
+
+
+def nuisances(df: DataFrame, t: str, y: str, xs: Sequence[str], learner: str = "cell", by: Sequence[str] = (),
+              clip: tuple[float, float] | None = (0.01, 0.99), key: Sequence[str] = (), seed: int = 42, **params) -> DataFrame:
+    """``ps`` (clipped), ``mu1`` and ``mu0`` by one learner; ``logistic`` and
+    ``ensemble`` go with linear and boosted outcome models."""
+    if learner == "cell":
+        return cell_nuisances(df, t, y, xs, by, clip)
+    if learner == "linear":
+        return linear_nuisances(df, t, y, xs, by, clip)
+    if learner == "logistic":
+        d = fit_predict(df, t, xs, "logistic", None, by, "ps", True, seed, key, **params)
+        d = outcome_models(d, t, y, xs, "linear", by)
+    elif learner in ("gbt", "forest", "ensemble"):
+        d = fit_predict(df, t, xs, learner, None, by, "ps", True, seed, key, **{k: v for k, v in params.items() if k != "min_leaf"})
+        d = outcome_models(d, t, y, xs, "forest" if learner == "forest" else "gbt", by, seed, **params)
+    else:
+        raise ValueError(f"unknown learner {learner!r}")
+    return d.withColumn("ps", clip_propensity("ps", *clip)) if clip else d
+
+
+def crossfit_nuisances(df: DataFrame, t: str, y: str, xs: Sequence[str], learner: str, fold: str, k: int, by: Sequence[str] = (),
+                       clip: tuple[float, float] | None = (0.01, 0.99), min_arm: int = 10, other_arm: str = "folds", seed: int = 42,
+                       penalty: float = 1.0, **params) -> DataFrame:
+    """#86: ``ps``, ``mu1`` and ``mu0`` of every row from models without the row's fold.
+
+    ``linear`` (propensity by least squares), ``logistic`` (penalised
+    propensity, linear outcomes), ``gbt`` and ``forest``.  ``other_arm``: an
+    arm's model for the rows of the other arm leaves out their fold too
+    ("folds"), or is fitted on the whole arm ("full").  An arm with at most
+    ``min_arm`` training rows gives its training mean, 0 without any (#87).
+    Rows with a missing value have no nuisances."""
+    from .frame import all_present
+    if other_arm not in ("folds", "full"):
+        raise ValueError(f"unknown other_arm {other_arm!r}")
+    by, xs = list(by), list(xs)
+    present = all_present([t, y, *xs])
+    coefs = cut_lineage(_fold_complements(df.where(present), t, y, xs, fold, k, by, min_arm))
+    d = join_on_keys(df, coefs, [*by, fold], "left")
+    from .gram import linear_predictor
+    ps = linear_predictor("_c_ps", xs)
+    arms = {a: F.col(f"_m{a}") if learner in ("gbt", "forest") else linear_predictor(f"_c_mu{a}", xs) for a in (1, 0)}
+    full = {a: F.col(f"_w{a}") if learner in ("gbt", "forest") else linear_predictor(f"_c_full{a}", xs) for a in (1, 0)}
+    if learner == "logistic":
+        from .logistic import logistic_fit, probability
+        lc = logistic_fit(df.where(present), t, xs, by, penalty, fold, k).select(*by, F.col("fold").cast(df.schema[fold].dataType).alias(fold), F.col("coef").alias("_c_log"))
+        d, ps = join_on_keys(d, lc, [*by, fold], "left"), probability("_c_log", xs)
+    elif learner in ("gbt", "forest"):
+        from .trees import Shape, fit_trees
+        forest = learner == "forest"
+        rows = df.where(present)
+        t_models = {f"_p_{f}": (F.col(t), F.col(fold) != f) for f in range(k)}
+        y_models = {f"_y{a}_{f}": (F.col(y), (F.col(fold) != f) & (F.col(t) == a)) for a in (1, 0) for f in range(k)}
+        y_models |= {f"_w{a}": (F.col(y), F.col(t) == a) for a in (1, 0)} if other_arm == "full" else {}
+        d = fit_trees(rows, xs, t_models, by, Shape(**{**(FOREST if forest else BOOSTED_PROPENSITY), "seed": seed, **params})).predict(d)
+        d = fit_trees(rows, xs, y_models, by, Shape(**{**(FOREST if forest else BOOSTED_OUTCOME), "seed": seed, **params})).predict(d)
+        own = {name: F.element_at(F.array(*[F.col(f"{name}_{f}") for f in range(k)]), F.col(fold).cast("int") + 1) for name in ("_p", "_y1", "_y0")}
+        d = d.withColumns({"_p": own["_p"], "_m1": own["_y1"], "_m0": own["_y0"]})
+        ps = F.col("_p")
+    elif learner != "linear":
+        raise ValueError(f"unknown learner {learner!r}")
+    new = {"ps": F.when(present, ps)}
+    for a in (1, 0):
+        mu = F.when(F.col(f"_n{a}") > min_arm, arms[a]).otherwise(F.col(f"_mean{a}"))
+        if other_arm == "full":
+            mu = F.when(F.col(t) == a, mu).otherwise(F.when(F.col(f"_all{a}") > min_arm, full[a]).otherwise(F.col(f"_allmean{a}")))
+        new[f"mu{a}"] = F.when(present, mu)
+    d = d.withColumns(new).select(*df.columns, "ps", "mu1", "mu0")
+    return d.withColumn("ps", clip_propensity("ps", *clip)) if clip else d
+
+
+def _fold_complements(df: DataFrame, t: str, y: str, xs: list[str], fold: str, k: int, by: list[str], min_arm: int) -> DataFrame:
+    """Per group and fold, from the sums of the other folds: the linear
+    coefficients of propensity and arms, the arms' counts and means, and the
+    same of the whole arms.
+
+    One pass adds up the cross products per (group, fold, arm).  The sums of a
+    training set are those of the group less the fold's, and the propensity's
+    follow from the arms' (its target is 1 in one arm and 0 in the other), so
+    one task per group solves all its systems."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    from .gram import gram_sums, unit_diagonal
+    q = len(xs) + 1
+    sums = gram_sums(df.withColumn("_arm", F.col(t).cast("int")), y, xs, [*by, fold, "_arm"])
+    arrays, numbers = ["_c_ps", "_c_mu1", "_c_mu0", "_c_full1", "_c_full0"], ["_n1", "_n0", "_mean1", "_mean0", "_all1", "_all0", "_allmean1", "_allmean0"]
+    schema = StructType([*df.select(*by, fold).schema.fields, *[StructField(c, ArrayType(DoubleType())) for c in arrays], *[StructField(c, DoubleType()) for c in numbers]])
+
+    def least_squares(A: np.ndarray, b: np.ndarray) -> list[float]:
+        scaled, d = unit_diagonal(A)
+        return (np.linalg.pinv(scaled, rcond=1e-10, hermitian=True) @ (b / d) / d).tolist()
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        A, b, n = np.zeros((k, 2, q, q)), np.zeros((k, 2, q)), np.zeros((k, 2))
+        for f, a, xtx, xty, count in zip(g[fold], g["_arm"], g["xtx"], g["xty"], g["n"]):
+            A[int(f), int(a)] += np.asarray(xtx, float).reshape(q, q)
+            b[int(f), int(a)] += np.asarray(xty, float)
+            n[int(f), int(a)] += count
+        whole = [A.sum(axis=0), b.sum(axis=0), n.sum(axis=0)]
+        full = [least_squares(whole[0][a], whole[1][a]) for a in (0, 1)]
+        means = [whole[1][a][0] / whole[2][a] if whole[2][a] else 0.0 for a in (0, 1)]
+        rows = []
+        for f in sorted(set(int(x) for x in g[fold])):
+            At, bt, nt = whole[0] - A[f], whole[1] - b[f], whole[2] - n[f]
+            mean = [bt[a][0] / nt[a] if nt[a] > 0.5 else 0.0 for a in (0, 1)]
+            rows.append([*(g[c].iloc[0] for c in by), f, least_squares(At.sum(axis=0), At[1][0]), least_squares(At[1], bt[1]), least_squares(At[0], bt[0]),
+                         full[1], full[0], nt[1], nt[0], mean[1], mean[0], whole[2][1], whole[2][0], means[1], means[0]])
+        return pd.DataFrame(rows, columns=schema.names)
+
+    return sums.groupBy(*by).applyInPandas(run, schema)
+
+
 def linear_nuisances(df: DataFrame, t: str, y: str, xs: Sequence[str], by: Sequence[str] = (),
                      clip: tuple[float, float] | None = (0.01, 0.99)) -> DataFrame:
     """``linear`` learner for all three nuisances at once: linear-probability

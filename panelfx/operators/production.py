@@ -28,9 +28,19 @@ from .learners import join_on_keys
 from ..session import cut_lineage
 
 
-def log_inputs(df: DataFrame, output: str = "revenue", capital: Sequence[str] = ("capital", "assets"),
-               labour: str = "employees", intermediates: Sequence[str] = ("materials", "energy", "outsourcing")
-               ) -> DataFrame:
+OUTPUT, CAPITAL, LABOUR = "revenue", ("capital", "assets"), "employees"
+INTERMEDIATES = ("materials", "energy", "outsourcing")
+MADE = {"log_inputs": ("y", "k", "l", "m", "m_total"), "productivity_stage1": ("phi_hat", "beta_l"), "productivity_stage2": ("tfp_lp",),
+        "add_outcomes": ("tfp_simple",)}
+
+
+def outcome_columns() -> set[str]:
+    """The columns that the outcome is made of (output, capital, labour) and all that the chain makes."""
+    return {OUTPUT, *CAPITAL, LABOUR}.union(*MADE.values())
+
+
+def log_inputs(df: DataFrame, output: str = OUTPUT, capital: Sequence[str] = CAPITAL, labour: str = LABOUR,
+               intermediates: Sequence[str] = INTERMEDIATES) -> DataFrame:
     """y, k, l, m (and m_total).  Without intermediates m = l (then beta_l is
     not identified; stage 1 reports it)."""
     cols = df.columns

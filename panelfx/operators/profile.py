@@ -7,7 +7,9 @@ the one-row aggregate, never by looping over columns with separate jobs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,13 +127,35 @@ def treatment_balance(df: DataFrame, t: str, covariates: Sequence[str], by: Sequ
 DUMMY_NAME_HINTS = ("industry", "region", "year")
 
 
-def dummy_columns(df: DataFrame, cols: Sequence[str], max_distinct: int = 10, share: float = 0.3,
-                  approx: bool = False) -> DataFrame:
+def bounded_distinct(df: DataFrame, cols: Sequence[str], most: int) -> DataFrame:
+    """One row: per column its number of distinct present values, ``most`` + 1 if there are more.
+
+    A task keeps up to ``most`` + 1 values per column and sends these; one
+    scan, and no row is copied per column."""
+    cols = list(cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[set[str]] = [set() for _ in cols]
+        for batch in batches:
+            for held, column in zip(seen, batch.columns):
+                if len(held) <= most:
+                    held.update(v for v in column.unique().slice(0, 2 * most + 2 + len(held)).to_pylist() if v is not None)
+        rows = [(i, v) for i, held in enumerate(seen) for v in sorted(held)[:most + 1]]
+        if rows:
+            at, values = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(values, pa.string())], ["at", "value"])
+
+    values = df.select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)]).mapInArrow(run, "at int, value string")
+    counts = values.distinct()
+    return counts.agg(*[F.least(F.count_if(F.col("at") == i), F.lit(most + 1)).alias(f"d__{c}") for i, c in enumerate(cols)])
+
+
+def dummy_columns(df: DataFrame, cols: Sequence[str], max_distinct: int = 10, share: float = 0.3) -> DataFrame:
     """#50: columns named like industry/region/year or with at most
     ``max_distinct`` distinct values; with their overall share and whether it
-    passes ``share``.  Distinct counts of all columns in one aggregation."""
-    cd = F.approx_count_distinct if approx else F.count_distinct
-    one = df.agg(*[cd(F.col(c)).alias(f"d__{c}") for c in cols])
+    passes ``share``.  ``n_distinct`` is exact up to ``max_distinct`` and
+    ``max_distinct`` + 1 beyond."""
+    one = bounded_distinct(df, cols, max_distinct)
     rows = _unpivot_one_row(one, cols, {"d": "n_distinct"})
     name_hint = None
     for h in DUMMY_NAME_HINTS:

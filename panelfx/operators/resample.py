@@ -4,9 +4,11 @@ All random choices come from hashes of (seed, replicate, row key), never
 from ``rand()``: a recomputed partition after an executor loss draws the
 same values, and md5-based draws equal those of any other engine.
 
-Permutations pair two exact ranks per replicate: a base rank of each row
-(by a seed-free hash of its key) and a rank by a hash of (seed, replicate,
-key).  Ranks come from ``bucket_rank``: hash buckets, counts per bucket,
+Placebos order the rows of a replicate by their draws; a row's place follows
+from its draw and the draws at a few ranks.  Where rows must be paired anew
+(``permute_within_replicates``) two exact ranks are joined: a base rank of each
+row (by a seed-free hash of its key) and a rank by a hash of (seed, replicate,
+key).  Exact ranks come from ``bucket_rank``: hash buckets, counts per bucket,
 running offsets over the small count table and a position inside each
 bounded bucket, so no replicate (or hot key) is ever gathered into a single
 task and every value is reproducible.
@@ -15,17 +17,20 @@ task and every value is reproducible.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions.expr import HASH_RANGE, hash_int, hash_uniform
-from .effects import affine_score_stats, aipw_from_moments, finish_estimate
-from .learners import join_on_keys
+from .effects import affine_score_stats, aipw_from_moments, aipw_score, finish_estimate, summarize_scores
+from .frame import all_present, with_one_row
+from .grouped import MATRIX_CELLS, PACKED_CELLS, groups_of, matrix_of
+from .learners import crossfit_nuisances, join_on_keys
 from ..session import cut_lineage
-from .frame import with_one_row
 
 
 # ------------------------------------------------------------------ folds
@@ -109,32 +114,99 @@ def permute_within_replicates(df: DataFrame, moved: Sequence[str], key: Sequence
 
 
 # ----------------------------------------------------------- placebo runs
-HASH_BUCKETS = 4096
-
-
-def replicate_cuts(df: DataFrame, upto: Sequence[int], draw: Callable[[Column], Column], R: int) -> DataFrame:
-    """One row with ``_cuts``: per replicate r = 1..R, the draws at the ranks ``upto`` (1-based, rising).
-
-    Rows are counted per (replicate, range of draws) where they lie; only the
-    ranges that hold a wanted rank are then put in order.  Neither step
-    shuffles a replicated row: the counts are combined map-side, and of the
-    second step's rows only one in HASH_BUCKETS per rank leaves a task."""
-    ranks = F.array(*[F.lit(int(k)) for k in upto])
-    drawn = replicate(df, R, "_r").select("_r", draw(F.col("_r")).alias("_h"))
-    bucket = F.floor(F.col("_h") / F.lit(HASH_RANGE // HASH_BUCKETS)).cast("int")
-    drawn = drawn.withColumn("_b", bucket)
-    counts = drawn.groupBy("_r", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    running = F.sum("_n").over(Window.partitionBy("_r").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
-    held = (counts.withColumn("_to", running).withColumn("_from", F.col("_to") - F.col("_n"))
-            .withColumn("_k", F.explode(F.filter(ranks, lambda k: (k > F.col("_from")) & (k <= F.col("_to")))))
-            .select("_r", "_b", (F.col("_k") - F.col("_from")).alias("_at"), "_k"))
-    held = cut_lineage(held)  # R x len(upto) rows
-    ranges = held.groupBy("_r").agg(F.collect_set("_b").alias("_bs")).agg(
-        F.map_from_entries(F.collect_list(F.struct("_r", "_bs"))).alias("_open"))
-    near = with_one_row(drawn, ranges).where(F.array_contains(F.try_element_at("_open", F.col("_r")), F.col("_b"))).drop("_open")
-    place = near.withColumn("_at", F.row_number().over(Window.partitionBy("_r", "_b").orderBy("_h")))
-    found = place.join(held, ["_r", "_b", "_at"]).groupBy("_r").agg(F.array_sort(F.collect_list("_h")).alias("_limits"))
-    return found.agg(F.map_from_entries(F.collect_list(F.struct("_r", "_limits"))).alias("_cuts"))
+MAX_SLOTS = 64     # (T, cell) groups whose limits every replicate carries; beyond, rows are ranked
+SENT_LIMITS = 1_000_000
+RANK_BUCKETS = 4096
+
+
+class Draws:
+    """A row's draw in replicate r, from (seed, r, key): 52 bits as 13 hex digits of md5 (as any engine has them), or of xxhash64."""
+
+    def __init__(self, seed: int, key_text: str, method: str = "md5"):
+        self.seed, self.key, self.method = seed, key_text, method
+
+    def column(self, r: Column) -> Column:
+        if self.method == "xxhash":
+            return F.pmod(F.xxhash64(F.lit(self.seed), r, F.col(self.key)), F.lit(HASH_RANGE).cast("long"))
+        return F.substring(F.md5(F.concat_ws(":", F.lit(str(self.seed)), r.cast("string"), F.col(self.key))), 1, 13)
+
+    def literal(self, value: int) -> Column:
+        value = min(max(value, 0), HASH_RANGE - 1)
+        return F.lit(f"{value:013x}") if self.method == "md5" else F.lit(value).cast("long")
+
+
+def key_text(key: Sequence[str]) -> Column:
+    return F.concat_ws(":", *[F.col(c).cast("string") for c in key])
+
+
+def replicate_limits(d: DataFrame, ranks: Sequence[int], n: int, draws: Draws, R: int, width: float = 7.0) -> DataFrame:
+    """_r and _limits: per replicate 1..R the draws at the ``ranks`` (1-based, rising) among its ``n`` draws.
+
+    The draw at rank k of n lies within ``width`` standard deviations of k/n
+    but once in 10^11, so one pass counts what is below such a bracket and
+    keeps the few draws inside, some 14 sqrt(n) per rank.  Missed ones are
+    looked for again in brackets twice as wide."""
+    brackets: list[list[int]] = []
+    for k in ranks:
+        p = k / n
+        half = width * math.sqrt(max(p * (1 - p), 1 / n) / n) + width * width / n
+        low, high = math.floor((p - half) * HASH_RANGE), math.ceil((p + half) * HASH_RANGE)
+        if brackets and low <= brackets[-1][1]:
+            brackets[-1][1] = max(high, brackets[-1][1])
+        else:
+            brackets.append([low, high])
+    h, piece = F.col("_h"), F.lit(2 * len(brackets))
+    for i in reversed(range(len(brackets))):
+        low, high = (draws.literal(v) for v in brackets[i])
+        piece = F.when(h < low, F.lit(2 * i)).when(h <= high, F.lit(2 * i + 1)).otherwise(piece)
+    drawn = replicate(d, R, "_r").select("_r", draws.column(F.col("_r")).alias("_h")).withColumn("_p", piece)
+    counts = drawn.groupBy("_r", "_p", F.when(F.col("_p") % 2 == 1, h).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_r").orderBy("_p", "_v").rowsBetween(Window.unboundedPreceding, 0))
+    held = counts.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_n"))
+    held = held.where("_v is not null").withColumn("_k", F.explode(F.filter(
+        F.array(*[F.lit(int(k)) for k in ranks]), lambda k: (k > F.col("_from")) & (k <= F.col("_to")))))
+    limits = cut_lineage(held.groupBy("_r").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda x: x["_v"]).alias("_limits")))
+    found = limits.agg(F.coalesce(F.sum(F.size("_limits")), F.lit(0))).first()[0]
+    return limits if found == R * len(ranks) else replicate_limits(d, ranks, n, draws, R, 2 * width)
+
+
+def with_limits(d: DataFrame, limits: DataFrame, draws: Draws, r_col: str) -> DataFrame:
+    """``d`` once per replicate, with the replicate's limits beside the row's draw (``_h``).
+
+    The table of limits is one row of at most SENT_LIMITS draws."""
+    one = limits.agg(F.collect_list(F.struct("_r", "_limits")).alias("_all"))
+    rows = with_one_row(d, one).withColumn("_e", F.explode("_all")).drop("_all")
+    return rows.select(*d.columns, F.col("_e._r").alias(r_col), F.col("_e._limits").alias("_limits")).withColumn("_h", draws.column(F.col(r_col)))
+
+
+def slots_by_limits(d: DataFrame, slots: list, groups: list[str], draws: Draws, R: int, r_col: str) -> DataFrame:
+    """Replicated rows with the group whose turn their draw falls into; ``slots``: the groups in order, with ``_upto``."""
+    n = slots[-1]["_upto"]
+    ranks = [s["_upto"] for s in slots[:-1]]
+    table = d.sparkSession.createDataFrame(
+        [(i, *[s[g] for g in groups]) for i, s in enumerate(slots)], StructType([StructField("_slot", IntegerType()), *[d.schema[g] for g in groups]]))
+    if ranks:
+        rows = with_limits(d, replicate_limits(d, ranks, n, draws, R), draws, r_col)
+        slot = (F.col("_h") > F.col("_limits")[0]).cast("int") if len(ranks) == 1 else F.size(F.filter("_limits", lambda x: x < F.col("_h")))
+    else:
+        rows, slot = replicate(d, R, r_col), F.lit(0)
+    moved = rows.drop(*groups).withColumn("_slot", slot)
+    return moved.join(F.broadcast(table), "_slot")  # at most MAX_SLOTS rows
+
+
+def slots_by_rank(d: DataFrame, sized: DataFrame, groups: list[str], draws: Draws, R: int, r_col: str, n: int, cells: int) -> DataFrame:
+    """The same for any number of groups: rows are ranked within a replicate in
+    buckets of draws, and ranks meet the groups' ranges bucket by bucket.
+    ``sized``: groups with ``_from`` and ``_upto``.  A bucket of ranks holds a
+    few groups, however many there are."""
+    span = max(1, n // max(RANK_BUCKETS, cells))
+    ranges = sized.withColumn("_rb", F.explode(F.sequence(F.expr(f"(_from + 1) div {span}"), F.expr(f"_upto div {span}"))))
+    drawn = replicate(d.drop(*groups), R, r_col).withColumn("_h", draws.column(F.col(r_col)))
+    digits = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / float(1 << 32) if draws.method == "md5" else F.col("_h") / float(HASH_RANGE)
+    buckets = max(1, -(-n // ROWS_PER_BUCKET))
+    ranked = bucket_rank(drawn, [r_col], ["_h", "_key"], F.floor(digits * buckets).cast("long"), "_rank")
+    ranked = ranked.withColumn("_rb", F.expr(f"_rank div {span}"))
+    return ranked.join(ranges, (ranked["_rb"] == ranges["_rb"]) & (F.col("_rank") > F.col("_from")) & (F.col("_rank") <= F.col("_upto")))
 
 
 def placebo(df: DataFrame, t: str, y: str, cells: Sequence[str], key: Sequence[str], R: int = 1000,
@@ -146,39 +218,32 @@ def placebo(df: DataFrame, t: str, y: str, cells: Sequence[str], key: Sequence[s
     A replicate orders the rows by a draw from (seed, r, key).  Permuting a
     treatment gives T = 1 to the first n1 rows, T = 0 to the next n0.
     Permuting an outcome hands the rows' outcomes to the (T, cell) groups in
-    turn, each group as many as it has rows.  Either way a row's part in
-    replicate r follows from its own draw and the draws at a few ranks, so
-    the moments per (replicate, cell, arm) come from one map-side combined
-    aggregation.  Draws have 52 bits; should two rows tie at a rank, both
-    fall to the same side."""
-    key = list(key)
+    turn, each group as many as it has rows.  Up to MAX_SLOTS groups, a row's
+    part in replicate r follows from its own draw and the draws at a few ranks,
+    so no replicated row is shuffled: the moments per (replicate, cell, arm)
+    come from one map-side combined aggregation.  With more groups rows are
+    ranked, and nothing but counts reaches the driver.  Draws have 52 bits;
+    should two rows tie at a rank, both fall to the same side."""
     names = [f"_cell{i}" for i in range(len(list(cells)))]
-    d = cut_lineage(df.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(key)], F.col(t).cast("int").alias("_t"),
+    d = cut_lineage(df.select(key_text(key).alias("_key"), F.col(t).cast("int").alias("_t"),
                               F.col(y).cast("double").alias("_y"), *[F.col(c).alias(n) for c, n in zip(cells, names)]))
-
-    def draw(r: Column) -> Column:
-        return hash_int(F.lit(seed), r, *[F.col(f"_key{i}") for i in range(len(key))], method=hash_method)
-
+    draws = Draws(seed, "_key", hash_method)
     groups = ["_t"] if permute == "treatment" else ["_t", *names]
     order = [F.col("_t").desc_nulls_last(), *[F.col(n).asc_nulls_first() for n in groups[1:]]]
     # One row per value of T, or per (T, cell): the size of the result's own cell table.
-    slots = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size")).orderBy(*order).collect()
-    upto, total = [], 0
-    for s in slots:
-        total += s["_size"]
-        upto.append(total)
-    cuts = replicate_cuts(d, upto[:-1], draw, R) if len(upto) > 1 else d.sparkSession.range(1).select(
-        F.expr("cast(null as map<bigint, array<bigint>>)").alias("_cuts"))
-    schema = StructType([StructField("_slot", IntegerType()), *d.select(*groups).schema.fields])
-    slot_table = d.sparkSession.createDataFrame([(i, *[s[g] for g in groups]) for i, s in enumerate(slots)], schema)
-    rows = with_one_row(replicate(d, R, r_col).withColumn("_h", draw(F.col(r_col))), cuts)
-    limits = F.coalesce(F.try_element_at("_cuts", F.col(r_col)), F.array().cast("array<bigint>"))
-    rows = rows.withColumn("_slot", F.size(F.filter(limits, lambda x: x < F.col("_h"))))
-    kept = names if permute == "treatment" else []
-    moments = rows.where("_y is not null").groupBy(r_col, *kept, "_slot").agg(
+    sized = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
+    sized = sized.withColumn("_upto", F.sum("_size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    sized = cut_lineage(sized.withColumn("_from", F.col("_upto") - F.col("_size")))
+    size = sized.agg(F.count(F.lit(1)).alias("slots"), F.max("_upto").alias("n")).first()
+    if not size["slots"]:
+        rows = replicate(d, R, r_col)
+    elif size["slots"] <= MAX_SLOTS and size["slots"] * R <= SENT_LIMITS:
+        rows = slots_by_limits(d, sized.orderBy("_upto").collect(), groups, draws, R, r_col)
+    else:
+        rows = slots_by_rank(d, sized, groups, draws, R, r_col, size["n"], size["slots"])
+    moments = rows.where("_y is not null and _t is not null").groupBy(r_col, *names, "_t").agg(
         F.count("_y").alias("_n"), F.avg("_y").alias("_mean"), (F.var_pop("_y") * F.count("_y")).alias("_m2"))
     # One row per (replicate, cell, arm) from here on.
-    moments = moments.join(slot_table, "_slot").where("_t is not null")
     one = {a: F.col("_t") == a for a in (1, 0)}
     cell = moments.groupBy(r_col, *names).agg(*[x for a in (1, 0) for x in (
         F.coalesce(F.sum(F.when(one[a], F.col("_n"))), F.lit(0)).alias(f"n{a}"),
@@ -186,6 +251,60 @@ def placebo(df: DataFrame, t: str, y: str, cells: Sequence[str], key: Sequence[s
     return aipw_from_moments(cut_lineage(cell), names, [r_col], clip)
 
 
+def placebo_regression(df: DataFrame, t: str, y: str, xs: Sequence[str], key: Sequence[str], R: int = 1000,
+                       permute: str = "treatment", seed: int = 42, r_col: str = "r", hash_method: str = "md5") -> DataFrame:
+    """#94 / #95 with linear adjustment: per replicate the coefficient of T in y on T + X, se from sigma^2 (Z'Z)^-1.
+
+    Permuting the treatment leaves the cross products of covariates and outcome
+    as they are.  So a replicate needs the sums of X and y over its treated
+    rows only: one pass for the draws at rank n1, one for these sums.
+    Permuting the outcome pairs rows anew; that takes a join by rank and one
+    cross-product aggregation."""
+    from .gram import gram_sums, unit_diagonal
+    from .heterogeneity import effect_regression
+    import pandas as pd
+    xs, names = list(xs), [f"_x{i}" for i in range(len(list(xs)))]
+    d = cut_lineage(df.where(all_present([t, y, *xs])).select(
+        key_text(key).alias("_key"), F.col(t).cast("int").alias("_t"), F.col(y).cast("double").alias("_y"),
+        *[F.col(x).cast("double").alias(n) for x, n in zip(xs, names)]))
+    if permute == "outcome":
+        moved = permute_within_replicates(d, ["_y"], ["_key"], R, seed, r_col, hash_method)
+        return effect_regression(moved, "_t", "_y", names, [r_col])
+    draws = Draws(seed, "_key", hash_method)
+    fixed = gram_sums(d, "_y", names).first()
+    size = d.agg(F.count(F.lit(1)).alias("n"), F.sum("_t").alias("n1")).first()
+    n, n1, p = size["n"], int(size["n1"] or 0), len(xs) + 2
+    if not 0 < n1 < n:
+        raise ValueError("both arms need rows")
+    rows = with_limits(d, replicate_limits(d, [n1], n, draws, R), draws, r_col).where(F.col("_h") <= F.col("_limits")[0])
+    sums = rows.groupBy(r_col).agg(F.count(F.lit(1)).alias("_n1"), *[F.sum(c).alias(c) for c in (*names, "_y")])
+    q = len(xs) + 1
+    xtx, xty, yty = np.array(fixed["xtx"]).reshape(q, q), np.array(fixed["xty"]), fixed["yty"]
+    schema = StructType([d.sparkSession.range(1).select(F.col("id").alias(r_col)).schema[0],
+                         *[StructField(c, DoubleType()) for c in ("n", "n_treated", "ate", "se")]])
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                inside = np.array([r[1], *r[2:2 + len(xs)]])                # T'[1, X]
+                A = np.zeros((p, p))
+                A[:1, :1], A[0, 2:], A[2:, 0], A[2:, 2:] = xtx[0, 0], xtx[0, 1:], xtx[1:, 0], xtx[1:, 1:]
+                A[1, 1] = A[0, 1] = A[1, 0] = inside[0]
+                A[1, 2:] = A[2:, 1] = inside[1:]
+                b = np.array([xty[0], r[2 + len(xs)], *xty[1:]])
+                scaled, scale = unit_diagonal(A)
+                inverse = np.linalg.pinv(scaled, rcond=1e-10, hermitian=True) / np.outer(scale, scale)
+                coef = inverse @ b
+                rss = max(yty - 2 * coef @ b + coef @ A @ coef, 0.0)
+                out.append((r[0], float(n), float(r[1]), coef[1], math.sqrt(rss / (n - p) * inverse[1, 1]) if n > p else None))
+            yield pd.DataFrame(out, columns=schema.names)
+
+    res = sums.select(r_col, "_n1", *names, "_y").mapInPandas(solve, schema)
+    return finish_estimate(res.withColumns({"n": F.col("n").cast("long"), "n_treated": F.col("n_treated").cast("long"),
+                                            "treated_pct": F.lit(100.0) * F.col("n_treated") / F.col("n")}), [r_col])
+
+
 def placebo_summary(real: DataFrame, treat_reps: DataFrame | None, outcome_reps: DataFrame | None) -> DataFrame:
     """#96: rows real / treatment / outcome with ate (mean over replicates),
     spread (population std), replicate count, near-zero test
@@ -274,6 +393,18 @@ def crossfit_cell_aipw(df: DataFrame, t: str, y: str, cells: Sequence[str], key:
     return finish_estimate(affine_score_stats(nuis, by, ddof=1), by)
 
 
+def crossfit_aipw(df: DataFrame, t: str, y: str, xs: Sequence[str], key: Sequence[str], by: Sequence[str] = (), k: int = 5, seed: int = 42,
+                  learner: str = "cell", clip=(0.01, 0.99), min_arm: int = 10, other_arm: str = "folds", **params) -> DataFrame:
+    """#89 with any learner (#86): folds from a hash, nuisances from the other
+    folds (``learners.crossfit_nuisances``), mean score, se = sqrt(var_samp / n).
+    ``cell`` needs no second scan."""
+    if learner == "cell":
+        return crossfit_cell_aipw(df, t, y, xs, key, by, k, seed, clip, min_arm)
+    d = fold_assign(df.where(all_present([t, y, *xs])), k, seed, key, "_fold")
+    d = crossfit_nuisances(d, t, y, xs, learner, "_fold", k, by, clip, min_arm, other_arm, seed, **params)
+    return summarize_scores(d.withColumn("psi", aipw_score(t, y)), "psi", by, t, 1, y=y)
+
+
 # -------------------------------------------------------------- bootstrap
 def poisson1_cdf() -> list[float]:
     """P(K <= k) of Poisson(1) from k = 0 until the sum no longer grows in double precision."""
@@ -285,23 +416,49 @@ def poisson1_cdf() -> list[float]:
     return out
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) draw by inverse CDF of a uniform, over all values a double can tell apart."""
-    cdf = poisson1_cdf()
-    expr = F.lit(len(cdf))
-    for k in reversed(range(len(cdf))):
-        expr = F.when(u < F.lit(cdf[k]), F.lit(k)).otherwise(expr)
-    return expr
-
-
-def bootstrap_replicates(df: DataFrame, B: int, seed: int, key: Sequence[str], b_col: str = "b",
-                         w_col: str = "w", hash_method: str = "md5") -> DataFrame:
-    """B Poisson-bootstrap copies with weights from md5(seed:b:key).  Rows
-    with weight 0 are dropped early; the copies are meant to feed a grouped
-    aggregation by ``b`` (partial aggregation keeps the shuffle small)."""
-    rep = replicate(df, B, b_col)
-    u = hash_uniform(F.lit(seed), F.col(b_col), *[F.col(c) for c in key], method=hash_method)
-    return rep.withColumn(w_col, poisson_weight(u)).where(F.col(w_col) > 0)
+DRAWS_PER_HASH = 4  # of 32 bits each, from the 128 bits of md5
+
+
+def bootstrap_sums(df: DataFrame, values: dict[str, Column], B: int, seed: int, key: Sequence[str], by: Sequence[str] = (),
+                   b_col: str = "b") -> DataFrame:
+    """#93b: ``by``, b = 1..B and per value its sum with Poisson(1) weights of replicate b.
+
+    No row is copied.  A row's B weights are a vector cut from a few hashes,
+    four weights from md5(seed:block:key); a task multiplies the weights of
+    its rows with their values and sends B sums per group."""
+    by, names = list(by), list(values)
+    hashes = [F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(i)), F.col("_key"))) for i in range(-(-B // DRAWS_PER_HASH))]
+    rows = df.select(*by, key_text(key).alias("_key"), *[c.cast("double").alias(n) for n, c in values.items()])
+    rows = rows.select(*by, F.concat(*hashes).alias("_bits"), *names)
+    schema = StructType([*rows.select(*by).schema.fields, StructField(b_col, LongType()), *[StructField(n, DoubleType()) for n in names]])
+    cdf = np.array(poisson1_cdf())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in by]
+            data = np.nan_to_num(matrix_of(batch, names))
+            bits = batch.column("_bits")
+            for key, at in groups_of(batch, by):
+                for start in range(0, len(at), max(1, MATRIX_CELLS // B)):
+                    part = at[start:start + max(1, MATRIX_CELLS // B)]
+                    raw = np.frombuffer(bytes.fromhex("".join(bits.take(pa.array(part)).to_pylist())), ">u4").reshape(len(part), -1)[:, :B]
+                    weight = np.searchsorted(cdf, (raw + 0.5) / float(1 << 32), side="right").astype(np.float64)
+                    total[key] = total.get(key, 0) + weight.T @ data[part]
+            if len(total) * B * len(names) > PACKED_CELLS:
+                yield table(total, types)
+                total = {}
+        if total:
+            yield table(total, types)
+
+    def table(total: dict[tuple, np.ndarray], types: list[pa.DataType]) -> pa.RecordBatch:
+        row = pa.array(np.repeat(np.arange(len(total)), B))
+        columns = [pa.array([k[i] for k in total], types[i]).take(row) for i in range(len(by))]
+        sums = np.concatenate(list(total.values()))
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.tile(np.arange(1, B + 1), len(total))), *(pa.array(c) for c in sums.T.copy())], schema.names)
+
+    return rows.mapInArrow(run, schema).groupBy(*by, b_col).agg(*[F.sum(n).alias(n) for n in names])
 
 
 # ----------------------------------------------------------- amputation
@@ -314,9 +471,11 @@ def ampute(df: DataFrame, cols: Sequence[str], rate: float, mechanism: str = "MA
     """#101: blank out values of a real table to test imputers.
 
     MAR: row chance logit(-1 + .3 Yz + .3 X0z); exactly round(rate n) rows
-    are chosen (ranking rows by u/p, a weighted draw without replacement),
-    and in a chosen row each column of ``cols`` is blanked with probability
-    drawn uniformly in [frac_lo, frac_hi]; ``x0`` is never blanked.
+    are chosen (ranking rows by u/p, a weighted draw without replacement).  A
+    chosen row draws a number of columns, uniform from int(frac_lo k) to
+    int(frac_hi k) of the k columns but ``x0``, and so many of them are
+    blanked, those first by a hash of the row's key and the column; ``x0`` is
+    never blanked.
     MNAR: each cell but those of ``x0`` blanked with chance
     logit(a0 + .5 x), a0 = -ln((1-r)/r)."""
     cols = list(cols)
@@ -356,11 +515,11 @@ def ampute(df: DataFrame, cols: Sequence[str], rate: float, mechanism: str = "MA
     inside = d.where(split).withColumn("_rk", F.col("_ahead") + F.row_number().over(Window.partitionBy("_br").orderBy(*order)))
     ranked = d.where(~split).withColumn("_rk", F.when(F.col("_ahead") < take, F.lit(0)).otherwise(F.col("_n") + 1)).unionByName(inside)
     chosen = F.col("_rk") <= take
-    frac = F.lit(frac_lo) + F.lit(frac_hi - frac_lo) * hash_uniform(F.lit(seed), F.lit("frac"), *[F.col(k) for k in key])
-    out = {}
-    for j, c in enumerate(cols):
-        if c == x0:
-            continue
-        uc = hash_uniform(F.lit(seed), F.lit(f"col{j}"), *[F.col(k) for k in key])
-        out[c] = F.when(chosen & (uc < frac), F.lit(None).cast("double")).otherwise(F.col(c))
-    return ranked.withColumns(out).drop("_ym", "_ys", "_xm", "_xs", "_n", "_score", "_rk", "_br", "_size", "_ahead")
+    free = [(j, c) for j, c in enumerate(cols) if c != x0]
+    low, high = int(frac_lo * len(free)), int(frac_hi * len(free))
+    row_key = [F.col(k) for k in key]
+    many = F.lit(low) + F.floor(hash_uniform(F.lit(seed), F.lit("count"), *row_key) * F.lit(high - low + 1)).cast("int")
+    hashes = F.array_sort(F.array(*[F.struct(hash_int(F.lit(seed), F.lit(f"col{j}"), *row_key).alias("h"), F.lit(j).alias("j")) for j, _ in free]))
+    ranked = ranked.withColumn("_blank", F.when(chosen, F.transform(F.slice(hashes, F.lit(1), many), lambda x: x["j"])))
+    out = {c: F.when(chosen & F.array_contains("_blank", F.lit(j)), F.lit(None).cast("double")).otherwise(F.col(c)) for j, c in free}
+    return ranked.withColumns(out).drop("_ym", "_ys", "_xm", "_xs", "_n", "_score", "_rk", "_br", "_size", "_ahead", "_blank")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..operators import clean as C
 from ..operators import frame as FR
+from ..operators import production as PD
+from ..operators.impute import impute_mean
 from . import sqlfrag as S
 from .catalog import register, rounded
 from .firm import CLEAN_SQL, FIXTURE_ALIASES, clean_firm_panel
@@ -90,16 +92,9 @@ def q_select_and_rename(spark, sf_dir):
 
 
 # ------------------------------------------------- #15/#16 covariates
-# Columns that are no covariates, by the step that makes or uses them (fixed values).
-ROW_KEY = ("firm_id", "year")
-TREATMENT_COLUMNS = ("dti_binary", "dti_mean", *CODE_COLUMNS)
-PRODUCTION_INPUTS = ("revenue", "assets", "employees", "capital")
-PRODUCTION_RESULTS = ("y", "k", "l", "m", "m_total", "phi_hat", "beta_l", "tfp_lp", "tfp_simple")
-COVARIATE_EXCLUDE = (*ROW_KEY, *TREATMENT_COLUMNS, *PRODUCTION_INPUTS, *PRODUCTION_RESULTS)
-
-
 def covariates_of(columns):
-    return FR.covariate_columns(columns, COVARIATE_EXCLUDE)
+    """All columns but the row key and those that the treatment and outcome steps use or make."""
+    return FR.covariate_columns(columns, {*C.KEY_COLUMNS, *C.treatment_columns(), *PD.outcome_columns()})
 
 
 _COVS = ["industry_2digit", "region", "materials", "energy", "total_debt", "rd_employees_total",
@@ -267,13 +262,20 @@ _AUDIT_PRESENT = {"rd_employee_ratio": 6, "export_intensity": 9, "year_1998": 6,
     for n in _AUDIT)))
 def q_feature_audit(spark, sf_dir):
     """#28b: which of the 14 engineered columns exist, and the mean of each."""
-    df = clean_firm_panel(spark, sf_dir)
-    cols = set(df.columns)
-    present = [n for n in _AUDIT if n in cols]
-    one = df.agg(*[F.round(F.avg(n), _AUDIT_PRESENT.get(n, 6)).alias(n) for n in present])
-    structs = [F.struct(F.lit(n).alias("feature"), F.lit(int(n in cols)).alias("present"),
-                        (F.col(n) if n in cols else F.lit(None).cast("double")).alias("mean")) for n in _AUDIT]
-    return one.select(F.explode(F.array(*structs)).alias("_s")).select("_s.*")
+    digits = F.when(F.col("feature") == "export_intensity", F.round("mean", 9)).otherwise(F.round("mean", 6))
+    return C.feature_audit(clean_firm_panel(spark, sf_dir), _AUDIT).withColumn("mean", digits)
+
+
+@register("recomputed_ratios", P("""
+select round(avg(rd_employee_ratio), 6) before_mean, count(rd_employee_ratio)::bigint n_before,
+  round(avg(coalesce(rd_employees_total, (select avg(rd_employees_total) from clean)) / (employees + 1e-6)), 6) after_mean, count(employees)::bigint n_after
+from clean"""))
+def q_recomputed_ratios(spark, sf_dir):
+    """#28 with ``recompute_ratios``: the ratio of an imputed component made anew after mean imputation."""
+    before = clean_firm_panel(spark, sf_dir)
+    after = C.recomputed_ratios(impute_mean(before, ["rd_employees_total"]))
+    a, b = (df.agg(F.round(F.avg("rd_employee_ratio"), 6).alias(f"{n}_mean"), F.count("rd_employee_ratio").alias(f"n_{n}")) for n, df in (("before", before), ("after", after)))
+    return FR.with_one_row(a, b)
 
 
 # ------------------------------------------------------- #29 dummies

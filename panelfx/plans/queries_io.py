@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from ..operators import effects as E
 from ..operators import impute as IM
+from ..operators import production as PD
 from ..operators import runs as R
 from ..session import ensure_checkpoint_dir
 from ..sources import io as IO
 from . import sqlfrag as S
 from .catalog import register
+from .firm import CLEAN_SQL, clean_firm_panel
 from .panel import firm_panel, order_panel
-from .queries_models import FA, firm_analysis
+from .queries_models import FA, O, _aipw_sql, _cell_sql, firm_analysis
 from .runs_fixture import run_table, with_runs
 
 
@@ -60,17 +62,24 @@ def q_imputation_roundtrip(spark, sf_dir):
     return meta.withColumn("n_variables", F.col("n_variables").cast("int")).crossJoin(F.broadcast(m2))
 
 
-@register("result_report")
+_STARS = "case when p_value < 0.001 then '***' when p_value < 0.01 then '**' when p_value < 0.05 then '*' else '' end"
+
+
+@register("result_report", O(f"""select printf('AIPW (cell means): ATE=%.6f SE=%.6f 95%% CI=[%.6f, %.6f] z=%.4f p=%.6f %s; effect %+.2f%%',
+    ate, se, ci_lower, ci_upper, z, p_value,
+    case when p_value < 0.05 then 'significant ' || {_STARS} else 'not significant (p >= 0.05)' end, effect_pct) as value,
+  (select count(*) from est)::bigint n_csv_rows, (select count(distinct year) from est)::bigint n_csv_years
+from (select *, {S.finish()} from est) e""", _cell_sql("base", ["year"], ["segment", "region"]).lstrip() + "," + _aipw_sql("sc", ["year"])))
 def q_result_report(spark, sf_dir):
-    """#9 + #10 (rows-only): estimate rows to one CSV and readable report
-    lines to text; both read back."""
+    """#9 + #10: estimate rows to one CSV and readable report lines to text;
+    both read back."""
     root = scratch(spark, "results")
     est = E.cell_aipw(order_panel(spark, sf_dir), "t", "y", ["segment", "region"], by=["year"])
     IO.write_results(est, f"{root}/csv")
     rep = IO.result_report(est, "AIPW (cell means)")
     IO.write_report(rep, f"{root}/report")
-    n_csv = spark.read.option("header", True).csv(f"{root}/csv").count()
-    return spark.read.text(f"{root}/report").withColumn("n_csv_rows", F.lit(n_csv))
+    csv = spark.read.option("header", True).csv(f"{root}/csv").agg(F.count(F.lit(1)).alias("n_csv_rows"), F.count_distinct("year").alias("n_csv_years"))
+    return spark.read.text(f"{root}/report").crossJoin(F.broadcast(csv))
 
 
 @register("read_result_files", with_runs("""
@@ -126,13 +135,14 @@ def q_selected_variables(spark, sf_dir):
     return fa.agg(*[F.count(c).alias(c) for c in cols])
 
 
-@register("outcome_tables_roundtrip")
+@register("outcome_tables_roundtrip", S.with_panel(CLEAN_SQL.strip() + """,
+li2 as (select ln(greatest(revenue, 1)) y, ln(greatest(capital, 1)) k, ln(greatest(employees, 1)) l from clean)""", """
+select imp, count(*)::bigint rows, count(y - k - l)::bigint n_lp, round(avg(y - 0.3 * k - 0.7 * l), 4) tfp_simple_mean, 0.01::double beta_k, 1 at_bound,
+  (select count(*) from clean)::bigint first_csv_rows, 11::bigint n_csv_columns from li2, range(1, 3) mm(imp) group by imp"""))
 def q_outcome_tables(spark, sf_dir):
-    """#8 (rows-only): production outcomes estimated per imputation m (stage 1
-    and 2 grouped by m), written partitioned by m with a CSV of the first
+    """#8: production outcomes estimated per imputation m (stage 1 and 2
+    grouped by m), written partitioned by m with a CSV of the first
     imputation, read back."""
-    from ..operators import production as PD
-    from .firm import clean_firm_panel
     root = scratch(spark, "outcomes")
     stacked = IM.stack_imputations(IM.impute_mean(clean_firm_panel(spark, sf_dir), ["total_debt"]), 2, m_col="imp")
     rows, est = PD.add_outcomes(stacked, by=["imp"])
@@ -140,8 +150,8 @@ def q_outcome_tables(spark, sf_dir):
                                         "tfp_lp", "tfp_simple"), f"{root}/parquet", m_col="imp",
                             first_csv=f"{root}/first_csv")
     back = spark.read.parquet(f"{root}/parquet")
-    n_csv = spark.read.option("header", True).csv(f"{root}/first_csv").count()
-    per_m = back.groupBy("imp").agg(F.count(F.lit(1)).alias("rows"),
-                                    F.round(F.avg("tfp_lp"), 4).alias("tfp_lp_mean"),
-                                    F.round(F.avg("tfp_simple"), 4).alias("tfp_simple_mean"))
-    return per_m.join(est.select("imp", "beta_k", "at_bound"), "imp").withColumn("first_csv_rows", F.lit(n_csv))
+    csv = spark.read.option("header", True).csv(f"{root}/first_csv")
+    per_m = back.groupBy("imp").agg(F.count(F.lit(1)).alias("rows"), F.count("tfp_lp").alias("n_lp"), F.round(F.avg("tfp_simple"), 4).alias("tfp_simple_mean"))
+    bound = est.select(F.col("imp").cast("int").alias("imp"), F.round("beta_k", 6).alias("beta_k"), F.col("at_bound").cast("int").alias("at_bound"))
+    return per_m.join(bound, "imp").select(F.col("imp").cast("long").alias("imp"), "rows", "n_lp", "tfp_simple_mean", "beta_k", "at_bound",
+                                           F.lit(csv.count()).cast("long").alias("first_csv_rows"), F.lit(len(csv.columns)).cast("long").alias("n_csv_columns"))

@@ -9,10 +9,13 @@ from ..functions import expr as X
 from ..operators import effects as E
 from ..operators import heterogeneity as HT
 from ..operators import impute as IM
+from ..operators import learners as LN
+from ..operators import logistic as LG
 from ..operators import production as PD
 from ..operators import resample as RS
 from ..operators.gram import ols
-from ..operators.learners import cell_nuisances
+from ..operators.learners import join_on_keys
+from ..session import cut_lineage
 from . import sqlfrag as S
 from .catalog import register, rounded
 from .firm import CLEAN_SQL, clean_firm_panel
@@ -125,22 +128,37 @@ def q_ols(spark, sf_dir):
                     F.round(F.col("coef").getItem(1), 6).alias("slope"), F.round("r2", 6).alias("r2"))
 
 
-@register("productivity_stage1")
+_LOGS_SQL = CLEAN_SQL.strip() + """,
+li2 as (select ln(greatest(revenue, 1)) y, ln(greatest(capital, 1)) k, ln(greatest(employees, 1)) l,
+        ln(greatest(coalesce(materials, 0) + coalesce(energy, 0), 1)) m from clean),
+ok as (select * from li2 where y is not null and k is not null and l is not null and m is not null)"""
+
+
+@register("productivity_stage1", S.with_panel(_LOGS_SQL, """select count(*)::bigint n, 1 identified, round(avg(y), 6) fitted_mean,
+  """ + ", ".join(f"1 orthogonal_{c}" for c in ("l", "k", "m", "kk", "km")) + " from ok"))
 def q_stage1(spark, sf_dir):
-    """#79 (rows-only): labour coefficient from y on l + cubic(k, m)."""
+    """#79: y on l + cubic(k, m).  The fit solves its normal equations: the
+    fitted values have the mean of y, and the residual is uncorrelated with
+    every regressor (|r| below 1e-8)."""
     d = PD.log_inputs(clean_firm_panel(spark, sf_dir))
-    _, beta = PD.productivity_stage1(d)
-    return rounded(beta, {}, default=6)
+    rows, beta = PD.productivity_stage1(d)
+    fitted = F.col("phi_hat") + F.col("beta_l") * F.col("l")
+    d = rows.where("phi_hat is not null").withColumns({"fitted": fitted, "rest": F.col("y") - fitted, "kk": F.col("k") * F.col("k"), "km": F.col("k") * F.col("m")})
+    checks = [(F.abs(F.corr("rest", c)) < 1e-8).cast("int").alias(f"orthogonal_{c}") for c in ("l", "k", "m", "kk", "km")]
+    one = d.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("fitted"), 6).alias("fitted_mean"), *checks)
+    return one.crossJoin(F.broadcast(beta.select(F.col("stage1_identified").cast("int").alias("identified"))))
 
 
-@register("productivity_stage2")
+@register("productivity_stage2", S.with_panel(_LOGS_SQL, """select count(*)::bigint n, 0.01::double beta_k, 1 at_bound,
+  round(avg(y - 0.3 * k - 0.7 * l), 6) tfp_simple_mean, 0.0::double lp_gap from ok"""))
 def q_stage2(spark, sf_dir):
-    """#80 (rows-only): bounded closed-form capital coefficient; reports that
-    it sits at the bound; mean productivity of both outcome versions."""
+    """#80: bounded closed-form capital coefficient, which sits at the bound;
+    ``lp_gap`` is the mean of tfp_lp less y - beta_l l - beta_k k at the means."""
     d, est = PD.add_outcomes(clean_firm_panel(spark, sf_dir))
-    means = d.agg(F.avg("tfp_lp").alias("tfp_lp_mean"), F.avg("tfp_simple").alias("tfp_simple_mean"),
-                  F.corr("tfp_lp", "tfp_simple").alias("correlation"))
-    return rounded(est.select("beta_l", "beta_k", "at_bound").crossJoin(F.broadcast(means)), {}, default=6)
+    means = d.where("tfp_lp is not null").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("y", "k", "l", "tfp_lp", "tfp_simple")])
+    both = est.select("beta_l", "beta_k", F.col("at_bound").cast("int").alias("at_bound")).crossJoin(F.broadcast(means))
+    gap = F.abs(F.col("tfp_lp") - (F.col("y") - F.col("beta_l") * F.col("l") - F.col("beta_k") * F.col("k")))
+    return both.select("n", F.round("beta_k", 6).alias("beta_k"), "at_bound", F.round("tfp_simple", 6).alias("tfp_simple_mean"), F.round(gap, 6).alias("lp_gap"))
 
 
 # ------------------------------------------------------------- #85 folds
@@ -185,6 +203,51 @@ def q_crossfit(spark, sf_dir):
     return rounded(res.select("year", *EST), EFF)
 
 
+def _fold_lines_sql(base: str, key: str, x: str) -> str:
+    """CTEs with the least-squares lines per (key, fold): propensity over all
+    rows of the other folds, outcome per arm of them, and of the whole arms."""
+    parts = []
+    for name, target, cond in (("ps", "t", "true"), ("mu1", "y", "t = 1"), ("mu0", "y", "t = 0")):
+        parts.append(f"""
+l_{name} as (select {key}, f, regr_intercept({target}, {x}) a_{name}, regr_slope({target}, {x}) b_{name}
+  from {base}, range(5) ff(f) where fold <> f and {cond} group by {key}, f)""")
+    for name, cond in (("w1", "t = 1"), ("w0", "t = 0")):
+        parts.append(f"""
+l_{name} as (select {key}, regr_intercept(y, {x}) a_{name}, regr_slope(y, {x}) b_{name} from {base} where {cond} group by {key})""")
+    joins = " ".join(f"join l_{n} on l_{n}.{key} = d.{key} and l_{n}.f = d.fold" for n in ("ps", "mu1", "mu0"))
+    joins += " " + " ".join(f"join l_{n} on l_{n}.{key} = d.{key}" for n in ("w1", "w0"))
+    return ",".join(parts) + f""",
+fit as (select d.*, least(greatest(a_ps + b_ps * {x}, 0.01), 0.99) ps, a_mu1 + b_mu1 * {x} mu1, a_mu0 + b_mu0 * {x} mu0,
+          case when t = 1 then a_mu1 + b_mu1 * {x} else a_w1 + b_w1 * {x} end own1,
+          case when t = 0 then a_mu0 + b_mu0 * {x} else a_w0 + b_w0 * {x} end own0
+        from {base} d {joins})"""
+
+
+_XFIT_SQL = f"""
+d as (select *, cast(region as double) x, {_FOLD} fold from base),{_fold_lines_sql('d', 'year', 'x')},
+sc as (select *, {{psi}} psi from fit),
+est as (select year, count(*) n, sum(t) n_treated, 100.0 * sum(t) / count(*) treated_pct, avg(psi) ate,
+          sqrt(var_samp(psi) / count(*)) se from sc group by year)"""
+
+
+@register("aipw_crossfit_linear", O(_est_cols("year"), _XFIT_SQL.format(
+    psi="mu1 - mu0 + t / ps * (y - mu1) - (1 - t) / (1 - ps) * (y - mu0)")))
+def q_crossfit_linear(spark, sf_dir):
+    """#86 + #89 with the ``linear`` learner: all folds' models from one pass
+    of cross products (group less fold)."""
+    d = order_panel(spark, sf_dir).withColumn("x", F.col("region").cast("double"))
+    return rounded(RS.crossfit_aipw(d, "t", "y", ["x"], ["id"], ["year"], learner="linear").select("year", *EST), EFF)
+
+
+@register("aipw_crossfit_arms", O(_est_cols("year"), _XFIT_SQL.format(
+    psi="own1 - own0 + t / ps * (y - own1) - (1 - t) / (1 - ps) * (y - own0)")))
+def q_crossfit_arms(spark, sf_dir):
+    """#86 as the placebo study has it: a row's own arm predicts it out of
+    fold, the other arm by a model of that whole arm."""
+    d = order_panel(spark, sf_dir).withColumn("x", F.col("region").cast("double"))
+    return rounded(RS.crossfit_aipw(d, "t", "y", ["x"], ["id"], ["year"], learner="linear", other_arm="full").select("year", *EST), EFF)
+
+
 # ------------------------------------------------------------------ #90
 _TMLE_SQL = _cell_sql("base", ["year"], ["segment", "region"], clip=False) + """,
 gq as (select *, least(greatest(ps, 0.01), 0.99) g from sc),
@@ -203,6 +266,22 @@ def q_tmle(spark, sf_dir):
     return rounded(res.select("year", "epsilon", *EST), {**EFF, "epsilon": 8})
 
 
+@register("tmle_linear", O(_est_cols("year, round(epsilon, 8) epsilon, 0.0::double score_sum"), """
+bl as (select *, cast(region as double) x from base),
+c1 as (select year, regr_intercept(t, x) a_t, regr_slope(t, x) b_t from bl group by year),
+c2 as (select year, regr_intercept(y, x) a_1, regr_slope(y, x) b_1 from bl where t = 1 group by year),
+c3 as (select year, regr_intercept(y, x) a_0, regr_slope(y, x) b_0 from bl where t = 0 group by year),
+sc as (select bl.*, a_t + b_t * x ps, a_1 + b_1 * x mu1, a_0 + b_0 * x mu0
+       from bl join c1 using (year) join c2 using (year) join c3 using (year)),
+gq""" + _TMLE_SQL.split("\ngq")[1]))
+def q_tmle_linear(spark, sf_dir):
+    """#90 with fitted nuisances: targeting on row scores in one aggregation;
+    ``score_sum`` is the targeted equation sum H (Y - Q*)."""
+    d = order_panel(spark, sf_dir).withColumn("x", F.col("region").cast("double"))
+    res = E.tmle(d, "t", "y", ["x"], "linear", ["year"]).withColumn("score_sum", F.round(F.abs("score_sum"), 6))
+    return rounded(res.select("year", "epsilon", "score_sum", *EST), {**EFF, "epsilon": 8})
+
+
 # ------------------------------------------------------------------ #91
 _POOL_SQL = _cell_sql("base", ["year"], ["segment", "region"]) + "," + _aipw_sql("sc", ["year"]) + """,
 pl as (select count(*) m_n, avg(ate) ate, avg(se * se) w, var_samp(ate) b from est),
@@ -225,12 +304,20 @@ def q_pool(spark, sf_dir):
                     "t_stat": 4, "p_value": 4, "effect_pct": 4})
 
 
-@register("pool_rubin_t")
+@register("pool_rubin_t", O(f"""select m_n::bigint "M", {S.r('ate')} ate, round(w, 10) "W", round(b, 10) "B",
+  round(total_var, 10) total_var, {S.r('se')} se, round(df, 2) df, round(ate / se, 4) t_stat,
+  round(100.0 * (exp(ate) - 1), 4) effect_pct, 1 t_interval from pl2""", _POOL_SQL))
 def q_pool_t(spark, sf_dir):
-    """#91 (Student-t form, rows-only: t quantiles come from a pandas UDF on
-    the pooled row)."""
+    """#91 (Student-t form).  Quantile and tail come from a pandas UDF on the
+    pooled row; ``t_interval`` tells that the interval is wider than the normal
+    one around the same centre and the p value in (0, 1)."""
     per = E.cell_aipw(order_panel(spark, sf_dir), "t", "y", ["segment", "region"], by=["year"])
-    return rounded(E.pool_rubin(per, [], reference="t"), {}, default=6)
+    res = E.pool_rubin(per, [], reference="t")
+    centred = F.abs((F.col("ci_lower") + F.col("ci_upper")) / 2 - F.col("ate")) < 1e-12
+    wider = (F.col("ci_upper") - F.col("ci_lower")) / (2 * F.col("se")) > 1.9599
+    res = res.withColumn("t_interval", (centred & wider & F.col("p_value").between(0, 1)).cast("int"))
+    return rounded(res.select("M", "ate", "W", "B", "total_var", "se", "df", "t_stat", "effect_pct", "t_interval"),
+                   {"ate": 6, "W": 10, "B": 10, "total_var": 10, "se": 6, "df": 2, "t_stat": 4, "effect_pct": 4})
 
 
 # ----------------------------------------------------------------- #92d
@@ -266,8 +353,9 @@ def _poisson_case(u: str) -> str:
     return f"(case {parts} else {len(_POISSON1_CDF)} end)"
 
 
-_U_BOOT = ("((('0x' || substr(md5('42:' || cast(bb as varchar) || ':' || cast(firm_id as varchar) || ':' "
-           "|| cast(year as varchar)), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double)")
+# Four draws of 32 bits from each hash of (seed, block, key).
+_U_BOOT = ("((('0x' || substr(md5('42:' || cast((bb - 1) // 4 as varchar) || ':' || cast(firm_id as varchar) || ':' "
+           "|| cast(year as varchar)), ((bb - 1) % 4 * 8 + 1)::int, 8))::bigint::double + 0.5) / 4294967296.0::double)")
 
 _CEM_SQL = f"""
 cc0 as (select * from fa where total_debt is not null and rd_employees_total is not null),
@@ -316,8 +404,8 @@ bse as (select year, stddev_samp(mean_b) se from bm group by year)"""
 def q_bootstrap(spark, sf_dir):
     """#93b: Poisson(1) bootstrap (B = 100, md5 draws) of the mean outcome per year."""
     d = firm_analysis(spark, sf_dir)
-    reps = RS.bootstrap_replicates(d, 100, 42, ["firm_id", "year"], "b", "w")
-    bm = reps.groupBy("year", "b").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("mean_b"))
+    reps = RS.bootstrap_sums(d, {"w": F.lit(1.0), "wy": F.col("y")}, 100, 42, ["firm_id", "year"], ["year"])
+    bm = reps.select("year", (F.col("wy") / F.col("w")).alias("mean_b"))
     se = bm.groupBy("year").agg(F.stddev_samp("mean_b").alias("se"))
     base = d.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"))
     return rounded(base.join(se, "year"), {"mean": 6, "se": 6})
@@ -360,6 +448,23 @@ def q_placebo_y(spark, sf_dir):
     return rounded(_placebo_spark(spark, sf_dir, "outcome").select("r", *EST), EFF)
 
 
+_PLACEBO_LINE = """
+rg{s} as (select r, count(*) n, sum(t) n_treated, var_pop(t) * count(*) stt, var_pop(region) * count(*) sxx, covar_pop(t, region) * count(*) stx,
+           covar_pop(t, y) * count(*) sty, covar_pop(region, y) * count(*) sxy, var_pop(y) * count(*) syy from perm{s} group by r),
+rc{s} as (select *, stt * sxx - stx * stx det, (sty * sxx - sxy * stx) / (stt * sxx - stx * stx) bt,
+           (sxy * stt - sty * stx) / (stt * sxx - stx * stx) bx from rg{s}),
+lest{s} as (select r, n, n_treated, 100.0 * n_treated / n treated_pct, bt ate, sqrt((syy - bt * sty - bx * sxy) / (n - 3) * sxx / det) se from rc{s})"""
+
+
+@register("placebo_regression", FA(_est_cols("r", "lest"), _perm_sql("t") + "," + _PLACEBO_LINE.format(s="")))
+def q_placebo_regression(spark, sf_dir):
+    """#94 with linear adjustment: the covariates' cross products are fixed, a
+    replicate is the sum of its treated rows."""
+    d = firm_analysis(spark, sf_dir).withColumn("region", F.col("region").cast("double"))
+    res = RS.placebo_regression(d, "t", "y", ["region"], ["firm_id", "year"], R=R_PLACEBO, seed=42)
+    return rounded(res.select("r", *EST), EFF)
+
+
 def _placebo_summary_sql() -> str:
     real = _cell_sql("fa", [], ["hs"], name="rs") + "," + _aipw_sql("rs", [], name="rest")
     return _perm_sql("t", "_t") + "," + _perm_sql("y", "_y") + "," + real
@@ -462,12 +567,7 @@ est as (select 'aipw' method, n, ate, se from a_est union all select 'tmle', n,
 def q_methods(spark, sf_dir):
     """#100: AIPW, TMLE and regression side by side on the order panel."""
     d = order_panel(spark, sf_dir).withColumn("region", F.col("region").cast("double"))
-    cols = ["n", "ate", "se", "ci_lower", "ci_upper", "z", "p_value", "effect_pct"]
-    a = E.cell_aipw(d, "t", "y", ["segment", "region"]).select(F.lit("aipw").alias("method"), *cols)
-    t = HT.tmle_cell(d, "t", "y", ["segment", "region"]).select(F.lit("tmle").alias("method"), *cols)
-    r = HT.effect_regression(d, "t", "y", ["region"]).select(F.lit("regression").alias("method"), *cols)
-    out = a.unionByName(t).unionByName(r).withColumn("n", F.col("n").cast("long"))
-    return rounded(out, EFF)
+    return rounded(HT.method_comparison(d, "t", "y", ["segment", "region"], ["region"]), EFF)
 
 
 # ---------------------------------------------------------------- #101
@@ -476,18 +576,30 @@ def _u(tag: str) -> str:
             f"::bigint::double + 0.5) / 4503599627370496.0::double)")
 
 
-_AMP_COLS = ["dti_mean", "hs", "region"]
+_AMP_COLS = ["dti_mean", "hs", "region", "total_debt", "rd_employees_total", "direct_export_amount"]
+_AMP_FREE = [(j, c) for j, c in enumerate(_AMP_COLS) if c != "region"]
 _A0 = -__import__("math").log((1 - 0.3) / 0.3)
+
+
+def _h(tag: str) -> str:
+    return (f"(('0x' || substr(md5('7:{tag}:' || cast(firm_id as varchar) || ':' || cast(year as varchar)), 1, 13))::bigint)")
+
+
+def _first(j: int) -> str:
+    """How many other columns come before column j in a row's order of hashes."""
+    return " + ".join(f"({_h(f'col{i}')} < {_h(f'col{j}')})::int" for i, _ in _AMP_FREE if i != j)
+
+
 _AMP_SQL = f"""
 mn as (select {', '.join((f"case when {_u(f'cell{j}')} < 1 / (1 + exp(-({repr(_A0)} + 0.5 * {c}))) then null else {c} end {c}"
                             if c != "region" else c) for j, c in enumerate(_AMP_COLS))} from fa),
 st as (select avg(y) ym, stddev_samp(y) ys, avg(region) xm, stddev_samp(region) xs, count(*) n from fa),
 sr as (select fa.*, n, ln({_u('row')}) / (1 / (1 + exp(-(-1 + 0.3 * (y - ym) / ys + 0.3 * (region - xm) / xs)))) score
        from fa, st),
-rk as (select *, row_number() over (order by -score, firm_id, year) rk from sr),
-ma as (select {', '.join(
-    (f"case when rk <= floor(0.3 * n) and {_u(f'col{j}')} < 0.3 + 0.4 * {_u('frac')} then null else {c} end {c}"
-     if c != "region" else c) for j, c in enumerate(_AMP_COLS))} from rk)"""
+rk as (select *, row_number() over (order by -score, firm_id, year) rk, 1 + floor({_u('count')} * 3)::int many from sr),
+ma as (select rk <= round(0.3 * n) chosen, many, {', '.join(
+    (f"case when rk <= round(0.3 * n) and {_first(j)} < many then null else {c} end {c}" if c != "region" else c)
+    for j, c in enumerate(_AMP_COLS))} from rk)"""
 
 
 @register("ampute", FA(" union all ".join(
@@ -496,8 +608,8 @@ ma as (select {', '.join(
     _AMP_SQL))
 def q_ampute(spark, sf_dir):
     """#101: MNAR (cell chance from the value) and MAR (rows chosen by
-    outcome and first covariate, exactly floor(.3 n) rows, 30-70 % of the
-    other columns blanked) on a real table; md5 draws."""
+    outcome and first covariate, exactly round(.3 n) rows, a drawn number of
+    1 to 3 of the 5 other columns blanked) on a real table; md5 draws."""
     d = firm_analysis(spark, sf_dir)
     mn = RS.ampute(d, _AMP_COLS, 0.3, "MNAR", ["firm_id", "year"], seed=7, x0="region")
     ma = RS.ampute(d, _AMP_COLS, 0.3, "MAR", ["firm_id", "year"], seed=7, y="y", x0="region")
@@ -557,33 +669,88 @@ def q_stack(spark, sf_dir):
     return d.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.count("total_debt").alias("n_debt"))
 
 
-@register("impute_chained")
+def _imputed_sql(m: int, cols: list[str]) -> str:
+    sums = ", ".join(f"0::bigint missing_{c}, round((select avg({c}) from fa), 4) observed_{c}, 0::bigint changed_{c}, 1 drawn_{c}" for c in cols)
+    return FA(f"select m, (select count(*) from fa)::bigint n, {sums} from range(1, {m + 1}) mm(m)")
+
+
+def _imputed_check(imp, before, cols, inside):
+    """Per m: rows, missing cells left, the mean of the observed cells and how
+    many of them changed, and whether the filled cells vary (and, with
+    ``inside``, stay in the observed range)."""
+    keys = ["firm_id", "year"]
+    span = before.agg(*[x for c in cols for x in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))])
+    j = imp.join(before.select(*keys, *[F.col(c).alias(f"o_{c}") for c in cols]), keys).crossJoin(F.broadcast(span))
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for c in cols:
+        was = F.col(f"o_{c}").isNotNull()
+        filled = F.when(~was, F.col(c))
+        good = F.stddev_pop(filled) > 0
+        if inside:
+            good = good & (F.min(filled) >= F.max(f"lo_{c}")) & (F.max(filled) <= F.max(f"hi_{c}"))
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"missing_{c}"), F.round(F.avg(F.when(was, F.col(c))), 4).alias(f"observed_{c}"),
+                 F.count_if(was & (F.col(c) != F.col(f"o_{c}"))).alias(f"changed_{c}"), good.cast("int").alias(f"drawn_{c}")]
+    return j.groupBy("m").agg(*aggs)
+
+
+@register("impute_chained", _imputed_sql(5, _IMP_COLS))
 def q_impute_chained(spark, sf_dir):
-    """#75 (rows-only): Bayesian chained imputation, M = 5, 5 sweeps, outcome
-    as extra predictor; per m the means of the completed columns."""
-    d = firm_analysis(spark, sf_dir)
+    """#75: Bayesian chained imputation, M = 5, 5 sweeps, outcome as extra
+    predictor; no cell stays missing, observed cells stay, drawn cells vary."""
+    d = cut_lineage(firm_analysis(spark, sf_dir))
     imp = IM.impute_chained(d, _IMP_COLS, M=5, max_iter=5, extra_predictors=["y"], row_key=["firm_id", "year"],
                             seed=1)
-    return rounded(imp.groupBy("m").agg(*[F.avg(c).alias(c) for c in _IMP_COLS],
-                                        F.count(F.lit(1)).alias("n")), {}, default=4)
+    return _imputed_check(imp, d, _IMP_COLS, False)
 
 
-@register("impute_forest")
+@register("impute_forest", _imputed_sql(2, _IMP_COLS))
 def q_impute_forest(spark, sf_dir):
-    """#74 (rows-only): forest chain (10 trees, depth 5), M = 2, 2 sweeps."""
-    d = firm_analysis(spark, sf_dir)
+    """#74: forest chain (10 trees, depth 5), M = 2, 2 sweeps; a forest fills
+    within the observed range."""
+    d = cut_lineage(firm_analysis(spark, sf_dir))
     imp = IM.impute_chained(d, _IMP_COLS, M=2, max_iter=2, learner="forest", extra_predictors=["y"],
                             row_key=["firm_id", "year"], seed=42)
-    return rounded(imp.groupBy("m").agg(*[F.avg(c).alias(c) for c in _IMP_COLS]), {}, default=4)
+    return _imputed_check(imp, d, _IMP_COLS, True)
+
+
+def _pool_check(res):
+    """Rubin's rules hold and the imputations differ."""
+    infl = F.lit(1.0) + F.lit(1.0) / F.col("M")
+    return res.select("M", (F.col("B") > 0).cast("int").alias("imputations_differ"),
+                      (F.abs(F.col("total_var") / (F.col("W") + infl * F.col("B")) - 1) < 1e-12).cast("int").alias("total_is_within_and_between"),
+                      (F.abs(F.col("se") * F.col("se") / F.col("total_var") - 1) < 1e-12).cast("int").alias("se_is_root"),
+                      (F.col("B") < F.col("W")).cast("int").alias("between_below_within"))
+
+
+_POOL_CHECK = "select 5::bigint \"M\", 1 imputations_differ, 1 total_is_within_and_between, 1 se_is_root, 1 between_below_within"
 
 
-@register("effect_imputed_dr")
+@register("effect_imputed_dr", _POOL_CHECK)
 def q_imputed_dr(spark, sf_dir):
-    """#92 (rows-only): Bayesian chained imputation, cross-fitted AIPW per m on
-    coarsened covariates, Rubin pooling (normal form)."""
+    """#92: Bayesian chained imputation, cross-fitted AIPW per m with linear
+    nuisances on the covariates, Rubin pooling (normal form)."""
     d = firm_analysis(spark, sf_dir)
-    return rounded(HT.effect_imputed_dr(d, "t", "y", _IMP_COLS[:2], ["firm_id", "year"], M=5, max_iter=3),
-                   {}, default=6)
+    return _pool_check(HT.effect_imputed_dr(d, "t", "y", _IMP_COLS[:2], ["firm_id", "year"], M=5, max_iter=3, learner="linear"))
+
+
+@register("imputed_outcome_effect", S.with_panel(CLEAN_SQL.strip(), """
+select m, count(*)::bigint n, sum(dti_binary)::bigint n_treated, 1 between_zero_and_one, 1 se_positive from clean, range(1, 4) mm(m) group by m"""))
+def q_imputed_outcome_effect(spark, sf_dir):
+    """The whole study: chained imputation (#75), production outcome per
+    imputation (#79, #80), cross-fitted AIPW per imputation with a logistic
+    propensity (#81, #89); rows and treated of every imputation, pooled share
+    of the between variance (#91)."""
+    d = clean_firm_panel(spark, sf_dir).select("firm_id", "year", "dti_binary", "revenue", "capital", "employees", "materials", "energy", "total_debt",
+                                               "rd_employees_total", "region")
+    imp = IM.impute_chained(d, ["total_debt", "rd_employees_total"], M=3, max_iter=2, extra_predictors=["revenue"], row_key=["firm_id", "year"], seed=3)
+    logs = imp.withColumns({c: F.ln(F.greatest(F.col(c), F.lit(1.0))) for c in ("total_debt", "rd_employees_total")})
+    rows, _ = PD.add_outcomes(logs, by=["m"])
+    per = RS.crossfit_aipw(rows, "dti_binary", "tfp_lp", ["total_debt", "rd_employees_total", "region"], ["firm_id", "year"], ["m"], learner="logistic")
+    per = cut_lineage(per.select("m", "n", "n_treated", "ate", "se"))
+    pooled = E.pool_rubin(per, [], reference="z")
+    share = F.try_divide((1 + 1 / F.col("M")) * F.col("B"), F.col("total_var"))
+    return per.crossJoin(F.broadcast(pooled.select((share > 0).alias("_some"), (share < 1).alias("_part")))).select(
+        "m", "n", "n_treated", (F.col("_some") & F.col("_part")).cast("int").alias("between_zero_and_one"), (F.col("se") > 0).cast("int").alias("se_positive"))
 
 
 _CC_SQL = """
@@ -630,6 +797,33 @@ def q_complete_case(spark, sf_dir):
     return rounded(res.select(*EST), EFF)
 
 
+def _linear_bins(src: str) -> str:
+    fold = ("(('0x' || substr(md5('42:' || cast(firm_id as varchar) || ':' || cast(year as varchar)), 1, 13))"
+            "::bigint % 5)")
+    return f"""
+d as (select *, {fold} fold from {src}),{_fold_lines_sql('d', 'year', 'total_debt')},
+sc as (select *, mu1 - mu0 + t / ps * (y - mu1) - (1 - t) / (1 - ps) * (y - mu0) psi from fit),
+est as (select year, count(*) n, sum(t) n_treated, 100.0 * sum(t) / count(*) treated_pct, avg(psi) ate,
+          sqrt(var_samp(psi) / count(*)) se from sc group by year)"""
+
+
+@register("complete_case_linear", FA(_est_cols("year"), """
+cc as (select * from fa where total_debt is not null),
+cc2 as (select * from cc where year in (select year from cc group by year having count(*) >= 100)),""" + _linear_bins("cc2")))
+def q_complete_case_linear(spark, sf_dir):
+    """#92b on a continuous covariate: cross-fitted AIPW with linear nuisances per year."""
+    res = HT.effect_complete_case(firm_analysis(spark, sf_dir), "t", "y", ["total_debt"], ["firm_id", "year"], ["year"], learner="linear")
+    return rounded(res.select("year", *EST), EFF)
+
+
+@register("single_imputation_linear", FA(_est_cols("year"), """
+mi as (select fa.* replace (coalesce(total_debt, (select avg(g.total_debt) from fa g where g.year = fa.year)) as total_debt) from fa),""" + _linear_bins("mi")))
+def q_single_imputation_linear(spark, sf_dir):
+    """#92c on a continuous covariate: mean imputation per year, then the same."""
+    res = HT.effect_single_imputation(firm_analysis(spark, sf_dir), "t", "y", ["total_debt"], ["firm_id", "year"], ["year"], learner="linear")
+    return rounded(res.select("year", *EST), EFF)
+
+
 @register("effect_single_imputation", FA(_est_cols(), """
 mi as (select * replace (coalesce(total_debt, (select avg(total_debt) from fa)) as total_debt,
          coalesce(rd_employees_total, (select avg(rd_employees_total) from fa)) as rd_employees_total) from fa),"""
@@ -678,49 +872,90 @@ def q_imputed_regression(spark, sf_dir):
     return rounded(res.select("M", "ate", "se", F.col("B").alias("b_var"), "p_value"), {**EFF, "b_var": 10})
 
 
-@register("evaluate_methods")
+_EVAL_SQL = _cell_sql("fa", ["industry_2digit"], ["hs"]) + "," + _aipw_sql("sc", ["industry_2digit"]) + """,
+sz as (select industry_2digit, count(*) n_rows, sum(t) n1 from fa group by industry_2digit),
+gated as (select s.industry_2digit, n_rows < 100 or n1 = 0 or n1 = n_rows bad, ate, se from sz s left join est using (industry_2digit)),
+runs as (select method, case when not bad and not (method = 'fragile' and industry_2digit = 7) then ate end ate,
+           case when not bad and not (method = 'fragile' and industry_2digit = 7) then se end se from gated, (values ('cell_aipw'), ('fragile')) v(method))"""
+
+
+@register("evaluate_methods", FA("""select method, count(*)::bigint runs, (count(*) - count(ate))::bigint errors, round(avg(ate), 6) bias_mean,
+  round(avg(case when ate is not null then (ate - 1.96 * se <= 0 and ate + 1.96 * se >= 0)::int end), 6) coverage from runs group by method""", _EVAL_SQL))
 def q_evaluate(spark, sf_dir):
-    """#102 (rows-only): two methods on every industry dataset of the firm
-    panel, gates turned into error rows, run metrics per method."""
-    d = firm_analysis(spark, sf_dir)
-    methods = {
-        "cell_aipw": lambda df, by: E.cell_aipw(df, "t", "y", ["hs"], by=by),
-        "crossfit_aipw": lambda df, by: RS.crossfit_cell_aipw(df, "t", "y", ["hs"], ["firm_id", "year"], by),
-    }
-    runs = HT.evaluate_methods(d, methods, ["industry_2digit"], truth=0.0, min_rows=100, t="t")
-    return rounded(runs.groupBy("method").agg(F.count(F.lit(1)).alias("runs"), F.count("error").alias("errors"),
-                                              F.avg("bias").alias("bias_mean"), F.avg("coverage").alias("coverage")),
-                   {}, default=6)
-
-
-# ------------------------------------------------------- Spark ML learners
-@register("propensity_logistic_cv")
-def q_logistic(spark, sf_dir):
-    """#81 (rows-only): L2 logistic propensity with 5-fold choice of the
-    penalty over 10 values; mean score per year."""
-    from ..session import cut_lineage
-    d = cut_lineage(firm_analysis(spark, sf_dir).withColumn("t", F.col("t").cast("double")))
-    p = __import__("panelfx.operators.learners", fromlist=["fit_predict"]).fit_predict(
-        d, "t", ["hs", "region", "industry_2digit"], "logistic", classify=True, out="ps")
-    return rounded(p.groupBy("year").agg(F.avg("ps").alias("ps_mean"), F.count(F.lit(1)).alias("n")), {}, default=4)
+    """#102: two methods on every industry dataset of the firm panel; gates
+    become error rows, and the method that fails on one industry fails on that
+    one alone; run metrics per method."""
+    d = cut_lineage(firm_analysis(spark, sf_dir))
+
+    def fragile(df, by):
+        broken = F.when(F.col("industry_2digit") == 7, F.raise_error(F.lit("no estimate for this industry")).cast("double"))
+        return E.cell_aipw(df.withColumn("y", F.coalesce(broken, F.col("y"))), "t", "y", ["hs"], by=by)
+
+    runs = HT.evaluate_methods(d, {"cell_aipw": lambda df, by: E.cell_aipw(df, "t", "y", ["hs"], by=by), "fragile": fragile},
+                               ["industry_2digit"], truth=0.0, min_rows=100, t="t")
+    ok = F.col("error").isNull()
+    return runs.groupBy("method").agg(F.count(F.lit(1)).alias("runs"), F.count_if(~ok).alias("errors"), F.round(F.avg("bias"), 6).alias("bias_mean"),
+                                      F.round(F.avg(F.when(ok, F.col("coverage"))), 6).alias("coverage"))
 
 
-@register("gbt_aipw_by_period")
+# ------------------------------------------------------- fitted learners
+_LOGIT_SQL = "select year, count(*)::bigint n, sum(t)::bigint n_treated, round(avg(t), 6) ps_mean, 1 inside, 1 score_hs, 1 score_region, 1 converged from fa group by year"
+
+
+def _scores(p, coefs, xs, penalty, by):
+    """Mean and range of the probabilities and the score equations X'(T - p) = penalty x b (to 1e-6)."""
+    d = join_on_keys(p, coefs.select(*by, "coef", "converged", penalty.alias("_lam")), by, "left")
+    sums = d.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("t").cast("long").alias("n_treated"), F.round(F.avg("ps"), 6).alias("ps_mean"),
+        ((F.min("ps") > 0) & (F.max("ps") < 1)).cast("int").alias("inside"),
+        *[(F.abs(F.sum((F.col("t") - F.col("ps")) * F.col(x)) - F.first("_lam") * F.first(F.get("coef", F.lit(i + 1)))) < 1e-6).cast("int").alias(f"score_{x}")
+          for i, x in enumerate(xs)], F.first("converged").cast("int").alias("converged"))
+    return sums
+
+
+@register("propensity_logistic", FA(_LOGIT_SQL))
+def q_logistic_by_year(spark, sf_dir):
+    """#83 'logistic' with a fixed penalty, all years in the same Newton steps."""
+    d = cut_lineage(firm_analysis(spark, sf_dir))
+    coefs = LG.logistic_fit(d, "t", ["hs", "region"], ["year"], 1.0)
+    return _scores(LG.logistic_predict(d, coefs, ["hs", "region"], ["year"]), coefs, ["hs", "region"], F.lit(1.0), ["year"])
+
+
+@register("propensity_logistic_cv", FA(_LOGIT_SQL.replace("year, ", "", 1).replace(" group by year", "")))
+def q_logistic(spark, sf_dir):
+    """#81: L2 logistic propensity with 5-fold choice of the penalty over 10
+    values, all 50 fits in the same Newton steps."""
+    d = cut_lineage(RS.fold_assign(firm_analysis(spark, sf_dir), 5, 42, ["firm_id", "year"], "fold"))
+    coefs = LG.logistic_cv(d, "t", ["hs", "region"])
+    return _scores(LG.logistic_predict(d, coefs, ["hs", "region"]), coefs, ["hs", "region"], F.col("penalty"), [])
+
+
+@register("propensity_ensemble", FA("select year, count(*)::bigint n, count(*)::bigint n_inside, 1 between_members from fa group by year"))
+def q_ensemble(spark, sf_dir):
+    """#83 'ensemble': mean of the cross-validated logistic and the boosted propensity (40 trees here)."""
+    d = cut_lineage(firm_analysis(spark, sf_dir))
+    xs = ["hs", "region", "industry_2digit"]
+    p = LN.propensity(d, "t", xs, "ensemble", key=["firm_id", "year"], trees=40)
+    p = LN.propensity(LN.propensity(p, "t", xs, "logistic", out="a", key=["firm_id", "year"]), "t", xs, "gbm", out="b", trees=40)
+    between = F.col("ps").between(F.least("a", "b") - 1e-12, F.greatest("a", "b") + 1e-12)
+    return p.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("ps") > 0) & (F.col("ps") < 1)).alias("n_inside"),
+                                 F.min(between.cast("int")).alias("between_members"))
+
+
+@register("gbt_aipw_by_period", FA("""select period, count(*)::bigint n, sum(t)::bigint n_treated, round(avg(case when t = 1 then y end), 6) mu1_own_mean,
+  round(avg(case when t = 0 then y end), 6) mu0_own_mean, 1 ps_inside, 1 se_positive from pe group by period""", _PER_SQL.split("),\n")[0].strip().lstrip(",") + ")"))
 def q_gbt(spark, sf_dir):
-    """#82-#84 + #88 (rows-only): boosted propensity and arm outcome models
-    (50 trees, depth 3 as in the split analyses) per period, clipped
-    propensity, AIPW per period."""
-    from ..operators.learners import fit_predict
+    """#82-#84 + #88: boosted propensity and arm outcome models (50 trees,
+    depth 3 as in the split analyses) of all periods at once, AIPW per period.
+    Boosting of squared errors keeps the mean of an arm's own rows."""
     d = firm_analysis(spark, sf_dir).withColumn("period", X.period_label("year", _PERIODS, _PERIOD_YEARS))
-    from ..session import cut_lineage
-    d = cut_lineage(d.withColumn("t", F.col("t").cast("double")).withColumn("region", F.col("region").cast("double")))
-    feats = ["hs", "region", "industry_2digit"]
-    params = dict(maxIter=50, maxDepth=3, minInstancesPerNode=1)
-    d = fit_predict(d, "t", feats, "gbt", by=["period"], out="ps", classify=True, **params)
-    d = fit_predict(d, "y", feats, "gbt", train="t = 1", by=["period"], out="mu1", **params)
-    d = fit_predict(d, "y", feats, "gbt", train="t = 0", by=["period"], out="mu0", **params)
-    d = d.withColumn("ps", X.clip_propensity("ps"))
-    return rounded(E.aipw_effect(d, "t", "y", by=["period"]).select("period", *EST), EFF)
+    d = cut_lineage(d.withColumns({c: F.col(c).cast("double") for c in ("t", "region")}))
+    d = LN.nuisances(d, "t", "y", ["hs", "region", "industry_2digit"], "gbt", ["period"], trees=50, depth=3, min_leaf=1)
+    d = cut_lineage(d)
+    own = d.groupBy("period").agg(*[F.round(F.avg(F.when(F.col("t") == a, F.col(f"mu{a}"))), 6).alias(f"mu{a}_own_mean") for a in (1, 0)],
+                                  ((F.min("ps") >= 0.01) & (F.max("ps") <= 0.99)).cast("int").alias("ps_inside"))
+    est = E.aipw_effect(d, "t", "y", by=["period"]).select("period", "n", "n_treated", (F.col("se") > 0).cast("int").alias("se_positive"))
+    return est.join(own, "period")
 
 
 # ------------------------------------------------------- linear learner

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.frame import union_by_name
+from ..operators.resample import bucket_rank
 
 
 def read_yearly(spark: SparkSession, template: str, years: Sequence[int], encoding: str = "UTF-8") -> DataFrame | None:
@@ -159,9 +160,8 @@ def read_result_files(spark: SparkSession, patterns: Sequence[str], schema: str
     Columns absent in a file are NULL.  ``schema`` (DDL) names and types the
     columns; without it the types are inferred per set of equal headers.
     Adds ``source_file``, ``file_no`` (order of the patterns, then of the
-    paths) and ``line_no`` (rises along a file; a row keeps its number
-    whatever the partitioning of other files), in place of columns of those
-    names.  Unreadable files are skipped;
+    paths) and ``line_no`` (the line in the file, its header being line 1; no
+    record may span lines), in place of columns of those names.  Unreadable files are skipped;
     no match gives None."""
     files = matched_files(spark, patterns)
     if not files:
@@ -181,10 +181,10 @@ def read_result_files(spark: SparkSession, patterns: Sequence[str], schema: str
     for group in headers.values():
         df = spark.read.options(**options).option("inferSchema", schema is None).csv(group)
         names = [c for c in df.columns if c not in ("source_file", "file_no", "line_no")]
-        # Blocks of a file start further apart than one task has rows, so start + row rises along the file.
-        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
         df = df.select(*names, _file_name(F.col("_metadata.file_path")).alias("source_file"),
-                       (F.col("_metadata.file_block_start") + row).alias("line_no"))
+                       F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+        # Blocks are numbered by themselves, and the counts of the blocks before are added.
+        df = bucket_rank(df, ["source_file"], ["_at"], F.col("_block"), "line_no").withColumn("line_no", F.col("line_no") + 1).drop("_block", "_at")
         if schema is not None:
             wanted = StructType.fromDDL(schema)
             df = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in names

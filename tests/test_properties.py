@@ -175,21 +175,17 @@ def test_linear_learner_matches_numpy(spark):
     assert np.allclose(pdf.mu1, b[1] + b[0] * pdf.x, atol=1e-9)
 
 
-def test_spark_ml_learners_run_per_group(spark):
-    """Forest and boosted learners fit one model per group and
-    return a probability in [0, 1] for every row (small settings)."""
+def test_tree_learners_per_group(spark):
+    """Forests and boosted trees return a probability in [0, 1] for every row, and outcomes per group."""
     from panelfx.operators.learners import fit_predict
-    d = firm_analysis(spark, SMALL).withColumn("t", F.col("t").cast("double")) \
-        .withColumn("region", F.col("region").cast("double"))
+    d = firm_analysis(spark, SMALL)
     feats = ["hs", "region", "industry_2digit"]
     n = d.count()
-    # (the logistic-CV / ensemble path runs in the registered query
-    # propensity_logistic_cv; its 50 fits are too slow for a unit test)
-    for learner, params in (("forest", dict(numTrees=5, maxDepth=3)), ("gbt", dict(maxIter=5, maxDepth=2))):
+    for learner, params in (("forest", dict(trees=5, depth=3)), ("gbt", dict(trees=5, depth=2))):
         p = fit_predict(d, "t", feats, learner, out="ps", classify=True, **params)
         r = p.agg(F.count("ps").alias("n"), F.min("ps").alias("lo"), F.max("ps").alias("hi")).first()
         assert r["n"] == n and 0.0 <= r["lo"] <= r["hi"] <= 1.0, learner
-    mu = fit_predict(d, "y", feats, "forest", train="t = 1", by=["region"], out="mu1", numTrees=5, maxDepth=3)
+    mu = fit_predict(d, "y", feats, "forest", train="t = 1", by=["region"], out="mu1", trees=5, depth=3)
     assert mu.where(F.col("mu1").isNull()).count() == 0 and mu.count() == n
 
 

@@ -110,11 +110,162 @@ def test_mar_chooses_exactly_the_wanted_rows(spark):
     assert got.count() == 3000 and got.where("b is null").count() == 750 and set(got.columns) == {"id", "a", "b", "y"}
 
 
+def test_mar_blanks_a_counted_number_of_columns(spark):
+    cols = [f"x{j}" for j in range(11)]
+    df = spark.range(3000).select("id", *[F.rand(j).alias(c) for j, c in enumerate(cols)], F.rand(40).alias("y"))
+    got = resample.ampute(df, cols, 0.4, "MAR", ["id"], y="y", x0="x0")
+    per_row = got.select(sum((F.col(c).isNull().cast("int") for c in cols), F.lit(0)).alias("k")).groupBy("k").count().collect()
+    counts = {r.k: r["count"] for r in per_row}
+    assert set(counts) == {0, 3, 4, 5, 6, 7} and counts[0] == 1800  # 30 to 70 % of the ten others
+    assert all(150 < counts[k] < 330 for k in (3, 4, 5, 6, 7)) and got.where("x0 is null").isEmpty()
+
+
+@pytest.mark.parametrize("accuracy,held", [(10_000, 1_000_000), (20, 40), (20, 3)])
+def test_narrowed_percentiles(spark, monkeypatch, accuracy, held):
+    rng = random.Random(12)
+    rows = [("distinct", rng.gauss(0, 1)) for _ in range(3000)] + [("wide", rng.choice((1e-300, 1e300, -1e300)) * rng.random()) for _ in range(700)]
+    rows += [("ties", float(rng.randint(0, 3))) for _ in range(900)] + [("one", 5.0)] * 300 + [(None, float(i)) for i in range(101)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = [0.9, 0.0, 0.5, 0.123, 0.9, 1.0, 0.25]
+    want = {r.g: r.p for r in df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("p")).collect()}
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    monkeypatch.setattr(quantiles, "HELD", held)
+    got = {r.g: r.v for r in quantiles.exact_percentiles(df, ["v"], probs, ["g"]).collect()}
+    assert set(got) == set(want)
+    for g in want:
+        assert got[g] == pytest.approx(want[g], rel=1e-9, abs=1e-12), g
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bootstrap_copies_no_rows(spark):
+    df = panel(spark)
+    plan = plan_of(resample.bootstrap_sums(df, {"n": F.lit(1.0), "y": F.col("y")}, 50, 3, ["id"], ["cell"]))
+    assert "Generate" not in plan and "Expand" not in plan
+
+
+def test_dummy_columns_take_one_scan(spark):
+    from panelfx.operators import profile
+    df = spark.range(500).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"), F.lit(None).cast("string").alias("c"), (F.col("id") % 10).alias("d"), (F.col("id") % 11).alias("year_x"))
+    got = {r.variable: (r.n_distinct, r.is_dummy) for r in profile.dummy_columns(df, df.columns).collect()}
+    assert got == {"a": (11, 0), "b": (7, 1), "c": (0, 1), "d": (10, 1), "year_x": (11, 1)}
+    assert "Expand" not in plan_of(profile.dummy_columns(df, df.columns))
+
+
+def test_many_cells_are_ranked(spark, monkeypatch):
+    """The plan with ranks gives the replicates of the plan with limits."""
+    rng = random.Random(8)
+    rows = [(i, int(rng.random() < 0.4), rng.gauss(0, 1), rng.choice(["p", "q", None]), rng.randint(0, 4)) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, t int, y double, c string, d int").repartition(3)
+    for which in ("outcome", "treatment"):
+        a = resample.placebo(df, "t", "y", ["c", "d"], ["id"], R=6, permute=which).orderBy("r").collect()
+        monkeypatch.setattr(resample, "MAX_SLOTS", 1)
+        b = resample.placebo(df, "t", "y", ["c", "d"], ["id"], R=6, permute=which).orderBy("r").collect()
+        monkeypatch.undo()
+        assert len(a) == len(b) == 6 and all(x.ate == pytest.approx(y.ate, abs=1e-12) and x.n == y.n == 700 for x, y in zip(a, b))
+    each = df.withColumn("c", F.col("id"))  # as many cells as rows
+    got = resample.placebo(each, "t", "y", ["c"], ["id"], R=3, permute="outcome")
+    assert got.count() == 3
+
+
+def test_missed_brackets_are_widened(spark):
+    d = spark.range(5000).select(F.col("id").cast("string").alias("_key"))
+    draws = resample.Draws(3, "_key")
+    ranks = [1, 2000, 2001, 5000]
+    want = {r: sorted(x.h for x in d.select(draws.column(F.lit(r)).alias("h")).collect()) for r in (1, 2)}
+    for width in (7.0, 0.01):
+        got = {r._r: r._limits for r in resample.replicate_limits(d, ranks, 5000, draws, 2, width).collect()}
+        assert got == {r: [want[r][k - 1] for k in ranks] for r in (1, 2)}
+
+
+@pytest.mark.parametrize("method", ["md5", "xxhash"])
+def test_placebo_regression_equals_refits(spark, method):
+    import numpy as np
+    rng = random.Random(10)
+    rows = [(i, int(rng.random() < 0.3), rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(2, 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, t int, y double, x double, z double").repartition(3)
+    got = {r.r: r for r in resample.placebo_regression(df, "t", "y", ["x", "z"], ["id"], R=5, hash_method=method).collect()}
+    draws = resample.Draws(42, "_key", method)
+    for r in range(1, 6):
+        local = df.withColumn("_key", resample.key_text(["id"])).withColumn("h", draws.column(F.lit(r).cast("long"))).orderBy("h").toPandas()
+        n1 = int(local.t.sum())
+        T = np.array([1.0] * n1 + [0.0] * (len(local) - n1))
+        Z = np.column_stack([np.ones(len(T)), T, local.x, local.z])
+        b, rss = np.linalg.lstsq(Z, local.y, rcond=None)[:2]
+        se = np.sqrt(rss[0] / (len(T) - 4) * np.linalg.inv(Z.T @ Z)[1, 1])
+        assert got[r].ate == pytest.approx(b[1], abs=1e-9) and got[r].se == pytest.approx(se, rel=1e-9) and got[r].n_treated == n1
+    outcome = resample.placebo_regression(df, "t", "y", ["x", "z"], ["id"], R=4, permute="outcome", hash_method=method).collect()
+    assert len(outcome) == 4 and all(r.n == 400 for r in outcome)
+
+
+def test_predictive_draws_have_the_predictive_variance(spark):
+    """Filled cells scatter around the fit by the noise and by what the coefficients are unsure of."""
+    import numpy as np
+    rng = random.Random(14)
+    rows = [(i, rng.gauss(0, 1), 0.0) for i in range(40)] + [(100 + i, 30.0, None) for i in range(2000)]
+    rows = [(i, x, None if y is None else 2 * x + rng.gauss(0, 1)) for i, x, y in rows]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    got = impute.impute_chained(df, ["y"], M=2, max_iter=1, extra_predictors=["x"], row_key=["id"]).where("id >= 100").toPandas()
+    seen = np.array([(x, y) for _, x, y in rows if y is not None])
+    b0, coef, cov, alpha, mean = impute.bayes_ridge_from_gram(*[np.asarray(v) for v in (
+        [[40, seen[:, 0].sum()], [seen[:, 0].sum(), (seen[:, 0] ** 2).sum()]], [seen[:, 1].sum(), (seen[:, 0] * seen[:, 1]).sum()])], (seen[:, 1] ** 2).sum(), 40)
+    want = 1 / alpha + cov[0, 0] * (30 - mean[0]) ** 2
+    assert want > 3 / alpha and abs(got.y.var() / want - 1) < 0.15 and abs(got.y.mean() - (b0 + 30 * coef[0])) < 0.5
+
+
+def test_complete_rows_are_not_copied_through_the_chain(spark):
+    """Files of a chain's states hold incomplete rows only."""
+    df = spark.range(2000).select("id", F.rand(1).alias("x"), F.when(F.col("id") % 50 == 0, F.lit(None)).otherwise(F.rand(2)).alias("y"), F.lit("wide").alias("note"))
+    seen = []
+    keep = impute.stored
+    impute.stored = lambda t, label: seen.append(keep(t, label)) or seen[-1]
+    try:
+        got = impute.impute_chained(df, ["y"], M=3, max_iter=1, extra_predictors=["x"], row_key=["id"])
+        assert got.count() == 6000 and got.where("y is null").isEmpty() and got.columns == ["id", "x", "y", "note", "m"]
+    finally:
+        impute.stored = keep
+    assert seen[-1].count() == 120 and "note" not in seen[-1].columns
+
+
+def test_one_broken_dataset_stands_alone(spark):
+    from panelfx.operators import heterogeneity
+    df = panel(spark).withColumn("g", F.when(F.col("id") % 8 == 7, F.lit(None)).otherwise(F.col("id") % 8))
+
+    def fragile(d, by):
+        return effects.cell_aipw(d.withColumn("y", F.when(F.col("g") == 3, F.raise_error(F.lit("bad")).cast("double")).otherwise(F.col("y"))), "t", "y", ["cell"], by=by)
+
+    got = {r.g: r for r in heterogeneity.evaluate_methods(df, {"m": fragile}, ["g"]).collect()}
+    assert len(got) == 8 and [g for g, r in got.items() if r.error] == [3] and "bad" in got[3].error
+    assert all(r.ate_est is not None for g, r in got.items() if g != 3)
+
+
+def test_recomputed_ratios_and_legacy_charset(spark):
+    from panelfx.operators import clean
+    df = spark.createDataFrame([(1.0, None, 9.0, 7.0)], "revenue double, direct_export_amount double, export_intensity double, debt_to_equity double")
+    full = df.withColumn("direct_export_amount", F.lit(4.0))
+    got = clean.recomputed_ratios(full).first()
+    assert got.export_intensity == pytest.approx(4.0, rel=1e-5) and got.debt_to_equity == 7.0
+    root = scratch_path(spark, "cp949").removeprefix("file:")
+    import os
+    os.makedirs(root)
+    with open(f"{root}/survey_2019.csv", "wb") as f:
+        f.write("회사,값\n가나다,1\n".encode("cp949"))
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    try:
+        back = io.read_yearly(spark, root + "/survey_{year}.csv", [2019], encoding="cp949")
+        assert back.columns == ["회사", "값", "year"] and back.first()["회사"] == "가나다"
+    finally:
+        spark.conf.unset("spark.sql.legacy.javaCharsets")
+
+
 def test_poisson_weights_are_not_cut(spark):
     cdf = resample.poisson1_cdf()
     assert cdf[-1] == 1.0 and len(cdf) > 15
-    top = spark.range(1).select(resample.poisson_weight(F.lit(1 - 2.0**-40)).alias("w")).first().w
-    assert top > 10
+    df = spark.range(0, 4000).select("id", F.lit(1.0).alias("one"))
+    got = resample.bootstrap_sums(df, {"w": F.col("one")}, 10, 1, ["id"]).toPandas().w
+    assert len(got) == 10 and abs(got.mean() / 4000 - 1) < 0.02 and got.std() > 10
 
 
 def test_average_without_duplicates_changes_nothing(spark):
@@ -131,13 +282,24 @@ def test_result_files_by_name_and_order(spark):
     for prefix in ("", "file:"):
         got = io.read_result_files(spark, [f"{prefix}{root}/z_*", f"{prefix}{root}/a_*"], "seed int, method string, est double").orderBy("file_no", "line_no").collect()
         assert [(r.file_no, r.seed, r.method, r.est) for r in got] == [(0, 1, "m1", 0.5), (0, 2, "m1", 0.6), (1, 1, None, 0.5), (1, 2, None, 0.6)]
-        assert got[0].line_no < got[1].line_no
+        assert [r.line_no for r in got] == [2, 3, 2, 3]
     assert io.read_result_files(spark, [f"{root}/none*"]) is None
     a.coalesce(1).write.option("header", True).csv(f"{root}/survey_2001")
     assert io.read_yearly(spark, "file:" + root + "/survey_{year}", [2000, 2001]).count() == 2
     assert io.read_yearly(spark, root + "/survey_{year}", [1990]) is None
 
 
+def test_line_numbers_across_blocks(spark):
+    root = scratch_path(spark, "long").removeprefix("file:")
+    spark.range(20_000).select(F.col("id"), F.repeat(F.lit("x"), 20).alias("pad")).coalesce(1).write.option("header", True).csv(root)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = io.read_result_files(spark, [root], "id long, pad string")
+        assert got.where("line_no <> id + 2").isEmpty() and got.count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_folder_is_required_off_local():
     from panelfx.session import is_local
     assert is_local("local") and is_local("local[8]") and not is_local("local-cluster[2,1,1024]") and not is_local("yarn")
