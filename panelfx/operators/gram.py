@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from .frame import all_present
-from .grouped import summed
+from .grouped import collected, summed
 
 
 def cross_products(X: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
@@ -58,18 +58,17 @@ def gram_sums(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (),
                          v.getItem(1 + q * q + q).alias("yty"))
 
 
-def gram_sums_many(df: DataFrame, models: dict[str, tuple[Sequence[str], Column]], by: str) -> DataFrame:
-    """(by, _target, sums) of several regressions in one pass over the rows.
+def gram_sums_many(df: DataFrame, models: dict[str, tuple[Sequence[str], Column]], by: str) -> dict[tuple, np.ndarray]:
+    """(group, target) -> n, xtx, xty and yty of several regressions, from one pass over the rows.
 
-    ``models``: per target its regressors and the rows to train on.  ``sums``
-    holds n, xtx, xty and yty of the intercept-first design, one after another;
-    rows with a missing regressor of a model are left out of that model."""
+    ``models``: per target its regressors and the rows to train on.  Designs
+    have the intercept first; rows with a missing regressor of a model are
+    left out of that model.  For few groups: the sums come to the driver."""
     cols = sorted({c for t, (xs, _) in models.items() for c in [t, *xs]})
     rows = df.select(F.col(by).alias("_by"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)],
                      *[train.cast("double").alias(f"_on{j}") for j, (_, train) in enumerate(models.values())])
     at = {c: i for i, c in enumerate(cols)}
     places = [[at[t], *(at[x] for x in xs)] for t, (xs, _) in models.items()]
-    sizes = [len(p) ** 2 + len(p) + 2 for p in places]
 
     def sums(_, data: np.ndarray) -> np.ndarray:
         out = []
@@ -79,11 +78,9 @@ def gram_sums_many(df: DataFrame, models: dict[str, tuple[Sequence[str], Column]
             out.append(cross_products(np.column_stack([np.ones(len(part)), part[:, 1:]]), part[:, 0]))
         return np.concatenate(out)
 
-    packed = summed(rows, ["_by"], sums)
-    starts = np.cumsum([1, *sizes[:-1]]).tolist()
-    each = [F.struct(F.lit(t).alias("_target"), F.slice("v", s, n).alias("sums")) for t, s, n in zip(models, starts, sizes)]
-    return (packed.select(F.col("_by").alias(by), F.explode(F.array(*each)).alias("_m")).select(by, "_m.*")
-            .where(F.col("sums").getItem(0) > 0))
+    ends = np.cumsum([len(p) ** 2 + len(p) + 2 for p in places])
+    return {(key[0], target): part for key, v in collected(rows, ["_by"], sums).items()
+            for target, part in zip(models, np.split(v, ends[:-1])) if part[0] > 0}
 
 
 def _solve_schema(by_fields) -> StructType:

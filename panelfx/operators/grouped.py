@@ -46,11 +46,32 @@ def matrix_of(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
     return out
 
 
-def summed(rows: DataFrame, by: Sequence[str], sums: Callable[[tuple, np.ndarray], np.ndarray | None]) -> DataFrame:
+Sums = Callable[[tuple, np.ndarray], np.ndarray | None]
+
+
+def summed(rows: DataFrame, by: Sequence[str], sums: Sums) -> DataFrame:
     """``by`` and an array ``v``: the vectors ``sums(key, matrix)`` of a group added up over all its batches.
 
     The columns of ``rows`` behind ``by`` are the matrix.  A group may be left
     out (None).  All vectors of a group have one length."""
+    packed = summed_cells(rows, by, sums).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("kv"))
+    return packed.select(*by, F.transform("kv", lambda s: s["v"]).alias("v"))
+
+
+def collected(rows: DataFrame, by: Sequence[str], sums: Sums) -> dict[tuple, np.ndarray]:
+    """The same on the driver, for few groups with small vectors."""
+    table = summed_cells(rows, by, sums).toArrow()
+    out: dict[tuple, np.ndarray] = {}
+    k, v = table.column("k").to_numpy(), table.column("v").to_numpy()
+    keys = pa.RecordBatch.from_arrays([table.column(c).combine_chunks() for c in [*by, "k"]], [*by, "k"])
+    for key, at in groups_of(keys, by) if len(k) else ():
+        out[key] = np.zeros(len(at))
+        out[key][k[at]] = v[at]
+    return out
+
+
+def summed_cells(rows: DataFrame, by: Sequence[str], sums: Sums) -> DataFrame:
+    """The same with one row per group and place ``k`` of the vector."""
     by = list(by)
     names = [c for c in rows.columns if c not in by]
     schema = StructType([*rows.select(*by).schema.fields, StructField("k", IntegerType()), StructField("v", DoubleType())])
@@ -87,9 +108,7 @@ def summed(rows: DataFrame, by: Sequence[str], sums: Callable[[tuple, np.ndarray
         if total:
             yield table()
 
-    cells = rows.mapInArrow(partial, schema).groupBy(*by, "k").agg(F.sum("v").alias("v"))
-    packed = cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("kv"))
-    return packed.select(*by, F.transform("kv", lambda s: s["v"]).alias("v"))
+    return rows.mapInArrow(partial, schema).groupBy(*by, "k").agg(F.sum("v").alias("v"))
 
 
 def group_block(by: Sequence[str], blocks: int) -> Callable[[DataFrame, int], DataFrame]:

@@ -27,7 +27,7 @@ between-imputation variance).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -123,28 +123,30 @@ def bayes_ridge_from_gram(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float
     return intercept, coef, cov, alpha, xbar
 
 
-def predictive(sums: np.ndarray) -> tuple[list[float], list[float]]:
-    """From n, xtx, xty, yty of one regression: intercept and coefficients; and means, noise variance and a factor L with Cov = L L'.
-
-    The second list is means, 1 / alpha and the lower triangle of L row by row."""
+def predictive(sums: np.ndarray) -> list[float]:
+    """From n, xtx, xty, yty of one regression: intercept and coefficients, regressor means, 1 / alpha, and the lower triangle (row by row) of L with Cov = L L'."""
     q = int(round((-1 + math.sqrt(1 + 4 * (len(sums) - 2))) / 2))
     b0, coef, cov, alpha, xbar = bayes_ridge_from_gram(sums[1:1 + q * q].reshape(q, q), sums[1 + q * q:-1], float(sums[-1]), float(sums[0]))
     factor = np.linalg.cholesky((cov + cov.T) / 2 + 1e-14 * np.eye(len(coef)) * max(1e-300, np.abs(cov).max())) if len(coef) else np.zeros((0, 0))
-    return [float(b0), *map(float, coef)], [*map(float, xbar), float(1.0 / alpha), *map(float, factor[np.tril_indices(len(coef))])]
+    return [float(b0), *map(float, coef), *map(float, xbar), float(1.0 / alpha), *map(float, factor[np.tril_indices(len(coef))])]
+
+
+def predictive_size(p: int) -> int:
+    return 1 + p + p + 1 + p * (p + 1) // 2
 
 
-def predictive_draw(xs: Sequence[Column], beta: Column, spread: Column, normal: Column) -> Column:
-    """Mean plus a normal draw with the variance 1/alpha + |L'(x - means)|^2 of the row."""
+def predictive_draw(xs: Sequence[Column], fit: Callable[[int], Column], normal: Column) -> Column:
+    """Mean plus a normal draw with the variance 1/alpha + |L'(x - means)|^2 of the row; ``fit(i)``: number i of ``predictive``."""
     p = len(xs)
-    mean = F.get(beta, F.lit(0))
+    mean = fit(0)
     for i, x in enumerate(xs):
-        mean = mean + F.get(beta, F.lit(i + 1)) * x
-    away = [x - F.get(spread, F.lit(i)) for i, x in enumerate(xs)]
-    variance = F.get(spread, F.lit(p))
+        mean = mean + fit(i + 1) * x
+    away = [x - fit(1 + p + i) for i, x in enumerate(xs)]
+    variance = fit(1 + 2 * p)
     for j in range(p):
         side = F.lit(0.0)
         for i in range(j, p):
-            side = side + F.get(spread, F.lit(p + 1 + i * (i + 1) // 2 + j)) * away[i]
+            side = side + fit(2 + 2 * p + i * (i + 1) // 2 + j) * away[i]
         variance = variance + side * side
     return mean + F.sqrt(variance) * normal
 
@@ -225,18 +227,19 @@ def impute_chained(df: DataFrame, cols: Sequence[str], M: int = 5, max_iter: int
     state = base.where("not _whole").select(
         "_row", F.xxhash64(*key).alias("_hash"), *[(start.get(c, F.col(c).cast("double"))).alias(n) for c, n in chain.items()],
         *[F.col(c).isNotNull().alias(f"_obs{j}") for j, c in enumerate(targets)])
-    state = stored(stack_imputations(state, M, m_col), "impute")
-    on = [F.col(f"_obs{j}") for j in range(len(targets))]
+    # Every pass computes on these rows, so they are dealt evenly, once.
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    state = stored(stack_imputations(state, M, m_col).repartition(parts, "_row", m_col), "impute")
     models = {chain[c]: [chain[x] for x in preds[c]] for c in targets}
-    fixed = {r["_target"]: np.array(r["sums"]) for r in gram_sums_many(
+    fixed = {target: sums for (_, target), sums in gram_sums_many(
         base.where("_whole").select(F.lit(0).alias("_one"), *[F.col(c).cast("double").alias(n) for c, n in chain.items()]),
-        {n: (xs, F.lit(True)) for n, xs in models.items()}, "_one").collect()}
+        {n: (xs, F.lit(True)) for n, xs in models.items()}, "_one").items()}
     for sweep in range(1, max_iter + 1):
         steps = [list(enumerate(targets))] if schedule == "jacobi" else [[(j, c)] for j, c in enumerate(targets)]
         after = state
         for k, step in enumerate(steps):
-            fits = _predictive_table(after, {chain[c]: (models[chain[c]], on[j]) for j, c in step}, fixed, m_col)
-            after = _drawn(after, fits, [(j, chain[c], models[chain[c]]) for j, c in step], m_col, seed, sweep)
+            salts = [(seed * 1_000_003 + sweep) * 10_007 + j for j, _ in step]
+            after = _drawn(after, [(j, chain[c], models[chain[c]]) for j, c in step], fixed, M, m_col, salts)
             if k % WIDTH == WIDTH - 1 and k + 1 < len(steps):
                 state = after = _advance(state, after)
         state = _advance(state, after)
@@ -248,33 +251,32 @@ def impute_chained(df: DataFrame, cols: Sequence[str], M: int = 5, max_iter: int
     return complete.select(*names).unionByName(incomplete.select(*names))
 
 
-def _predictive_table(state: DataFrame, models: dict[str, tuple[list[str], Column]], fixed: dict[str, np.ndarray], m_col: str) -> DataFrame:
-    """One row per m: per target the predictive fit, from the sums of the complete rows and of the incomplete ones.
-
-    What comes back is M x targets small vectors, whatever the rows."""
-    sums = {(r[m_col], r["_target"]): np.array(r["sums"]) for r in gram_sums_many(state, models, m_col).collect()}
-    every = sorted({m for m, _ in sums}) or [r[0] for r in state.select(m_col).distinct().collect()]
-    rows = []
-    for m in every:
-        fits = []
-        for target in models:
-            parts = [x for x in (fixed.get(target), sums.get((m, target))) if x is not None]
-            fits.append((target, *predictive(sum(parts))) if parts else (target, None, None))
-        rows.append((m, fits))
-    kind = state.schema[m_col].dataType.simpleString()
-    return state.sparkSession.createDataFrame(rows, f"{m_col} {kind}, _fits array<struct<target: string, beta: array<double>, spread: array<double>>>")
-
-
-def _drawn(state: DataFrame, fits: DataFrame, targets: list[tuple[int, str, list[str]]], m_col: str, seed: int, sweep: int) -> DataFrame:
-    """``state`` with the missing cells of the targets drawn anew."""
-    d = join_on_keys(state, F.broadcast(fits), [m_col], "left")  # M rows
+def _drawn(state: DataFrame, targets: list[tuple[int, str, list[str]]], fixed: dict[str, np.ndarray], M: int, m_col: str, salts: list[int]) -> DataFrame:
+    """``state`` with the missing cells of the targets (number, column, regressors) drawn anew.
+
+    The fits come from the sums of the complete rows and of the incomplete
+    ones: M x targets small vectors, whatever the rows.  With a salt for the
+    draws they are one literal, so they are data to the generated code, which
+    is compiled once per column and not once per sweep."""
+    sums = gram_sums_many(state, {c: (xs, F.col(f"_obs{j}")) for j, c, xs in targets}, m_col)
+    numbers: list[float] = []
+    for m in range(1, M + 1):
+        for (_, c, xs), salt in zip(targets, salts):
+            parts = [x for x in (fixed.get(c), sums.get((m, c))) if x is not None]
+            numbers += [float(salt), *(predictive(sum(parts)) if parts else [math.nan] * predictive_size(len(xs)))]
+    literal = F.split(F.lit(",".join(map(repr, numbers))), ",").cast("array<double>")
+    width = len(numbers) // M
+    first = ((F.col(m_col) - 1) * width).cast("int")
     new = {}
-    for place, (j, c, xs) in enumerate(targets):
-        fit = F.get("_fits", F.lit(place))
-        normal = hash_normal(F.lit(seed), F.col(m_col), F.lit(sweep), F.lit(j), "_hash")
-        draw = predictive_draw([F.col(x) for x in xs], fit["beta"], fit["spread"], normal)
-        new[c] = F.when(F.col(f"_obs{j}"), F.col(c)).otherwise(F.coalesce(draw, F.col(c)))
-    return d.withColumns(new).drop("_fits")
+    begin = 0
+    for j, c, xs in targets:
+        def number(i: int, begin=begin) -> Column:
+            return F.get(literal, first + F.lit(begin + i))
+
+        draw = predictive_draw([F.col(x) for x in xs], lambda i, number=number: number(1 + i), hash_normal(number(0).cast("long"), F.col(m_col), "_hash"))
+        new[c] = F.when(F.col(f"_obs{j}"), F.col(c)).otherwise(F.coalesce(F.nanvl(draw, F.lit(None).cast("double")), F.col(c)))
+        begin += 1 + predictive_size(len(xs))
+    return state.withColumns(new)
 
 
 def _forest_chain(base: DataFrame, targets: list[str], preds: dict[str, list[str]], M: int, max_iter: int, m_col: str, seed: int,

@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Bool
 from ..session import drop_stored, stored
 from .frame import all_present
 from .gram import linear_predictor, unit_diagonal
-from .grouped import MATRIX_CELLS, group_block, summed
+from .grouped import MATRIX_CELLS, collected, group_block
 from .learners import join_on_keys
 
 # The reference's grid (fixed rule): ten penalties 1 / C, C from 1e-4 to 1e4 in equal ratios.
@@ -121,14 +121,11 @@ def fits(rows: DataFrame, by: Sequence[str], models: dict[tuple, tuple[np.ndarra
         if not open_:
             break
         sent = sc.broadcast(open_)
-        partial = summed(rows, by, lambda key, data: sums_at(sent.value[key], data) if key in sent.value else None)
-        got = partial.collect()  # the groups of this block
-        for r in got:
-            key = tuple(r[c] for c in by)
-            found[key] = advanced(found[key], np.array(r["v"]))
+        got = collected(rows, by, lambda key, data: sums_at(sent.value[key], data) if key in sent.value else None)
+        for key, sums in got.items():
+            found[key] = advanced(found[key], sums)
         sent.unpersist()
-        seen = {tuple(r[c] for c in by) for r in got}
-        for key in open_.keys() - seen:  # no row: nothing to fit
+        for key in open_.keys() - got.keys():  # no row: nothing to fit
             found[key].done = np.ones(len(found[key].folds), bool)
             found[key].accepted = found[key].trial
     return found

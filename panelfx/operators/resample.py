@@ -114,8 +114,7 @@ def permute_within_replicates(df: DataFrame, moved: Sequence[str], key: Sequence
 
 
 # ----------------------------------------------------------- placebo runs
-MAX_SLOTS = 64     # (T, cell) groups whose limits every replicate carries; beyond, rows are ranked
-SENT_LIMITS = 1_000_000
+MAX_SLOTS = 64     # (T, cell) groups that draws are told apart for; beyond, rows are ranked
 RANK_BUCKETS = 4096
 
 
@@ -139,13 +138,16 @@ def key_text(key: Sequence[str]) -> Column:
     return F.concat_ws(":", *[F.col(c).cast("string") for c in key])
 
 
-def replicate_limits(d: DataFrame, ranks: Sequence[int], n: int, draws: Draws, R: int, width: float = 7.0) -> DataFrame:
-    """_r and _limits: per replicate 1..R the draws at the ``ranks`` (1-based, rising) among its ``n`` draws.
+def by_draw(d: DataFrame, ranks: Sequence[int], n: int, draws: Draws, R: int, r_col: str, sums: dict[str, Column],
+            keep: Sequence[str] = (), width: float = 7.0) -> DataFrame:
+    """r, _slot, ``keep`` and the ``sums`` over the rows of each slot; slot i are the rows whose draw ranks behind
+    the i-th of ``ranks`` (rising) and up to the next, among the ``n`` rows.
 
     The draw at rank k of n lies within ``width`` standard deviations of k/n
-    but once in 10^11, so one pass counts what is below such a bracket and
-    keeps the few draws inside, some 14 sqrt(n) per rank.  Missed ones are
-    looked for again in brackets twice as wide."""
+    but once in 10^11.  So one pass adds up the rows between such brackets,
+    whose slot is known, and keeps the few rows inside, some 14 sqrt(n) per
+    rank and replicate; these are ranked.  Should a bracket miss its rank, the
+    pass is made again with brackets twice as wide."""
     brackets: list[list[int]] = []
     for k in ranks:
         p = k / n
@@ -159,39 +161,18 @@ def replicate_limits(d: DataFrame, ranks: Sequence[int], n: int, draws: Draws, R
     for i in reversed(range(len(brackets))):
         low, high = (draws.literal(v) for v in brackets[i])
         piece = F.when(h < low, F.lit(2 * i)).when(h <= high, F.lit(2 * i + 1)).otherwise(piece)
-    drawn = replicate(d, R, "_r").select("_r", draws.column(F.col("_r")).alias("_h")).withColumn("_p", piece)
-    counts = drawn.groupBy("_r", "_p", F.when(F.col("_p") % 2 == 1, h).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy("_r").orderBy("_p", "_v").rowsBetween(Window.unboundedPreceding, 0))
-    held = counts.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_n"))
-    held = held.where("_v is not null").withColumn("_k", F.explode(F.filter(
-        F.array(*[F.lit(int(k)) for k in ranks]), lambda k: (k > F.col("_from")) & (k <= F.col("_to")))))
-    limits = cut_lineage(held.groupBy("_r").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda x: x["_v"]).alias("_limits")))
-    found = limits.agg(F.coalesce(F.sum(F.size("_limits")), F.lit(0))).first()[0]
-    return limits if found == R * len(ranks) else replicate_limits(d, ranks, n, draws, R, 2 * width)
-
-
-def with_limits(d: DataFrame, limits: DataFrame, draws: Draws, r_col: str) -> DataFrame:
-    """``d`` once per replicate, with the replicate's limits beside the row's draw (``_h``).
-
-    The table of limits is one row of at most SENT_LIMITS draws."""
-    one = limits.agg(F.collect_list(F.struct("_r", "_limits")).alias("_all"))
-    rows = with_one_row(d, one).withColumn("_e", F.explode("_all")).drop("_all")
-    return rows.select(*d.columns, F.col("_e._r").alias(r_col), F.col("_e._limits").alias("_limits")).withColumn("_h", draws.column(F.col(r_col)))
-
-
-def slots_by_limits(d: DataFrame, slots: list, groups: list[str], draws: Draws, R: int, r_col: str) -> DataFrame:
-    """Replicated rows with the group whose turn their draw falls into; ``slots``: the groups in order, with ``_upto``."""
-    n = slots[-1]["_upto"]
-    ranks = [s["_upto"] for s in slots[:-1]]
-    table = d.sparkSession.createDataFrame(
-        [(i, *[s[g] for g in groups]) for i, s in enumerate(slots)], StructType([StructField("_slot", IntegerType()), *[d.schema[g] for g in groups]]))
-    if ranks:
-        rows = with_limits(d, replicate_limits(d, ranks, n, draws, R), draws, r_col)
-        slot = (F.col("_h") > F.col("_limits")[0]).cast("int") if len(ranks) == 1 else F.size(F.filter("_limits", lambda x: x < F.col("_h")))
-    else:
-        rows, slot = replicate(d, R, r_col), F.lit(0)
-    moved = rows.drop(*groups).withColumn("_slot", slot)
-    return moved.join(F.broadcast(table), "_slot")  # at most MAX_SLOTS rows
+    drawn = replicate(d, R, r_col).withColumn("_h", draws.column(F.col(r_col))).withColumn("_p", piece)
+    parts = cut_lineage(drawn.groupBy(r_col, "_p", F.when(F.col("_p") % 2 == 1, h).alias("_v"), *keep).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(name) for name, c in sums.items()]))
+    # Rows between the same brackets are peers, and so are equal draws: they share a rank and fall to one side.
+    order = Window.partitionBy(r_col).orderBy("_p", "_v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = parts.withColumn("_to", F.sum("_n").over(order)).withColumn("_peers", F.sum("_n").over(Window.partitionBy(r_col, "_p", "_v")))
+    ahead = [F.when(F.lit(int(k)) < F.col("_to"), 1).otherwise(0) for k in ranks]
+    passed = [F.when(F.lit(int(k)) <= F.col("_to") - F.col("_peers"), 1).otherwise(0) for k in ranks]
+    parts = parts.withColumn("_slot", sum(ahead, F.lit(0))).withColumn("_first", sum(passed, F.lit(0)))
+    if ranks and not parts.where("_v is null and _slot <> _first").isEmpty():
+        return by_draw(d, ranks, n, draws, R, r_col, sums, keep, 2 * width)
+    return parts.groupBy(r_col, "_slot", *keep).agg(*[F.sum(name).alias(name) for name in sums])
 
 
 def slots_by_rank(d: DataFrame, sized: DataFrame, groups: list[str], draws: Draws, R: int, r_col: str, n: int, cells: int) -> DataFrame:
@@ -218,12 +199,12 @@ def placebo(df: DataFrame, t: str, y: str, cells: Sequence[str], key: Sequence[s
     A replicate orders the rows by a draw from (seed, r, key).  Permuting a
     treatment gives T = 1 to the first n1 rows, T = 0 to the next n0.
     Permuting an outcome hands the rows' outcomes to the (T, cell) groups in
-    turn, each group as many as it has rows.  Up to MAX_SLOTS groups, a row's
-    part in replicate r follows from its own draw and the draws at a few ranks,
-    so no replicated row is shuffled: the moments per (replicate, cell, arm)
-    come from one map-side combined aggregation.  With more groups rows are
-    ranked, and nothing but counts reaches the driver.  Draws have 52 bits;
-    should two rows tie at a rank, both fall to the same side."""
+    turn, each group as many as it has rows.  Up to MAX_SLOTS groups one pass
+    suffices (``by_draw``): no replicated row is shuffled, and the sums per
+    (replicate, cell, arm) come from one map-side combined aggregation.  With
+    more groups rows are ranked, and nothing but counts reaches the driver.
+    Draws have 52 bits; should two rows tie at a rank, both fall to the same
+    side."""
     names = [f"_cell{i}" for i in range(len(list(cells)))]
     d = cut_lineage(df.select(key_text(key).alias("_key"), F.col(t).cast("int").alias("_t"),
                               F.col(y).cast("double").alias("_y"), *[F.col(c).alias(n) for c, n in zip(cells, names)]))
@@ -231,24 +212,28 @@ def placebo(df: DataFrame, t: str, y: str, cells: Sequence[str], key: Sequence[s
     groups = ["_t"] if permute == "treatment" else ["_t", *names]
     order = [F.col("_t").desc_nulls_last(), *[F.col(n).asc_nulls_first() for n in groups[1:]]]
     # One row per value of T, or per (T, cell): the size of the result's own cell table.
-    sized = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
+    sized = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"), F.sum("_y").alias("_sum"), F.count("_y").alias("_ys"))
     sized = sized.withColumn("_upto", F.sum("_size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     sized = cut_lineage(sized.withColumn("_from", F.col("_upto") - F.col("_size")))
-    size = sized.agg(F.count(F.lit(1)).alias("slots"), F.max("_upto").alias("n")).first()
-    if not size["slots"]:
-        rows = replicate(d, R, r_col)
-    elif size["slots"] <= MAX_SLOTS and size["slots"] * R <= SENT_LIMITS:
-        rows = slots_by_limits(d, sized.orderBy("_upto").collect(), groups, draws, R, r_col)
+    size = sized.agg(F.count(F.lit(1)).alias("slots"), F.max("_upto").alias("n"), (F.sum("_sum") / F.sum("_ys")).alias("centre")).first()
+    away = F.col("_y") - F.lit(size["centre"] or 0.0)  # squares around the common mean lose no digits
+    sums = {"_c": F.when(away.isNotNull(), 1).otherwise(0), "_s": away, "_q": away * away}
+    if size["slots"] <= MAX_SLOTS:
+        slots = sized.orderBy("_upto").collect()
+        schema = StructType([StructField("_slot", IntegerType()), *[d.schema[g] for g in groups]])
+        table = d.sparkSession.createDataFrame([(i, *[s[g] for g in groups]) for i, s in enumerate(slots)], schema)
+        found = by_draw(d.drop(*groups), [s["_upto"] for s in slots[:-1]], size["n"] or 0, draws, R, r_col, sums, [n for n in names if n not in groups])
+        found = found.join(F.broadcast(table), "_slot")  # at most MAX_SLOTS rows
     else:
         rows = slots_by_rank(d, sized, groups, draws, R, r_col, size["n"], size["slots"])
-    moments = rows.where("_y is not null and _t is not null").groupBy(r_col, *names, "_t").agg(
-        F.count("_y").alias("_n"), F.avg("_y").alias("_mean"), (F.var_pop("_y") * F.count("_y")).alias("_m2"))
+        found = rows.groupBy(r_col, *names, "_t").agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    found = found.where("_t is not null and _c > 0")
     # One row per (replicate, cell, arm) from here on.
-    one = {a: F.col("_t") == a for a in (1, 0)}
-    cell = moments.groupBy(r_col, *names).agg(*[x for a in (1, 0) for x in (
-        F.coalesce(F.sum(F.when(one[a], F.col("_n"))), F.lit(0)).alias(f"n{a}"),
-        F.max(F.when(one[a], F.col("_mean"))).alias(f"ybar{a}"), F.max(F.when(one[a], F.col("_m2"))).alias(f"m2_{a}"))])
-    return aipw_from_moments(cut_lineage(cell), names, [r_col], clip)
+    arms = []
+    for a in (1, 0):
+        c, s, q = (F.sum(F.when(F.col("_t") == a, F.col(x))) for x in ("_c", "_s", "_q"))
+        arms += [F.coalesce(c, F.lit(0)).alias(f"n{a}"), (s / c + F.lit(size["centre"] or 0.0)).alias(f"ybar{a}"), F.greatest(q - s * s / c, F.lit(0.0)).alias(f"m2_{a}")]
+    return aipw_from_moments(cut_lineage(found.groupBy(r_col, *names).agg(*arms)), names, [r_col], clip)
 
 
 def placebo_regression(df: DataFrame, t: str, y: str, xs: Sequence[str], key: Sequence[str], R: int = 1000,
@@ -257,7 +242,7 @@ def placebo_regression(df: DataFrame, t: str, y: str, xs: Sequence[str], key: Se
 
     Permuting the treatment leaves the cross products of covariates and outcome
     as they are.  So a replicate needs the sums of X and y over its treated
-    rows only: one pass for the draws at rank n1, one for these sums.
+    rows only, which one pass gives (``by_draw``).
     Permuting the outcome pairs rows anew; that takes a join by rank and one
     cross-product aggregation."""
     from .gram import gram_sums, unit_diagonal
@@ -276,8 +261,7 @@ def placebo_regression(df: DataFrame, t: str, y: str, xs: Sequence[str], key: Se
     n, n1, p = size["n"], int(size["n1"] or 0), len(xs) + 2
     if not 0 < n1 < n:
         raise ValueError("both arms need rows")
-    rows = with_limits(d, replicate_limits(d, [n1], n, draws, R), draws, r_col).where(F.col("_h") <= F.col("_limits")[0])
-    sums = rows.groupBy(r_col).agg(F.count(F.lit(1)).alias("_n1"), *[F.sum(c).alias(c) for c in (*names, "_y")])
+    sums = by_draw(d.drop("_t"), [n1], n, draws, R, r_col, {"_n1": F.lit(1), **{c: F.col(c) for c in (*names, "_y")}}).where("_slot = 0")
     q = len(xs) + 1
     xtx, xty, yty = np.array(fixed["xtx"]).reshape(q, q), np.array(fixed["xty"]), fixed["yty"]
     schema = StructType([d.sparkSession.range(1).select(F.col("id").alias(r_col)).schema[0],

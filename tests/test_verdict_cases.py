@@ -171,13 +171,18 @@ def test_many_cells_are_ranked(spark, monkeypatch):
 
 
 def test_missed_brackets_are_widened(spark):
-    d = spark.range(5000).select(F.col("id").cast("string").alias("_key"))
+    d = spark.range(5000).select(F.col("id"), F.col("id").cast("string").alias("_key"), (F.col("id") % 3).alias("g"))
     draws = resample.Draws(3, "_key")
-    ranks = [1, 2000, 2001, 5000]
-    want = {r: sorted(x.h for x in d.select(draws.column(F.lit(r)).alias("h")).collect()) for r in (1, 2)}
+    ranks = [1, 2000, 2001, 4999]
     for width in (7.0, 0.01):
-        got = {r._r: r._limits for r in resample.replicate_limits(d, ranks, 5000, draws, 2, width).collect()}
-        assert got == {r: [want[r][k - 1] for k in ranks] for r in (1, 2)}
+        got = {(x.r, x._slot, x.g): (x.n, x.ids) for x in resample.by_draw(d, ranks, 5000, draws, 2, "r", {"n": F.lit(1), "ids": F.col("id")}, ["g"], width).collect()}
+        want = {}
+        for r in (1, 2):
+            for place, x in enumerate(sorted(d.select("id", "g", draws.column(F.lit(r)).alias("h")).collect(), key=lambda x: x.h), 1):
+                slot = (r, sum(k < place for k in ranks), x.g)
+                n, ids = want.get(slot, (0, 0))
+                want[slot] = (n + 1, ids + x.id)
+        assert got == want
 
 
 @pytest.mark.parametrize("method", ["md5", "xxhash"])
