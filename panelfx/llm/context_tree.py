@@ -17,8 +17,11 @@ over its bytes.
 The work is spread like this.  Texts fall into chunks of bounded size.  A
 chunk sends each distinct 6-gram (context and byte) once, with its training
 count.  Counts are summed by gram.  Grams with the same last two context bytes
-form a subtree that one task weighs; above it lie at most 256 * 255 nodes of
-depth 1 and 255 of depth 0, which are summed up in between.  Every gram then
+form a subtree that one task weighs, or with the same last three, four or five
+where there are more than HOT of them: no task gets more than that.  Above lie
+at most 256 * 255 nodes of depth 1 and 255 of depth 0, and 255 for each context
+that was split (no more than grams / HOT of each depth); these are summed up in
+between.  Every gram then
 has one log-probability, which goes back to the chunks that hold the gram, and
 a chunk sums up its texts.  Unigram counts of words travel the same way.
 
@@ -36,7 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelfx.session import stored
@@ -45,7 +48,8 @@ from .groups import chunk as column_of
 from .words import LOWER, buffer_of, give_back_memory, slices, word_strings
 
 DEPTH = 5
-TOP = 2                  # depth of the subtrees that one task weighs
+TOP = 2                  # depth of the subtrees that one task weighs, at least
+HOT = 400_000            # grams of a subtree; a larger one is split by one more byte
 END = 0xFF
 CHUNK_BYTES = 32 << 20
 GRAM_BYTES = 1 << 20     # text that a task turns into 6-grams at once (some 100 bytes of arrays per byte)
@@ -151,9 +155,10 @@ def weigh(kt: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Subtree:
-    """Nodes of depth TOP to DEPTH over grams that share their last TOP context bytes."""
+    """Nodes of depth ``top`` to DEPTH over grams that share their last ``top`` context bytes."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, top: int = TOP):
+        self.top = top
         byte = (grams & U64(255)).astype(np.int64)
         context = grams >> U64(8)
         level = np.arange(8)
@@ -163,7 +168,7 @@ class Subtree:
         ones = self.bit.reshape(-1) == 1
         self.depths: dict[int, tuple] = {}
         below = None
-        for depth in range(DEPTH, TOP - 1, -1):
+        for depth in range(DEPTH, top - 1, -1):
             key = (((context & U64((1 << 8 * depth) - 1))[:, None] << U64(8)) | self.node.astype(U64)).reshape(-1)
             keys, at = np.unique(key, return_inverse=True)
             count = [np.bincount(at, weights=n * side, minlength=len(keys)) for side in (~ones, ones)]
@@ -178,19 +183,24 @@ class Subtree:
             below = keys, log_w
             self.depths[depth] = (keys, at, count, log_w, own)
 
-    def top(self) -> tuple[np.ndarray, ...]:
-        """keys (context, decision), zeros, ones, ln P_w at depth TOP."""
-        keys, _, count, log_w, _ = self.depths[TOP]
+    def roots(self) -> tuple[np.ndarray, ...]:
+        """keys (context, decision), zeros, ones, ln P_w at depth ``top``."""
+        keys, _, count, log_w, _ = self.depths[self.top]
         return keys, *count, log_w
 
-    def log10(self, above: dict[int, tuple[np.ndarray, ...]], grams: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's byte; ``above``: own share, probability of a one and use, by depth."""
+    def log10(self, above: dict[int, tuple[np.ndarray, ...]], split: dict[tuple[int, int], tuple[np.ndarray, ...]], grams: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram's byte.
+
+        Own share, probability of a one and use come from ``above`` by depth
+        up to 1 and from ``split`` by depth and context below."""
         one = self.bit == 1
         p, seen = np.full(one.shape, 0.5), np.zeros(one.shape, bool)
         for depth in range(DEPTH, -1, -1):
-            if depth >= TOP:
+            if depth >= self.top:
                 _, at, (zeros, ones), _, own = self.depths[depth]
                 share, estimate, used = (t[at].reshape(one.shape) for t in (own, (ones + 0.5) / (zeros + ones + 1), zeros + ones > 0))
+            elif depth >= TOP:
+                share, estimate, used = (t[self.node] for t in split[depth, int(grams[0] >> U64(8)) & ((1 << 8 * depth) - 1)])
             else:
                 context = ((grams >> U64(8)) & U64((1 << 8 * depth) - 1)).astype(np.int64)[:, None]
                 share, estimate, used = (t[context, self.node] for t in above[depth])
@@ -199,6 +209,34 @@ class Subtree:
         return np.log10(p).sum(axis=1)
 
 
+NODE = ["context", "node"]
+
+
+def split_tables(nodes: pd.DataFrame) -> tuple[dict[tuple[int, int], tuple[np.ndarray, ...]], pd.DataFrame]:
+    """Tables of the contexts whose subtrees were split, by depth and context, and the sums over depth TOP.
+
+    ``nodes``: ``depth`` of the context and, per context and node, zeros, ones
+    and below, summed over the subtrees under it.
+    """
+    tables: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
+    carried = nodes.iloc[:0].drop(columns="depth")
+    for depth in range(DEPTH - 1, TOP - 2, -1):
+        here = pd.concat([nodes[nodes["depth"] == depth].drop(columns="depth"), carried]).groupby(NODE, as_index=False).sum()
+        if depth < TOP:
+            return tables, here
+        zeros, ones = here["zeros"].to_numpy(float), here["ones"].to_numpy(float)
+        log_w, own = weigh(log_kt(zeros, ones), here["below"].to_numpy(float))
+        node, context = here["node"].to_numpy(np.int64), here["context"].to_numpy(np.int64)
+        for c in np.unique(context):
+            on = context == c
+            share, one, used = np.full(256, 0.5), np.full(256, 0.5), np.zeros(256, bool)
+            share[node[on]], one[node[on]] = own[on], (ones[on] + 0.5) / (zeros[on] + ones[on] + 1)
+            used[node[on]] = zeros[on] + ones[on] > 0
+            tables[depth, int(c)] = share, one, used
+        carried = pd.DataFrame({"context": context & ((1 << 8 * (depth - 1)) - 1), "node": node, "zeros": zeros, "ones": ones, "below": log_w})
+    return tables, carried
+
+
 def upper_tables(nodes: pd.DataFrame) -> dict[int, tuple[np.ndarray, ...]]:
     """Own share, probability of a one and whether training used it, for depths above TOP.
 
@@ -284,33 +322,52 @@ def merged(tables: list[pa.Table]) -> pa.Table:
 
 def subtree_of(group: pa.Table) -> tuple[np.ndarray, Subtree]:
     grams = group.column("gram").to_numpy().astype(U64)
-    return grams, Subtree(grams, group.column("n").to_numpy())
+    return grams, Subtree(grams, group.column("n").to_numpy(), group.column("top")[0].as_py())
 
 
 def summary(group: pa.Table) -> pa.Table:
     _, tree = subtree_of(group)
-    keys, zeros, ones, log_w = tree.top()
-    context = (keys >> U64(8)) & U64((1 << 8 * (TOP - 1)) - 1)
-    return pa.table({"context": context.astype(np.int32), "node": (keys & U64(255)).astype(np.int32), "zeros": zeros, "ones": ones, "below": log_w})
-
-
-def scores(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    keys, zeros, ones, log_w = tree.roots()
+    context = (keys >> U64(8)) & U64((1 << 8 * (tree.top - 1)) - 1)
+    return pa.table({"depth": np.full(len(keys), tree.top - 1, np.int32), "context": context.astype(np.int64), "node": (keys & U64(255)).astype(np.int32),
+                     "zeros": zeros, "ones": ones, "below": log_w})
+
+
+def subtrees(totals: DataFrame, hot: int) -> DataFrame:
+    """``totals`` with the subtree of each gram: how many context bytes it shares (``top``), and these bytes."""
+    def bytes_of(depth: int) -> Column:
+        return F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * depth) - 1))
+
+    top, larger = F.lit(TOP), F.lit(True)
+    for depth in range(TOP, DEPTH):
+        counts = totals.where(larger).groupBy(bytes_of(depth).alias("c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
+        found = [r["c"] for r in counts.select("c").collect()]  # fewer than grams / hot
+        if not found:
+            break
+        larger = larger & bytes_of(depth).isin(found)
+        top = F.when(larger, F.lit(depth + 1)).otherwise(top)
+    return totals.withColumn("top", top).withColumn(
+        "subtree", F.shiftright("gram", 8).bitwiseAND(F.element_at(F.array(*[F.lit((1 << 8 * d) - 1) for d in range(1, DEPTH + 1)]), F.col("top"))))
+
+
+def scores(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
     """Scores of all documents: the contract's columns and ``bits_per_byte``, the code length per byte of text and end."""
     docs = chunked(documents, chunk_bytes)
     counts = stored(docs.groupBy("chunk").applyInArrow(count, "chunk int, gram long, word string, n long"), "counts")
     grams = counts.where("gram is not null").select("chunk", "gram", "n")
     words = counts.where("word is not null").select("chunk", "word", "n")
-    totals = stored(grams.groupBy("gram").agg(F.sum("n").alias("n")).withColumn(
-        "subtree", F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1)).cast("int")), "gram-totals")
-    nodes = (totals.groupBy("subtree").applyInArrow(summary, "context int, node int, zeros double, ones double, below double")
-             .groupBy("context", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))))
-    above = upper_tables(nodes.toPandas())  # at most 256 contexts of one byte with 255 decisions each
+    totals = subtrees(stored(grams.groupBy("gram").agg(F.sum("n").alias("n")), "gram-totals"), hot)
+    parts = totals.groupBy("top", "subtree")
+    nodes = (parts.applyInArrow(summary, "depth int, context long, node int, zeros double, ones double, below double")
+             .groupBy("depth", "context", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))))
+    split, first = split_tables(nodes.toPandas())  # 255 decisions each of 256 contexts of one byte, and of those that were split
+    above = upper_tables(first)
 
     def probabilities(group: pa.Table) -> pa.Table:
         found, tree = subtree_of(group)
-        return pa.table({"gram": group.column("gram"), "value": tree.log10(above, found)})
+        return pa.table({"gram": group.column("gram"), "value": tree.log10(above, split, found)})
 
-    values = totals.groupBy("subtree").applyInArrow(probabilities, "gram long, value double")
+    values = parts.applyInArrow(probabilities, "gram long, value double")
     word_totals = stored(words.groupBy("word").agg(F.sum("n").alias("n")), "word-totals")
     corpus = word_totals.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     tokens, kinds = corpus["n"] or 0, corpus["v"] or 0

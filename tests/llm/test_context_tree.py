@@ -104,11 +104,21 @@ def test_odd_rows_by_plain_tree(spark, chunk_bytes):
     df = odd(spark)
     rows = [(r.doc_id, r.text if r.text is None else r.text[:400]) for r in df.collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = ct.scores(df, chunk_bytes).collect()
-    compare_base(got, rows)
     tree = PlainTree([t for d, t in rows if not is_held_out(d)])
     want = sorted((str(d), round(tree.score(t), 6)) for d, t in rows)
-    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == want
+    for hot in (ct.HOT, 60, 2):  # with subtrees of two bytes, of up to four, and of up to five
+        got = ct.scores(df, chunk_bytes, hot).collect()
+        compare_base(got, rows)
+        assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == want
+
+
+def test_subtrees_are_bounded(spark):
+    rng = np.random.default_rng(3)
+    grams = np.unique(rng.integers(0, 1 << 10, 40_000) | (1 << 16))  # few contexts hold nearly all
+    df = spark.createDataFrame([(int(g), 1) for g in grams], "gram long, n long")
+    for hot in (1000, 50, 10):
+        sizes = ct.subtrees(df, hot).groupBy("top", "subtree").count().collect()
+        assert sum(r["count"] for r in sizes) == len(grams) and all(r["count"] <= hot or r.top == ct.DEPTH for r in sizes)
 
 
 def test_given_documents(spark):
@@ -140,11 +150,11 @@ def test_probabilities_sum_to_one():
         grams = grams << np.uint64(8) | rows[:, k]
     counts = np.where((rows[:, 5] >= 97) & (rows[:, 5] < 101), 3, 0)
     tree = ct.Subtree(grams, counts)
-    keys, zeros, ones, log_w = tree.top()
+    keys, zeros, ones, log_w = tree.roots()
     import pandas as pd
     above = ct.upper_tables(pd.DataFrame({"context": ((keys >> np.uint64(8)) & np.uint64(255)).astype(int), "node": (keys & np.uint64(255)).astype(int),
                                           "zeros": zeros, "ones": ones, "below": log_w}))
-    p = 10 ** tree.log10(above, grams)
+    p = 10 ** tree.log10(above, {}, grams)
     mine = (rows[:, :5] == context).all(axis=1)
     assert mine.sum() == 256 and p[mine].sum() == pytest.approx(1.0)
 
