@@ -10,10 +10,11 @@ P(Bin(n + 1, t) <= m), and a pair is dropped as soon as that falls below the
 tolerance.  The rest is verified on the whole shingle sets.
 
 Buckets of any size are cut into blocks of about ``BLOCK`` members; a task
-compares two blocks.  Pairs stay inside tasks as arrays: what leaves a task is
-one row per member, with its partners, then its links and the smallest member
-of its part of the block.  A pair that meets in several bands counts in the
-first one only.
+compares two blocks.  Pairs never leave a task and are not stored: a first pass
+leaves the members that have a surviving pair, a second one, with their whole
+sets, finds the pairs from the signatures once more, verifies them and sends
+one row per member: its links and the smallest member of its part of the block.
+A pair that meets in several bands counts in the first one only.
 
 Defined results: null, empty and blank texts have no shingle and link to
 nothing, so each is its own class; a text of 1 to 4 words is one shingle of
@@ -37,6 +38,8 @@ from panelfx.session import stored
 
 from .components import components
 from .groups import chunk, fixed_bytes, pairs_within, whole_groups
+from .mixing import fresh
+from .rows import text_digest
 from .words import mix, shingles, slices, words_of
 
 N = 5
@@ -104,11 +107,11 @@ def signed(documents: DataFrame) -> DataFrame:
                 full = [s for s in sets if len(s)]
                 sigs = iter(signatures(full)) if full else iter(())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([digest(s) for s in sets], pa.binary()),
-                     pa.array([next(sigs).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "rep", "sig"])
+                    [part.column("doc_id"), part.column("row"), pa.array([digest(s) for s in sets], pa.binary()),
+                     pa.array([next(sigs).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "row", "rep", "sig"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, rep binary, sig binary")
+    return documents.select("doc_id", "text", text_digest().alias("row")).mapInArrow(run, f"doc_id {kind}, row binary, rep binary, sig binary")
 
 
 def banded(reps: DataFrame) -> DataFrame:
@@ -166,27 +169,21 @@ def survivors(table: pa.Table, starts: np.ndarray, least: dict[int, int]) -> tup
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
+MEMBER = [*GROUP, "side", "rep", "copies", "sig"]
+
+
 def pruned(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Members with a surviving pair, and their later partners in the block."""
+    """Members with a surviving pair in their block."""
     least = least_matches(threshold, tolerance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, GROUP):
             left, right = survivors(table, starts, least)
-            if not len(left):
-                continue
-            order = np.argsort(left, kind="stable")
-            left, right = left[order], right[order]
-            rows = np.union1d(left, right)
-            offsets = np.searchsorted(left, np.append(rows, len(table)))
-            rep = chunk(table, "rep")
-            partners = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rep.take(pa.array(right)))
-            at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([*(chunk(table, c).take(at) for c in (*GROUP, "rep", "copies")), partners],
-                                             [*GROUP, "rep", "copies", "partners"])
+            if len(left):
+                at = pa.array(np.union1d(left, right))
+                yield pa.RecordBatch.from_arrays([chunk(table, c).take(at) for c in MEMBER], MEMBER)
 
-    return by_group(members, "side", "rep").mapInArrow(
-        run, "key long, lo int, hi int, rep binary, copies long, partners array<binary>")
+    return by_group(members, "side", "rep").mapInArrow(run, "key long, lo int, hi int, side int, rep binary, copies long, sig binary")
 
 
 def sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -221,64 +218,67 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def linked(candidates: DataFrame, sets: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """Verified links: rep, links (copies of its partners in the block), root (smallest member linked in the block)."""
-    def similar(a: int, b: int, common: float) -> bool:
-        return common >= threshold * (a + b - common)
+    least_equal = least_matches(threshold, tolerance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, GROUP):
             out: list[tuple[bytes, int, bytes]] = []
-            reps, copies, partners, raw = (chunk(table, c) for c in ("rep", "copies", "partners", "shingles"))
+            left, right = survivors(table, starts, least_equal)
+            order = np.argsort(left, kind="stable")
+            left, right = left[order], right[order]
+            reps, copies, raw = (chunk(table, c) for c in ("rep", "copies", "shingles"))
             for a, b in zip(starts, np.append(starts[1:], len(table))):
+                x, y = np.searchsorted(left, [a, b])
+                if x == y:
+                    continue
                 ids = reps.slice(a, b - a).to_pylist()
-                weight = copies.slice(a, b - a).to_pylist()
-                sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in raw.slice(a, b - a)]
-                place = {r: k for k, r in enumerate(ids)}
-                pairs = [(k, place[p]) for k, ps in enumerate(partners.slice(a, b - a).to_pylist()) for p in ps]
-                matrix = shared_counts(sets_) if len(pairs) > 50 else None
-                links, parent = [0] * len(ids), list(range(len(ids)))
-
-                def top(k: int) -> int:
-                    while parent[k] != k:
-                        parent[k] = parent[parent[k]]
-                        k = parent[k]
-                    return k
-
-                for i, j in pairs:
-                    x, y = sets_[i], sets_[j]
-                    common = matrix[i, j] if matrix is not None else len(np.intersect1d(x, y, assume_unique=True))
-                    if similar(len(x), len(y), common):
-                        links[i] += weight[j]
-                        links[j] += weight[i]
-                        p, q = top(i), top(j)
-                        if p != q:
-                            parent[max(p, q)] = min(p, q)
+                weight = copies.slice(a, b - a).to_numpy()
+                sets_ = [np.frombuffer(v.as_buffer(), np.uint64) for v in raw.slice(a, b - a)]
+                i, j = left[x:y] - a, right[x:y] - a
+                size = np.array([len(v) for v in sets_])
+                if len(i) > 50:
+                    common = shared_counts(sets_)[i, j]
+                else:
+                    common = np.array([len(np.intersect1d(sets_[m], sets_[n], assume_unique=True)) for m, n in zip(i, j)])
+                same = common >= threshold * (size[i] + size[j] - common)
+                i, j = i[same], j[same]
+                links = np.bincount(i, weights=weight[j], minlength=b - a) + np.bincount(j, weights=weight[i], minlength=b - a)
+                part = smallest_linked(i, j, int(b - a))
                 least: dict[int, bytes] = {}
-                for k, rep in enumerate(ids):
-                    least[top(k)] = min(least.get(top(k), rep), rep)
-                out += [(rep, n, least[top(k)]) for k, (rep, n) in enumerate(zip(ids, links)) if n]
+                for k in np.flatnonzero(links).tolist():
+                    least[part[k]] = min(least.get(part[k], ids[k]), ids[k])
+                out += [(ids[k], int(links[k]), least[part[k]]) for k in np.flatnonzero(links).tolist()]
             if out:
                 r, n, root = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(r, pa.binary()), pa.array(n, pa.int64()), pa.array(root, pa.binary())], ["rep", "links", "root"])
 
-    rows = by_group(candidates.join(sets, "rep"), "rep")
+    rows = by_group(candidates.join(sets, "rep"), "side", "rep")
     return rows.mapInArrow(run, "rep binary, links long, root binary")
 
 
-def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), n_links, n_copies of every row.
+def smallest_linked(i: np.ndarray, j: np.ndarray, n: int) -> list[int]:
+    """For 0 .. n - 1 a common number of each connected part of the pairs (i, j)."""
+    part = np.arange(n)
+    while True:
+        low = part.copy()
+        np.minimum.at(low, i, part[j])
+        np.minimum.at(low, j, part[i])
+        low = low[low]
+        if (low == part).all():
+            return part.tolist()
+        part = low
 
-    Classes are the connected parts of the graph of similar texts.  ``n_links``
-    counts the other rows at or above the threshold, copies included;
-    ``n_copies`` the rows with an equal shingle set, its own included.
-    """
+
+def classes_of(documents: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """``near_duplicates`` with the digest of each row's text (``row``)."""
     rows = stored(signed(documents), "ngram-signed")
     reps = stored(rows.where("rep is not null").groupBy("rep").agg(
         F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.any_value("sig").alias("sig")), "ngram-reps")
     candidates = stored(pruned(blocked(reps, banded(reps)), threshold, tolerance), "ngram-candidates")
     wanted = candidates.select("rep").distinct().join(reps.select("rep", "first_id"), "rep")
-    links = stored(linked(candidates, sets_of(documents, wanted), threshold), "ngram-links")
+    links = stored(linked(candidates, sets_of(documents, wanted), threshold, tolerance), "ngram-links")
     parts = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     classes = parts.join(reps.select("rep", "first_id"), "rep")
     names = classes.groupBy("root").agg(F.min("first_id").alias("class_id"))
@@ -289,16 +289,28 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, toleranc
                      (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")))
     # Stored, so that nothing but a join stands above the exchange of the rows: AQE then splits a hot class of copies.
     about = stored(about, "ngram-about")
-    with_words = rows.where("rep is not null").select("doc_id", "rep").join(about, "rep").drop("rep")
-    without = rows.where("rep is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    with_words = rows.where("rep is not null").select("doc_id", "row", "rep").join(about, "rep").drop("rep")
+    without = rows.where("rep is null").select("doc_id", "row", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return with_words.unionByName(without)
 
 
+def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class), n_links, n_copies of every row.
+
+    Classes are the connected parts of the graph of similar texts.  ``n_links``
+    counts the other rows at or above the threshold, copies included;
+    ``n_copies`` the rows with an equal shingle set, its own included.
+    """
+    return classes_of(documents, threshold, tolerance).drop("row")
+
+
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
     """``documents`` without near duplicates: the row with the smallest doc_id of each class stays.
 
-    Rows without doc_id stay, since no decision can name them; of rows that
-    repeat a kept doc_id all stay.
+    Rows are told apart by doc_id and text, so a doc_id may stay with one of
+    its texts and go with another; rows that repeat a kept row all stay, and
+    so do rows without doc_id, since no decision can name them.
     """
-    gone = near_duplicates(documents, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return documents.join(gone, documents["doc_id"] == gone["gone_id"], "left_anti")
+    named = [fresh(documents, n) for n in ("gone_id", "gone_text")]
+    gone = classes_of(documents, **options).where("doc_id <> class_id").select(F.col("doc_id").alias(named[0]), F.col("row").alias(named[1])).distinct()
+    return documents.join(gone, (documents["doc_id"] == gone[named[0]]) & (text_digest() == gone[named[1]]), "left_anti")

@@ -104,6 +104,39 @@ def test_given_documents(spark):
     assert ngram_join.one_of_each(df).count() == len({c for _, c, _ in want})
 
 
+def test_two_classes_under_one_doc_id(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(3, b, 0), (5, a, 1), (5, b + " more", 2), (9, a + " more", 3), (None, a, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    assert {r.row for r in ngram_join.one_of_each(df).collect()} == {0, 1, 4}
+
+
+def test_near_copies_store_no_pairs(spark, monkeypatch):
+    """What the passes write grows with members and blocks, not with pairs."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(base[:60] + [f"x{rng.random()}"] + base[60:])) for k in range(900)]
+    written = {}
+    keep = ngram_join.stored
+
+    def measured(table, label):
+        out = keep(table, label)
+        written[label] = out
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", measured)
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(0, 899)}
+    assert "partners" not in written["ngram-candidates"].columns
+    blocks = -(-900 // ngram_join.BLOCK)
+    assert written["ngram-candidates"].count() <= 900 * ngram_join.BANDS * blocks
+
+
+def test_linked_parts():
+    i, j = np.array([0, 4, 2, 7, 8]), np.array([1, 2, 3, 8, 9])
+    assert ngram_join.smallest_linked(i, j, 11) == [0, 0, 2, 2, 2, 5, 6, 7, 7, 7, 10]
+
+
 def test_least_matches_follow_the_posterior():
     least = ngram_join.least_matches(0.8, 1e-6)
     rng = np.random.default_rng(2)
