@@ -26,6 +26,8 @@ from pyspark.sql.column import Column
 
 from panelfx.session import stored
 
+from .mixing import fresh
+from .rows import text_digest
 from .words import SpanHash, mix, slices, whole, windows, words_of
 
 WINDOW = 8
@@ -111,16 +113,16 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def count_table(documents: DataFrame) -> DataFrame:
-    """doc_id and the COUNTS of every whole text."""
+    """doc_id, digest of the text (``row``) and the COUNTS of every whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 found = text_counts(part.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array(found[c], pa.int64()) for c in COUNTS)], ["doc_id", *COUNTS])
+                    [part.column("doc_id"), part.column("row"), *(pa.array(found[c], pa.int64()) for c in COUNTS)], ["doc_id", "row", *COUNTS])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return documents.select("doc_id", "text", text_digest().alias("row")).mapInArrow(run, f"doc_id {kind}, row binary, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def base_failed() -> Column:
@@ -242,19 +244,25 @@ def learn_rules(counts: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     return learn(x, (rows["quality"] == 0).to_numpy(), np.arange(len(rows)) % 3)
 
 
-def quality(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """Counts, base rule and verdict of every document."""
+def judged(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """``quality`` with the digest of each row's text (``row``)."""
     counts = stored(count_table(documents), "quality-counts")
-    rules = learn_rules(counts, labels, max_labelled)
+    rules = learn_rules(counts.drop("row"), labels, max_labelled)
     return (counts.withColumn("base_failed", base_failed())
             .withColumn("kept", ~F.col("base_failed") & verdict(rules)))
 
 
+def quality(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """Counts, base rule and verdict of every document."""
+    return judged(documents, labels, max_labelled).drop("row")
+
+
 def kept_documents(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """``documents`` without those that the rules reject.
 
-    Verdicts are made per row; they come back by doc_id, and rows that share
-    one stay if any of them is kept.  Rows without doc_id are judged as one.
+    A verdict follows from the text; it comes back by doc_id (null too) and
+    the text's digest, so rows that share a doc_id are judged one by one.
     """
-    kept = quality(documents, labels, max_labelled).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    names = [fresh(documents, n) for n in ("kept_id", "kept_text")]
+    kept = judged(documents, labels, max_labelled).where("kept").select(F.col("doc_id").alias(names[0]), F.col("row").alias(names[1])).distinct()
+    return documents.join(kept, documents["doc_id"].eqNullSafe(kept[names[0]]) & (text_digest() == kept[names[1]]), "left_semi")
