@@ -39,7 +39,8 @@ CAPACITY = 4096
 PIECE = 512
 END_ID = 2
 GROUP_IDS = 1 << 20      # ids of a group on average: bounds a task's memory and its work
-MAX_KNOWN = 300_000      # words kept by a worker between batches (about 60 MB); beyond, it starts anew
+KNOWN_BYTES = 48 << 20   # of words and ids kept by a worker between batches; beyond, it starts anew
+ENTRY_BYTES = 150        # of a kept word, besides its characters and ids
 LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
 LETTER[0x61:0x7B] = True
 MARK[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True  # without ' < > |
@@ -65,6 +66,7 @@ class WordIds:
         """Keep the end mark alone, as word 0."""
         self.place: dict[str, int] = {}
         self.begin, self.flat = np.array([0, 1]), np.array([END_ID], np.uint32)
+        self.held = 0
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -74,7 +76,7 @@ class WordIds:
 
     def places(self, words: list[str]) -> np.ndarray:
         """Number of each word: its ids are flat[begin[number]:begin[number + 1]]."""
-        if len(self.place) > MAX_KNOWN:
+        if self.held > KNOWN_BYTES:
             self.forget()
         new = [w for w in words if w not in self.place]
         for start in range(0, len(new), 20_000):
@@ -83,6 +85,7 @@ class WordIds:
             self.place.update(zip(part, range(len(self.begin) - 1, len(self.begin) - 1 + len(part))))
             self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum([len(x) for x in ids])))
             self.flat = np.concatenate((self.flat, np.fromiter((i for x in ids for i in x), np.uint32)))
+            self.held += sum(ENTRY_BYTES + 4 * len(w) + 4 * len(x) for w, x in zip(part, ids))
         return np.fromiter((self.place[w] for w in words), np.int64, len(words))
 
 
@@ -216,7 +219,7 @@ def pack_group(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 
 def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY, piece: int = PIECE,
          group_ids: int = GROUP_IDS) -> DataFrame:
-    """Pieces of all documents with sequence and offset.  ``padded`` is the sequence's length with padding."""
+    """Pieces of all documents with sequence and offset."""
     cut = stored(pieces(documents, path or default_vocabulary(), capacity, piece), "pack-pieces")
     total = cut.where(F.col("length") < capacity).agg(F.sum("length").alias("ids")).first()["ids"] or 0
     groups = max(1, -(-total // group_ids))
