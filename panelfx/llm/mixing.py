@@ -30,6 +30,7 @@ SHARE = 1.5
 MAX_REPEAT = 2
 BLOCK = 16
 SHARD_WORDS = 1_000_000
+SHARD_ROWS = 500_000      # rows of a shard: many documents may have no word
 SEED = "mix-1"
 
 
@@ -85,19 +86,22 @@ def sainte_lague(parties: DataFrame, seats: str, claim: str, order: list, by: li
 
 
 def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = MAX_REPEAT,
-        block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: str = SEED) -> DataFrame:
+        block: int = BLOCK, shard_words: int = SHARD_WORDS, shard_rows: int = SHARD_ROWS, seed: str = SEED) -> DataFrame:
     """Words taken from every document: doc_id, size, source_size, target, taken, quota words of its shard."""
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"),
                             digest.alias("place"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("crc"))
     rows = stored(rows, "mix-sizes")  # the texts are read once; sizes, shards and the order all come from this narrow table
-    sizes = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    about = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
+    sizes = about.select("source", "source_size")
     targets = source_targets(sizes, weights, share, repeat)
     total = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     seats = F.round(F.sum("target").over(total) / block).cast("long")
     sources = sainte_lague(targets.withColumn("seats", seats), "seats", "target", [F.col("source").isNull(), F.col("source")])
-    sources = sources.select("source", "source_size", "target", F.col("quota").alias("source_quota"),
-                             F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("shards"))
+    counts = about.select(F.col("source").alias("r_source"), "source_rows")
+    sources = sources.join(counts, F.col("source").eqNullSafe(F.col("r_source"))).select(
+        "source", "source_size", "target", F.col("quota").alias("source_quota"),
+        F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("source_rows") / shard_rows)).cast("long").alias("shards"))
     # Bounded by the number of sources; AQE broadcasts it when its measured size allows and splits a hot source otherwise.
     same = rows["source"].eqNullSafe(sources["source"])
     placed = rows.join(sources, same).drop(sources["source"]).withColumn(

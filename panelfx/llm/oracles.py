@@ -16,7 +16,7 @@ WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS place
   FROM documents),
-sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS source_rows FROM docs GROUP BY source),
 weighed AS (
   SELECT source, source_size, ([3.0, 1.0, 2.0]::DOUBLE[])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
   FROM sizes),
@@ -36,8 +36,8 @@ source_quota AS (
   WHERE place <= (SELECT seats FROM seats) GROUP BY source),
 placed AS (
   SELECT d.*, t.source_size, t.target, coalesce(q.quota, 0) AS source_quota,
-         ('0x' || substr(place, 1, 12))::BIGINT % greatest(1, ceil(t.source_size / 1000000)::BIGINT) AS shard
-  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+         ('0x' || substr(place, 1, 12))::BIGINT % greatest(1, ceil(t.source_size / 1000000)::BIGINT, ceil(r.source_rows / 500000)::BIGINT) AS shard
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source JOIN sizes r ON d.source IS NOT DISTINCT FROM r.source
   LEFT JOIN source_quota q ON d.source IS NOT DISTINCT FROM q.source),
 shards AS (SELECT source, shard, source_quota, sum(size)::BIGINT AS shard_size FROM placed GROUP BY ALL),
 shard_quota AS (
