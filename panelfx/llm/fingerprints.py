@@ -109,6 +109,7 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
+RANGE_CHARS = 64  # of a text, which tell rows with one doc_id apart when rows are dealt to tasks
 FIELDS = ("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
           "near_next double, kept_share double")
 
@@ -169,17 +170,20 @@ def fingerprint(documents: DataFrame) -> DataFrame:
         if last is not None:
             yield batch_of([], [(part, True, last.doc_id, last.text)], doc_type)
 
-    ordered = documents.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    # Rows that share a doc_id are dealt by how their texts begin, in the order in which tasks sort them.
+    ordered = documents.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("doc_id", "text")
     schema = f"doc_id {id_type}, {FIELDS}, part long, is_last boolean, edge_text string"
     table = stored(ordered.mapInArrow(run, schema), "fingerprints")
     done = table.where("part is null").select(*names)
     # Two rows per task: the tail of a task meets the head of the next task that has rows (the last one, the first).
     edges = table.where("part is not null").select("doc_id", "part", "is_last", "edge_text")
     heads = edges.where("not is_last").select(F.col("part").alias("head_part"), F.col("doc_id").alias("head_id"), F.col("edge_text").alias("head_text"))
+    # The window sees a number per task, never a text.
     by_part = Window.orderBy("head_part")
     everything = by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = heads.select("head_id", "head_text", F.coalesce(F.lag("head_part").over(by_part), F.max("head_part").over(everything)).alias("part"))
-    pairs = edges.where("is_last").join(before, "part").select("doc_id", "edge_text", "head_id", "head_text")
+    before = heads.select("head_part").select("head_part", F.coalesce(F.lag("head_part").over(by_part), F.max("head_part").over(everything)).alias("part"))
+    pairs = (edges.where("is_last").join(before, "part").join(heads, "head_part")
+             .select("doc_id", "edge_text", "head_id", "head_text"))
 
     def join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
