@@ -79,7 +79,7 @@ class Automaton:
             elif token == "<</optional>>":
                 self.free[opened.pop()].append(here)
             elif m := re.fullmatch(r"<<var (\d+)>>", token):
-                fixed = False
+                fixed = fixed and not self.mandatory  # in front of the first mandatory word it may be empty as well
                 for _ in range(int(m[1])):
                     at = self._state(ANY, self.weight[-1])
                     self.free[here].append(at)
@@ -88,6 +88,8 @@ class Automaton:
                 self._state(codes[token], self.weight[-1] + (not opened))
                 if fixed and not opened:
                     anchor.append(codes[token])
+        if not anchor:
+            raise ValueError(f"a template needs a mandatory word: {markup!r}")
         self.anchor = anchor[:ANCHOR_WORDS]
         self.last = len(self.steps) - 1
 

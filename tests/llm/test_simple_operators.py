@@ -356,3 +356,49 @@ def test_span_hash_is_a_polynomial_modulo_a_prime():
     for a, b in [(0, 0), (0, 1), (5, 900), (2047, 2049), (65_000, 70_000)]:
         want = sum((int(c) + 1) * pow(words.BASE, i, words.PRIME) for i, c in enumerate(data[a:b])) % words.PRIME
         assert h([a], [b])[0] == words.mix(np.array([want], np.uint64))[0]
+
+
+def test_templates_may_open_with_a_variable():
+    text = pa.array(["the year 2020 foo bar baz", "foo bar baz", "foo bar", "foo bar quux baz"])
+    for markup in ("<<var 4>> foo bar baz", "<<optional>>the <<var 2>><</optional>> foo bar baz", "<<var 2>> <<optional>>year<</optional>> foo bar baz"):
+        found = license_scan.scan_texts(text, (("x", markup),), ())
+        assert found["labels"] == ["x", "x", "", ""]
+    with pytest.raises(ValueError):
+        license_scan.scan_texts(text, (("x", "<<var 3>>"),), ())
+
+
+def test_ids_kept_by_a_worker_are_bounded(monkeypatch):
+    from tokenizers import Tokenizer
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 5000)
+    known = packing.WordIds(packing.default_vocabulary())
+    plain = Tokenizer.from_file(packing.default_vocabulary())
+    for k in range(40):
+        words_ = [f"w{k}", "z" * 400, f"other{k}"]
+        place = known.places(words_)
+        for p, w in zip(place, words_):
+            assert known.flat[known.begin[p]:known.begin[p + 1]].tolist() == plain.encode(w, add_special_tokens=False).ids
+        assert known.held < 5000 + 3 * 3000
+
+
+def test_source_of_empty_texts_has_many_shards(spark):
+    df = spark.createDataFrame([(k, None if k % 2 else "", "a") for k in range(500)] + [(1000 + k, "one two", "b") for k in range(40)], "doc_id long, text string, source string")
+    plan = mixing.mix(df, shard_rows=50)
+    assert plan.count() == 540 and plan.where("source = 'a' and taken > 0").isEmpty()
+    assert abs(sum(r.taken for r in plan.collect()) - 120) <= mixing.BLOCK
+
+
+def test_verdicts_tell_rows_with_one_doc_id_apart(spark):
+    good = " ".join(f"word{k} stands here" for k in range(40))
+    df = spark.createDataFrame([(1, good, 5), (1, "too short", 6), (None, good + " again", 7), (None, "short", 8), (2, "tiny", 9)], "doc_id long, text string, row int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    kept = quality_rules.kept_documents(df, labels)
+    assert kept.columns == df.columns and {r.row for r in kept.collect()} == {5, 7}
+
+
+def test_next_of_rows_that_share_a_doc_id(spark):
+    texts = ["b" * 70 + str(k) for k in range(30)] + ["a", "c", ""]
+    df = spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string").repartition(9)
+    got = Counter(r.edited_sha256 for r in fingerprints.fingerprint(df).collect())
+    order = sorted(texts)
+    want = Counter(hashlib.sha256((t[:len(t) - len(t) // 2] + u[:len(t) // 2]).encode()).hexdigest() for t, u in zip(order, order[1:] + order[:1]))
+    assert got == want
