@@ -52,7 +52,7 @@ TOP = 2                  # depth of the subtrees that one task weighs, at least
 HOT = 400_000            # grams of a subtree; a larger one is split by one more byte
 END = 0xFF
 CHUNK_BYTES = 32 << 20
-GRAM_BYTES = 1 << 20     # text that a task turns into 6-grams at once (some 100 bytes of arrays per byte)
+GRAM_BYTES = 1 << 19     # text that a task turns into 6-grams at once (some 100 bytes of arrays per byte)
 WORD_BYTES = 2 << 20     # text that a task splits into words at once
 END_WORD = ""            # no word is empty
 U64 = np.uint64
