@@ -39,7 +39,7 @@ CAPACITY = 4096
 PIECE = 512
 END_ID = 2
 GROUP_IDS = 1 << 20      # ids of a group on average: bounds a task's memory and its work
-KNOWN_BYTES = 48 << 20   # of words and ids kept by a worker between batches; beyond, it starts anew
+KNOWN_BYTES = 96 << 20   # of words and ids kept by a worker between batches; beyond, it starts anew
 ENTRY_BYTES = 150        # of a kept word, besides its characters and ids
 LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
 LETTER[0x61:0x7B] = True
