@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,6 +77,29 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables() -> Iterator[list[str]]:
+    """The paths of the tables that ``stored`` makes inside, so that a caller can delete those that nothing reads any more."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES.remove(paths)
+
+
+def drop_paths(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables by path."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    for name in paths:
+        if name.startswith(f"{root}/"):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
@@ -83,6 +108,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    for paths in _SCOPES:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
