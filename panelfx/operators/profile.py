@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frame import all_present, with_one_row
@@ -150,12 +151,35 @@ def bounded_distinct(df: DataFrame, cols: Sequence[str], most: int) -> DataFrame
     return counts.agg(*[F.least(F.count_if(F.col("at") == i), F.lit(most + 1)).alias(f"d__{c}") for i, c in enumerate(cols)])
 
 
-def dummy_columns(df: DataFrame, cols: Sequence[str], max_distinct: int = 10, share: float = 0.3) -> DataFrame:
+def exact_distinct(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row: per column its number of distinct present values, however many.
+
+    One scan; a task sends the distinct values of each batch, and equal ones
+    meet in a shuffle by column and value."""
+    cols = list(cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, column in enumerate(batch.columns):
+                values = column.unique().drop_null()
+                if len(values):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), i, np.int32)), values], ["at", "value"])
+
+    def text(c: str) -> Column:
+        # -0.0 and 0.0 are one value.
+        value = F.col(c) + F.lit(0.0).cast(df.schema[c].dataType) if df.schema[c].dataType.typeName() in ("double", "float") else F.col(c)
+        return value.cast("string")
+
+    values = df.select(*[text(c).alias(f"c{i}") for i, c in enumerate(cols)]).mapInArrow(run, "at int, value string")
+    return values.distinct().agg(*[F.count_if(F.col("at") == i).alias(f"d__{c}") for i, c in enumerate(cols)])
+
+
+def dummy_columns(df: DataFrame, cols: Sequence[str], max_distinct: int = 10, share: float = 0.3, count_all: bool = False) -> DataFrame:
     """#50: columns named like industry/region/year or with at most
     ``max_distinct`` distinct values; with their overall share and whether it
     passes ``share``.  ``n_distinct`` is exact up to ``max_distinct`` and
-    ``max_distinct`` + 1 beyond."""
-    one = bounded_distinct(df, cols, max_distinct)
+    ``max_distinct`` + 1 beyond; with ``count_all`` it is exact throughout."""
+    one = exact_distinct(df, cols) if count_all else bounded_distinct(df, cols, max_distinct)
     rows = _unpivot_one_row(one, cols, {"d": "n_distinct"})
     name_hint = None
     for h in DUMMY_NAME_HINTS:

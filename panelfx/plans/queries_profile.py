@@ -121,10 +121,10 @@ select variable, n_distinct, is_dummy, dummy_share, (dummy_share > 0.3)::int mos
   select *, round(sum(is_dummy) over () / 8.0, 6) dummy_share from (
     select variable, n_distinct, (n_distinct <= 10 or lower(variable) like '%industry%' or lower(variable) like '%region%'
            or lower(variable) like '%year%')::int is_dummy from (
-      """ + " union all ".join(f"select '{c}' variable, least(count(distinct {c}), 11)::bigint n_distinct from clean"
+      """ + " union all ".join(f"select '{c}' variable, count(distinct {c})::bigint n_distinct from clean"
                                for c in _DUMMY_COLS) + """) a) b) c"""))
 def q_dummy_columns(spark, sf_dir):
-    return rounded(PR.dummy_columns(clean_firm_panel(spark, sf_dir), _DUMMY_COLS), {"dummy_share": 6})
+    return rounded(PR.dummy_columns(clean_firm_panel(spark, sf_dir), _DUMMY_COLS, count_all=True), {"dummy_share": 6})
 
 
 _NUIS_SQL = """
