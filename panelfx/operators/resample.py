@@ -404,14 +404,18 @@ DRAWS_PER_HASH = 4  # of 32 bits each, from the 128 bits of md5
 
 
 def bootstrap_sums(df: DataFrame, values: dict[str, Column], B: int, seed: int, key: Sequence[str], by: Sequence[str] = (),
-                   b_col: str = "b") -> DataFrame:
+                   b_col: str = "b", own_hash: bool = False) -> DataFrame:
     """#93b: ``by``, b = 1..B and per value its sum with Poisson(1) weights of replicate b.
 
     No row is copied.  A row's B weights are a vector cut from a few hashes,
-    four weights from md5(seed:block:key); a task multiplies the weights of
-    its rows with their values and sends B sums per group."""
+    four weights from md5(seed:block:key), or with ``own_hash`` one of 52 bits
+    from md5(seed:b:key) for each b; a task multiplies the weights of its rows
+    with their values and sends B sums per group."""
     by, names = list(by), list(values)
-    hashes = [F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(i)), F.col("_key"))) for i in range(-(-B // DRAWS_PER_HASH))]
+    blocks = range(1, B + 1) if own_hash else range(-(-B // DRAWS_PER_HASH))
+    hashes = [F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(i)), F.col("_key"))) for i in blocks]
+    if own_hash:
+        hashes = [F.substring(h, 1, 16) for h in hashes]
     rows = df.select(*by, key_text(key).alias("_key"), *[c.cast("double").alias(n) for n, c in values.items()])
     rows = rows.select(*by, F.concat(*hashes).alias("_bits"), *names)
     schema = StructType([*rows.select(*by).schema.fields, StructField(b_col, LongType()), *[StructField(n, DoubleType()) for n in names]])
@@ -427,8 +431,9 @@ def bootstrap_sums(df: DataFrame, values: dict[str, Column], B: int, seed: int,
             for key, at in groups_of(batch, by):
                 for start in range(0, len(at), max(1, MATRIX_CELLS // B)):
                     part = at[start:start + max(1, MATRIX_CELLS // B)]
-                    raw = np.frombuffer(bytes.fromhex("".join(bits.take(pa.array(part)).to_pylist())), ">u4").reshape(len(part), -1)[:, :B]
-                    weight = np.searchsorted(cdf, (raw + 0.5) / float(1 << 32), side="right").astype(np.float64)
+                    raw = np.frombuffer(bytes.fromhex("".join(bits.take(pa.array(part)).to_pylist())), ">u8" if own_hash else ">u4").reshape(len(part), -1)[:, :B]
+                    draw = ((raw >> 12) + 0.5) / float(HASH_RANGE) if own_hash else (raw + 0.5) / float(1 << 32)
+                    weight = np.searchsorted(cdf, draw, side="right").astype(np.float64)
                     total[key] = total.get(key, 0) + weight.T @ data[part]
             if len(total) * B * len(names) > PACKED_CELLS:
                 yield table(total, types)

@@ -353,9 +353,12 @@ def _poisson_case(u: str) -> str:
     return f"(case {parts} else {len(_POISSON1_CDF)} end)"
 
 
+_U_BOOT = ("((('0x' || substr(md5('42:' || cast(bb as varchar) || ':' || cast(firm_id as varchar) || ':' "
+           "|| cast(year as varchar)), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double)")
+
 # Four draws of 32 bits from each hash of (seed, block, key).
-_U_BOOT = ("((('0x' || substr(md5('42:' || cast((bb - 1) // 4 as varchar) || ':' || cast(firm_id as varchar) || ':' "
-           "|| cast(year as varchar)), ((bb - 1) % 4 * 8 + 1)::int, 8))::bigint::double + 0.5) / 4294967296.0::double)")
+_U_CEM = ("((('0x' || substr(md5('42:' || cast((bb - 1) // 4 as varchar) || ':' || cast(firm_id as varchar) || ':' "
+          "|| cast(year as varchar)), ((bb - 1) % 4 * 8 + 1)::int, 8))::bigint::double + 0.5) / 4294967296.0::double)")
 
 _CEM_SQL = f"""
 cc0 as (select * from fa where total_debt is not null and rd_employees_total is not null),
@@ -370,7 +373,7 @@ sd as (select bd, br, count(case when t = 1 then 1 end) n_t, count(case when t =
          avg(case when t = 1 then y end) - avg(case when t = 0 then y end) diff from bins group by bd, br
        having count(case when t = 1 then 1 end) > 0 and count(case when t = 0 then 1 end) > 0),
 pt as (select sum((n_t + n_c) * diff) / sum(n_t + n_c) ate, sum(n_t + n_c) n_matched, count(*) n_strata from sd),
-bt as (select * from (select bins.*, r.bb, {_poisson_case(_U_BOOT)} w from bins, range(1, 51) r(bb)) x where w > 0),
+bt as (select * from (select bins.*, r.bb, {_poisson_case(_U_CEM)} w from bins, range(1, 51) r(bb)) x where w > 0),
 bs as (select bb, bd, br, sum(case when t = 1 then w end) n_t, sum(case when t = 0 then w end) n_c,
          sum(case when t = 1 then w * y end) / sum(case when t = 1 then w end)
          - sum(case when t = 0 then w * y end) / sum(case when t = 0 then w end) diff
@@ -404,7 +407,7 @@ bse as (select year, stddev_samp(mean_b) se from bm group by year)"""
 def q_bootstrap(spark, sf_dir):
     """#93b: Poisson(1) bootstrap (B = 100, md5 draws) of the mean outcome per year."""
     d = firm_analysis(spark, sf_dir)
-    reps = RS.bootstrap_sums(d, {"w": F.lit(1.0), "wy": F.col("y")}, 100, 42, ["firm_id", "year"], ["year"])
+    reps = RS.bootstrap_sums(d, {"w": F.lit(1.0), "wy": F.col("y")}, 100, 42, ["firm_id", "year"], ["year"], own_hash=True)
     bm = reps.select("year", (F.col("wy") / F.col("w")).alias("mean_b"))
     se = bm.groupBy("year").agg(F.stddev_samp("mean_b").alias("se"))
     base = d.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"))

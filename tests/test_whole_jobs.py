@@ -1,9 +1,13 @@
 """Queries that once did less than their whole job."""
 
+import hashlib
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from panelfx.operators import profile
+from panelfx.operators import profile, resample
 
 
 def test_distinct_values_are_all_counted(spark):
@@ -16,3 +20,14 @@ def test_distinct_values_are_all_counted(spark):
 
 def test_dummy_columns_counts_past_the_threshold():
     assert "least(count" not in E.oracle_sql()["dummy_columns"]
+
+
+def test_each_replicate_has_a_hash_of_its_own(spark):
+    df = spark.range(30).select("id", (F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("y"))
+    got = {(r.g, r.b): (r.w, r.wy) for r in resample.bootstrap_sums(df, {"w": F.lit(1.0), "wy": F.col("y")}, 6, 9, ["id"], ["g"], own_hash=True).collect()}
+    cdf = np.array(resample.poisson1_cdf())
+    for g in (0, 1):
+        for b in range(1, 7):
+            u = [(int(hashlib.md5(f"9:{b}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52 for i in range(g, 30, 2)]
+            w = np.searchsorted(cdf, u, side="right")
+            assert got[g, b] == pytest.approx((w.sum(), w @ np.arange(g, 30, 2)))
