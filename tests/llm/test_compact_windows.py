@@ -248,6 +248,35 @@ def test_similar_passages_of_200_documents(spark):
     assert {r.doc_id % 2 for r in got} == {1} and all(r.source_id == r.doc_id - 1 for r in got)
 
 
+def test_similar_passages_whose_first_document_has_a_fragment(spark):
+    rng = random.Random(29)
+    rows, want = [], set()
+    for k in range(60):
+        passage = prose(rng, rng.randint(55, 120))
+        at = rng.randint(0, len(passage) - 45)
+        for part in (passage[at:at + 45], passage, changed(rng, passage)):
+            words, x = prose(rng, 150), rng.randint(0, 150)
+            rows.append((len(rows), " ".join(words[:x] + part + words[x:])))
+        want.add((len(rows) - 2, len(rows) - 1))
+    got = cw.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.source_id, r.doc_id) for r in got} == want
+
+
+def test_blocks_of_a_key_meet_all_others(spark, monkeypatch):
+    rng = random.Random(31)
+    line, passages = prose(rng, 30), [prose(rng, 60) for _ in range(4)]
+    rows = [(k, " ".join(prose(rng, 40) + line + (passages[k % 4][:59] + [f"end{k}"] if k > 11 else prose(rng, 60)) + prose(rng, 40))) for k in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def passages_of():
+        return {tuple(r) for r in cw.repeated_passages(df).collect()}
+
+    want = passages_of()
+    assert {r[0] for r in want} >= set(range(16, 24))
+    monkeypatch.setattr(cw, "BLOCK", 2)
+    assert passages_of() == want
+
+
 def test_odd_rows(spark):
     df = odd(spark)
     got = cw.repeated_passages(df).collect()
