@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from .frame import all_present, column_or_fallback
-from .gram import ols, predict
+from .gram import linear_predictor, ols
 from .learners import join_on_keys
 from ..session import cut_lineage
 
@@ -74,6 +74,11 @@ def polynomial_terms(cols: Sequence[str], degree: int = 3, source: dict[str, Col
     return terms
 
 
+def of_group(df: DataFrame, one_each: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df`` with the one row of its group.  The rows stay where they are: a shuffle by a few groups would put each into one task."""
+    return join_on_keys(df, F.broadcast(one_each), by, "left")
+
+
 def productivity_stage1(df: DataFrame, by: Sequence[str] = (), degree: int = 3) -> tuple[DataFrame, DataFrame]:
     """#79: returns (rows + phi_hat + beta_l, coefficient table per group).
 
@@ -82,17 +87,17 @@ def productivity_stage1(df: DataFrame, by: Sequence[str] = (), degree: int = 3)
     ok = all_present(["y", "k", "l", "m"])
     stats = df.where(ok).groupBy(*by).agg(
         F.avg("k").alias("_km"), F.stddev_pop("k").alias("_ks"), F.avg("m").alias("_mm"), F.stddev_pop("m").alias("_ms"))
-    z = join_on_keys(df, stats, by, "left")
+    z = of_group(df, stats, by)
     safe = lambda s: F.when(F.col(s) > 0, F.col(s)).otherwise(F.lit(1.0))
     src = {"k": (F.col("k") - F.col("_km")) / safe("_ks"), "m": (F.col("m") - F.col("_mm")) / safe("_ms")}
     terms = polynomial_terms(["k", "m"], degree, src)
     z = z.withColumns({n: e for n, e in terms})
     names = [n for n, _ in terms]
     coefs = ols(z, "y", ["l", *names], by)
-    fitted = predict(z, coefs, ["l", *names], by, out="_fit")
+    fitted = of_group(z, coefs.select(*by, F.col("coef").alias("_coef")), by).withColumn("_fit", linear_predictor("_coef", ["l", *names])).drop("_coef")
     beta = coefs.select(*by, F.col("coef").getItem(1).alias("beta_l"), F.col("identified").alias("stage1_identified"),
                         F.col("r2").alias("stage1_r2"))
-    out = join_on_keys(fitted, beta, by, "left")
+    out = of_group(fitted, beta, by)
     out = out.withColumn("phi_hat", F.when(ok, F.col("_fit") - F.col("beta_l") * F.col("l")))
     out = out.withColumn("beta_l", F.when(ok, F.col("beta_l")))
     return out.drop("_fit", "_km", "_ks", "_mm", "_ms", *names), beta
@@ -110,7 +115,7 @@ def productivity_stage2(df: DataFrame, by: Sequence[str] = (), lo: float = 0.01,
     est = est.select(*by, raw.alias("beta_k_unbounded"), F.least(F.greatest(raw, F.lit(lo)), F.lit(hi)).alias("beta_k"),
                      "_bl")
     est = est.withColumn("at_bound", (F.col("beta_k") <= lo) | (F.col("beta_k") >= hi))
-    rows = join_on_keys(df, est.select(*by, "beta_k", F.col("_bl").alias("_beta_l_g")), by, "left")
+    rows = of_group(df, est.select(*by, "beta_k", F.col("_bl").alias("_beta_l_g")), by)
     rows = rows.withColumn("tfp_lp", F.col("y") - F.col("_beta_l_g") * F.col("l") - F.col("beta_k") * F.col("k"))
     return rows.drop("_beta_l_g"), est.drop("_bl")
 

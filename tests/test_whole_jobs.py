@@ -31,3 +31,17 @@ def test_each_replicate_has_a_hash_of_its_own(spark):
             u = [(int(hashlib.md5(f"9:{b}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52 for i in range(g, 30, 2)]
             w = np.searchsorted(cdf, u, side="right")
             assert got[g, b] == pytest.approx((w.sum(), w @ np.arange(g, 30, 2)))
+
+
+def test_outcomes_shuffle_no_rows_by_a_few_groups(spark):
+    from panelfx.operators import production
+    df = spark.range(400).select("id", (F.col("id") % 2).alias("imp"), (F.rand(1) * 5).alias("y"), (F.rand(2) * 5).alias("k"), (F.rand(3) * 5).alias("l"), (F.rand(4) * 5).alias("m"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        first, _ = production.productivity_stage1(df, ["imp"])
+        second, _ = production.productivity_stage2(first, ["imp"])
+        for found in (first, second):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
