@@ -45,3 +45,31 @@ def test_outcomes_shuffle_no_rows_by_a_few_groups(spark):
             assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_pipeline_cuts_similar_passages_behind_a_fragment(spark):
+    import random
+
+    import corpus_pipeline
+    from llm.test_compact_windows import changed, prose
+    rng = random.Random(29)
+    rows, size = [], {}
+    for _ in range(60):
+        passage = prose(rng, rng.randint(55, 120))
+        at = rng.randint(0, len(passage) - 45)
+        for part in (passage[at:at + 45], passage, changed(rng, passage)):
+            words, x = prose(rng, 150), rng.randint(0, 150)
+            rows.append((len(rows), " ".join(words[:x] + part + words[x:])))
+        size[len(rows) - 1] = len(rows[-1][1].split()) - 150
+    kept = {r.doc_id: len(r.text.split()) for r in corpus_pipeline.passage_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    for d, text in rows:
+        assert (kept[d] <= len(text.split()) - 0.8 * size[d]) if d in size else kept[d] == len(text.split())
+
+
+def test_inner_scope_leaves_the_outer_one(spark):
+    from panelfx.session import scratch_tables, stored
+    with scratch_tables() as outer:
+        with scratch_tables() as inner:
+            stored(spark.range(1), "both")
+        stored(spark.range(1), "outer-only")
+    assert len(inner) == 1 and len(outer) == 2
