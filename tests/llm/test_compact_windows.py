@@ -277,6 +277,50 @@ def test_blocks_of_a_key_meet_all_others(spark, monkeypatch):
     assert passages_of() == want
 
 
+def test_a_common_line_pairs_no_other_documents(spark, monkeypatch):
+    rng = random.Random(37)
+    line, passage = prose(rng, 13), prose(rng, 60)
+    rows = [(k, " ".join(line + (prose(rng, 1) * 60 if k % 2 else prose(rng, 60)))) for k in range(80)]
+    rows += [(k, " ".join(line + part + prose(rng, 30))) for k, part in ((80, passage), (81, passage[:59] + ["end"]), (82, changed(rng, passage)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs, inner = [], cw.compared
+
+    def counted(documents, found, *options):
+        pairs.append({(r.source, r.doc_id) for r in found.collect()})
+        return inner(documents, found, *options)
+
+    monkeypatch.setattr(cw, "compared", counted)
+    want = {tuple(r) for r in cw.repeated_passages(df).collect()}
+    assert {81, 82} <= {r[0] for r in want} and all(r[3] >= 80 for r in want)
+    assert len(pairs[-1]) <= 10, len(pairs[-1])  # of 3,403; those of a repeated word and any other were compared before
+    monkeypatch.setattr(cw, "CROWD", 2)
+    assert {tuple(r) for r in cw.repeated_passages(df).collect()} == want
+
+
+def test_least_distinct_values_of_runs():
+    rng = np.random.default_rng(41)
+    for _ in range(200):
+        x, width = rng.integers(0, 12, rng.integers(8, 40)).astype(np.uint16), 8
+        low, high = sorted(rng.integers(0, len(x), 2).tolist())
+        size = max(width, high - low + 1)
+        want = min(len(set(x[s:s + size].tolist())) for s in range(len(x) - size + 1) if s <= low and high < s + size)
+        assert cw.least_distinct(x, low, high, width) == want
+
+
+def test_equal_rows_have_equal_marks():
+    front, row, back, other = values(43, 70, 18, 30, 90)
+    grams = np.concatenate((front, row, back, row, other[:50], np.full(25, 7, np.uint64)))
+    rows = cw.Rows(np.concatenate((grams, other)), np.array([0, len(grams), len(grams) + 90]), 18)
+    assert set(rows.of(0, 60, 100)) & set(rows.of(0, 118, 135)) >= set(cw.marks(row, 18))
+    assert set(rows.returning(0)) == {*cw.marks(row, 18), *cw.marks(np.full(18, 7, np.uint64), 18)} and not len(rows.returning(1))
+    assert len(rows.of(1, 0, 10)) == 0 and len(cw.marks(row[:17], 18)) == 0
+
+
+def test_ranges_of_pairs_are_the_outermost():
+    pairs = np.array([[1, 5, 4, 9, 3, 8], [0, 5, 2, 3, 1, 2], [1, 5, 3, 12, 5, 6], [1, 4, 7, 7, 7, 7]]).T
+    assert cw.ranges_of(pairs).T.tolist() == [[0, 5, 2, 3, 1, 2], [1, 4, 7, 7, 7, 7], [1, 5, 3, 12, 3, 8]]
+
+
 def test_odd_rows(spark):
     df = odd(spark)
     got = cw.repeated_passages(df).collect()
